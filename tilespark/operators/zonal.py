@@ -79,9 +79,6 @@ def tile_summary(tiles: DataFrame, exclude_nodata: bool = True) -> DataFrame:
     t = tiles.select("rid", kept.alias("_v"))
     n = F.size("_v")
     s = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x)
-    out = t.select(
-        "rid", n.cast("long").alias("count"),
-        F.when(n > 0, s).alias("sum"))
     t2 = t.withColumn("_n", n).withColumn("_s", s)
     mean = F.col("_s") / F.col("_n")
     ss = F.aggregate("_v", F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
@@ -93,14 +90,15 @@ def tile_summary(tiles: DataFrame, exclude_nodata: bool = True) -> DataFrame:
         F.array_min("_v").alias("min"), F.array_max("_v").alias("max"))
 
 
-def zonal_partials(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, part: DataFrame,
+def zonal_partials(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
                    by: Sequence[str] = ("gid", "name")) -> DataFrame:
-    """Partial zonal results per rid range (the per-node results of the
-    reference): ``(part, by..., min, max, count, sum, sumsq)``."""
+    """Partial zonal results per part (the per-node results of the
+    reference): ``(part, by..., min, max, count, sum, sumsq)``.  ``tiles``
+    carry a ``part`` column (``plans.partition.assign_parts``)."""
     by = list(by)
     keep = list(dict.fromkeys(["gid", *by]))
     pieces = span_pieces(zone_spans(zones, spec, keep), spec, keep)
-    t = tiles.join(F.broadcast(part), (tiles["rid"] >= part["min_rid"]) & (tiles["rid"] <= part["max_rid"]))
+    t = tiles
     vals = piece_values(pieces, t, keep, tile_cols=["part"])
     cells = vals.select("part", *keep, "nodata", F.explode("vals").alias("v"))
     v = valid_value(F.col("v"), F.col("nodata"))
