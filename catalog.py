@@ -430,7 +430,7 @@ sc AS (SELECT c.px - w2.cx0 AS px, c.py - w2.ry0 AS py, c.v FROM cells_a c, w2
        WHERE c.px >= w2.cx0 AND c.px < w2.cx1 AND c.py >= w2.ry0 AND c.py < w2.ry1),
 tt AS (SELECT CAST(px // 10 AS INTEGER) AS tile_col, CAST(py // 10 AS INTEGER) AS tile_row, {TXT} AS data_text,
               max(px) - min(px) + 1 AS w, max(py) - min(py) + 1 AS h FROM sc GROUP BY 1, 2)
-SELECT CAST(tile_row * ((SELECT cx1 - cx0 FROM w2) + 9) // 10 + tile_col + 1 AS BIGINT) AS rid,
+SELECT CAST(tile_row * (((SELECT cx1 - cx0 FROM w2) + 9) // 10) + tile_col + 1 AS BIGINT) AS rid,
   tile_col, tile_row, CAST(w AS INTEGER) AS width, CAST(h AS INTEGER) AS height,
   ({O.ULX} + CAST((SELECT cx0 FROM w2) AS DOUBLE) * {O.SX}) + (tile_col * 10) * {O.SX} AS ulx,
   ({O.ULY} + CAST((SELECT ry0 FROM w2) AS DOUBLE) * {O.SY}) + (tile_row * 10) * {O.SY} AS uly,
@@ -571,16 +571,29 @@ def q_focal_shrink(spark, sf):
     return tiles_to_cells(focal_mod.focal(t, "mean", 1, 1, scope="mosaic", edge="shrink"), keep=())
 
 
-def _nanmean_trunc(win):
+def _nanmean_trunc(wins):
+    """A user neighbourhood function: mean of the counted cells of every
+    window, truncated into a byte (NaN when a window has none)."""
     import numpy as np
-    v = win[~np.isnan(win)]
-    return float(np.trunc(min(max(v.mean(), 0.0), 255.0))) if v.size else None
+    n = (~np.isnan(wins)).sum(axis=1)
+    s = np.nansum(wins, axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        m = np.where(n > 0, s / np.maximum(n, 1), np.nan)
+    return np.trunc(np.clip(m, 0.0, 255.0))
 
 
-@query("focal_udf")
+@query("focal_udf", _focal_sql("tile", "nodata"))
 def q_focal_udf(spark, sf):
     t, _ = tiles_a(spark, sf)
-    return tiles_to_cells(focal_mod.focal_udf(t, _nanmean_trunc, 1, 1, scope="tile", edge="nodata"), keep=())
+    f = focal_mod.focal_udf(t, _nanmean_trunc, 1, 1, scope="tile", edge="nodata", vectorized=True)
+    return tiles_to_cells(f, keep=())
+
+
+@query("focal_udf_mosaic", _focal_sql("mosaic", "nodata"))
+def q_focal_udf_mosaic(spark, sf):
+    t, _ = tiles_a(spark, sf)
+    f = focal_mod.focal_udf(t, _nanmean_trunc, 1, 1, scope="mosaic", edge="nodata", vectorized=True)
+    return tiles_to_cells(f, keep=())
 
 
 # ------------------------------------------------------------ partition planning

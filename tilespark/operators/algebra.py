@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilespark.functions.arrays import let
 from tilespark.functions.pixels import CellExpr, clamp_to_type, zip_cells
 from tilespark.model import TILE_COLUMNS, RasterSpec
 from tilespark.sources.tiling import tile_raster, tiles_to_cells
@@ -38,17 +39,18 @@ def map_algebra(a: DataFrame, b: DataFrame, expr: str | CellExpr, pixel_type: st
     idx = F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)
 
     def take(p: str):
-        return F.transform(idx, lambda i: F.col(p + "data")[
-            F.floor(i / F.col("width")).cast("int") * F.col(p + "width") + i % F.col("width")])
+        return let(F.col(p + "data"), lambda d: F.transform(idx, lambda i: d[
+            F.floor(i / F.col("width")).cast("int") * F.col(p + "width") + i % F.col("width")]))
 
     j = j.withColumns({"_a": take("a_"), "_b": take("b_")})
     j = j.withColumn("_r", zip_cells("_a", "_b", expr))
     nd_out = F.lit(nodata).cast("double") if nodata is not None else F.coalesce("a_nodata", "b_nodata")
     j = j.withColumn("nodata", nd_out)
     nda, ndb = F.col("a_nodata"), F.col("b_nodata")
-    data = F.transform(F.sequence(F.lit(0), F.size("_r") - 1), lambda i: F.when(
-        (nda.isNotNull() & (F.col("_a")[i] == nda)) | (ndb.isNotNull() & (F.col("_b")[i] == ndb)),
-        F.col("nodata")).otherwise(clamp_to_type(F.col("_r")[i], pixel_type)))
+    # NoData in either input -> NoData; else the result forced into the type
+    data = F.zip_with(F.zip_with("_a", "_b", lambda x, y: F.struct(x.alias("a"), y.alias("b"))), "_r",
+                      lambda ab, r: F.when((nda.isNotNull() & (ab["a"] == nda)) | (ndb.isNotNull() & (ab["b"] == ndb)),
+                                           F.col("nodata")).otherwise(clamp_to_type(r, pixel_type)))
     return j.select(
         F.col("a_rid").alias("rid"), F.col("a_filename").alias("filename"), F.col("a_srid").alias("srid"),
         F.col("a_tile_col").alias("tile_col"), F.col("a_tile_row").alias("tile_row"),

@@ -97,7 +97,8 @@ def clip_to_zones(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, keep=Non
         hit = F.exists("spans", lambda s: (s["r"] == r) & (s["lc0"] <= c) & (c < s["lc1"]))
         return F.when(hit, F.col("data")[r * F.col("width") + c]).otherwise(F.coalesce("nodata", F.lit(0.0)))
 
-    # the crop is computed before any column is renamed
+    # ``data`` and ``spans`` come out of a join here, so they are plain
+    # attributes; the crop is computed before any column is renamed.
     j = j.withColumn("_crop", F.transform(F.sequence(F.lit(0), cw * F.col("_ch") - 1), cell))
     return j.select(
         *keep, "rid", "filename", "srid", "tile_col", "tile_row",

@@ -21,57 +21,92 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilespark.functions.arrays import let
 from tilespark.functions.pixels import clamp_to_type, clamp_to_type_col
 from tilespark.model import TILE_COLUMNS
 
 BUILTIN = ("mean", "sum", "min", "max", "count")
 
 
-def _reduce(vals: Column, fn: str) -> Column:
-    """Reduce a window array (nulls already removed) with a built-in function."""
-    n = F.size(vals)
-    s = F.aggregate(vals, F.lit(0.0), lambda a, x: a + x)
-    if fn == "mean":
-        return F.when(n > 0, s / n)
-    if fn == "sum":
-        return F.when(n > 0, s)
-    if fn == "count":
-        return n.cast("double")
-    if fn == "min":
-        return F.array_min(vals)
-    if fn == "max":
-        return F.array_max(vals)
-    raise ValueError(f"unknown focal function {fn!r}")
-
-
-def _window_values(get: Callable[[Column, Column], Column], r: Column, c: Column,
-                   nx: int, ny: int) -> Column:
-    return F.array(*[get(r + dy, c + dx) for dy in range(-ny, ny + 1) for dx in range(-nx, nx + 1)])
-
-
-def _focal_arrays(fn: str, nx: int, ny: int, edge: str, pixel_type: str | None,
-                  get: Callable[[Column, Column], Column], full: Callable[[Column, Column], Column]) -> Column:
-    """Output array of one tile.  ``get(r, c)`` is the value at a (possibly
-    outside) position or null; ``full(r, c)`` tells if the whole window of an
-    output pixel is available."""
+def _reduce(win: Column, fn: str, nod: Column) -> Column:
+    """Reduce one window (an array; nulls are cells outside the raster) to
+    ``struct(v, full)``: ``v`` over the counted cells, ``full`` when no cell
+    of the window is missing.  One pass over the window."""
+    acc0 = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"), F.lit(0).alias("miss"),
+                    F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
+
+    def step(a, x):
+        ok = x.isNotNull() & (nod.isNull() | (x != nod))
+        return F.struct(
+            (a["s"] + F.when(ok, x).otherwise(0.0)).alias("s"),
+            (a["n"] + F.when(ok, 1).otherwise(0)).alias("n"),
+            (a["miss"] + F.when(x.isNull(), 1).otherwise(0)).alias("miss"),
+            F.when(ok & (a["lo"].isNull() | (x < a["lo"])), x).otherwise(a["lo"]).alias("lo"),
+            F.when(ok & (a["hi"].isNull() | (x > a["hi"])), x).otherwise(a["hi"]).alias("hi"))
+
+    def finish(a):
+        n = a["n"]
+        v = {"mean": F.when(n > 0, a["s"] / n), "sum": F.when(n > 0, a["s"]),
+             "count": n.cast("double"), "min": a["lo"], "max": a["hi"]}[fn]
+        return F.struct(v.alias("v"), (a["miss"] == 0).alias("full"))
+
+    return F.aggregate(win, acc0, step, finish)
+
+
+def _padded(nx: int, ny: int, neighbours: bool) -> Column:
+    """The tile with a halo of ``nx`` columns / ``ny`` rows, row-major, built
+    row by row from array slices.  Halo cells come from the neighbour pieces
+    (``_p``, 9 entries, own tile at 4) or are null where there is none."""
+    w, h = F.col("width"), F.col("height")
+
+    def part(k: int, row: Column, width: Column, d: Column) -> Column:
+        nulls = F.array_repeat(F.lit(None).cast("double"), width)
+        if k == 4:
+            return F.slice(d, row * w + 1, w)
+        if not neighbours:
+            return nulls
+        p = F.col("_p")[k]
+        return F.when(p.isNull(), nulls).otherwise(F.slice(p["block"], row * p["bw"] + 1, p["bw"]))
+
+    def prow(pr: Column, d: Column) -> Column:
+        top = F.concat(part(0, pr + ny, F.lit(nx), d), part(1, pr + ny, w, d), part(2, pr + ny, F.lit(nx), d))
+        mid = F.concat(part(3, pr, F.lit(nx), d), part(4, pr, w, d), part(5, pr, F.lit(nx), d))
+        bot = F.concat(part(6, pr - h, F.lit(nx), d), part(7, pr - h, w, d), part(8, pr - h, F.lit(nx), d))
+        return F.when(pr < 0, top).when(pr >= h, bot).otherwise(mid)
+
+    return let(F.col("data"), lambda d: F.flatten(
+        F.transform(F.sequence(F.lit(-ny), h + ny - 1), lambda pr: prow(pr, d))))
+
+
+def _focal_from_padded(df: DataFrame, fn: str, nx: int, ny: int, edge: str,
+                       pixel_type: str | None) -> DataFrame:
     w, h, nod = F.col("width"), F.col("height"), F.col("nodata")
+    pw = w + 2 * nx
 
-    def pixel(i: Column) -> Column:
+    def window(i, pad):
         r = F.floor(i / w).cast("int")
         c = (i % w).cast("int")
-        win = _window_values(get, r, c, nx, ny)
-        vals = F.filter(win, lambda x: x.isNotNull() & (nod.isNull() | (x != nod)))
-        red = _reduce(vals, fn)
+        return F.array(*[pad[(r + dy + ny) * pw + (c + dx + nx)]
+                         for dy in range(-ny, ny + 1) for dx in range(-nx, nx + 1)])
+
+    # Staged: every array is built once per tile, so no window is evaluated twice.
+    df = df.withColumn("_win", let(F.col("_pad"), lambda pad: F.transform(
+        F.sequence(F.lit(0), w * h - 1), lambda i: window(i, pad))))
+    df = df.withColumn("_red", F.transform("_win", lambda wv: _reduce(wv, fn, nod)))
+
+    def final(x):
+        v = x["v"]
         if pixel_type == "input":
-            out = clamp_to_type_col(red, F.col("pixel_type"))
-        else:
-            out = clamp_to_type(red, pixel_type)
-        out = F.coalesce(out, nod)
+            v = clamp_to_type_col(v, F.col("pixel_type"))
+        elif pixel_type is not None:
+            v = clamp_to_type(v, pixel_type)
+        v = F.coalesce(v, nod)
         if edge == "nodata":
-            out = F.when(full(r, c), out).otherwise(nod)
-        return out
+            v = F.when(x["full"], v).otherwise(nod)
+        return v
 
-    return F.transform(F.sequence(F.lit(0), w * h - 1), pixel)
+    df = df.withColumn("data", F.transform("_red", final))
+    return df.select(*TILE_COLUMNS)
 
 
 def focal(tiles: DataFrame, fn: str = "mean", nx: int = 1, ny: int = 1, scope: str = "tile",
@@ -85,37 +120,31 @@ def focal(tiles: DataFrame, fn: str = "mean", nx: int = 1, ny: int = 1, scope: s
     if fn not in BUILTIN:
         raise ValueError(f"use focal_udf for {fn!r}")
     if scope == "tile":
-        return _focal_tile(tiles, fn, nx, ny, edge, pixel_type)
-    if scope == "mosaic":
-        return _focal_mosaic(tiles, fn, nx, ny, edge, pixel_type)
-    raise ValueError(scope)
-
-
-def _focal_tile(tiles, fn, nx, ny, edge, ptype):
-    w, h = F.col("width"), F.col("height")
-
-    def inside(r, c):
-        return (r >= 0) & (r < h) & (c >= 0) & (c < w)
-
-    def get(r, c):
-        return F.when(inside(r, c), F.col("data")[F.when(inside(r, c), r * w + c).otherwise(0)])
-
-    def full(r, c):
-        return (r >= ny) & (r < h - ny) & (c >= nx) & (c < w - nx)
-
-    return tiles.withColumn("data", _focal_arrays(fn, nx, ny, edge, ptype, get, full))
+        t = tiles.select(*TILE_COLUMNS).withColumn("_pad", _padded(nx, ny, neighbours=False))
+    elif scope == "mosaic":
+        g = halo_groups(tiles, nx, ny)
+        meta = tiles.select(*[c for c in TILE_COLUMNS if c != "data"])
+        t = meta.join(g, ["tile_col", "tile_row"])
+        # own tile and the 8 neighbour pieces in a fixed order (null: no neighbour)
+        t = t.withColumn("_p", F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.try_element_at(
+            F.filter("pieces", lambda p: p["k"] == k), F.lit(1))))
+        t = t.withColumn("data", F.col("_p")[4]["block"])
+        t = t.withColumn("_pad", _padded(nx, ny, neighbours=True))
+    else:
+        raise ValueError(scope)
+    return _focal_from_padded(t, fn, nx, ny, edge, pixel_type)
 
 
 def halo_groups(tiles: DataFrame, nx: int, ny: int) -> DataFrame:
     """Each tile plus the border strips of its 8 neighbours, grouped on the
     tile key: ``(tile_col, tile_row, pieces)``; a piece is
-    ``(k, bw, bh, block)`` with ``k = (dy+1)*3 + (dx+1)`` the neighbour's
-    position relative to the target tile."""
+    ``(k, bw, bh, block)`` with ``k = (dy+1)*3 + (dx+1)`` the sender's
+    position relative to the target tile (4 = the tile itself)."""
     w, h = F.col("width"), F.col("height")
     offs = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
-    # piece sent by this tile to its neighbour at (dx, dy)
     items = []
     for dx, dy in offs:
+        # the part of this tile that its neighbour at (dx, dy) needs
         cs = w - nx if dx == 1 else F.lit(0)
         ce = F.lit(nx) if dx == -1 else w
         rs = h - ny if dy == 1 else F.lit(0)
@@ -124,10 +153,9 @@ def halo_groups(tiles: DataFrame, nx: int, ny: int) -> DataFrame:
                               F.greatest(cs, F.lit(0)).alias("cs"), F.least(ce, w).alias("ce"),
                               F.greatest(rs, F.lit(0)).alias("rs"), F.least(re, h).alias("re")))
     t = tiles.select("tile_col", "tile_row", "width", "data", F.explode(F.array(*items)).alias("o"))
-    block = F.flatten(F.transform(F.sequence(F.col("o.rs"), F.col("o.re") - 1),
-                                  lambda r: F.slice("data", r * F.col("width") + F.col("o.cs") + 1,
-                                                    F.col("o.ce") - F.col("o.cs"))))
-    # the target sees the sender at the opposite offset
+    block = let(F.col("data"), lambda d: F.flatten(F.transform(
+        F.sequence(F.col("o.rs"), F.col("o.re") - 1),
+        lambda r: F.slice(d, r * F.col("width") + F.col("o.cs") + 1, F.col("o.ce") - F.col("o.cs")))))
     k = (F.lit(1) - F.col("o.dy")) * 3 + (F.lit(1) - F.col("o.dx"))
     p = t.select((F.col("tile_col") + F.col("o.dx")).alias("tile_col"),
                  (F.col("tile_row") + F.col("o.dy")).alias("tile_row"),
@@ -136,58 +164,31 @@ def halo_groups(tiles: DataFrame, nx: int, ny: int) -> DataFrame:
     return p.groupBy("tile_col", "tile_row").agg(F.collect_list("piece").alias("pieces"))
 
 
-def _focal_mosaic(tiles, fn, nx, ny, edge, ptype):
-    g = halo_groups(tiles, nx, ny)
-    meta = tiles.select(*[c for c in TILE_COLUMNS if c != "data"])
-    t = meta.join(g, ["tile_col", "tile_row"])
-    # the 9 pieces in a fixed order (missing neighbours at the raster edge: null)
-    t = t.withColumn("_p", F.transform(F.sequence(F.lit(0), F.lit(8)),
-                                       lambda k: F.try_element_at(F.filter("pieces", lambda p: p["k"] == k), F.lit(1))))
-    w, h = F.col("width"), F.col("height")
-
-    def get(r, c):
-        ndx = F.when(c < 0, -1).when(c >= w, 1).otherwise(0)
-        ndy = F.when(r < 0, -1).when(r >= h, 1).otherwise(0)
-        piece = F.element_at("_p", (ndy + 1) * 3 + (ndx + 1) + 1)
-        lc = F.when(ndx == -1, c + piece["bw"]).when(ndx == 1, c - w).otherwise(c)
-        lr = F.when(ndy == -1, r + piece["bh"]).when(ndy == 1, r - h).otherwise(r)
-        ok = piece.isNotNull() & (lc >= 0) & (lc < piece["bw"]) & (lr >= 0) & (lr < piece["bh"])
-        return F.when(ok, F.element_at(piece["block"], F.when(ok, lr * piece["bw"] + lc + 1).otherwise(1)))
-
-    def full(r, c):
-        cond = F.lit(True)
-        for dy in (-ny, ny):
-            for dx in (-nx, nx):
-                cond = cond & get(r + dy, c + dx).isNotNull()
-        return cond
-
-    out = t.withColumn("data", _focal_arrays(fn, nx, ny, edge, ptype, get, full))
-    return out.select(*TILE_COLUMNS)
-
-
 # ---------------------------------------------------------------- X1
 
-def focal_udf(tiles: DataFrame, func: Callable[[np.ndarray], float], nx: int = 1, ny: int = 1,
-              scope: str = "tile", edge: str = "nodata") -> DataFrame:
-    """A user neighbourhood function ``func(window) -> value``; the window
-    is a ``(2ny+1, 2nx+1)`` float array with NoData as NaN.  Runs in
-    ``mapInPandas`` over whole tiles (Arrow batches), never per pixel row.
-    ``scope='mosaic'`` first pads every tile with its halo."""
+def focal_udf(tiles: DataFrame, func: Callable[[np.ndarray], np.ndarray | float], nx: int = 1, ny: int = 1,
+              scope: str = "tile", edge: str = "nodata", vectorized: bool = False) -> DataFrame:
+    """A user neighbourhood function.  With ``vectorized=True`` it gets
+    every window of a tile at once, an ``(n, (2ny+1)*(2nx+1))`` float array,
+    and returns ``n`` values; otherwise it is called per window with a
+    ``(2ny+1, 2nx+1)`` array.  NoData and missing cells are NaN; a NaN or
+    None result becomes NoData.  Runs in ``mapInPandas`` on whole tiles
+    (Arrow batches); ``scope='mosaic'`` first adds the halo from neighbours."""
     if scope == "mosaic":
         g = halo_groups(tiles, nx, ny)
         t = tiles.select(*[c for c in TILE_COLUMNS if c != "data"]).join(g, ["tile_col", "tile_row"])
     else:
-        t = tiles.withColumn("pieces", F.array(F.struct(F.lit(4).alias("k"), F.col("width").alias("bw"),
-                                                        F.col("height").alias("bh"), F.col("data").alias("block"))))
+        t = tiles.select(*TILE_COLUMNS).withColumn("pieces", F.array(F.struct(
+            F.lit(4).alias("k"), F.col("width").alias("bw"), F.col("height").alias("bh"),
+            F.col("data").alias("block")))).drop("data")
     schema = tiles.select(*TILE_COLUMNS).schema
     _ship_by_value(func)
+    meta = [c for c in TILE_COLUMNS if c != "data"]
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                out.append(_apply_window(row, func, nx, ny, edge))
-            res = pdf[[c for c in TILE_COLUMNS if c != "data"]].copy()
+            out = [_apply_window(row, func, nx, ny, edge, vectorized) for row in pdf.itertuples(index=False)]
+            res = pdf[meta].copy()
             res["data"] = out
             yield res[TILE_COLUMNS]
 
@@ -208,31 +209,34 @@ def _ship_by_value(func) -> None:
                 pass
 
 
-def _apply_window(row, func, nx, ny, edge):
+def _apply_window(row, func, nx, ny, edge, vectorized):
+    from numpy.lib.stride_tricks import sliding_window_view
     w, h = int(row.width), int(row.height)
     nod = row.nodata
-    pieces = {int(p["k"]): p for p in row.pieces}
     pad = np.full((h + 2 * ny, w + 2 * nx), np.nan)
-    spans = {-1: None, 0: None, 1: None}
-    for k, p in pieces.items():
+    for p in row.pieces:
+        k = int(p["k"])
         dy, dx = k // 3 - 1, k % 3 - 1
         bh, bw = int(p["bh"]), int(p["bw"])
-        blk = np.asarray(p["block"], dtype=float).reshape(bh, bw) if bh * bw else np.zeros((bh, bw))
+        if bh * bw == 0:
+            continue
+        blk = np.asarray(p["block"], dtype=float).reshape(bh, bw)
         r0 = ny + (-bh if dy == -1 else (h if dy == 1 else 0))
         c0 = nx + (-bw if dx == -1 else (w if dx == 1 else 0))
         pad[r0:r0 + bh, c0:c0 + bw] = blk
     avail = ~np.isnan(pad)
-    if nod is not None and not pd.isna(nod):
+    has_nod = nod is not None and not pd.isna(nod)
+    if has_nod:
         pad[pad == nod] = np.nan
-    out = np.empty(h * w)
-    for r in range(h):
-        for c in range(w):
-            win = pad[r:r + 2 * ny + 1, c:c + 2 * nx + 1]
-            if edge == "nodata" and not avail[r:r + 2 * ny + 1, c:c + 2 * nx + 1].all():
-                out[r * w + c] = np.nan
-                continue
-            v = func(win)
-            out[r * w + c] = np.nan if v is None else v
-    if nod is not None and not pd.isna(nod):
+    wins = sliding_window_view(pad, (2 * ny + 1, 2 * nx + 1)).reshape(h * w, -1)
+    if vectorized:
+        out = np.asarray(func(wins), dtype=float)
+    else:
+        out = np.array([np.nan if (v := func(x.reshape(2 * ny + 1, 2 * nx + 1))) is None else v
+                        for x in wins], dtype=float)
+    if edge == "nodata":
+        full = sliding_window_view(avail, (2 * ny + 1, 2 * nx + 1)).reshape(h * w, -1).all(axis=1)
+        out[~full] = np.nan
+    if has_nod:
         out[np.isnan(out)] = nod
     return out.tolist()
