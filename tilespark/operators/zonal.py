@@ -52,23 +52,23 @@ def zonal_stats(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
 
     Zones that meet the raster but hold no counted pixel give ``count = 0``
     and nulls (``keep_empty``); zones away from the raster give no row, as an
-    inner join does.
+    inner join does.  ``keep_empty=False`` drops the count-0 rows.
     """
     by = list(by)
     keep = list(dict.fromkeys(["gid", *by]))
     pieces = span_pieces(zone_spans(zones, spec, keep), spec, keep)
     vals = piece_values(pieces, tiles, keep)
-    cells = vals.select(*keep, "nodata", F.explode("vals").alias("v"))
+    cells = vals.select(*by, "nodata", F.explode("vals").alias("v"))
+    if keep_empty:
+        # Zones that only graze tiles (no pixel centre inside) still pair with
+        # them: one null-valued row each joins the same aggregation (every
+        # statistic skips nulls), so no second pass and no anti-join.
+        grazing = edge_tile_hits(tiles, zones, spec, keep, distinct=False).select(*by)
+        cells = cells.unionByName(grazing.select(*by, F.lit(None).cast("double").alias("nodata"),
+                                                 F.lit(None).cast("double").alias("v")))
     v = valid_value(F.col("v"), F.col("nodata"), exclude_nodata)
     stats = cells.groupBy(*by).agg(*summary_aggs(v))
-    if not keep_empty:
-        return stats.where(F.col("count") > 0)
-    # Zones that only graze tiles (no pixel centre inside) still pair with them.
-    grazing = edge_tile_hits(tiles, zones, spec, keep).select(*by).distinct()
-    empty = grazing.join(stats.select(*by), by, "left_anti").select(
-        *by, F.lit(0).cast("long").alias("count"),
-        *[F.lit(None).cast("double").alias(c) for c in STAT_COLUMNS[1:]])
-    return stats.unionByName(empty)
+    return stats if keep_empty else stats.where(F.col("count") > 0)
 
 
 def tile_summary(tiles: DataFrame, exclude_nodata: bool = True) -> DataFrame:

@@ -160,7 +160,7 @@ def tile_keys(tiles: DataFrame) -> DataFrame:
 
 
 def edge_tile_hits(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
-                   keep: Sequence[str]) -> DataFrame:
+                   keep: Sequence[str], distinct: bool = True) -> DataFrame:
     """Pairs (keep..., rid) where some ring edge meets the tile footprint.
 
     Each edge is cut into the tile-row bands it spans; inside one band it
@@ -191,7 +191,8 @@ def edge_tile_hits(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
     cand = e.select(*keep, "x1", "y1", "x2", "y2", "tile_col", "tile_row")
     j = cand.join(tile_keys(tiles), ["tile_col", "tile_row"])
     rx0, rx1, ry0, ry1 = _tile_rect()
-    return j.where(segment_meets_rect(rx0, rx1, ry0, ry1)).select(*keep, "rid").distinct()
+    hits = j.where(segment_meets_rect(rx0, rx1, ry0, ry1)).select(*keep, "rid")
+    return hits.distinct() if distinct else hits
 
 
 def intersect_pairs(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
