@@ -565,6 +565,18 @@ def q_focal_mosaic(spark, sf):
     return tiles_to_cells(focal_mod.focal(t, "mean", 1, 1, scope="mosaic", edge="nodata"), keep=())
 
 
+@query("focal_mean_sql", _focal_sql("tile", "nodata"))
+def q_focal_mean_sql(spark, sf):
+    t, _ = tiles_a(spark, sf)
+    return tiles_to_cells(focal_mod.focal(t, "mean", 1, 1, scope="tile", edge="nodata", engine="sql"), keep=())
+
+
+@query("focal_mosaic_sql", _focal_sql("mosaic", "nodata"))
+def q_focal_mosaic_sql(spark, sf):
+    t, _ = tiles_a(spark, sf)
+    return tiles_to_cells(focal_mod.focal(t, "mean", 1, 1, scope="mosaic", edge="nodata", engine="sql"), keep=())
+
+
 @query("focal_shrink", _focal_sql("mosaic", "shrink"))
 def q_focal_shrink(spark, sf):
     t, _ = tiles_a(spark, sf)
