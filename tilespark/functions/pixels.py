@@ -22,8 +22,8 @@ def clamp_to_type(v: Column, pixel_type: str | None) -> Column:
     if rng is None:
         return v
     lo, hi = rng
-    c = F.least(F.greatest(v, F.lit(float(lo))), F.lit(float(hi)))
-    return F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("double")
+    # clamp, then truncate toward zero by a cast (one evaluation of ``v``)
+    return F.least(F.greatest(v, F.lit(float(lo))), F.lit(float(hi))).cast("long").cast("double")
 
 
 def clamp_to_type_col(v: Column, pixel_type: Column) -> Column:
@@ -32,8 +32,7 @@ def clamp_to_type_col(v: Column, pixel_type: Column) -> Column:
                             for x in (F.lit(k), F.struct(F.lit(float(r[0])).alias("lo"),
                                                          F.lit(float(r[1])).alias("hi")))])
     lohi = F.element_at(ranges, pixel_type)
-    c = F.least(F.greatest(v, lohi["lo"]), lohi["hi"])
-    as_int = F.when(c >= 0, F.floor(c)).otherwise(F.ceil(c)).cast("double")
+    as_int = F.least(F.greatest(v, lohi["lo"]), lohi["hi"]).cast("long").cast("double")
     as_float = F.when(pixel_type == "32BF", v.cast("float").cast("double")).otherwise(v)
     return F.when(lohi.isNull(), as_float).otherwise(as_int)
 

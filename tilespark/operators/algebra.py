@@ -31,6 +31,8 @@ def map_algebra(a: DataFrame, b: DataFrame, expr: str | CellExpr, pixel_type: st
     are forced into ``pixel_type``.  The output NoData is ``nodata``, else the
     first input's, else the second's.
     """
+    if a is b:
+        return _self_algebra(a, expr, pixel_type, nodata)
     j = _pick(a, "a_").join(_pick(b, "b_"), (F.col("a_tile_col") == F.col("b_tile_col"))
                             & (F.col("a_tile_row") == F.col("b_tile_row")))
     w = F.least("a_width", "b_width")
@@ -59,6 +61,17 @@ def map_algebra(a: DataFrame, b: DataFrame, expr: str | CellExpr, pixel_type: st
         "width", "height", F.lit(pixel_type).alias("pixel_type"), "nodata", data.alias("data"))
 
 
+def _self_algebra(a: DataFrame, expr, pixel_type: str, nodata: float | None) -> DataFrame:
+    """A raster with itself: every tile pairs only with itself, so the cell
+    expression is a per-tile ``zip_with`` and no join or shuffle is needed."""
+    t = a.select(*TILE_COLUMNS).withColumn("_r", zip_cells("data", "data", expr))
+    nd_in = F.col("nodata")
+    nd_out = F.lit(nodata).cast("double") if nodata is not None else nd_in
+    t = t.withColumn("data", F.zip_with("data", "_r", lambda x, r: F.when(
+        nd_in.isNotNull() & (x == nd_in), nd_out).otherwise(clamp_to_type(r, pixel_type))))
+    return t.withColumn("nodata", nd_out).withColumn("pixel_type", F.lit(pixel_type)).select(*TILE_COLUMNS)
+
+
 def map_algebra_cells(a: DataFrame, b: DataFrame, expr: str | CellExpr, spec: RasterSpec,
                       nodata_a: float | None, nodata_b: float | None,
                       pixel_type: str = "8BUI") -> DataFrame:
