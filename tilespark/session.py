@@ -53,7 +53,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not d:
         d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not d:
+        # local runs and tests only: a cluster names shared storage here
         d = tempfile.mkdtemp(prefix="tilespark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        try:
+            spark.conf.set("spark.checkpoint.dir", d)
+        except Exception:  # noqa: BLE001 - some deployments lock core settings
+            pass
     spark.sparkContext.setCheckpointDir(d)
     return d
