@@ -6,7 +6,7 @@ Each query runs once to warm up, then ``BENCH_RUNS`` times; the median is
 reported.  Results go to Spark's ``noop`` sink, so nothing is collected.
 
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-     BENCH_RUNS (default 3), BENCH_TILE (default 10)
+     BENCH_RUNS (default 5), BENCH_TILE (default 10)
 prints one JSON line.
 """
 
@@ -25,7 +25,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     tile = int(os.environ.get("BENCH_TILE", "10"))
 
     from pyspark.sql import functions as F

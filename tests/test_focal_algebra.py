@@ -68,3 +68,32 @@ def test_tile_pairs_no_cartesian(spark):
     b, sb = catalog.tiles_b(spark, SF, 25)
     plan = algebra.tile_pairs(a, b, sa, sb)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+
+
+def _exchanges_under_join(plan: str) -> int:
+    return plan.count("Exchange hashpartitioning(tile_col")
+
+
+def test_bucketed_tiles_avoid_shuffles(spark, scratch):
+    from tilespark.sources import io
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        a, sa = catalog.tiles_a(spark, SF)
+        b, _ = catalog.tiles_b(spark, SF)
+        ta = io.write_tiles_bucketed(a, "t_a", 4, scratch + "/ta")
+        tb = io.write_tiles_bucketed(b, "t_b", 4, scratch + "/tb")
+        m = algebra.map_algebra(ta, tb, lambda x, y: x * y)
+        plan = m._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan                       # both sides bucketed on the key
+        got = sorted(map(tuple, tiles_to_cells(m, keep=()).collect()))
+        ref = sorted(map(tuple, tiles_to_cells(algebra.map_algebra(a, b, lambda x, y: x * y), keep=()).collect()))
+        assert got == ref
+        f = focal(ta, "mean", 1, 1, scope="mosaic", engine="sql")
+        fplan = f._jdf.queryExecution().executedPlan().toString()
+        # only the strip side is shuffled onto the tile table's buckets
+        assert _exchanges_under_join(fplan) == 1
+        assert _cells(f) == _cells(focal(a, "mean", 1, 1, scope="mosaic", engine="sql"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")

@@ -133,9 +133,7 @@ def focal(tiles: DataFrame, fn: str = "mean", nx: int = 1, ny: int = 1, scope: s
     if scope == "tile":
         t = tiles.select(*TILE_COLUMNS).withColumn("_pad", _padded(nx, ny, neighbours=False))
     else:
-        g = halo_groups(tiles, nx, ny)
-        meta = tiles.select(*[c for c in TILE_COLUMNS if c != "data"])
-        t = meta.join(g, ["tile_col", "tile_row"])
+        t = halo_groups(tiles, nx, ny)
         # own tile and the 8 neighbour pieces in a fixed order (null: no neighbour)
         t = t.withColumn("_p", F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.try_element_at(
             F.filter("pieces", lambda p: p["k"] == k), F.lit(1))))
@@ -145,12 +143,27 @@ def focal(tiles: DataFrame, fn: str = "mean", nx: int = 1, ny: int = 1, scope: s
 
 
 def halo_groups(tiles: DataFrame, nx: int, ny: int) -> DataFrame:
-    """Each tile plus the border strips of its 8 neighbours, grouped on the
-    tile key: ``(tile_col, tile_row, pieces)``; a piece is
-    ``(k, bw, bh, block)`` with ``k = (dy+1)*3 + (dx+1)`` the sender's
-    position relative to the target tile (4 = the tile itself)."""
+    """Each tile plus the border strips of its 8 neighbours on the tile key:
+    ``(tile columns but data..., pieces)``; a piece is ``(k, bw, bh, block)`` with
+    ``k = (dy+1)*3 + (dx+1)`` the sender's position relative to the target
+    tile (4 = the tile itself).
+
+    Only the strips move: they are grouped per target tile (each group holds
+    at most 8 strips) and joined to the tile table on its key, so a table
+    bucketed on the key is not shuffled at all."""
+    strips = _halo_strips(tiles, nx, ny)
+    meta = [c for c in TILE_COLUMNS if c != "data"]
+    own = F.struct(F.lit(4).alias("k"), F.col("width").alias("bw"), F.col("height").alias("bh"),
+                   F.col("data").alias("block"))
+    t = tiles.select(*meta, own.alias("_own"))
+    j = t.join(strips, ["tile_col", "tile_row"], "left")
+    none = F.array().cast(strips.schema["pieces"].dataType)
+    return j.select(*meta, F.concat(F.array("_own"), F.coalesce("pieces", none)).alias("pieces"))
+
+
+def _halo_strips(tiles: DataFrame, nx: int, ny: int) -> DataFrame:
     w, h = F.col("width"), F.col("height")
-    offs = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    offs = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dx, dy) != (0, 0)]
     items = []
     for dx, dy in offs:
         # the part of this tile that its neighbour at (dx, dy) needs
@@ -200,8 +213,7 @@ def _focal_arrow(tiles: DataFrame, how, nx: int, ny: int, scope: str, edge: str,
                  pixel_type: str | None) -> DataFrame:
     meta = [c for c in TILE_COLUMNS if c != "data"]
     if scope == "mosaic":
-        g = halo_groups(tiles, nx, ny)
-        t = tiles.select(*meta).join(g, ["tile_col", "tile_row"])
+        t = halo_groups(tiles, nx, ny)
     elif scope == "tile":
         t = tiles.select(*TILE_COLUMNS).withColumn("pieces", F.array(F.struct(
             F.lit(4).alias("k"), F.col("width").alias("bw"), F.col("height").alias("bh"),
