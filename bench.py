@@ -58,6 +58,9 @@ def main() -> None:
     def q_zonal_tracts():
         return zonal.zonal_stats(A(), tracts, spec)
 
+    def q_zonal_tracts_sql():
+        return zonal.zonal_stats(A(), tracts, spec, engine="sql")
+
     def q_zonal_states():
         return zonal.zonal_stats(A(), states, spec, by=["statefp", "name"])
 
@@ -91,6 +94,7 @@ def main() -> None:
 
     queries = {
         "zonal_stats": q_zonal_tracts,
+        "zonal_stats_sql": q_zonal_tracts_sql,
         "zonal_by_state": q_zonal_states,
         "pixel_count": q_pixel_count,
         "value_counts": q_value_counts,

@@ -343,6 +343,19 @@ def q_zonal_stats(spark, sf):
     return stats_out(zonal.zonal_stats(t, fx.zones_tracts(spark, sf), spec), ["gid", "name"])
 
 
+@query("zonal_stats_sql", _zonal_sql("tracts"))
+def q_zonal_stats_sql(spark, sf):
+    t, spec = tiles_a(spark, sf)
+    return stats_out(zonal.zonal_stats(t, fx.zones_tracts(spark, sf), spec, engine="sql"), ["gid", "name"])
+
+
+@query("zonal_by_state_sql", _zonal_sql("states", "statefp, name"))
+def q_zonal_by_state_sql(spark, sf):
+    t, spec = tiles_a(spark, sf)
+    return stats_out(zonal.zonal_stats(t, fx.zones_states(spark, sf), spec, by=["statefp", "name"], engine="sql"),
+                     ["statefp", "name"])
+
+
 @query("zonal_states", _zonal_sql("states"))
 def q_zonal_states(spark, sf):
     t, spec = tiles_a(spark, sf)

@@ -113,3 +113,22 @@ def test_merge_partials_skips_null_min(spark):
                               "node int, gid long, min double, max double, count long, sum double, sumsq double")
     (r,) = merge_partials(p, ["gid"]).collect()
     assert (r["min"], r["max"], r["count"], r["sum"]) == (2.0, 5.0, 3, 10.0)
+
+
+def test_engines_agree_on_edge_cases(spark):
+    vals = [[9, 9, 1, 2, 5], [9, 9, 3, 4, 6], [5, 6, 7, 8, 1], [1, 1, 1, 1, 2]]
+    t, spec = raster(spark, vals, 2, nodata=9.0)
+    z = zones(spark, [
+        (1, "nodata only", [rect(0.1, 0.1, 1.9, 1.9)]),
+        (2, "sliver", [rect(2.6, 0.1, 2.9, 3.9)]),
+        (3, "outside", [rect(10, 10, 12, 12)]),
+        (4, "a", [rect(1.1, 1.1, 4.9, 3.9)]),
+        (5, "b", [rect(1.1, 1.1, 4.9, 3.9)]),
+        (6, "hole", [rect(0.2, 0.2, 4.8, 3.8), rect(1.3, 1.3, 3.7, 2.7)]),
+    ])
+    for keep_empty in (True, False):
+        for ex in (True, False):
+            a = zonal_stats(t, z, spec, keep_empty=keep_empty, exclude_nodata=ex, engine="sql")
+            b = zonal_stats(t, z, spec, keep_empty=keep_empty, exclude_nodata=ex, engine="numpy")
+            cols = ["gid", "count", "sum", "min", "max", F.round("mean", 9), F.round("stddev", 9)]
+            assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))

@@ -202,11 +202,8 @@ def focal_udf(tiles: DataFrame, func: Callable[[np.ndarray], np.ndarray | float]
 
 
 def _bound_arrow_batches(spark) -> None:
-    # Tile rows are large: keep Arrow batches to tens of MB, not 10k rows.
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "", str(2 ** 31 - 1)):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1024:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    from tilespark.session import bound_arrow_batches
+    bound_arrow_batches(spark)
 
 
 def _focal_arrow(tiles: DataFrame, how, nx: int, ny: int, scope: str, edge: str,
@@ -234,17 +231,8 @@ def _focal_arrow(tiles: DataFrame, how, nx: int, ny: int, scope: str, edge: str,
 
 
 def _ship_by_value(func) -> None:
-    """Pickle this module and the user's function by value, so Python workers
-    need neither installed (on a cluster, ship the package with --py-files)."""
-    import sys
-    from pyspark import cloudpickle
-    for name in {__name__, getattr(func, "__module__", None) if func is not None else None}:
-        mod = sys.modules.get(name) if name else None
-        if mod is not None and name not in ("__main__", "builtins"):
-            try:
-                cloudpickle.register_pickle_by_value(mod)
-            except (ValueError, TypeError):
-                pass
+    from tilespark.session import ship_by_value
+    ship_by_value(__name__, *([func] if func is not None else []))
 
 
 def _clamp_np(v: np.ndarray, pixel_type: str | None) -> np.ndarray:

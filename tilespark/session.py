@@ -61,3 +61,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
             pass
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def ship_by_value(*objs) -> None:
+    """Make Python workers receive this package's functions (and a user's
+    function module) by value, so nothing has to be installed on them.  On a
+    cluster, shipping the package with ``--py-files`` does the same."""
+    import sys
+    from pyspark import cloudpickle
+    names = set()
+    for o in objs:
+        name = o if isinstance(o, str) else getattr(o, "__module__", None)
+        if name:
+            names.add(name)
+    for name in names:
+        mod = sys.modules.get(name)
+        if mod is not None and name not in ("__main__", "builtins"):
+            try:
+                cloudpickle.register_pickle_by_value(mod)
+            except (ValueError, TypeError):
+                pass
+
+
+def bound_arrow_batches(spark) -> None:
+    """Tile rows are large: keep Arrow batches to tens of MB, not 10k rows."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "", str(2 ** 31 - 1)):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1024:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
