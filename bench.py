@@ -2,8 +2,8 @@
 
 Like the reference's runs, the raster is tiled and loaded once (timed as
 ``load_tiles``), then every analytic reads the tile table from Parquet.
-Each query runs once to warm up, then ``BENCH_RUNS`` times; the median is
-reported.  Results go to Spark's ``noop`` sink, so nothing is collected.
+Every query runs once to warm up, then ``BENCH_RUNS`` interleaved rounds;
+the median per query is reported.  Results go to Spark's ``noop`` sink, so nothing is collected.
 
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
      BENCH_RUNS (default 5), BENCH_TILE (default 10)
@@ -109,16 +109,19 @@ def main() -> None:
     only = os.environ.get("BENCH_ONLY")
     if only:
         queries = {k: v for k, v in queries.items() if k in only.split(",")}
-    times: dict[str, float] = {}
-    for name, fn in queries.items():
-        fn().write.format("noop").mode("overwrite").save()  # warm-up
-        ts = []
-        for _ in range(runs):
+    # One warm-up pass over every query (JIT, Python workers), then the timed
+    # runs interleaved, so no query pays for start-up and drift hits all alike.
+    for fn in queries.values():
+        fn().write.format("noop").mode("overwrite").save()
+    samples: dict[str, list[float]] = {k: [] for k in queries}
+    for _ in range(runs):
+        for name, fn in queries.items():
             s = time.time()
             fn().write.format("noop").mode("overwrite").save()
-            ts.append(time.time() - s)
-        times[name] = round(statistics.median(ts), 3)
-        print(f"# {name}: {times[name]}s", file=sys.stderr, flush=True)
+            samples[name].append(time.time() - s)
+    times = {k: round(statistics.median(v), 3) for k, v in samples.items()}
+    for k, v in times.items():
+        print(f"# {k}: {v}s", file=sys.stderr, flush=True)
     n_pixels = spec.width * spec.height
     out = {
         "metric": "sum_of_median_query_seconds",
