@@ -468,12 +468,12 @@ def q_tile_zone_pairs(spark, sf):
 
 
 @query("feature_tiles", _PAIRS_SQL + """
-SELECT gid, name, string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS raster_ids FROM pairs GROUP BY gid, name""")
+SELECT gid, name, CAST((rid - 1) // 10 AS INTEGER) AS tile_row,
+       string_agg(CAST(rid AS VARCHAR), ',' ORDER BY rid) AS raster_ids FROM pairs GROUP BY gid, name, 3""")
 def q_feature_tiles(spark, sf):
     t, spec = tiles_a(spark, sf)
     p = Z.intersect_pairs(t, fx.zones_tracts(spark, sf), spec, keep=["gid", "name"])
-    g = p.groupBy("gid", "name").agg(F.array_sort(F.collect_list("rid")).alias("ids"))
-    return g.select("gid", "name", C.ids_text(F.col("ids")).alias("raster_ids"))
+    return Z.feature_tiles(p, t).select("gid", "name", "tile_row", C.ids_text(F.col("ids")).alias("raster_ids"))
 
 
 _SEMI_NAMES = ["Supplier#000000003", "Supplier#000000007", "Supplier#000000044"]

@@ -73,3 +73,11 @@ def test_stream_reclassify(spark, scratch):
     q.awaitTermination(120)
     (r,) = spark.read.parquet(scratch + "/out").collect()
     assert r["data"] == [1.0, 0.0, 1.0, 0.0]
+
+
+def test_analyze_catalog_table(spark, scratch):
+    t, _ = raster(spark, [[1, 2], [3, 4]], 1)
+    io.write_tiles_bucketed(t, "t_analyze", 2, scratch + "/ta")
+    io.analyze(spark, "t_analyze")
+    stats = spark.sql("DESCRIBE TABLE EXTENDED t_analyze").where("col_name = 'Statistics'").collect()
+    assert stats and "4 rows" in stats[0]["data_type"]

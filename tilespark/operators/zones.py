@@ -208,3 +208,13 @@ def intersect_pairs(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
              .where((F.col("r") < F.col("height")) & (F.col("lc0") < F.col("width")))
              .select(*keep, "rid"))
     return hits.unionByName(inner).distinct()
+
+
+def feature_tiles(pairs: DataFrame, tiles: DataFrame, keep: Sequence[str] = ("gid", "name")) -> DataFrame:
+    """The tile ids each feature needs, as sorted id arrays per (feature,
+    row of tiles).  The reference builds one list per feature; a list per band
+    keeps every id but bounds each group by the tiles in one row, so a zone
+    covering the whole raster never gathers all ids into one task."""
+    keep = list(keep)
+    p = pairs.join(tiles.select("rid", "tile_row"), "rid")
+    return p.groupBy(*keep, "tile_row").agg(F.array_sort(F.collect_list("rid")).alias("ids"))
