@@ -797,3 +797,20 @@ def q_parse_table_name(spark, sf):
     n = t.select("table_name").distinct()
     return n.select("table_name", C.dataset_of(F.col("table_name")).alias("dataset"),
                     C.tilesize_of(F.col("table_name")).alias("tilesize"))
+
+
+@query("run_matrix", "WITH " + O.CELLS_A + ", " + ", ".join(
+    tiles_text_sql("cells_a", t, W, f"t{t}") for t in _MULTI) + ",\nnames AS (" + "\nUNION ALL ".join(
+    f"SELECT DISTINCT 'cells_a_{t}' AS table_name FROM t{t}" for t in _MULTI) + """),
+b AS (SELECT unnest(['states', 'regions', 'counties', 'tracts']) AS bnd)
+SELECT table_name AS raster_table, regexp_extract(table_name, '^(.*)_([^_]+)$', 1) AS dataset,
+       regexp_extract(table_name, '^(.*)_([^_]+)$', 2) AS tilesize,
+       CASE WHEN contains(regexp_extract(table_name, '^(.*)_([^_]+)$', 1), 'nlcd') THEN bnd || '_prj' ELSE bnd END AS boundary_table,
+       CASE WHEN contains(regexp_extract(table_name, '^(.*)_([^_]+)$', 1), 'glc_2000_clipped') THEN 16
+            WHEN contains(regexp_extract(table_name, '^(.*)_([^_]+)$', 1), 'meris_2015_clipped') THEN 100
+            WHEN contains(regexp_extract(table_name, '^(.*)_([^_]+)$', 1), 'nlcd_2006') THEN 21 END AS pixel_value
+FROM names, b""")
+def q_run_matrix(spark, sf):
+    spec = fx.spec_a(spark, sf)
+    t = tile_raster_multi(fx.cells_a(spark, sf), spec, _MULTI, name="cells_a")
+    return P.run_matrix(t.select("table_name").distinct())

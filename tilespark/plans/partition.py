@@ -104,3 +104,23 @@ def first_ids(tiles: DataFrame, lo: int, hi: int) -> DataFrame:
     the ``hi`` smallest rids are ever gathered (a top-k), never all ids."""
     k = tiles.select("rid").orderBy("rid").limit(hi)
     return k.agg(F.slice(F.array_sort(F.collect_list("rid")), lo, hi - lo + 1).alias("ids"))
+
+
+# The boundary layers of the reference's zonal runs.
+BOUNDARIES = ["states", "regions", "counties", "tracts"]
+
+
+def run_matrix(tables: DataFrame, boundaries=BOUNDARIES, projected_marker: str = "nlcd") -> DataFrame:
+    """Every raster table (``table_name`` column, ``<dataset>_<tilesize>``)
+    paired with every boundary layer, with the ``_prj`` layer for datasets
+    that need the projected copy, and the dataset's target class (F13-F15).
+    The boundary list is a literal array exploded per row: no join at all."""
+    from tilespark.functions.coords import DATASET_CLASSES, class_of, dataset_of, tilesize_of
+    ds = dataset_of(F.col("table_name"))
+    t = tables.select("table_name", ds.alias("dataset"), tilesize_of(F.col("table_name")).alias("tilesize"),
+                      F.explode(F.array(*[F.lit(b) for b in boundaries])).alias("_b"))
+    return t.select(
+        F.col("table_name").alias("raster_table"), "dataset", "tilesize",
+        F.when(F.col("dataset").contains(projected_marker), F.concat(F.col("_b"), F.lit("_prj")))
+        .otherwise(F.col("_b")).alias("boundary_table"),
+        class_of(F.col("dataset"), DATASET_CLASSES).alias("pixel_value"))
