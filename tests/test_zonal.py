@@ -132,3 +132,11 @@ def test_engines_agree_on_edge_cases(spark):
             b = zonal_stats(t, z, spec, keep_empty=keep_empty, exclude_nodata=ex, engine="numpy")
             cols = ["gid", "count", "sum", "min", "max", F.round("mean", 9), F.round("stddev", 9)]
             assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
+
+
+def test_unequal_srid_is_an_error(spark):
+    import pytest
+    t, spec = raster(spark, VALS, 4)
+    z = zones(spark, [(1, "a", [rect(1, 1, 3, 3)])]).withColumn("srid", F.lit(3857))
+    with pytest.raises(Exception, match="SRID"):
+        zonal_stats(t, z, spec.with_(srid=4326)).collect()

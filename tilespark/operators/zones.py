@@ -30,6 +30,18 @@ def attribute_columns(zones: DataFrame) -> list[str]:
     return [c for c in zones.columns if c not in GEOMETRY_COLUMNS]
 
 
+def check_srid(zones: DataFrame, spec: RasterSpec) -> DataFrame:
+    """Zones and raster must share a coordinate system: a zone with another
+    SRID fails the query (checked lazily, row by row, no extra job)."""
+    if "srid" not in zones.columns or spec.srid is None:
+        return zones
+    bad = F.col("srid").isNotNull() & (F.col("srid") != F.lit(spec.srid))
+    msg = F.concat(F.lit("zone SRID "), F.col("srid").cast("string"),
+                   F.lit(f" differs from the raster SRID {spec.srid}"))
+    return zones.withColumn("rings", F.when(bad, F.raise_error(msg).cast(zones.schema["rings"].dataType))
+                            .otherwise(F.col("rings")))
+
+
 def zone_edges(zones: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     """EDGE: one row per ring segment ``(x1, y1) -> (x2, y2)``."""
     keep = list(keep) if keep is not None else attribute_columns(zones)
@@ -77,7 +89,7 @@ def zone_spans(zones: DataFrame, spec: RasterSpec, keep: Sequence[str] | None =
     raster are produced.  One group per (zone, pixel row): bounded by the
     number of ring edges crossing one row."""
     keep = list(keep) if keep is not None else attribute_columns(zones)
-    x = edge_crossings(zone_edges(zones, keep), spec, keep)
+    x = edge_crossings(zone_edges(check_srid(zones, spec), keep), spec, keep)
     g = x.groupBy(*keep, "py").agg(F.array_sort(F.collect_list("xc")).alias("xs"))
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1),
                         lambda k: F.struct(F.col("xs")[k * 2].alias("x_from"), F.col("xs")[k * 2 + 1].alias("x_to")))
@@ -167,7 +179,7 @@ def edge_tile_hits(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
     covers a short run of tile columns, so candidates stay linear in the edge
     length.  Candidates are refined by the exact segment/rectangle test."""
     tw, th = spec.tile_w, spec.tile_h
-    e = zone_edges(zones, keep)
+    e = zone_edges(check_srid(zones, spec), keep)
     X1 = (F.col("x1") - F.lit(spec.ulx)) / F.lit(spec.scale_x)
     X2 = (F.col("x2") - F.lit(spec.ulx)) / F.lit(spec.scale_x)
     Y1 = (F.col("y1") - F.lit(spec.uly)) / F.lit(spec.scale_y)
