@@ -34,10 +34,12 @@ def read_zones(spark: SparkSession, path: str) -> DataFrame:
 def write_tiles(tiles: DataFrame, path: str, mode: str = "overwrite",
                 partitions: int | None = None) -> None:
     """Replace a tile table.  Range-partitioned and sorted by rid so every
-    file covers a narrow rid range and rid filters prune files and row groups."""
-    n = partitions or tiles.sparkSession.sparkContext.defaultParallelism
-    (tiles.repartitionByRange(n, "rid").sortWithinPartitions("rid")
-     .write.mode(mode).parquet(path))
+    file covers a narrow rid range and rid filters prune files and row groups.
+    Without ``partitions`` the range shuffle uses the session's shuffle
+    partitions and AQE coalesces them to the advisory size, so file sizes
+    follow the data instead of the number of cores."""
+    r = tiles.repartitionByRange(partitions, "rid") if partitions else tiles.repartitionByRange("rid")
+    r.sortWithinPartitions("rid").write.mode(mode).parquet(path)
 
 
 def write_tiles_bucketed(tiles: DataFrame, table_name: str, buckets: int, path: str | None = None,
