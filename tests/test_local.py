@@ -59,3 +59,14 @@ def test_pixel_count_plan_has_no_generate(spark):
     t, _ = raster(spark, [[1, 2]], 2)
     plan = local.pixel_count(t, 2)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_value_counts_on_bucketed_tiles_needs_no_shuffle(spark, scratch):
+    from tilespark.sources import io
+    import catalog
+    from tests.conftest import SF
+    t, _ = catalog.tiles_a(spark, SF)
+    tb = io.write_tiles_bucketed(t, "t_vc", 4, scratch + "/vc")
+    vc = local.value_counts(tb)
+    assert "Exchange" not in vc._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, vc.collect())) == sorted(map(tuple, local.value_counts(t).collect()))

@@ -40,11 +40,14 @@ def exclude_nodata(tiles: DataFrame) -> DataFrame:
 def value_counts(tiles: DataFrame, exclude_nodata: bool = True) -> DataFrame:
     """A3: ``(rid, value, count)`` histogram of every tile; NoData excluded.
     A tile lives in one task, so the partial aggregate already holds the final
-    counts and the shuffle carries only (rid, value) rows."""
+    counts.  Grouping also on the tile key lets a table bucketed on
+    ``(tile_col, tile_row)`` satisfy the distribution: then nothing is
+    shuffled; otherwise only (rid, value, count) rows are."""
     nod = F.col("nodata")
     arr = F.filter("data", lambda x: nod.isNull() | (x != nod)) if exclude_nodata else F.col("data")
-    c = tiles.select("rid", F.explode(arr).alias("value"))
-    return c.groupBy("rid", "value").agg(F.count(F.lit(1)).alias("count"))
+    c = tiles.select("tile_col", "tile_row", "rid", F.explode(arr).alias("value"))
+    g = c.groupBy("tile_col", "tile_row", "rid", "value").agg(F.count(F.lit(1)).alias("count"))
+    return g.select("rid", "value", "count")
 
 
 def pixel_count(tiles: DataFrame, value: float) -> DataFrame:
