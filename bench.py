@@ -6,7 +6,8 @@ Every query runs once to warm up, then ``BENCH_RUNS`` interleaved rounds;
 the median per query is reported.  Results go to Spark's ``noop`` sink, so nothing is collected.
 
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-     BENCH_RUNS (default 5), BENCH_TILE (default 10)
+     BENCH_RUNS (default 5), BENCH_TILE (default 10),
+     BENCH_LAYOUT (bucketed | rid-range, default bucketed), BENCH_BUCKETS (default 2*cpus)
 prints one JSON line.
 """
 
@@ -40,17 +41,29 @@ def main() -> None:
     spark = get_spark(f"local[{cpus}]", cpus)
     scratch = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilespark-bench-")
 
+    bucketed = os.environ.get("BENCH_LAYOUT", "bucketed") == "bucketed"
+    buckets = int(os.environ.get("BENCH_BUCKETS", str(2 * cpus)))
     spec = fx.spec_a(spark, sf, tile)
     path_a = f"{scratch}/cells_a_{tile}"
-    t0 = time.time()
-    io.write_tiles(tile_raster(fx.cells_a(spark, sf), spec), path_a)
-    load_s = time.time() - t0
-    spec_b = fx.spec_b(spark, sf, tile)
     path_b = f"{scratch}/cells_b_{tile}"
-    io.write_tiles(tile_raster(fx.cells_b(spark, sf), spec_b), path_b)
+    spec_b = fx.spec_b(spark, sf, tile)
+    t0 = time.time()
+    if bucketed:
+        # tile tables bucketed on the tile key: tile-key joins and per-tile
+        # aggregates need no shuffle of the tile side
+        io.write_tiles_bucketed(tile_raster(fx.cells_a(spark, sf), spec), "bench_a", buckets, path_a)
+        load_s = time.time() - t0
+        io.write_tiles_bucketed(tile_raster(fx.cells_b(spark, sf), spec_b), "bench_b", buckets, path_b)
+    else:
+        io.write_tiles(tile_raster(fx.cells_a(spark, sf), spec), path_a)
+        load_s = time.time() - t0
+        io.write_tiles(tile_raster(fx.cells_b(spark, sf), spec_b), path_b)
 
     def A():
-        return io.read_tiles(spark, path_a)
+        return spark.table("bench_a") if bucketed else io.read_tiles(spark, path_a)
+
+    def B():
+        return spark.table("bench_b") if bucketed else io.read_tiles(spark, path_b)
 
     tracts = fx.zones_tracts(spark, sf)
     states = fx.zones_states(spark, sf)
@@ -84,7 +97,7 @@ def main() -> None:
         return algebra.map_algebra(a, a, "[rast1]*[rast2]", "8BUI")
 
     def q_raster_multiply():
-        return algebra.map_algebra(A(), io.read_tiles(spark, path_b), lambda x, y: x * y, "8BUI")
+        return algebra.map_algebra(A(), B(), lambda x, y: x * y, "8BUI")
 
     def q_partition():
         return P.partition_raster(A(), 4)
@@ -131,6 +144,7 @@ def main() -> None:
         "load_tiles_sec": round(load_s, 3),
         "pixels": n_pixels,
         "tile": tile,
+        "layout": "bucketed" if bucketed else "rid-range",
         "cpus": cpus,
         "runs": runs,
         "sf": os.path.basename(sf.rstrip("/")).replace("sf", ""),

@@ -48,7 +48,10 @@ def write_tiles_bucketed(tiles: DataFrame, table_name: str, buckets: int, path:
     tile key.  Joins on ``(tile_col, tile_row)`` (zonal pieces, map algebra
     between two such tables, halo strips) then shuffle only the small side,
     or nothing when both sides share the bucketing.  Returns the table."""
-    w = tiles.write.mode(mode).bucketBy(buckets, "tile_col", "tile_row").sortBy("tile_col", "tile_row")
+    # hash-partition on the bucket key first: each task then holds exactly one
+    # bucket and writes one file, instead of one file per bucket per task
+    t = tiles.repartition(buckets, "tile_col", "tile_row")
+    w = t.write.mode(mode).bucketBy(buckets, "tile_col", "tile_row").sortBy("tile_col", "tile_row")
     if path:
         w = w.option("path", path)
     w.format("parquet").saveAsTable(table_name)
