@@ -557,7 +557,9 @@ def _focal_sql(scope: str, edge: str) -> str:
         same = "TRUE"
         full = f"c.px >= 1 AND c.px < {W} - 1 AND c.py >= 1 AND c.py < (SELECT max(py) FROM cells_a)"
     mean = "avg(n.v) FILTER (WHERE n.v <> 255)"
-    val = f"COALESCE(CAST(trunc(LEAST(GREATEST({mean}, {O.D(0)}), {O.D(255)})) AS DOUBLE), {O.D(255)})"
+    # a window without any counted cell is NoData
+    val = (f"CASE WHEN {mean} IS NULL THEN {O.D(255)} "
+           f"ELSE CAST(trunc(LEAST(GREATEST({mean}, {O.D(0)}), {O.D(255)})) AS DOUBLE) END")
     if edge == "nodata":
         val = f"CASE WHEN {full} THEN {val} ELSE {O.D(255)} END"
     return f"""WITH {O.CELLS_A}

@@ -97,3 +97,12 @@ def test_bucketed_tiles_avoid_shuffles(spark, scratch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_all_nodata_window_is_nodata(spark):
+    vals = [[255, 255, 255, 1], [255, 255, 255, 2], [255, 255, 255, 3], [4, 5, 6, 7]]
+    t, _ = raster(spark, vals, 4, nodata=255.0)
+    for engine in ("numpy", "sql"):
+        c = _cells(focal(t, "mean", 1, 1, scope="tile", engine=engine))
+        assert c[(1, 1)] == 255.0, engine          # every window cell is NoData
+        assert c[(2, 2)] == 4.0, engine            # (1+2+3+5+6+7)/6 = 4 (counted cells only)

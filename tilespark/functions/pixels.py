@@ -13,17 +13,23 @@ from tilespark.model import PIXEL_RANGES
 CellExpr = Callable[[Column, Column], Column]
 
 
-def clamp_to_type(v: Column, pixel_type: str | None) -> Column:
+def clamp_to_type(v: Column, pixel_type: str | None, keep_null: bool = True) -> Column:
     """force a value into a pixel type: clamp to its range, and for
-    integer types truncate toward zero (as a C cast does)."""
+    integer types truncate toward zero (as a C cast does).
+
+    ``greatest``/``least`` skip nulls, so a null (no value) would come out as
+    the range bound; with ``keep_null`` it stays null.  Pass
+    ``keep_null=False`` only for inputs that cannot be null (saves evaluating
+    ``v`` twice inside lambdas)."""
     if pixel_type == "32BF":
         return v.cast("float").cast("double")
     rng = PIXEL_RANGES.get(pixel_type) if pixel_type else None
     if rng is None:
         return v
     lo, hi = rng
-    # clamp, then truncate toward zero by a cast (one evaluation of ``v``)
-    return F.least(F.greatest(v, F.lit(float(lo))), F.lit(float(hi))).cast("long").cast("double")
+    # clamp, then truncate toward zero by a cast
+    c = F.least(F.greatest(v, F.lit(float(lo))), F.lit(float(hi))).cast("long").cast("double")
+    return F.when(v.isNotNull(), c) if keep_null else c
 
 
 def clamp_to_type_col(v: Column, pixel_type: Column) -> Column:
@@ -34,7 +40,8 @@ def clamp_to_type_col(v: Column, pixel_type: Column) -> Column:
     lohi = F.element_at(ranges, pixel_type)
     as_int = F.least(F.greatest(v, lohi["lo"]), lohi["hi"]).cast("long").cast("double")
     as_float = F.when(pixel_type == "32BF", v.cast("float").cast("double")).otherwise(v)
-    return F.when(lohi.isNull(), as_float).otherwise(as_int)
+    # null stays null (greatest/least would turn it into a bound)
+    return F.when(v.isNull(), F.lit(None).cast("double")).when(lohi.isNull(), as_float).otherwise(as_int)
 
 
 def zip_cells(a: str, b: str, expr: str | CellExpr) -> Column:

@@ -93,7 +93,7 @@ def reclassify(tiles: DataFrame, rules: Sequence[Rule], pixel_type: str = "8BUI"
     nd = F.lit(float(nodata))
     # data first: it reads the input's NoData before the new one is declared
     out = tiles.withColumn("data", F.transform("data", lambda x: clamp_to_type(
-        reclass_expression(x, rules, nd, F.col("nodata")), pixel_type)))
+        reclass_expression(x, rules, nd, F.col("nodata")), pixel_type, keep_null=False)))
     return out.withColumn("pixel_type", F.lit(pixel_type)).withColumn("nodata", nd)
 
 
