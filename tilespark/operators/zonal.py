@@ -164,7 +164,9 @@ def _zonal_numpy(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, by: list[
         parts = parts.unionByName(graze)
     extra = [c for c in by if c != "gid"]
     if extra:
-        parts = parts.join(zones.select("gid", *extra), "gid")
+        # one attribute row per zone id (a zone stored as several rows must not
+        # multiply its moments)
+        parts = parts.join(zones.select("gid", *extra).distinct(), "gid")
     out = merge_moments(parts, by)
     return out if keep_empty else out.where(F.col("count") > 0)
 
