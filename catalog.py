@@ -147,11 +147,10 @@ def q_tiles_filename(spark, sf):
     c = o.select((F.col("o_orderkey") % W).cast("int").alias("px"),
                  F.floor(F.col("o_orderkey") / W).cast("int").alias("py"), F.lit(0.0).alias("v"),
                  "filename")
-    fname = c.select("filename").limit(1)  # one file per table here; a column per tile below
+    # the source file of a tile's pixels (one file per table here)
     t = c.withColumn("tile_col", F.floor(F.col("px") / 10).cast("int")).withColumn(
         "tile_row", F.floor(F.col("py") / 10).cast("int")).groupBy("tile_col", "tile_row").agg(
-        F.first("filename").alias("filename"), F.count(F.lit(1)).alias("n"))
-    del fname
+        F.min("filename").alias("filename"), F.count(F.lit(1)).alias("n"))
     t = assign_rid(t, spec.ntx)
     return t.select("rid", "filename", "n")
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.model import TILE_COLUMNS, RasterSpec
-from tilespark.operators.zones import attribute_columns, zone_spans, span_pieces
+from tilespark.operators.zones import span_pieces, zone_spans
 from tilespark.sources.tiling import tile_raster, tiles_to_cells
 
 

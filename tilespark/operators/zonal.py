@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tilespark.model import RasterSpec
 from tilespark.operators.zones import (
-    attribute_columns, edge_tile_hits, piece_values, span_pieces, zone_spans,
+    edge_tile_hits, piece_values, span_pieces, zone_spans,
 )
 
 STAT_COLUMNS = ["count", "sum", "mean", "stddev", "min", "max"]
