@@ -102,8 +102,13 @@ def test_merged_partials_equal_single_pass(spark):
 
 def test_zonal_plan_has_no_cartesian(spark):
     t, spec = catalog.tiles_a(spark, SF)
+    from tilespark.operators.algebra import map_algebra
+    b, _ = catalog.tiles_b(spark, SF)
     for df in (zonal_stats(t, fx.zones_tracts(spark, SF), spec),
-               Z.intersect_pairs(t, fx.zones_tracts(spark, SF), spec, ["gid"])):
+               zonal_stats(t, fx.zones_tracts(spark, SF), spec, engine="sql"),
+               Z.intersect_pairs(t, fx.zones_tracts(spark, SF), spec, ["gid"]),
+               Z.cells_in_zones(t, fx.zones_states(spark, SF), spec, ["gid"]),
+               map_algebra(t, b, lambda x, y: x * y)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
