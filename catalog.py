@@ -527,8 +527,8 @@ def q_raster_expr(spark, sf):
        + _algebra_sql("cells_a", "cells_b", "a.v + b.v", "255", None, O.D(255)))
 def q_raster_unlike(spark, sf):
     a, spec = tiles_a(spark, sf, 10)
-    b, _ = tiles_b(spark, sf, 25)
-    m = algebra.map_algebra_cells(a, b, lambda x, y: x + y, spec, 255.0, None, "8BUI")
+    b, spec_b = tiles_b(spark, sf, 25)
+    m = algebra.map_algebra_cells(a, b, lambda x, y: x + y, spec, 255.0, None, "8BUI", spec_b=spec_b)
     return tiles_to_cells(m, keep=()).select("px", "py", "v")
 
 

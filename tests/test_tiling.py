@@ -64,3 +64,19 @@ def test_validate_detects_bad_tiles(spark):
     res = {r["check"]: r["ok"] for r in validate_tiles(bad).collect()}
     assert not res["srid"] and not res["same_alignment"] and not res["nodata_values"]
     assert res["scale_x"] and res["blocksize_x"]
+
+
+def test_retile_equals_direct_tiling(spark):
+    from tilespark.sources.tiling import retile
+    vals = [[(x * 7 + y * 13) % 17 for x in range(23)] for y in range(19)]
+    t4, spec = raster(spark, vals, 4)
+    t7, spec7 = raster(spark, vals, 7)
+    got = sorted(map(tuple, retile(t4, spec7).select("rid", "width", "height", "data").collect()))
+    exp = sorted(map(tuple, t7.select("rid", "width", "height", "data").collect()))
+    assert got == exp
+    # a window with an offset: destination pixel (x, y) = source (x + 3, y + 2)
+    win = grid_spec(15, 11, 5)
+    sub = [row[3:18] for row in vals[2:13]]
+    t5, _ = raster(spark, sub, 5)
+    got = sorted(map(tuple, retile(t4, win, dx=3, dy=2).select("rid", "data").collect()))
+    assert got == sorted(map(tuple, t5.select("rid", "data").collect()))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tilespark.functions.arrays import let
 from tilespark.functions.pixels import CellExpr, clamp_to_type, zip_cells
 from tilespark.model import TILE_COLUMNS, RasterSpec
-from tilespark.sources.tiling import tile_raster, tiles_to_cells
+from tilespark.sources.tiling import retile
 
 
 def _pick(df: DataFrame, prefix: str) -> DataFrame:
@@ -74,22 +74,16 @@ def _self_algebra(a: DataFrame, expr, pixel_type: str, nodata: float | None) ->
 
 def map_algebra_cells(a: DataFrame, b: DataFrame, expr: str | CellExpr, spec: RasterSpec,
                       nodata_a: float | None, nodata_b: float | None,
-                      pixel_type: str = "8BUI") -> DataFrame:
-    """J3 for unlike tilings: cells joined on ``(px, py)``, then re-tiled on
-    ``spec`` (same grid origin and scale assumed)."""
-    ca = tiles_to_cells(a, keep=()).withColumnRenamed("v", "_a")
-    cb = tiles_to_cells(b, keep=()).withColumnRenamed("v", "_b")
-    j = ca.join(cb, ["px", "py"])
-    j = j.withColumns({"_aa": F.array("_a"), "_bb": F.array("_b")})
-    r = zip_cells("_aa", "_bb", expr)[0]
+                      pixel_type: str = "8BUI", spec_b: RasterSpec | None = None) -> DataFrame:
+    """J3 for unlike tilings (same grid origin and pixel size): ``b`` is
+    re-cut onto ``a``'s tiling by row slices (``retile``), then the aligned
+    tile join applies.  ``spec_b`` gives b's raster size (default: a's)."""
+    sb = spec_b or spec
+    b2 = retile(b, spec.with_(width=sb.width, height=sb.height, nodata=nodata_b))
+    b2 = b2.withColumn("nodata", F.lit(nodata_b).cast("double"))
+    a2 = a.withColumn("nodata", F.lit(nodata_a).cast("double"))
     nd = nodata_a if nodata_a is not None else nodata_b
-    bad = F.lit(False)
-    if nodata_a is not None:
-        bad = bad | (F.col("_a") == F.lit(float(nodata_a)))
-    if nodata_b is not None:
-        bad = bad | (F.col("_b") == F.lit(float(nodata_b)))
-    v = F.when(bad, F.lit(nd).cast("double")).otherwise(clamp_to_type(r, pixel_type))
-    return tile_raster(j.select("px", "py", v.alias("v")), spec.with_(pixel_type=pixel_type, nodata=nd))
+    return map_algebra(a2, b2, expr, pixel_type, nodata=nd)
 
 
 def tile_pairs(a: DataFrame, b: DataFrame, spec_a: RasterSpec, spec_b: RasterSpec) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tilespark.model import TILE_COLUMNS, RasterSpec
 from tilespark.operators.zones import span_pieces, zone_spans
-from tilespark.sources.tiling import tile_raster, tiles_to_cells
+from tilespark.sources.tiling import retile
 
 
 def layer_extent(zones: DataFrame) -> DataFrame:
@@ -50,10 +50,8 @@ def clip_to_extent(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, nodata:
                      nodata=float(nodata), tile_w=tile or spec.tile_w, tile_h=tile or spec.tile_h)
     t = tiles.where(F.col("tile_col").between(cx0 // spec.tile_w, max(cx1 - 1, 0) // spec.tile_w)
                     & F.col("tile_row").between(ry0 // spec.tile_h, max(ry1 - 1, 0) // spec.tile_h))
-    cells = tiles_to_cells(t, keep=()).where(
-        F.col("px").between(cx0, cx1 - 1) & F.col("py").between(ry0, ry1 - 1))
-    cells = cells.select((F.col("px") - cx0).alias("px"), (F.col("py") - ry0).alias("py"), "v")
-    return tile_raster(cells, out), out
+    # row slices of the window, re-cut on the new grid (no per-pixel rows)
+    return retile(t, out, dx=cx0, dy=ry0), out
 
 
 def clip_cells(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, keep=None) -> DataFrame:

@@ -128,3 +128,38 @@ def tiles_to_cells(tiles: DataFrame, keep: Sequence[str] = ("rid",)) -> DataFram
                     (F.col("px0") + F.col("pos") % F.col("width")).cast("int").alias("px"),
                     (F.col("py0") + F.floor(F.col("pos") / F.col("width"))).cast("int").alias("py"),
                     "v")
+
+
+def retile(tiles: DataFrame, dst: RasterSpec, dx: int = 0, dy: int = 0,
+           filename: str | None = None) -> DataFrame:
+    """Cut tiles onto another tiling: source pixel ``(px, py)`` becomes
+    destination pixel ``(px - dx, py - dy)``; pixels outside ``dst`` are
+    dropped.  Every source row is cut at the destination tile borders and the
+    row slices are shuffled on the destination tile key (``tile_h`` slices per
+    tile from each source tile), never single pixels.  The destination must be
+    fully covered by the source tiles."""
+    tw, th = dst.tile_w, dst.tile_h
+    t = tiles.select("px0", "py0", "width", "height", "data")
+    r_lo = F.greatest(F.lit(0), F.lit(dy) - F.col("py0"))
+    r_hi = F.least(F.col("height"), F.lit(dst.height + dy) - F.col("py0"))
+    c_lo = F.greatest(F.lit(0), F.lit(dx) - F.col("px0"))
+    c_hi = F.least(F.col("width"), F.lit(dst.width + dx) - F.col("px0"))
+    t = t.withColumns({"_r0": r_lo, "_r1": r_hi, "_c0": c_lo, "_c1": c_hi}).where(
+        (F.col("_r0") < F.col("_r1")) & (F.col("_c0") < F.col("_c1")))
+    t = t.withColumn("r", F.explode(F.sequence("_r0", F.col("_r1") - 1)))
+    t = t.withColumns({"y": F.col("py0") + F.col("r") - dy,
+                       "x0": F.col("px0") + F.col("_c0") - dx, "x1": F.col("px0") + F.col("_c1") - dx})
+    t = t.withColumn("tile_col", F.explode(F.sequence(F.floor(F.col("x0") / tw).cast("int"),
+                                                      F.floor((F.col("x1") - 1) / tw).cast("int"))))
+    a = F.greatest(F.col("x0"), F.col("tile_col") * tw)
+    b = F.least(F.col("x1"), (F.col("tile_col") + 1) * tw)
+    pieces = t.select(
+        "tile_col", F.floor(F.col("y") / th).cast("int").alias("tile_row"),
+        F.struct(F.col("y").alias("y"), a.alias("a"),
+                 F.slice("data", F.col("r") * F.col("width") + (a + dx - F.col("px0")) + 1, b - a).alias("v")
+                 ).alias("p"))
+    g = pieces.groupBy("tile_col", "tile_row").agg(F.collect_list("p").alias("_p"))
+    out = _finish_tiles(g, dst, F.lit(tw), F.lit(th), filename)
+    # pieces sorted by (row, first column) concatenate into a row-major block
+    out = out.withColumn("data", F.flatten(F.transform(F.array_sort("_p"), lambda q: q["v"])).cast("array<double>"))
+    return out.select(*TILE_COLUMNS)
