@@ -90,15 +90,25 @@ def tile_raster_multi(cells: DataFrame, spec: RasterSpec, sizes: Sequence[int],
                       name: str = "raster") -> DataFrame:
     """Tile one raster at several square sizes in one job.
 
-    Adds ``tile_size`` and ``table_name`` (``<name>_<size>``).  One shuffle
-    keyed by ``(tile_size, tile)``; output is len(sizes) copies of the raster,
-    as the reference's per-size tables are.
+    Adds ``tile_size`` and ``table_name`` (``<name>_<size>``).  The cells are
+    tiled once, at the smallest size, and that tiling is checkpointed into the
+    shared ``spark.checkpoint.dir`` (one pixel-level shuffle, lineage cut);
+    every size is then re-cut from it by row slices (``retile``).  Output is
+    len(sizes) copies of the raster, as the reference's per-size tables are.
     """
-    c = cells.select("px", "py", F.col("v").cast("double").alias("v")).where(
-        (F.col("px") >= 0) & (F.col("px") < spec.width) & (F.col("py") >= 0) & (F.col("py") < spec.height))
-    c = c.withColumn("tile_size", F.explode(F.array(*[F.lit(int(s)) for s in sizes])))
-    t = F.col("tile_size")
-    out = _cells_to_tiles(c, spec, t, t, None, ["tile_size"])
+    from tilespark.session import checkpoint_dir
+    sizes = [int(x) for x in sizes]
+    base = tile_raster(cells, spec.with_tiles(min(sizes)))
+    if len(set(sizes)) > 1:
+        checkpoint_dir(cells.sparkSession)
+        base = base.checkpoint(eager=True)
+    parts = []
+    for s in sizes:
+        t = base if s == min(sizes) else retile(base, spec.with_tiles(s))
+        parts.append(t.select(F.lit(s).alias("tile_size"), *TILE_COLUMNS))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out.withColumn("table_name", F.concat_ws("_", F.lit(name), F.col("tile_size").cast("string")))
 
 
