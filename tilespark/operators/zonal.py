@@ -166,7 +166,7 @@ def _zonal_numpy(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, by: list[
     if extra:
         # one attribute row per zone id (a zone stored as several rows must not
         # multiply its moments)
-        parts = parts.join(zones.select("gid", *extra).distinct(), "gid")
+        parts = parts.join(zones.select("gid", *extra).dropDuplicates(["gid"]), "gid")
     out = merge_moments(parts, by)
     return out if keep_empty else out.where(F.col("count") > 0)
 
