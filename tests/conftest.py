@@ -20,6 +20,7 @@ def spark():
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tilespark-test-ckpt-"))
+         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="tilespark-test-wh-"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     yield s
