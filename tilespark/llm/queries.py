@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilespark.llm import language_id
+from tilespark.llm.common import crc_mod
 from tilespark.llm.exact_dedup import exact_dedup
 from tilespark.llm.source_mix import mix_sources
 from tilespark.llm.url_filter import RHO_LEAST, RHO_MOST, RULES, TWO_LABEL_SUFFIXES, url_filter
@@ -131,3 +133,14 @@ FROM r JOIN b ON r.source IS NOT DISTINCT FROM b.source"""
 @query("op6_source_mix", OP6_SQL)
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------ op9
+
+@query("op9_language_id")
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 4) == 2
+    model = language_id.train(docs, ~held_out)
+    return (language_id.identify(docs.select("doc_id", "text"), model)
+            .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
