@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm import language_id
+from tilespark.llm import language_id, simhash
 from tilespark.llm.common import crc_mod
 from tilespark.llm.exact_dedup import exact_dedup
 from tilespark.llm.source_mix import mix_sources
@@ -144,3 +144,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs, ~held_out)
     return (language_id.identify(docs.select("doc_id", "text"), model)
             .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
+
+
+# ------------------------------------------------------------ op8
+
+@query("op8_simhash")
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
+    return groups.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
