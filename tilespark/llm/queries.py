@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm import language_id, simhash
+from tilespark.llm import language_id, simhash, warc_zip
 from tilespark.llm.common import crc_mod
 from tilespark.llm.exact_dedup import exact_dedup
 from tilespark.llm.source_mix import mix_sources
@@ -152,3 +152,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, max_bits=2)
     return groups.select("doc_id", simhash.fingerprint_text(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+# ------------------------------------------------------------ op10
+
+OP10_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT payload_bytes, sha256(h) payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) first_id FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN first_id IS NOT NULL AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)"""
+
+
+@query("op10_warc", OP10_SQL)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    kind = pages.schema["page_id"].dataType
+    back = warc_zip.read_packages(warc_zip.write_packages(pages), payloads=False)
+    return back.select(F.col("record_id").try_cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                       F.col("refers_to").try_cast(kind).alias("refers_to"))
