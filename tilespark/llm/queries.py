@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tilespark.llm import language_id, simhash, warc_zip
 from tilespark.llm.common import crc_mod
 from tilespark.llm.exact_dedup import exact_dedup
+from tilespark.llm.line_dedup import line_dedup
 from tilespark.llm.source_mix import mix_sources
 from tilespark.llm.url_filter import RHO_LEAST, RHO_MOST, RULES, TWO_LABEL_SUFFIXES, url_filter
 
@@ -173,3 +174,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc_zip.read_packages(warc_zip.write_packages(pages), payloads=False)
     return back.select(F.col("record_id").try_cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
                        F.col("refers_to").try_cast(kind).alias("refers_to"))
+
+
+# ------------------------------------------------------------ op1
+
+RUN = 3
+OP1_SQL = f"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) a FROM documents),
+w AS (SELECT doc_id, s, list_transform(a[s:s + {RUN - 1}], lambda x: translate(trim(x), {AZ})) k
+  FROM d, unnest(range(1, len(a) - {RUN - 2})) AS r(s)),
+f AS (SELECT k, min((doc_id, s)) first_place FROM w GROUP BY k HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, s + o AS i FROM w JOIN f USING (k), unnest(range({RUN})) AS r(o) WHERE (doc_id, s) > first_place),
+g AS (SELECT doc_id, count(*) n_removed, count(*) FILTER (i - 1 IS DISTINCT FROM before) n_spans, list(i) gone
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) before FROM c) GROUP BY doc_id)
+SELECT doc_id, len(a)::BIGINT n_lines, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans,
+  sha256(array_to_string(CASE WHEN gone IS NULL THEN a ELSE
+    list_filter(a, lambda x, i: NOT list_contains(gone, i)) END, chr(10))) kept_sha256
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+@query("op1_line_dedup", OP1_SQL)
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup(table(spark, sf_dir, "documents"), run=RUN)
+    return done.select("doc_id", "n_lines", "n_removed", "n_spans",
+                       F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
