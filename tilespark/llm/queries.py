@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm import language_id, simhash, warc_zip
+from tilespark.llm import decontaminate, language_id, simhash, warc_zip
 from tilespark.llm.common import crc_mod
 from tilespark.llm.exact_dedup import exact_dedup
 from tilespark.llm.line_dedup import line_dedup
@@ -198,3 +198,31 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(table(spark, sf_dir, "documents"), run=RUN)
     return done.select("doc_id", "n_lines", "n_removed", "n_spans",
                        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+# ------------------------------------------------------------ op3
+
+OP3_SQL = rf"""
+WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM benchmark),
+p AS (SELECT DISTINCT item_id, w[s:s + least(len(w), {decontaminate.NGRAM}) - 1] k
+  FROM b, unnest(range(1, greatest(len(w) - {decontaminate.NGRAM - 2}, 2))) AS r(s) WHERE len(w) > 0),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w FROM documents),
+n AS (SELECT DISTINCT len(k) n FROM p),
+h AS (SELECT doc_id, s, n, w[s:s + n - 1] k FROM d, n, unnest(range(1, len(w) - n + 2)) AS r(s)),
+m AS (SELECT doc_id, s, n, item_id FROM h JOIN p USING (k)),
+c AS (SELECT doc_id, count(DISTINCT s + o) n_hit FROM m, unnest(range(n)) AS r(o) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) n_items, string_agg(x, ',' ORDER BY x) items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR x FROM m) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT n_words, coalesce(n_hit, 0)::BIGINT n_hit, coalesce(n_items, 0)::BIGINT n_items,
+  sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)"""
+
+
+@query("op3_decontaminate", OP3_SQL)
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return (hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+            .withColumn("contaminated", F.col("n_hit") > 0))
