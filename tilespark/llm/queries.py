@@ -14,6 +14,7 @@ from tilespark.llm.common import crc_mod
 from tilespark.llm.exact_dedup import exact_dedup
 from tilespark.llm.line_dedup import line_dedup
 from tilespark.llm.source_mix import mix_sources
+from tilespark.llm.substring_dedup import substring_dedup
 from tilespark.llm.url_filter import RHO_LEAST, RHO_MOST, RULES, TWO_LABEL_SUFFIXES, url_filter
 
 QUERIES: dict = {}
@@ -226,3 +227,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
             .withColumn("contaminated", F.col("n_hit") > 0))
+
+
+# ------------------------------------------------------------ op4
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return done.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
