@@ -23,7 +23,6 @@ context is its bytes.  Two equal strings are in runs with the same anchor hash.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,19 +32,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.llm.common import partitions, stored
+from tilespark.llm.slices import (LAST, from_low_bytes, loaded, low_bytes, pack_slices, packed_ascending,
+                                  unpacked_ascending)
 from tilespark.session import bound_arrow_batches, ship_by_value
 
 MATCH, GRAM = 50, 24
 SHALLOW = 32
-SLICE_BYTES, SLICE_DOCS = 2 << 20, 8192
+SLICE_BYTES = 2 << 20
 PIECE = 1 << 19
 CONTEXTS = 8
 HASH_BITS = 56  # of an anchor; the low 8 bits of a word hold its place in the string
-LAST = (1 << 63) - 1  # order number of a null id
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
-SLICE = "slice long, ids array<long>, ends array<long>, data binary"
-
 
 def words_at(data: np.ndarray, first: int, count: int) -> np.ndarray:
     """The eight bytes at each of ``count`` neighbouring places, as little-endian numbers."""
@@ -150,28 +148,6 @@ def entries(ids: np.ndarray, ends: np.ndarray, data: np.ndarray, n_buckets: int,
     return Entries(r, doc, entry, order[head], a[head], d[head], least, rich, sent[by], bucket[by])
 
 
-def low_bytes(x: np.ndarray, n: int) -> bytes:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
-
-
-def from_low_bytes(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((len(data) // n, 8), np.uint8)
-    out[:, :n] = np.frombuffer(data, np.uint8).reshape(-1, n)
-    return out.view("<u8").ravel()
-
-
-def packed_ascending(x: np.ndarray) -> bytes:
-    """Ascending numbers as their first and steps of 1, 2, 4 or 8 bytes each."""
-    step = np.diff(x)
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(step) or step.max() < 1 << 8 * w)
-    return bytes([width]) + int(x[0]).to_bytes(8, "little", signed=True) + step.astype(f"<u{width}").tobytes()
-
-
-def unpacked_ascending(data: bytes) -> np.ndarray:
-    first = int.from_bytes(data[1:9], "little", signed=True)
-    return np.cumsum(np.r_[first, np.frombuffer(data, f"<u{data[0]}", offset=9).astype(np.int64)])
-
-
 CODE_BYTES = 5
 RICH = 0xFFFFFFFF
 
@@ -293,46 +269,6 @@ def least_of_strings(contexts: list[bytes], group: list[int], least: list[int],
     return np.split(out, first[1:])
 
 
-def pack_slices(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Documents in slices of about SLICE_BYTES, stored as a table bucketed by slice."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"),
-                       F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        texts: list[bytes] = []
-        size = 0
-
-        def packed() -> pa.RecordBatch:
-            ends = np.cumsum([len(t) for t in texts])
-            number = uuid.uuid4().int >> 65
-            return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
-                 pa.array([ends], pa.list_(pa.int64())), pa.array([b"".join(texts)], pa.binary())],
-                ["slice", "ids", "ends", "data"])
-
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                t = t.as_py()
-                ids.append(i), texts.append(t)
-                size += len(t)
-                if size >= SLICE_BYTES or len(ids) >= SLICE_DOCS:
-                    yield packed()
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield packed()
-
-    name = f"llm_slices_{uuid.uuid4().hex}"
-    (rows.mapInArrow(run, SLICE).write.option("compression", "zstd").bucketBy(n, "slice").sortBy("slice")
-     .format("parquet").saveAsTable(name))
-    return spark.table(name)
-
-
-def loaded(ids, ends, data) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.array(ids, np.int64), np.array(ends, np.int64), np.frombuffer(data, np.uint8)
-
-
 def decoded(e: Entries, found: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
     """Least id and "has several contexts" of each entry, from the slice's answers."""
     least, several = e.least.copy(), e.rich.copy()
@@ -358,11 +294,11 @@ def substring_dedup(docs: DataFrame, match: int = MATCH, id_col: str = "doc_id",
     """
     if not 40 <= match <= 200:
         raise ValueError("match must be between 40 and 200 bytes")
-    ship_by_value("tilespark.llm.substring_dedup", "tilespark.llm.common")
+    ship_by_value("tilespark.llm.substring_dedup", "tilespark.llm.slices")
     spark = docs.sparkSession
     bound_arrow_batches(spark)
     n = partitions(spark)
-    slices = pack_slices(docs, id_col, text_col, n)
+    slices = pack_slices(docs, id_col, text_col, n, slice_bytes=SLICE_BYTES)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
