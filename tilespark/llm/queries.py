@@ -13,6 +13,7 @@ from tilespark.llm import decontaminate, language_id, simhash, warc_zip
 from tilespark.llm.common import crc_mod
 from tilespark.llm.exact_dedup import exact_dedup
 from tilespark.llm.line_dedup import line_dedup
+from tilespark.llm.lm_score import lm_scores
 from tilespark.llm.source_mix import mix_sources
 from tilespark.llm.substring_dedup import substring_dedup
 from tilespark.llm.url_filter import RHO_LEAST, RHO_MOST, RULES, TWO_LABEL_SUFFIXES, url_filter
@@ -237,3 +238,11 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return done.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# ------------------------------------------------------------ op7
+
+@query("op7_lm_score")
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lm_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
+    return done.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
