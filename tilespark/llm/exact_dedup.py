@@ -22,40 +22,40 @@ from tilespark.llm.common import lower_az, partitions, stored
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min",
-                prefix_bytes: int = 32) -> DataFrame:
+                prefix_bytes: int = 32, carry: bool = False) -> DataFrame:
     """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Texts are equal when identical after lower-casing A-Z; a null text counts
     as empty.  ``keep`` ("min" or "max") says which id of a group stays.  Null
     ids rank last; of rows that tie (same id and text) exactly one is ``kept``.
-    Further columns of ``docs`` are ignored, an empty table gives no rows.
+    Further columns of ``docs`` are ignored, an empty table gives no rows.  With
+    ``carry`` only rows that may stay are returned, each with the whole input
+    row as the struct ``row``; texts are still shuffled once.
     """
     if keep not in ("min", "max"):
         raise ValueError("keep must be 'min' or 'max'")
-    spark = docs.sparkSession
-    n = partitions(spark)
-    rows = docs.select(F.col(id_col).alias("id"), lower_az(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"))
-    rows = rows.withColumn("h", F.xxhash64("norm"))
-    total = docs.count()
-    share = max(1, total // (4 * n))
-    # at most total / share = 4 n keys can be above the share
-    heavy = (rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > share)
+    n = partitions(docs.sparkSession)
+    body = F.struct(*[F.col(c) for c in docs.columns]) if carry else F.struct(F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("id"), body.alias("row"))
+    norm = lower_az(F.coalesce(F.col(f"row.{text_col}"), F.lit("")))
+    hashed = rows.select("id", "row", F.xxhash64(norm).alias("h"), F.substring(norm, 1, prefix_bytes).alias("prefix"))
+    share = max(1, docs.count() // (4 * n))
+    # at most rows / share = 4 n hashes can be above the share
+    heavy = (hashed.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > share)
              .select("h", F.ceil(F.col("c") / share).cast("int").alias("pieces")))
-    salted = (rows.join(F.broadcast(heavy), "h", "left")
+    salted = (hashed.join(F.broadcast(heavy), "h", "left")
               .withColumn("salt", F.when(F.col("pieces").isNull(), F.lit(0))
                           .otherwise((F.monotonically_increasing_id() % F.col("pieces")).cast("int")))
-              .select("id", "norm", "h", F.substring("norm", 1, prefix_bytes).alias("prefix"), "salt",
-                      F.col("pieces").isNotNull().alias("heavy")))
-    ranged = salted.repartitionByRange(n, "prefix", "h", "salt")
-    run = Window.partitionBy("prefix", "h", "norm", "salt")
+              .select("id", "row", "h", "prefix", "salt", F.col("pieces").isNotNull().alias("heavy")))
+    ranged = salted.repartitionByRange(n, "prefix", "h", "salt").withColumn("norm", norm)
     best = F.desc_nulls_last("id") if keep == "max" else F.asc_nulls_last("id")
-    ordered = run.orderBy(best)
+    ordered = Window.partitionBy("prefix", "h", "norm", "salt").orderBy(best)
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = ranged.select("id", "salt", "heavy", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"),
                          F.row_number().over(ordered).alias("place"),
                          F.first("id").over(whole).alias("best"),
-                         F.count(F.lit(1)).over(whole).alias("members"))
-    runs = stored(runs, "exact-runs")
+                         F.count(F.lit(1)).over(whole).alias("members"), *(["row"] if carry else []))
+    runs = stored(runs.where("place = 1") if carry else runs, "exact-runs")
     # one row for each run of a heavy text, at most 4 n texts
     pick = F.max_by if keep == "max" else F.min_by
     worst = F.lit(-(1 << 63) if keep == "max" else (1 << 63) - 1).cast("long")
@@ -71,4 +71,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(merged, F.col("all_best")).otherwise(F.col("best")).alias("keep_id"),
         F.when(merged, F.col("all_members")).otherwise(F.col("members")).cast("long").alias("group_size"),
         ((F.col("place") == 1) & (~merged | (F.col("salt") == F.col("win_salt")))).alias("kept"),
-        F.col("sha").alias("text_sha256"))
+        F.col("sha").alias("text_sha256"), *(["row"] if carry else []))
