@@ -39,46 +39,83 @@ CACHED_WORDS = 300_000
 OUTSIDE = 1e-8
 
 
+class Pieces(NamedTuple):
+    """The vocabulary as a prefix tree: node 0 is the root; a step's key is node * letters + letter."""
+    letters: np.ndarray  # sorted code points
+    keys: np.ndarray  # sorted
+    child: np.ndarray  # node reached by each key
+    piece: np.ndarray  # of each node, -1 where none ends
+    size: int
+
+
 class Model(NamedTuple):
     languages: list[str]
-    pieces: dict[str, int]  # piece -> row; -1 for what is only the beginning of a piece
-    prob: np.ndarray  # rows x languages; the last row is for characters outside
+    pieces: Pieces
+    prob: np.ndarray  # pieces x languages; the last row is for characters outside
 
 
-def read_pieces(path: str) -> dict[str, int]:
-    """Lower-case letter pieces of a sentencepiece model and their prefixes."""
+def read_pieces(path: str) -> Pieces:
+    """Lower-case letter pieces of a sentencepiece model."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    names = [p for p in map(sp.id_to_piece, range(sp.get_piece_size()))
-             if len(p) <= MOST_PIECE and (q := p.removeprefix(SPACE)).isalpha() and q == q.lower() or p == SPACE]
-    found = {p: i for i, p in enumerate(dict.fromkeys(names))}
-    for p in names:
-        for n in range(1, len(p)):
-            found.setdefault(p[:n], -1)
-    return found
-
-
-def lattice(words: list[str], pieces: dict[str, int], outside: int) -> tuple[np.ndarray, ...]:
-    """All pieces in all words as arrays (word, start, end, piece), and the words' lengths."""
-    at, start, end, piece, sizes = [], [], [], [], []
-    get = pieces.get
-    for k, w in enumerate(words):
-        w = SPACE + w
-        n = len(w)
-        sizes.append(n)
-        for i in range(n):
-            single = False
-            for j in range(i + 1, min(n, i + MOST_PIECE) + 1):
-                p = get(w[i:j])
-                if p is None:
-                    break
-                if p >= 0:
-                    single |= j == i + 1
-                    at.append(k), start.append(i), end.append(j), piece.append(p)
-            if not single:
-                at.append(k), start.append(i), end.append(i + 1), piece.append(outside)
-    return (*(np.array(x, np.int32) for x in (at, start, end, piece)), np.array(sizes, np.int32))
+    return piece_tree([p for p in map(sp.id_to_piece, range(sp.get_piece_size()))
+                       if len(p) <= MOST_PIECE and (q := p.removeprefix(SPACE)).isalpha() and q == q.lower() or p == SPACE])
+
+
+def piece_tree(names: list[str]) -> Pieces:
+    names = list(dict.fromkeys(names))
+    letters = sorted({ord(c) for p in names for c in p})
+    place = {c: i for i, c in enumerate(letters)}
+    nodes, steps, piece = {"": 0}, {}, [-1]
+    for k, p in enumerate(names):
+        for n in range(1, len(p) + 1):
+            if p[:n] not in nodes:
+                nodes[p[:n]] = len(nodes)
+                piece.append(-1)
+                steps[nodes[p[:n - 1]] * len(letters) + place[ord(p[n - 1])]] = nodes[p[:n]]
+        piece[nodes[p]] = k
+    keys = np.array(sorted(steps), np.int64)
+    return Pieces(np.array(letters, np.int64), keys, np.array([steps[k] for k in keys.tolist()], np.int64), np.array(piece, np.int64), len(names))
+
+
+def lattice(words: list[str], pieces: Pieces) -> tuple[np.ndarray, ...]:
+    """All pieces in all words as arrays (word, start, end, piece), and the words' lengths.
+    A character that is no piece itself gets the piece for characters outside."""
+    text = np.frombuffer("".join([SPACE + w for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    word = np.repeat(np.arange(len(words)), sizes)
+    begin = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = sizes[word] - begin
+    letter = np.minimum(np.searchsorted(pieces.letters, text), len(pieces.letters) - 1)
+    letter[pieces.letters[letter] != text] = -1
+    at, node, found = np.arange(len(text)), np.zeros(len(text), np.int64), []
+    for n in range(MOST_PIECE):
+        go = left[at] > n
+        at, node = at[go], node[go]
+        c = letter[at + n]
+        key = node * len(pieces.letters) + c
+        k = np.minimum(np.searchsorted(pieces.keys, key), len(pieces.keys) - 1)
+        ok = (pieces.keys[k] == key) & (c >= 0)
+        piece = np.where(ok, pieces.piece[pieces.child[k]], -1)
+        if n == 0:
+            found.append((at, np.where(piece < 0, pieces.size, piece), 1))
+        else:
+            real = piece >= 0
+            found.append((at[real], piece[real], n + 1))
+        at, node = at[ok], pieces.child[k][ok]
+        if not len(at):
+            break
+    at = np.concatenate([x for x, _, _ in found])
+    start = begin[at]
+    end = start + np.concatenate([np.full(len(x), n) for x, _, n in found])
+    return word[at], start, end, np.concatenate([x for _, x, _ in found]), sizes
+
+
+def by_place(place: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Order by place, then word; both are small numbers, so two stable passes over few bits."""
+    order = np.argsort(word.astype(np.uint16), kind="stable")
+    return order[np.argsort(place[order].astype(np.uint8), kind="stable")]
 
 
 def _swept(prob_of_edge: np.ndarray, group: np.ndarray, into: np.ndarray, out_of: np.ndarray, at: np.ndarray,
@@ -101,18 +138,18 @@ def forward(words: list[str], model: Model) -> np.ndarray:
 
 def _chunk(words: list[str], model: Model, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Word log probabilities; with ``counts`` (words x languages) also the expected piece counts."""
-    at, start, end, piece, sizes = lattice(words, model.pieces, len(model.prob) - 1)
+    at, start, end, piece, sizes = lattice(words, model.pieces)
     p = model.prob[piece]
     most = int(sizes.max())
     alpha = np.zeros((len(words), most + 1, p.shape[1]))
     alpha[:, 0] = 1
-    _swept(p, np.lexsort((at, end)), end, start, at, range(1, most + 1), alpha)
+    _swept(p, by_place(end, at), end, start, at, range(1, most + 1), alpha)
     z = alpha[np.arange(len(words)), sizes]
     if counts is None:
         return np.log(z), None
     beta = np.zeros_like(alpha)
     beta[np.arange(len(words)), sizes] = 1
-    _swept(p, np.lexsort((at, start)), start, end, at, range(most - 1, -1, -1), beta)
+    _swept(p, by_place(start, at), start, end, at, range(most - 1, -1, -1), beta)
     share = alpha[at, start] * p * beta[at, end] * (counts / z)[at]
     expected = np.zeros_like(model.prob)
     for k in range(p.shape[1]):
@@ -120,7 +157,7 @@ def _chunk(words: list[str], model: Model, counts: np.ndarray | None = None) ->
     return np.log(z), expected
 
 
-def fit(counts: dict[tuple[str, str], int], pieces: dict[str, int], rounds: int = 4, prior: float = 0.01) -> Model:
+def fit(counts: dict[tuple[str, str], int], pieces: Pieces, rounds: int = 4, prior: float = 0.01) -> Model:
     """EM over (language, word) counts."""
     languages = sorted({x for x, _ in counts})
     words = sorted({w for _, w in counts})
@@ -128,7 +165,7 @@ def fit(counts: dict[tuple[str, str], int], pieces: dict[str, int], rounds: int
     table = np.zeros((len(words), len(languages)))
     for (x, w), n in counts.items():
         table[row[w], col[x]] += n
-    size = max(pieces.values()) + 1
+    size = pieces.size
     model = Model(languages, pieces, np.full((size + 1, len(languages)), 1 / size))
     model.prob[-1] = OUTSIDE
     for _ in range(rounds):
@@ -165,7 +202,7 @@ def train(docs: DataFrame, allowed: Column, text_col: str = "text", lang_col: st
                .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(train_words))
     counts = {(r["lang"], r["word"]): r["n"] for r in counted.collect()}
     if not counts:
-        return Model([], {}, np.zeros((1, 0)))
+        return Model([], piece_tree([SPACE]), np.zeros((2, 0)))
     return fit(counts, read_pieces(vocabulary))
 
 
@@ -174,7 +211,7 @@ def text_parts(text: str) -> Iterator[str]:
     at = 0
     while at < len(text):
         to = at + CHARS_AT_ONCE
-        while to < len(text) and (text[to].isalnum() or text[to - 1].isalnum()):
+        while to < len(text) and text[to].isalnum() and text[to - 1].isalnum():
             to += 1
         yield text[at:to]
         at = to
@@ -207,6 +244,8 @@ def scorer(model: Model):
             words.clear(), owner.clear(), sizes.clear()
 
     def predict(texts: list[str | None]) -> tuple[list[str], list[float]]:
+        if not n_lang:
+            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         total = np.zeros((len(texts), max(1, n_lang)))
         letters = [False] * len(texts)
         words: list[str] = []
@@ -225,8 +264,6 @@ def scorer(model: Model):
                     flush(words, owner, sizes, total)
                     chars = 0
         flush(words, owner, sizes, total)
-        if not n_lang:
-            return [UNKNOWN] * len(texts), [0.0] * len(texts)
         best = total.argmax(axis=1)
         score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
         return ([model.languages[b] if x else UNKNOWN for b, x in zip(best, letters)],
@@ -248,10 +285,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
     kept = docs.drop(pred_col, score_col)
     schema = T.StructType([*kept.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     where = kept.columns.index(text_col)
-    shared = spark.sparkContext.broadcast(tuple(model))
+    shared = spark.sparkContext.broadcast((model.languages, tuple(model.pieces), model.prob))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        predict = scorer(Model(*shared.value))
+        languages, tree, prob = shared.value
+        predict = scorer(Model(languages, Pieces(*tree), prob))
         for b in batches:
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
