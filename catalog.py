@@ -43,6 +43,13 @@ def tiles_a(spark: SparkSession, sf: str, t: int = 10):
     return tile_raster(fx.cells_a(spark, sf), spec), spec
 
 
+def _written(spark: SparkSession, sf: str) -> DataFrame:
+    """Raster A's tile table, written to the shared folder and read back."""
+    path = f"{checkpoint_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    io.write_tiles(tiles_a(spark, sf)[0], path)
+    return io.read_tiles(spark, path)
+
+
 def tiles_b(spark: SparkSession, sf: str, t: int = 10):
     spec = fx.spec_b(spark, sf, t)
     return tile_raster(fx.cells_b(spark, sf), spec), spec
@@ -115,6 +122,34 @@ def q_tile_multi(spark, sf):
     return t.select("tile_size", "table_name", "rid", "width", "height", text().alias("data_text"))
 
 
+@query("tile_multi_class", f"WITH {O.CELLS_A}\n" + "\nUNION ALL ".join(
+    f"SELECT 'cells_a_{t}' AS table_name, 'cells_a' AS dataset, '{t}' AS tilesize, 16 AS pixel_value, count(*) FILTER (WHERE v = 16) AS count FROM cells_a"
+    for t in _MULTI))
+def q_tile_multi_class(spark, sf):
+    """Each size's table: data set and tile size from its name, the data set's class, and its pixels of that class."""
+    t = tile_raster_multi(fx.cells_a(spark, sf), fx.spec_a(spark, sf), _MULTI, name="cells_a")
+    t = t.withColumns({"dataset": C.dataset_of(F.col("table_name")), "tilesize": C.tilesize_of(F.col("table_name"))})
+    t = t.withColumn("pixel_value", C.class_of(F.col("dataset"), {"cells_b": 21, "cells_a": 16}))
+    n = F.size(F.filter("data", lambda x: x == F.col("pixel_value")))
+    return t.groupBy("table_name", "dataset", "tilesize", "pixel_value").agg(F.sum(n.cast("long")).alias("count"))
+
+
+_SPARSE_SQL = f"""cells_s AS (SELECT px, py, v FROM cells_a WHERE NOT (px // 20 = 2 AND py // 5 = 1) AND (px * 7 + py * 3) % 11 <> 0),
+full_s AS (SELECT a.px, a.py, coalesce(s.v, {O.D(255)}) AS v FROM cells_a a LEFT JOIN cells_s s USING (px, py))"""
+
+
+@query("tile_multi_sparse", f"WITH {O.CELLS_A}, {_SPARSE_SQL}, " + ", ".join(
+    tiles_text_sql("full_s", t, W, f"t{t}") for t in (5, 20)) + "\n" + "\nUNION ALL ".join(
+    f"""SELECT {t} AS tile_size, rid, width, height, data_text FROM t{t}
+  WHERE rid IN (SELECT (py // {t}) * {-(-W // t)} + px // {t} + 1 FROM cells_s)""" for t in (5, 20)))
+def q_tile_multi_sparse(spark, sf):
+    """Missing cells, a missing block of tiles, and every other size re-cut from the gaps."""
+    c = fx.cells_a(spark, sf)
+    s = c.where(~((F.floor(F.col("px") / 20) == 2) & (F.floor(F.col("py") / 5) == 1)) & ((F.col("px") * 7 + F.col("py") * 3) % 11 != 0))
+    t = tile_raster_multi(s, fx.spec_a(spark, sf), [5, 20], name="cells_s")
+    return t.select("tile_size", "rid", "width", "height", text().alias("data_text"))
+
+
 @query("assign_rid", f"""WITH {O.CELLS_A}
 SELECT DISTINCT CAST(px // 25 AS INTEGER) AS tile_col, CAST(py // 25 AS INTEGER) AS tile_row,
        CAST((py // 25) * 4 + px // 25 + 1 AS BIGINT) AS rid FROM cells_a""")
@@ -143,16 +178,10 @@ def q_tiles_from_rows(spark, sf):
 SELECT rid, 'orders.parquet' AS filename, n FROM ta""")
 def q_tiles_filename(spark, sf):
     o = io.with_filename(spark.read.parquet(f"{sf}/orders.parquet"))
-    spec = fx.spec_a(spark, sf)
-    c = o.select((F.col("o_orderkey") % W).cast("int").alias("px"),
-                 F.floor(F.col("o_orderkey") / W).cast("int").alias("py"), F.lit(0.0).alias("v"),
-                 "filename")
-    # the source file of a tile's pixels (one file per table here)
-    t = c.withColumn("tile_col", F.floor(F.col("px") / 10).cast("int")).withColumn(
-        "tile_row", F.floor(F.col("py") / 10).cast("int")).groupBy("tile_col", "tile_row").agg(
-        F.min("filename").alias("filename"), F.count(F.lit(1)).alias("n"))
-    t = assign_rid(t, spec.ntx)
-    return t.select("rid", "filename", "n")
+    c = o.select((F.col("o_orderkey") % W).cast("int").alias("px"), F.floor(F.col("o_orderkey") / W).cast("int").alias("py"),
+                 F.when(F.col("o_orderstatus") == "P", 255.0).otherwise((F.col("o_custkey") % 25).cast("double")).alias("v"), "filename")
+    t = tile_raster(c, fx.spec_a(spark, sf))
+    return t.select("rid", "filename", F.size("data").cast("long").alias("n"))
 
 
 def _dump(spark, sf):
@@ -172,34 +201,74 @@ def q_tile_lines(spark, sf):
 @query("tile_tsv", f"""WITH {O.CELLS_A}, {tiles_text_sql('cells_a', 10, W, 'ta')}
 SELECT tile_col, tile_row, width, height, data_text FROM ta""")
 def q_tile_tsv(spark, sf):
-    t = io.parse_tile_lines(io.tile_lines(_dump(spark, sf)))
+    """The whole load path: dump to text, keep the tile lines, write, bulk-load."""
+    path = f"{checkpoint_dir(spark)}/dump-{uuid.uuid4().hex}"
+    io.tile_lines(_dump(spark, sf)).select("value").write.text(path)
+    t = io.load_tile_tsv(spark, path)
     return t.select("tile_col", "tile_row", "width", "height", text().alias("data_text"))
 
 
+@query("tile_tsv_float", f"""WITH {O.CELLS_F}
+SELECT CAST(px // 16 AS INTEGER) AS tile_col, CAST(py // 16 AS INTEGER) AS tile_row, count(*) AS n, min(v) AS vmin, max(v) AS vmax
+FROM cells_f GROUP BY 1, 2""")
+def q_tile_tsv_float(spark, sf):
+    t = io.parse_tile_lines(io.tile_lines(io.tile_dump_lines(tiles_f(spark, sf, 16)[0], "cells_f")))
+    return t.select("tile_col", "tile_row", F.size("data").cast("long").alias("n"), F.array_min("data").alias("vmin"),
+                    F.array_max("data").alias("vmax"))
+
+
 @query("write_roundtrip", f"""WITH {O.CELLS_A}, {tiles_text_sql('cells_a', 10, W, 'ta')}
 SELECT rid, width, height, data_text FROM ta""")
 def q_write_roundtrip(spark, sf):
-    t, _ = tiles_a(spark, sf)
-    path = f"{checkpoint_dir(spark)}/tiles-{uuid.uuid4().hex}"
-    io.write_tiles(t, path)
-    back = io.read_tiles(spark, path)
-    return back.select("rid", "width", "height", text().alias("data_text"))
-
-
-@query("validate_tiles", f"""WITH {O.CELLS_A}, {tiles_text_sql('cells_a', 10, W, 'ta')},
-m AS (SELECT max(tile_col) AS mc, max(tile_row) AS mr FROM ta),
-v AS (SELECT count(DISTINCT width) FILTER (WHERE tile_col < m.mc) AS bx,
-             count(DISTINCT height) FILTER (WHERE tile_row < m.mr) AS bys FROM ta, m)
-SELECT c AS "check", n <= 1 AS ok, CAST(n AS BIGINT) AS n_values FROM (
-  SELECT 'srid' AS c, 1 AS n UNION ALL SELECT 'scale_x', 1 UNION ALL SELECT 'scale_y', 1
-  UNION ALL SELECT 'blocksize_x', (SELECT bx FROM v) UNION ALL SELECT 'blocksize_y', (SELECT bys FROM v)
-  UNION ALL SELECT 'same_alignment', 1 UNION ALL SELECT 'num_bands', 1 UNION ALL SELECT 'pixel_types', 1
-  UNION ALL SELECT 'nodata_values', 1 UNION ALL SELECT 'out_db', 1)""")
+    return _written(spark, sf).select("rid", "width", "height", text().alias("data_text"))
+
+
+def _validate_sql(tiles: str, pixels: str) -> str:
+    """``tiles``: one row per tile; ``pixels``: (rid, n, n_null) per tile, from its pixels."""
+    uniform = {"srid": "srid", "scale_x": "scale_x", "scale_y": "scale_y", "blocksize_x": "CASE WHEN tile_col < mc THEN width END",
+               "blocksize_y": "CASE WHEN tile_row < mr THEN height END",
+               "same_alignment": "ROUND((ulx - px0 * scale_x) / scale_x, 6) || ' ' || ROUND((uly - py0 * scale_y) / scale_y, 6)",
+               "pixel_types": "pixel_type", "nodata_values": "coalesce(CAST(nodata AS VARCHAR), 'none')"}
+    bad = {"array_length": "n <> width * height", "null_pixels": "n_null > 0", "tile_position": "rid <> tile_row * (mc + 1) + tile_col + 1"}
+    parts = [f"SELECT '{k}' AS c, CAST(count(DISTINCT {e}) > 1 AS BIGINT) AS n FROM tm" for k, e in uniform.items()]
+    parts += [f"SELECT '{k}', CAST(count(*) FILTER (WHERE {e}) AS BIGINT) FROM tm" for k, e in bad.items()]
+    return f"""tm AS (SELECT t.*, p.n, p.n_null, (SELECT max(tile_col) FROM {tiles}) AS mc, (SELECT max(tile_row) FROM {tiles}) AS mr
+  FROM {tiles} t JOIN {pixels} p USING (rid))
+SELECT c AS "check", n = 0 AS ok, n AS n_bad FROM ({" UNION ALL ".join(parts)})"""
+
+
+_HEADERS_SQL = f"""{O.CELLS_A}, {O.tiles_sql('cells_a', 10, W, 'tk')},
+th AS (SELECT *, 4326 AS srid, {O.SX} AS scale_x, {O.SY} AS scale_y, {O.wx('px0')} AS ulx, {O.wy('py0')} AS uly,
+  '8BUI' AS pixel_type, {O.D(255)} AS nodata FROM tk),
+np AS (SELECT CAST((py // 10) * 10 + px // 10 + 1 AS BIGINT) AS rid, count(*) AS n, count(*) - count(v) AS n_null FROM cells_a GROUP BY 1)"""
+
+
+@query("validate_tiles", f"WITH {_HEADERS_SQL}, {_validate_sql('th', 'np')}")
 def q_validate_tiles(spark, sf):
     t, _ = tiles_a(spark, sf)
     return validate_tiles(t)
 
 
+@query("validate_bad", f"""WITH {_HEADERS_SQL},
+tb AS (SELECT tile_col, tile_row, CASE WHEN rid % 7 = 0 THEN rid + 1000000 ELSE rid END AS rid, px0, py0,
+  CASE WHEN rid % 9 = 4 THEN width - 1 ELSE width END AS width, height, CASE WHEN rid = 2 THEN 5070 ELSE srid END AS srid, scale_x, scale_y,
+  CASE WHEN rid % 11 = 0 THEN ulx + {O.D(0.1)} ELSE ulx END AS ulx, uly, CASE WHEN rid % 2 = 0 THEN '32BF' ELSE '8BUI' END AS pixel_type,
+  CASE WHEN rid <> 3 THEN nodata END AS nodata FROM th),
+nb AS (SELECT CASE WHEN rid % 7 = 0 THEN rid + 1000000 ELSE rid END AS rid,
+  n - CASE WHEN rid % 5 = 0 THEN 1 ELSE 0 END AS n, CASE WHEN rid % 6 = 1 THEN 1 ELSE 0 END AS n_null FROM np), {_validate_sql('tb', 'nb')}""")
+def q_validate_bad(spark, sf):
+    """A damaged copy of the tile table: every kind of check has something to find."""
+    t, _ = tiles_a(spark, sf)
+    rid = F.col("rid")
+    d = F.when(rid % 5 == 0, F.slice("data", F.lit(1), F.size("data") - 1)).otherwise(F.col("data"))
+    t = t.select("*", d.alias("d")).withColumn("data", F.when(rid % 6 == 1, F.transform("d", lambda x, i: F.when(i > 0, x))).otherwise(F.col("d")))
+    t = t.withColumns({
+        "srid": F.when(rid == 2, 5070).otherwise(F.col("srid")), "width": F.when(rid % 9 == 4, F.col("width") - 1).otherwise(F.col("width")),
+        "ulx": F.when(rid % 11 == 0, F.col("ulx") + 0.1).otherwise(F.col("ulx")),
+        "pixel_type": F.when(rid % 2 == 0, "32BF").otherwise(F.col("pixel_type")), "nodata": F.when(rid != 3, F.col("nodata"))})
+    return validate_tiles(t.withColumn("rid", F.when(rid % 7 == 0, rid + 1000000).otherwise(rid)))
+
+
 @query("head_zones", """SELECT CAST(n_nationkey AS BIGINT) AS gid, n_name AS name, CAST(n_regionkey AS INTEGER) AS statefp
 FROM nation ORDER BY gid LIMIT 5""")
 def q_head_zones(spark, sf):
@@ -212,7 +281,7 @@ def q_head_zones(spark, sf):
 @query("rid_range", f"""WITH {O.CELLS_A}, {tiles_text_sql('cells_a', 10, W, 'ta')}
 SELECT rid, width, height, data_text FROM ta WHERE rid BETWEEN 21 AND 60""")
 def q_rid_range(spark, sf):
-    t, _ = tiles_a(spark, sf)
+    t = _written(spark, sf)
     return local.rid_range(t, 21, 60).select("rid", "width", "height", text().alias("data_text"))
 
 
@@ -270,7 +339,7 @@ def q_reclass_ranges(spark, sf):
 SELECT DISTINCT CAST((py // 10) * 10 + px // 10 + 1 AS BIGINT) AS rid FROM cells_a
 WHERE (py // 10) * 10 + px // 10 + 1 BETWEEN 11 AND 100""")
 def q_reclass_rids(spark, sf):
-    t, _ = tiles_a(spark, sf)
+    t = _written(spark, sf)
     return local.reclass_rids(t, [(16, 1)], 11, 100)
 
 
@@ -374,6 +443,30 @@ def q_zonal_by_state(spark, sf):
                      ["statefp", "name"])
 
 
+_TWO_NAMES_SQL = f"""edges_two AS (SELECT gid // 2 AS gid, name, statefp, x1, y1, x2, y2 FROM edges_tracts)"""
+
+
+def _two_names(spark, sf):
+    """Two zones of different names under each gid."""
+    return fx.zones_tracts(spark, sf).withColumn("gid", F.floor(F.col("gid") / 2).cast("long"))
+
+
+@query("zonal_multi_name", f"""WITH {O.CELLS_A}, {O.EDGES_TRACTS}, {_TWO_NAMES_SQL}, {O.inside('cells_a', 'edges_two')}
+{stats_sql('inside', 'gid, name')}""")
+def q_zonal_multi_name(spark, sf):
+    t, spec = tiles_a(spark, sf)
+    return stats_out(zonal.zonal_stats(t, _two_names(spark, sf), spec), ["gid", "name"])
+
+
+@query("zonal_text_id", f"""WITH {O.CELLS_A}, {O.EDGES_STATES},
+edges_text AS (SELECT 'US' || gid AS gid, name, statefp, x1, y1, x2, y2 FROM edges_states), {O.inside('cells_a', 'edges_text')}
+{stats_sql('inside', 'gid, name')}""")
+def q_zonal_text_id(spark, sf):
+    t, spec = tiles_a(spark, sf)
+    z = fx.zones_states(spark, sf).withColumn("gid", F.concat(F.lit("US"), F.col("gid").cast("string")))
+    return stats_out(zonal.zonal_stats(t, z, spec), ["gid", "name"])
+
+
 @query("zonal_all_pixels", f"""WITH {O.CELLS_A}, {O.EDGES_TRACTS}, {O.inside('cells_a', 'edges_tracts')}
 {stats_sql('inside', 'gid, name', 'TRUE')}""")
 def q_zonal_all_pixels(spark, sf):
@@ -597,6 +690,16 @@ def q_focal_shrink(spark, sf):
     return tiles_to_cells(focal_mod.focal(t, "mean", 1, 1, scope="mosaic", edge="shrink"), keep=())
 
 
+@query("focal_wide", f"""WITH {O.CELLS_A}
+SELECT c.px, c.py, {O.D(1)} * sum(n.v) FILTER (WHERE n.v <> 255) AS v
+FROM cells_a c JOIN cells_a n ON n.px BETWEEN c.px - 7 AND c.px + 7 AND n.py BETWEEN c.py - 6 AND c.py + 6
+GROUP BY c.px, c.py""")
+def q_focal_wide(spark, sf):
+    """A window wider than a tile."""
+    t, _ = tiles_a(spark, sf, 5)
+    return tiles_to_cells(focal_mod.focal(t, "sum", 7, 6, scope="mosaic", edge="shrink", pixel_type=None), keep=())
+
+
 def _nanmean_trunc(wins):
     """A user neighbourhood function: mean of the counted cells of every
     window, truncated into a byte (NaN when a window has none)."""
@@ -719,10 +822,7 @@ SELECT bp.part, c.v AS value, count(*) AS count FROM cells_a c JOIN bp ON c.py /
 WHERE c.v = 16 GROUP BY bp.part, c.v""")
 def q_union_parts(spark, sf):
     t, _ = tiles_a(spark, sf)
-    parts = P.partition_raster(t, 3).orderBy("part").collect()  # n rows: the plan of n parts
-    frames = [local.pixel_count(local.rid_range(t, r["min_rid"], r["max_rid"]), 16)
-              .select(F.lit(r["part"]).cast("int").alias("part"), "value", "count") for r in parts]
-    return P.union_parts(frames)
+    return P.per_part(t, 3, lambda x: local.pixel_count(x, 16, by=["part"]))
 
 
 _PARTIALS_SQL = f"""WITH {_PARTS_SQL}, {O.EDGES_TRACTS}, {O.inside('cells_a', 'edges_tracts')},
@@ -732,26 +832,32 @@ ip AS (SELECT bp.part, i.* FROM inside i JOIN bp ON i.py // 10 = bp.tile_row)"""
 @query("zonal_partials", _PARTIALS_SQL + """
 SELECT part, gid, name, min(v) FILTER (WHERE v <> 255) AS min, max(v) FILTER (WHERE v <> 255) AS max,
   count(v) FILTER (WHERE v <> 255) AS count, sum(v) FILTER (WHERE v <> 255) AS sum,
-  sum(v * v) FILTER (WHERE v <> 255) AS sumsq FROM ip GROUP BY part, gid, name""")
+  ROUND(var_pop(v) FILTER (WHERE v <> 255) * count(v) FILTER (WHERE v <> 255), 6) AS m2 FROM ip GROUP BY part, gid, name""")
 def q_zonal_partials(spark, sf):
     t, spec = tiles_a(spark, sf)
     tp = P.assign_parts(t, 3)
-    return zonal.zonal_partials(tp, fx.zones_tracts(spark, sf), spec)
+    return zonal.zonal_partials(tp, fx.zones_tracts(spark, sf), spec).withColumn("m2", r6(F.col("m2")))
 
 
-@query("merge_partials", _PARTIALS_SQL + f""",
-m AS (SELECT gid, min(v) FILTER (WHERE v <> 255) AS min, max(v) FILTER (WHERE v <> 255) AS max,
-  count(v) FILTER (WHERE v <> 255) AS count, sum(v) FILTER (WHERE v <> 255) AS sum,
-  sum(v * v) FILTER (WHERE v <> 255) AS sumsq FROM ip GROUP BY gid)
-SELECT gid, count, sum, ROUND(CASE WHEN count > 0 THEN sum / count END, 6) AS mean,
-  ROUND(CASE WHEN count > 0 THEN sqrt(GREATEST(sumsq / count - (sum / count) * (sum / count), {O.D(0)})) END, 6) AS stddev,
-  min, max FROM m""")
+@query("merge_partials", _PARTIALS_SQL + "\n" + stats_sql("ip", "gid"))
 def q_merge_partials(spark, sf):
     t, spec = tiles_a(spark, sf)
     parts = zonal.zonal_partials(P.assign_parts(t, 3), fx.zones_tracts(spark, sf), spec)
     return stats_out(zonal.merge_partials(parts, ["gid"]), ["gid"])
 
 
+@query("merge_partials_offset", _PARTIALS_SQL + f""",
+sh AS (SELECT gid, v + {O.D(1e9)} AS v FROM ip WHERE v <> 255)
+SELECT gid, count(v) AS count, ROUND(stddev_pop(v), 3) AS stddev FROM sh GROUP BY gid""")
+def q_merge_partials_offset(spark, sf):
+    """Large offsets: merged standard deviations equal the single pass."""
+    t, spec = tiles_a(spark, sf)
+    far = t.withColumn("data", F.transform("data", lambda x: F.when(x == F.col("nodata"), x).otherwise(x + 1e9)))
+    parts = zonal.zonal_partials(P.assign_parts(far, 3), fx.zones_tracts(spark, sf), spec)
+    m = zonal.merge_partials(parts, ["gid"]).where("count > 0")
+    return m.select("gid", "count", F.round("stddev", 3).alias("stddev"))
+
+
 # ------------------------------------------------------------ F: coordinates and names
 
 
@@ -785,33 +891,3 @@ def q_pixel_to_world(spark, sf):
     p = _points(spark, sf)
     x, y = C.snap_to_pixel(F.col("x"), F.col("y"), -180.0, 90.0, 0.25)
     return p.select("c_custkey", x.alias("x"), y.alias("y"))
-
-
-@query("parse_table_name", "WITH " + O.CELLS_A + ", " + ", ".join(
-    tiles_text_sql("cells_a", t, W, f"t{t}") for t in _MULTI) + ",\nnames AS (" + "\nUNION ALL ".join(
-    f"SELECT DISTINCT 'cells_a_{t}' AS table_name FROM t{t}" for t in _MULTI) + """)
-SELECT table_name, regexp_extract(table_name, '^(.*)_([^_]+)$', 1) AS dataset,
-       regexp_extract(table_name, '^(.*)_([^_]+)$', 2) AS tilesize FROM names""")
-def q_parse_table_name(spark, sf):
-    spec = fx.spec_a(spark, sf)
-    t = tile_raster_multi(fx.cells_a(spark, sf), spec, _MULTI, name="cells_a")
-    n = t.select("table_name").distinct()
-    return n.select("table_name", C.dataset_of(F.col("table_name")).alias("dataset"),
-                    C.tilesize_of(F.col("table_name")).alias("tilesize"))
-
-
-@query("run_matrix", "WITH " + O.CELLS_A + ", " + ", ".join(
-    tiles_text_sql("cells_a", t, W, f"t{t}") for t in _MULTI) + ",\nnames AS (" + "\nUNION ALL ".join(
-    f"SELECT DISTINCT 'cells_a_{t}' AS table_name FROM t{t}" for t in _MULTI) + """),
-b AS (SELECT unnest(['states', 'regions', 'counties', 'tracts']) AS bnd)
-SELECT table_name AS raster_table, regexp_extract(table_name, '^(.*)_([^_]+)$', 1) AS dataset,
-       regexp_extract(table_name, '^(.*)_([^_]+)$', 2) AS tilesize,
-       CASE WHEN contains(regexp_extract(table_name, '^(.*)_([^_]+)$', 1), 'nlcd') THEN bnd || '_prj' ELSE bnd END AS boundary_table,
-       CASE WHEN contains(regexp_extract(table_name, '^(.*)_([^_]+)$', 1), 'glc_2000_clipped') THEN 16
-            WHEN contains(regexp_extract(table_name, '^(.*)_([^_]+)$', 1), 'meris_2015_clipped') THEN 100
-            WHEN contains(regexp_extract(table_name, '^(.*)_([^_]+)$', 1), 'nlcd_2006') THEN 21 END AS pixel_value
-FROM names, b""")
-def q_run_matrix(spark, sf):
-    spec = fx.spec_a(spark, sf)
-    t = tile_raster_multi(fx.cells_a(spark, sf), spec, _MULTI, name="cells_a")
-    return P.run_matrix(t.select("table_name").distinct())

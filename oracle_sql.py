@@ -32,15 +32,21 @@ CELLS_F = """cells_f AS (
   FROM embeddings, generate_series(1, len(embedding)) AS g(i))"""
 
 
+#: Raster A's height, as in its header.
+HEIGHT_A = "(SELECT max(o_orderkey) // 100 + 1 FROM orders)"
+STRETCH = f"(CAST({HEIGHT_A} AS DOUBLE) / {D(150.0)})"
+
+
 def _diamond_edges(name: str, src: str, gid: str, nm: str, fp: str, cx: str, cy: str,
-                   rx: float, ry: float) -> str:
+                   rx: float, ry: float, stretch: str | None = None) -> str:
     verts = f"""{name}_z AS (
   SELECT CAST({gid} AS BIGINT) AS gid, {nm} AS name, CAST({fp} AS INTEGER) AS statefp,
          CAST({cx} AS DOUBLE) AS cx, CAST({cy} AS DOUBLE) AS cy FROM {src})"""
+    dy = f"{D(ry)} * {stretch}" if stretch else D(ry)
     W = (wx(f"cx - {D(rx)}"), wy("cy"))
-    N = (wx("cx"), wy(f"cy - {D(ry)}"))
+    N = (wx("cx"), wy(f"cy - {dy}"))
     E = (wx(f"cx + {D(rx)}"), wy("cy"))
-    S = (wx("cx"), wy(f"cy + {D(ry)}"))
+    S = (wx("cx"), wy(f"cy + {dy}"))
     parts = []
     for a, b in ((W, N), (N, E), (E, S), (S, W)):
         parts.append(f"SELECT gid, name, statefp, {a[0]} AS x1, {a[1]} AS y1, {b[0]} AS x2, {b[1]} AS y2 FROM {name}_z")
@@ -48,7 +54,8 @@ def _diamond_edges(name: str, src: str, gid: str, nm: str, fp: str, cx: str, cy:
 
 
 EDGES_STATES = _diamond_edges("edges_states", "nation", "n_nationkey", "n_name", "n_regionkey",
-                              "10 + 20 * (n_nationkey % 5)", "15 + 30 * (n_nationkey // 5)", 9.25, 13.25)
+                              "10 + 20 * (n_nationkey % 5)", f"CAST(15 + 30 * (n_nationkey // 5) AS DOUBLE) * {STRETCH}",
+                              9.25, 13.25, STRETCH)
 EDGES_TRACTS = _diamond_edges("edges_tracts", "supplier", "s_suppkey", "s_name", "s_nationkey",
                               "5 + 10 * (s_suppkey % 10)",
                               f"{D(7.25)} + {D(15.0)} * CAST(s_suppkey // 10 AS DOUBLE)", 4.3, 6.9)
@@ -57,7 +64,7 @@ EDGES_TRACTS = _diamond_edges("edges_tracts", "supplier", "s_suppkey", "s_name",
 def _rect_edges() -> str:
     x0 = f"({D(20.0)} * CAST(r_regionkey AS DOUBLE) + {D(0.25)})"
     x1 = f"({D(20.0)} * CAST(r_regionkey AS DOUBLE) + {D(19.75)})"
-    y0, y1 = D(-1.0), D(1501.0)
+    y0, y1 = D(-1.0), f"(CAST({HEIGHT_A} AS DOUBLE) + {D(1.0)})"
     a, b, c, d = (x0, y0), (x1, y0), (x1, y1), (x0, y1)
     parts = []
     for p, q in ((a, b), (b, c), (c, d), (d, a)):

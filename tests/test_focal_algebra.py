@@ -27,10 +27,10 @@ def test_focal_tile_vs_mosaic(spark):
     vals = [[(x * 7 + y) % 13 for x in range(9)] for y in range(7)]
     t3, _ = raster(spark, vals, 3)
     t9, _ = raster(spark, vals, 9)
-    m3 = _cells(focal(t3, "sum", 1, 1, scope="mosaic", pixel_type=None))
-    m9 = _cells(focal(t9, "sum", 1, 1, scope="mosaic", pixel_type=None))
+    m3 = _cells(focal(t3, "sum", 1, 1, scope="mosaic", pixel_type=None, nodata=-1))
+    m9 = _cells(focal(t9, "sum", 1, 1, scope="mosaic", pixel_type=None, nodata=-1))
     assert m3 == m9                       # mosaic does not depend on tiling
-    s9 = _cells(focal(t9, "sum", 1, 1, scope="tile", pixel_type=None))
+    s9 = _cells(focal(t9, "sum", 1, 1, scope="tile", pixel_type=None, nodata=-1))
     assert m3 == s9                       # one tile = the whole raster
 
 
@@ -44,8 +44,8 @@ def test_focal_shrink_edges(spark):
 def test_focal_udf_per_window_matches_builtin(spark):
     vals = [[(x * 5 + y * 3) % 11 for x in range(8)] for y in range(6)]
     t, _ = raster(spark, vals, 4)
-    a = _cells(focal(t, "max", 1, 1, scope="mosaic", pixel_type=None))
-    b = _cells(focal_udf(t, lambda w: float(np.nanmax(w)), 1, 1, scope="mosaic"))
+    a = _cells(focal(t, "max", 1, 1, scope="mosaic", pixel_type=None, nodata=-1))
+    b = _cells(focal_udf(t, lambda w: float(np.nanmax(w)), 1, 1, scope="mosaic", nodata=-1))
     assert a == b
 
 

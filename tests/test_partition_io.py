@@ -81,12 +81,3 @@ def test_analyze_catalog_table(spark, scratch):
     io.analyze(spark, "t_analyze")
     stats = spark.sql("DESCRIBE TABLE EXTENDED t_analyze").where("col_name = 'Statistics'").collect()
     assert stats and "4 rows" in stats[0]["data_type"]
-
-
-def test_run_matrix_rules(spark):
-    names = spark.createDataFrame([("glc_2000_clipped_50",), ("nlcd_2006_100",)], "table_name string")
-    rows = {(r["raster_table"], r["boundary_table"]): (r["dataset"], r["tilesize"], r["pixel_value"])
-            for r in P.run_matrix(names).collect()}
-    assert rows[("glc_2000_clipped_50", "states")] == ("glc_2000_clipped", "50", 16)
-    assert rows[("nlcd_2006_100", "tracts_prj")] == ("nlcd_2006", "100", 21)
-    assert len(rows) == 8

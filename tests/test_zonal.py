@@ -114,8 +114,8 @@ def test_zonal_plan_has_no_cartesian(spark):
 
 
 def test_merge_partials_skips_null_min(spark):
-    p = spark.createDataFrame([(0, 1, None, None, 0, None, None), (1, 1, 2.0, 5.0, 3, 10.0, 38.0)],
-                              "node int, gid long, min double, max double, count long, sum double, sumsq double")
+    p = spark.createDataFrame([(0, 1, None, None, 0, None, None), (1, 1, 2.0, 5.0, 3, 10.0, 38.0 - 100.0 / 3)],
+                              "node int, gid long, min double, max double, count long, sum double, m2 double")
     (r,) = merge_partials(p, ["gid"]).collect()
     assert (r["min"], r["max"], r["count"], r["sum"]) == (2.0, 5.0, 3, 10.0)
 

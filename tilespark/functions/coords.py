@@ -95,8 +95,3 @@ def class_of(dataset: Column, classes: dict[str, int]) -> Column:
 def table_name(dataset: Column, tile_size: Column) -> Column:
     """``"%s_%s" % (dataset, tile_size)``."""
     return F.concat_ws("_", dataset, tile_size.cast("string"))
-
-
-# Target class per dataset family and its reclass value.
-DATASET_CLASSES = {"glc_2000_clipped": 16, "meris_2015_clipped": 100, "nlcd_2006": 21}
-RECLASS_NEW = 1

@@ -44,11 +44,15 @@ def clamp_to_type_col(v: Column, pixel_type: Column) -> Column:
     return F.when(v.isNull(), F.lit(None).cast("double")).when(lohi.isNull(), as_float).otherwise(as_int)
 
 
-def zip_cells(a: str, b: str, expr: str | CellExpr) -> Column:
+def zip_cells(a: str, b: str, expr: str | CellExpr, finish: Callable[[Column, Column, Column], Column] | None = None) -> Column:
     """Apply a cell expression pairwise to two equal-length array
     columns.  ``expr`` is a Python function of two Columns, or Spark SQL text
-    over ``rast1``/``rast2`` (``[rast1]`` accepted), parsed by Spark itself."""
+    over ``rast1``/``rast2`` (``[rast1]`` accepted), parsed by Spark itself.
+    ``finish(x, y, result)`` makes the cell's final value."""
     if callable(expr):
-        return F.zip_with(a, b, expr)
+        return F.zip_with(a, b, lambda x, y: finish(x, y, expr(x, y)) if finish else expr(x, y))
     body = expr.replace("[rast1]", "rast1").replace("[rast2]", "rast2")
-    return F.expr(f"zip_with(`{a}`, `{b}`, (rast1, rast2) -> {body})")
+    if not finish:
+        return F.expr(f"zip_with(`{a}`, `{b}`, (rast1, rast2) -> {body})")
+    cells = F.expr(f"zip_with(`{a}`, `{b}`, (rast1, rast2) -> struct(rast1 as x, rast2 as y, {body} as r))")
+    return F.transform(cells, lambda c: finish(c["x"], c["y"], c["r"]))

@@ -19,7 +19,6 @@ TILE_COLUMNS = [
     "rid", "filename", "srid", "tile_col", "tile_row", "px0", "py0", "ulx", "uly",
     "scale_x", "scale_y", "width", "height", "pixel_type", "nodata", "data",
 ]
-TILE_KEY_COLUMNS = [c for c in TILE_COLUMNS if c != "data"]
 
 POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 RINGS = T.ArrayType(T.ArrayType(POINT))

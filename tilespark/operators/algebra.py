@@ -29,7 +29,8 @@ def map_algebra(a: DataFrame, b: DataFrame, expr: str | CellExpr, pixel_type: st
 
     A cell that is NoData in either input is NoData in the output; results
     are forced into ``pixel_type``.  The output NoData is ``nodata``, else the
-    first input's, else the second's.
+    first input's, else the second's.  Tiles that share a key but not the SRID,
+    pixel size or origin fail the query: such rasters are not aligned.
     """
     if a is b:
         return _self_algebra(a, expr, pixel_type, nodata)
@@ -37,22 +38,22 @@ def map_algebra(a: DataFrame, b: DataFrame, expr: str | CellExpr, pixel_type: st
                             & (F.col("a_tile_row") == F.col("b_tile_row")))
     w = F.least("a_width", "b_width")
     h = F.least("a_height", "b_height")
-    j = j.withColumns({"width": w, "height": h})
-    idx = F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)
+    j = _check_aligned(j).withColumns({"width": w, "height": h})
 
     def take(p: str):
-        return let(F.col(p + "data"), lambda d: F.transform(idx, lambda i: d[
-            F.floor(i / F.col("width")).cast("int") * F.col(p + "width") + i % F.col("width")]))
+        """The pixels both tiles have: the first rows, cut only where the widths differ."""
+        own = F.col(p + "width")
+        rows = F.sequence(F.lit(0), F.col("height") - 1)
+        return let(F.col(p + "data"), lambda d: F.when(own == F.col("width"), F.slice(d, F.lit(1), F.col("width") * F.col("height")))
+                   .otherwise(F.flatten(F.transform(rows, lambda r: F.slice(d, r * own + 1, F.col("width"))))))
 
     j = j.withColumns({"_a": take("a_"), "_b": take("b_")})
-    j = j.withColumn("_r", zip_cells("_a", "_b", expr))
     nd_out = F.lit(nodata).cast("double") if nodata is not None else F.coalesce("a_nodata", "b_nodata")
     j = j.withColumn("nodata", nd_out)
     nda, ndb = F.col("a_nodata"), F.col("b_nodata")
     # NoData in either input -> NoData; else the result forced into the type
-    data = F.zip_with(F.zip_with("_a", "_b", lambda x, y: F.struct(x.alias("a"), y.alias("b"))), "_r",
-                      lambda ab, r: F.when((nda.isNotNull() & (ab["a"] == nda)) | (ndb.isNotNull() & (ab["b"] == ndb)),
-                                           F.col("nodata")).otherwise(clamp_to_type(r, pixel_type)))
+    data = zip_cells("_a", "_b", expr, lambda x, y, r: F.when(
+        (nda.isNotNull() & (x == nda)) | (ndb.isNotNull() & (y == ndb)), F.col("nodata")).otherwise(clamp_to_type(r, pixel_type)))
     return j.select(
         F.col("a_rid").alias("rid"), F.col("a_filename").alias("filename"), F.col("a_srid").alias("srid"),
         F.col("a_tile_col").alias("tile_col"), F.col("a_tile_row").alias("tile_row"),
@@ -61,6 +62,16 @@ def map_algebra(a: DataFrame, b: DataFrame, expr: str | CellExpr, pixel_type: st
         "width", "height", F.lit(pixel_type).alias("pixel_type"), "nodata", data.alias("data"))
 
 
+def _check_aligned(j: DataFrame) -> DataFrame:
+    """Fails the query at the first pair of tiles whose headers do not fit (row by
+    row, no extra job): SRID, pixel size, origin, and block size inside the raster."""
+    same = F.lit(True)
+    for c in ("srid", "scale_x", "scale_y", "ulx", "uly", "px0", "py0"):
+        same = same & F.col("a_" + c).eqNullSafe(F.col("b_" + c))
+    return j.where(F.when(same, F.lit(True)).otherwise(
+        F.raise_error(F.lit("rasters are not aligned: SRID, pixel size, origin or tile size differ")).cast("boolean")))
+
+
 def _self_algebra(a: DataFrame, expr, pixel_type: str, nodata: float | None) -> DataFrame:
     """A raster with itself: every tile pairs only with itself, so the cell
     expression is a per-tile ``zip_with`` and no join or shuffle is needed."""

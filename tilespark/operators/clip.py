@@ -6,9 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilespark.functions.arrays import let
+from tilespark.functions.coords import window_size
 from tilespark.model import TILE_COLUMNS, RasterSpec
 from tilespark.operators.zones import span_pieces, zone_spans
-from tilespark.sources.tiling import retile
+from tilespark.sources.tiling import assemble, retile
 
 
 def layer_extent(zones: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def extent_window(zones: DataFrame, spec: RasterSpec) -> DataFrame:
     r0 = ((F.lit(spec.uly) - F.col("ymax")) / F.lit(sy)).cast("int")
     c1 = ((F.col("xmax") - F.lit(spec.ulx)) / F.lit(spec.scale_x)).cast("int")
     r1 = ((F.lit(spec.uly) - F.col("ymin")) / F.lit(sy)).cast("int")
-    return e.select(c0.alias("c0"), r0.alias("r0"), F.abs(c1 - c0).alias("w"), F.abs(r1 - r0).alias("h"))
+    return e.select(c0.alias("c0"), r0.alias("r0"), window_size(c0, c1).alias("w"), window_size(r0, r1).alias("h"))
 
 
 def clip_to_extent(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, nodata: float = -999.0,
@@ -69,12 +71,15 @@ def clip_cells(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, keep=None)
                     (F.col("tile_row") * spec.tile_h + F.col("r")).cast("int").alias("py"), "v")
 
 
-def clip_to_zones(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, keep=None) -> DataFrame:
+def clip_to_zones(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, keep=None, nodata: float | None = None) -> DataFrame:
     """Per zone and tile, the tile cropped to the zone's pixel box with
     pixels outside the polygon set to NoData: ``(keep..., rid, tile...)``.
 
     The spans of one (zone, tile) are gathered (bounded by the tile height
-    times the crossings per row) and the crop is rebuilt with array functions.
+    times the crossings per row) and become the crop's stretches; what lies
+    between them is filled, so the work is linear in spans and pixels.  A
+    raster without a NoData value needs ``nodata``, else the query fails: any
+    value taken on its own could be a pixel's.
     """
     keep = list(keep) if keep is not None else ["gid", "name"]
     p = span_pieces(zone_spans(zones, spec, keep), spec, keep)
@@ -86,22 +91,21 @@ def clip_to_zones(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, keep=Non
     j = j.withColumns({"r1": F.least(F.col("r1"), F.col("height") - 1),
                        "k1": F.least(F.col("k1"), F.col("width"))}).where(
         (F.col("r0") <= F.col("r1")) & (F.col("k0") < F.col("k1")))
-    j = j.withColumns({"_cw": F.col("k1") - F.col("k0"), "_ch": F.col("r1") - F.col("r0") + 1})
-    cw = F.col("_cw")
+    j = j.withColumns({"_cw": F.col("k1") - F.col("k0"), "_ch": F.col("r1") - F.col("r0") + 1,
+                       "nodata": F.coalesce("nodata", F.lit(nodata).cast("double"))})
+    spans = F.filter("spans", lambda s: (s["r"] < F.col("height")) & (s["lc0"] < F.col("width")))
 
-    def cell(i):
-        r = F.col("r0") + F.floor(i / cw).cast("int")
-        c = F.col("k0") + (i % cw).cast("int")
-        hit = F.exists("spans", lambda s: (s["r"] == r) & (s["lc0"] <= c) & (c < s["lc1"]))
-        return F.when(hit, F.col("data")[r * F.col("width") + c]).otherwise(F.coalesce("nodata", F.lit(0.0)))
+    def stretch(d, s):
+        return F.struct(((s["r"] - F.col("r0")) * F.col("_cw") + s["lc0"] - F.col("k0")).alias("pos"),
+                        F.slice(d, s["r"] * F.col("width") + s["lc0"] + 1, F.least(s["lc1"], F.col("width")) - s["lc0"]).alias("v"))
 
     # ``data`` and ``spans`` come out of a join here, so they are plain
     # attributes; the crop is computed before any column is renamed.
-    j = j.withColumn("_crop", F.transform(F.sequence(F.lit(0), cw * F.col("_ch") - 1), cell))
+    crop = let(F.col("data"), lambda d: assemble(F.transform(spans, lambda s: stretch(d, s)), F.col("_cw") * F.col("_ch"), F.col("nodata")))
+    j = j.withColumn("_crop", crop)
     return j.select(
         *keep, "rid", "filename", "srid", "tile_col", "tile_row",
         (F.col("px0") + F.col("k0")).alias("px0"), (F.col("py0") + F.col("r0")).alias("py0"),
         (F.col("ulx") + F.col("k0") * F.col("scale_x")).alias("ulx"),
         (F.col("uly") + F.col("r0") * F.col("scale_y")).alias("uly"), "scale_x", "scale_y",
-        F.col("_cw").alias("width"), F.col("_ch").alias("height"), "pixel_type",
-        F.coalesce("nodata", F.lit(0.0)).alias("nodata"), F.col("_crop").alias("data"))
+        F.col("_cw").alias("width"), F.col("_ch").alias("height"), "pixel_type", "nodata", F.col("_crop").alias("data"))

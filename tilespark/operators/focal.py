@@ -3,9 +3,10 @@
 ``scope='tile'`` reproduces the reference: every tile is its own raster, so
 windows stop at tile borders (one select, no shuffle).  ``scope='mosaic'``
 uses neighbours across tiles through a halo exchange: each tile sends only
-the border strips its 8 neighbours need (``nx``/``ny`` pixels wide), so the
-shuffle moves one copy of each tile plus its perimeter, not 9 copies of
-every pixel.  Each group is one tile plus strips: bounded.
+the border strips its neighbours need (``nx``/``ny`` pixels wide; a window
+wider than a tile reaches as many rings of tiles as it covers), so the shuffle
+moves one copy of each tile plus its perimeter, not 9 copies of every pixel.
+Each group is one tile plus strips: bounded.
 
 Window cells that are NoData are ignored; a window with no counted cell
 gives NoData.  ``edge='nodata'``: pixels whose full window is not available
@@ -32,6 +33,7 @@ from tilespark.functions.arrays import let
 from tilespark.functions.pixels import clamp_to_type, clamp_to_type_col
 from tilespark.model import PIXEL_RANGES, TILE_COLUMNS
 
+NO_NODATA = "a pixel has no focal result and the raster declares no NoData: pass nodata="
 BUILTIN = ("mean", "sum", "min", "max", "count")
 
 
@@ -107,19 +109,27 @@ def _focal_from_padded(df: DataFrame, fn: str, nx: int, ny: int, edge: str,
             v = clamp_to_type_col(v, F.col("pixel_type"))
         elif pixel_type is not None:
             v = clamp_to_type(v, pixel_type)
-        v = F.coalesce(v, nod)
+        none = F.when(nod.isNull(), F.raise_error(F.lit(NO_NODATA)).cast("double")).otherwise(nod)
         if edge == "nodata":
-            v = F.when(x["full"], v).otherwise(nod)
-        return v
+            v = F.when(x["full"], v)
+        return F.when(v.isNull(), none).otherwise(v)
 
     df = df.withColumn("data", F.transform("_red", final))
     return df.select(*TILE_COLUMNS)
 
 
+def _declared(tiles: DataFrame, nodata: float | None) -> DataFrame:
+    return tiles if nodata is None else tiles.withColumn("nodata", F.coalesce("nodata", F.lit(float(nodata))))
+
+
 def focal(tiles: DataFrame, fn: str = "mean", nx: int = 1, ny: int = 1, scope: str = "tile",
-          edge: str = "nodata", pixel_type: str | None = "input", engine: str = "numpy") -> DataFrame:
+          edge: str = "nodata", pixel_type: str | None = "input", engine: str = "numpy",
+          nodata: float | None = None) -> DataFrame:
     """Focal ``fn`` over a ``(2nx+1) x (2ny+1)`` window.
 
+    Pixels without a result become the tile's NoData, or ``nodata`` where the
+    raster declares none; with neither such a pixel fails the query.
+
     ``pixel_type='input'`` forces results back into each tile's own pixel
     type (the reference passes a NULL type); ``None`` keeps doubles; any
     other name forces that type.
@@ -128,11 +138,14 @@ def focal(tiles: DataFrame, fn: str = "mean", nx: int = 1, ny: int = 1, scope: s
         raise ValueError(f"use focal_udf for {fn!r}")
     if scope not in ("tile", "mosaic"):
         raise ValueError(scope)
+    tiles = _declared(tiles, nodata)
     if engine == "numpy":
         return _focal_arrow(tiles, ("builtin", fn), nx, ny, scope, edge, pixel_type)
     if scope == "tile":
         t = tiles.select(*TILE_COLUMNS).withColumn("_pad", _padded(nx, ny, neighbours=False))
     else:
+        if max(_rings(tiles, nx, ny)) > 1:
+            raise ValueError("a window wider than a tile needs engine='numpy'")
         t = halo_groups(tiles, nx, ny)
         # own tile and the 8 neighbour pieces in a fixed order (null: no neighbour)
         t = t.withColumn("_p", F.transform(F.sequence(F.lit(0), F.lit(8)), lambda k: F.try_element_at(
@@ -142,47 +155,61 @@ def focal(tiles: DataFrame, fn: str = "mean", nx: int = 1, ny: int = 1, scope: s
     return _focal_from_padded(t, fn, nx, ny, edge, pixel_type)
 
 
+def _block_size(tiles: DataFrame) -> tuple[int, int]:
+    """Pixels of a full tile: one aggregate row over the key columns."""
+    r = tiles.agg(F.max("width"), F.max("height")).first()
+    return r[0] or 1, r[1] or 1
+
+
+def _rings(tiles: DataFrame, nx: int, ny: int) -> tuple[int, int]:
+    """How many tiles a window reaches to each side."""
+    tw, th = _block_size(tiles)
+    return -(-nx // tw), -(-ny // th)
+
+
 def halo_groups(tiles: DataFrame, nx: int, ny: int) -> DataFrame:
-    """Each tile plus the border strips of its 8 neighbours on the tile key:
-    ``(tile columns but data..., pieces)``; a piece is ``(k, bw, bh, block)`` with
-    ``k = (dy+1)*3 + (dx+1)`` the sender's position relative to the target
-    tile (4 = the tile itself).
-
-    Only the strips move: they are grouped per target tile (each group holds
-    at most 8 strips) and joined to the tile table on its key, so a table
-    bucketed on the key is not shuffled at all."""
+    """Each tile plus the strips that its neighbours give, on the tile key:
+    ``(tile columns but data..., pieces)``; a piece is ``(k, x0, y0, bw, bh,
+    block)`` with the raster position of its first pixel, and ``k = (dy+1)*3 +
+    (dx+1)`` the sender's place next to the target tile (4 = the tile itself,
+    -1 = farther away).
+
+    Only the strips move: they are grouped per target tile (a bounded group,
+    as many strips as the window reaches tiles) and joined to the tile table on
+    its key, so a table bucketed on the key is not shuffled at all."""
     strips = _halo_strips(tiles, nx, ny)
     meta = [c for c in TILE_COLUMNS if c != "data"]
-    own = F.struct(F.lit(4).alias("k"), F.col("width").alias("bw"), F.col("height").alias("bh"),
-                   F.col("data").alias("block"))
-    t = tiles.select(*meta, own.alias("_own"))
+    t = tiles.select(*meta, _own_piece().alias("_own"))
     j = t.join(strips, ["tile_col", "tile_row"], "left")
     none = F.array().cast(strips.schema["pieces"].dataType)
     return j.select(*meta, F.concat(F.array("_own"), F.coalesce("pieces", none)).alias("pieces"))
 
 
+def _own_piece() -> Column:
+    return F.struct(F.lit(4).alias("k"), F.col("px0").alias("x0"), F.col("py0").alias("y0"), F.col("width").alias("bw"),
+                    F.col("height").alias("bh"), F.col("data").alias("block"))
+
+
 def _halo_strips(tiles: DataFrame, nx: int, ny: int) -> DataFrame:
     w, h = F.col("width"), F.col("height")
-    offs = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dx, dy) != (0, 0)]
-    items = []
-    for dx, dy in offs:
-        # the part of this tile that its neighbour at (dx, dy) needs
-        cs = w - nx if dx == 1 else F.lit(0)
-        ce = F.lit(nx) if dx == -1 else w
-        rs = h - ny if dy == 1 else F.lit(0)
-        re = F.lit(ny) if dy == -1 else h
-        items.append(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"),
-                              F.greatest(cs, F.lit(0)).alias("cs"), F.least(ce, w).alias("ce"),
-                              F.greatest(rs, F.lit(0)).alias("rs"), F.least(re, h).alias("re")))
-    t = tiles.select("tile_col", "tile_row", "width", "data", F.explode(F.array(*items)).alias("o"))
-    block = let(F.col("data"), lambda d: F.flatten(F.transform(
-        F.sequence(F.col("o.rs"), F.col("o.re") - 1),
-        lambda r: F.slice(d, r * F.col("width") + F.col("o.cs") + 1, F.col("o.ce") - F.col("o.cs")))))
-    k = (F.lit(1) - F.col("o.dy")) * 3 + (F.lit(1) - F.col("o.dx"))
-    p = t.select((F.col("tile_col") + F.col("o.dx")).alias("tile_col"),
-                 (F.col("tile_row") + F.col("o.dy")).alias("tile_row"),
-                 F.struct(k.alias("k"), (F.col("o.ce") - F.col("o.cs")).alias("bw"),
-                          (F.col("o.re") - F.col("o.rs")).alias("bh"), block.alias("block")).alias("piece"))
+    tw, th = _block_size(tiles)
+    kx, ky = -(-nx // tw), -(-ny // th)
+    offs = [(dx, dy) for dy in range(-ky, ky + 1) for dx in range(-kx, kx + 1) if (dx, dy) != (0, 0)]
+
+    def strip(d, dx, dy):
+        # the part of this tile that the tile at (dx, dy) from it needs
+        cs, ce = F.greatest(F.lit(dx * tw - nx), F.lit(0)), F.least(F.lit((dx + 1) * tw + nx), w)
+        rs, re = F.greatest(F.lit(dy * th - ny), F.lit(0)), F.least(F.lit((dy + 1) * th + ny), h)
+        some = (ce > cs) & (re > rs)
+        block = F.when(some, F.flatten(F.transform(F.sequence(rs, re - 1), lambda r: F.slice(d, r * w + cs + 1, ce - cs))))
+        k = (1 - dy) * 3 + (1 - dx) if max(abs(dx), abs(dy)) == 1 else -1
+        return F.struct((F.col("tile_col") + dx).alias("tile_col"), (F.col("tile_row") + dy).alias("tile_row"),
+                        F.struct(F.lit(k).alias("k"), (F.col("px0") + cs).alias("x0"), (F.col("py0") + rs).alias("y0"),
+                                 (ce - cs).alias("bw"), (re - rs).alias("bh"), block.alias("block")).alias("piece"))
+
+    # all strips are cut before the explode, so its rows carry a strip each and no tile
+    strips = let(F.col("data"), lambda d: F.array(*[strip(d, dx, dy) for dx, dy in offs]))
+    p = tiles.select(F.explode(strips).alias("s")).select("s.*").where(F.col("piece.block").isNotNull())
     return p.groupBy("tile_col", "tile_row").agg(F.collect_list("piece").alias("pieces"))
 
 
@@ -190,7 +217,7 @@ def _halo_strips(tiles: DataFrame, nx: int, ny: int) -> DataFrame:
 
 def focal_udf(tiles: DataFrame, func: Callable[[np.ndarray], np.ndarray | float], nx: int = 1, ny: int = 1,
               scope: str = "tile", edge: str = "nodata", vectorized: bool = False,
-              pixel_type: str | None = None) -> DataFrame:
+              pixel_type: str | None = None, nodata: float | None = None) -> DataFrame:
     """A user neighbourhood function.  With ``vectorized=True`` it gets
     every window of a tile at once, an ``(n, (2ny+1)*(2nx+1))`` float array,
     and returns ``n`` values; otherwise it is called per window with a
@@ -198,7 +225,7 @@ def focal_udf(tiles: DataFrame, func: Callable[[np.ndarray], np.ndarray | float]
     None result becomes NoData.  Runs in ``mapInArrow`` on whole tiles;
     ``scope='mosaic'`` first adds the halo from neighbours."""
     _ship_by_value(func)
-    return _focal_arrow(tiles, ("vectorized" if vectorized else "python", func), nx, ny, scope, edge, pixel_type)
+    return _focal_arrow(_declared(tiles, nodata), ("vectorized" if vectorized else "python", func), nx, ny, scope, edge, pixel_type)
 
 
 def _bound_arrow_batches(spark) -> None:
@@ -212,9 +239,7 @@ def _focal_arrow(tiles: DataFrame, how, nx: int, ny: int, scope: str, edge: str,
     if scope == "mosaic":
         t = halo_groups(tiles, nx, ny)
     elif scope == "tile":
-        t = tiles.select(*TILE_COLUMNS).withColumn("pieces", F.array(F.struct(
-            F.lit(4).alias("k"), F.col("width").alias("bw"), F.col("height").alias("bh"),
-            F.col("data").alias("block")))).drop("data")
+        t = tiles.select(*TILE_COLUMNS).withColumn("pieces", F.array(_own_piece())).drop("data")
     else:
         raise ValueError(scope)
     _bound_arrow_batches(tiles.sparkSession)
@@ -257,25 +282,24 @@ def _focal_batch(b, kind, func, nx, ny, edge, pixel_type, meta, pa):
     pieces = b.column("pieces")
     p_off = pieces.offsets.to_numpy()
     st = pieces.values
-    ks = st.field("k").to_numpy(zero_copy_only=False)
+    xs, ys = (st.field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0"))
+    px, py = (b.column(c).to_numpy(zero_copy_only=False) for c in ("px0", "py0"))
     bws = st.field("bw").to_numpy(zero_copy_only=False)
     bhs = st.field("bh").to_numpy(zero_copy_only=False)
     blocks = st.field("block")
     b_off = blocks.offsets.to_numpy()
     b_val = blocks.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     wy, wx = 2 * ny + 1, 2 * nx + 1
-    outs, masks, offsets = [], [], [0]
+    outs, offsets = [], [0]
     for i in range(n):
         w, h = int(widths[i]), int(heights[i])
         pad = np.full((h + 2 * ny, w + 2 * nx), np.nan)
         for j in range(p_off[i], p_off[i + 1]):
-            k, bw, bh = int(ks[j]), int(bws[j]), int(bhs[j])
-            if bw * bh == 0:
-                continue
-            dy, dx = k // 3 - 1, k % 3 - 1
-            r0 = ny + (-bh if dy == -1 else (h if dy == 1 else 0))
-            c0 = nx + (-bw if dx == -1 else (w if dx == 1 else 0))
-            pad[r0:r0 + bh, c0:c0 + bw] = b_val[b_off[j]:b_off[j + 1]].reshape(bh, bw)
+            bw, bh = int(bws[j]), int(bhs[j])
+            r0, c0 = int(ys[j] - py[i]) + ny, int(xs[j] - px[i]) + nx
+            block = b_val[b_off[j]:b_off[j + 1]].reshape(bh, bw)
+            part = pad[max(r0, 0):r0 + bh, max(c0, 0):c0 + bw]
+            part[...] = block[max(-r0, 0):, max(-c0, 0):][:part.shape[0], :part.shape[1]]
         avail = ~np.isnan(pad)
         nod = nods[i] if nod_valid[i] else None
         if nod is not None:
@@ -298,14 +322,13 @@ def _focal_batch(b, kind, func, nx, ny, edge, pixel_type, meta, pa):
         pt = ptypes[i] if pixel_type == "input" else pixel_type
         out = _clamp_np(out.ravel(), pt)
         missing = np.isnan(out)
-        if nod is not None:
+        if missing.any():
+            if nod is None:
+                raise ValueError(NO_NODATA)
             out = np.where(missing, nod, out)
-            missing = np.zeros_like(missing)
         outs.append(out)
-        masks.append(missing)
         offsets.append(offsets[-1] + out.size)
-    values = pa.array(np.concatenate(outs) if outs else np.empty(0), type=pa.float64(),
-                      mask=np.concatenate(masks) if masks else None)
+    values = pa.array(np.concatenate(outs) if outs else np.empty(0), type=pa.float64())
     data = pa.ListArray.from_arrays(pa.array(np.asarray(offsets, dtype=np.int32)), values)
     cols = [b.column(c) for c in meta] + [data]
     return pa.RecordBatch.from_arrays(cols, names=meta + ["data"]).select(TILE_COLUMNS)

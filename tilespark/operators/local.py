@@ -50,15 +50,16 @@ def value_counts(tiles: DataFrame, exclude_nodata: bool = True) -> DataFrame:
     return g.select("rid", "value", "count")
 
 
-def pixel_count(tiles: DataFrame, value: float) -> DataFrame:
-    """A4: ``(value, count)`` of pixels equal to ``value`` over the raster.
+def pixel_count(tiles: DataFrame, value: float, by: Sequence[str] = ()) -> DataFrame:
+    """A4: ``(by..., value, count)`` of pixels equal to ``value`` over the raster
+    (or per group of tiles, such as their part).
     Counted per tile with ``size(filter(..))`` (no explode); NoData never
     counts, and a value that never occurs gives no row."""
     v = F.lit(float(value))
     nod = F.col("nodata")
     per_tile = F.when(nod.isNull() | (nod != v), F.size(F.filter("data", lambda x: x == v))).otherwise(0)
-    out = tiles.agg(F.sum(per_tile.cast("long")).alias("count"))
-    return out.where(F.col("count") > 0).select(v.alias("value"), "count")
+    out = tiles.groupBy(*by).agg(F.sum(per_tile.cast("long")).alias("count"))
+    return out.where(F.col("count") > 0).select(*by, v.alias("value"), "count")
 
 
 def remap_nodata(tiles: DataFrame, src: float = -999.0, dst: float = -999.0) -> DataFrame:

@@ -1,5 +1,5 @@
 """Tile-table validation (S10): the checks the reference switches on when it
-adds raster constraints."""
+adds raster constraints, and the invariants of the tile layout."""
 
 from __future__ import annotations
 
@@ -13,33 +13,43 @@ CHECKS = [
     ("num_bands", True), ("pixel_types", True), ("nodata_values", True), ("out_db", True),
     ("extent", False),
 ]
+#: A tile row has one band, stored in the row, so two of the reference's checks
+#: hold by the layout; these take their place.
+LAYOUT_CHECKS = ["array_length", "null_pixels", "tile_position"]
 
 
 def validate_tiles(tiles: DataFrame) -> DataFrame:
-    """``(check, ok, n_values)`` for each enabled constraint.
+    """``(check, ok, n_bad)`` for each check.
 
-    ``n_values`` is the number of distinct values seen (1 when the table is
-    uniform).  Block sizes allow the ragged last column / row.  Alignment:
-    every tile's implied grid origin (``ulx - px0*scale_x``) is the same.
-    Two small aggregates; the pixel column is never read.
+    Uniform columns (``srid`` to ``nodata_values``; block sizes without the ragged
+    last column / row; alignment as the implied grid origin) compare the least
+    and greatest value: ``n_bad`` is 1 if they differ.  The layout checks count
+    tiles whose array is not ``width * height`` long, holds a null, or whose
+    ``rid`` and pixel offset do not fit the tile's place in the grid.  One
+    aggregate over the table and one over its keys; every check of an empty
+    table holds.
     """
     m = tiles.agg(F.max("tile_col").alias("mc"), F.max("tile_row").alias("mr")).first()
-    mc, mr = int(m["mc"]), int(m["mr"])
+    mc, mr = F.lit(m["mc"]).cast("int"), F.lit(m["mr"]).cast("int")
     ox = F.round((F.col("ulx") - F.col("px0") * F.col("scale_x")) / F.col("scale_x"), 6)
     oy = F.round((F.col("uly") - F.col("py0") * F.col("scale_y")) / F.col("scale_y"), 6)
-    a = tiles.agg(
-        F.count_distinct("srid").alias("srid"),
-        F.count_distinct("scale_x").alias("scale_x"),
-        F.count_distinct("scale_y").alias("scale_y"),
-        F.count_distinct(F.when(F.col("tile_col") < mc, F.col("width"))).alias("blocksize_x"),
-        F.count_distinct(F.when(F.col("tile_row") < mr, F.col("height"))).alias("blocksize_y"),
-        F.count_distinct(F.struct(ox, oy)).alias("same_alignment"),
-        F.lit(1).cast("long").alias("num_bands"),
-        F.count_distinct("pixel_type").alias("pixel_types"),
-        F.count_distinct(F.coalesce(F.col("nodata").cast("string"), F.lit("none"))).alias("nodata_values"),
-        F.lit(1).cast("long").alias("out_db"),
-    )
-    enabled = [c for c, on in CHECKS if on]
-    stack = "stack({n}, {items}) as (check, n_values)".format(
-        n=len(enabled), items=", ".join(f"'{c}', cast(`{c}` as bigint)" for c in enabled))
-    return a.selectExpr(stack).select("check", (F.col("n_values") <= 1).alias("ok"), "n_values")
+    uniform = {
+        "srid": F.coalesce(F.col("srid").cast("string"), F.lit("none")),
+        "scale_x": F.col("scale_x"), "scale_y": F.col("scale_y"),
+        "blocksize_x": F.when(F.col("tile_col") < mc, F.col("width")),
+        "blocksize_y": F.when(F.col("tile_row") < mr, F.col("height")),
+        "same_alignment": F.struct(ox, oy),
+        "pixel_types": F.coalesce("pixel_type", F.lit("none")),
+        "nodata_values": F.coalesce(F.col("nodata").cast("string"), F.lit("none")),
+    }
+    ntx = mc.cast("long") + 1
+    bad = {
+        "array_length": F.coalesce(F.size("data") != F.col("width") * F.col("height"), F.lit(True)),
+        "null_pixels": F.exists("data", lambda x: x.isNull()),
+        "tile_position": F.col("rid") != F.col("tile_row") * ntx + F.col("tile_col") + 1,
+    }
+    a = tiles.agg(*[(~F.min(c).eqNullSafe(F.max(c))).cast("long").alias(k) for k, c in uniform.items()],
+                  *[F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(k) for k, c in bad.items()])
+    names = [c for c, on in CHECKS if on and c in uniform] + LAYOUT_CHECKS
+    stack = "stack({n}, {items}) as (check, n_bad)".format(n=len(names), items=", ".join(f"'{c}', `{c}`" for c in names))
+    return a.selectExpr(stack).select("check", (F.col("n_bad") == 0).alias("ok"), "n_bad")

@@ -2,24 +2,24 @@
 of partial results (A5).
 
 Plan of ``zonal_stats``: zone rings -> scanline spans -> spans cut at tile
-borders -> equi-join with the tile table on ``(tile_col, tile_row)`` ->
-each piece is a slice of one tile array -> explode inside the same stage ->
-partial aggregate per zone before the only shuffle on the zone key.  The
-span side is small next to the pixels; AQE turns the join into a broadcast
-when its measured size allows, and one huge zone is spread over all tiles it
-covers because the join key is the tile, not the zone.
+borders -> equi-join with the tile table on ``(tile_col, tile_row)``, read
+once -> moments of every zone, combined inside each task -> one merge per
+zone.  The span side is small next to the pixels; AQE turns the join into a
+broadcast when its measured size allows, and one huge zone is spread over all
+tiles it covers because the join key is the tile, not the zone.  What reaches
+a zone's merge is one row per task, however many tiles or edges the zone has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.model import RasterSpec
 from tilespark.operators.zones import (
-    edge_tile_hits, piece_values, span_pieces, zone_spans,
+    edge_grid_hits, edge_tile_hits, piece_values, span_pieces, zone_spans,
 )
 
 STAT_COLUMNS = ["count", "sum", "mean", "stddev", "min", "max"]
@@ -54,12 +54,17 @@ def zonal_stats(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
     and nulls (``keep_empty``); zones away from the raster give no row, as an
     inner join does.  ``keep_empty=False`` drops the count-0 rows.
 
-    ``engine='numpy'`` (default) gathers the pieces of a tile (a bounded
-    group) and cuts them out of the tile array in ``mapInArrow``, emitting
-    per (tile, zone) moments that Spark merges exactly (Chan's pairwise
-    formula).  ``engine='sql'`` explodes each piece inside the join stage and
-    aggregates in codegen.  Same statistics; measured ~20x less per-pixel
-    work for the numpy engine, so it is the default.
+    A zone is what ``by`` names: rows that differ in a ``by`` column are zones
+    of their own, rows equal in ``gid`` and ``by`` are parts of one zone.  Any
+    column types do.  Null pixels never count; NaN pixels count as Spark's
+    aggregates count them, unless NaN is the declared NoData.
+
+    ``engine='numpy'`` (default) gathers the pieces of a tile and cuts them out
+    of the tile array in ``mapInArrow``; a task combines the moments of all its
+    tiles and Spark merges the tasks' rows exactly (Chan's pairwise formula).
+    ``engine='sql'`` explodes each piece inside the join stage and aggregates
+    in codegen.  Same statistics; at small tiles the engines are alike in
+    speed, the numpy engine gains with pixels per tile.
     """
     by = list(by)
     if engine == "numpy":
@@ -72,7 +77,7 @@ def zonal_stats(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
         # Zones that only graze tiles (no pixel centre inside) still pair with
         # them: one null-valued row each joins the same aggregation (every
         # statistic skips nulls), so no second pass and no anti-join.
-        grazing = edge_tile_hits(tiles, zones, spec, keep, distinct=False).select(*by)
+        grazing = edge_tile_hits(tiles, zones, spec, keep, distinct=False).select(*by).distinct()
         cells = cells.unionByName(grazing.select(*by, F.lit(None).cast("double").alias("nodata"),
                                                  F.lit(None).cast("double").alias("v")))
     v = valid_value(F.col("v"), F.col("nodata"), exclude_nodata)
@@ -102,98 +107,123 @@ def tile_summary(tiles: DataFrame, exclude_nodata: bool = True) -> DataFrame:
 def zonal_partials(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
                    by: Sequence[str] = ("gid", "name")) -> DataFrame:
     """Partial zonal results per part (the per-node results of the
-    reference): ``(part, by..., min, max, count, sum, sumsq)``.  ``tiles``
-    carry a ``part`` column (``plans.partition.assign_parts``)."""
+    reference): ``(part, by..., min, max, count, sum, m2)``, ``m2`` being the sum
+    of squared differences from the part's own mean.  ``tiles`` carry a ``part``
+    column (``plans.partition.assign_parts``)."""
     by = list(by)
     keep = list(dict.fromkeys(["gid", *by]))
     pieces = span_pieces(zone_spans(zones, spec, keep), spec, keep)
-    t = tiles
-    vals = piece_values(pieces, t, keep, tile_cols=["part"])
+    vals = piece_values(pieces, tiles, keep, tile_cols=["part"])
     cells = vals.select("part", *keep, "nodata", F.explode("vals").alias("v"))
     v = valid_value(F.col("v"), F.col("nodata"))
     return cells.groupBy("part", *by).agg(
         F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("count"),
-        F.sum(v).alias("sum"), F.sum(v * v).alias("sumsq"))
+        F.sum(v).alias("sum"), (F.var_pop(v) * F.count(v)).alias("m2"))
 
 
 def merge_partials(partials: DataFrame, by: Sequence[str] = ("gid",)) -> DataFrame:
     """A5: merge partial zonal results.  Null-skipping min/max, summed counts;
-    when ``sum``/``sumsq`` are present mean and stddev merge too."""
+    when ``sum``/``m2`` are present mean and stddev merge too, without squaring
+    raw values.  Partials of a zone are one row per part: bounded."""
+    by = list(by)
+    if "m2" not in partials.columns:
+        return partials.groupBy(*by).agg(F.min("min").alias("min"), F.max("max").alias("max"), F.sum("count").alias("count"))
+    return merge_moments(partials.select(*by, F.col("count").alias("n"), F.col("sum").alias("s"), "m2",
+                                         F.col("min").alias("lo"), F.col("max").alias("hi")), by)
+
+
+def merge_moments(parts: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Merge partial moments ``(n, s, m2, lo, hi)`` per group, pair by pair:
+    ``m2 = m2_a + m2_b + (mean_a - mean_b)^2 * n_a * n_b / (n_a + n_b)``.  One
+    shuffle on ``by``; a group is one row per task or part that saw it."""
     by = list(by)
-    aggs = [F.min("min").alias("min"), F.max("max").alias("max"), F.sum("count").alias("count")]
-    has_sums = "sum" in partials.columns and "sumsq" in partials.columns
-    if has_sums:
-        aggs += [F.sum("sum").alias("sum"), F.sum("sumsq").alias("_sumsq")]
-    m = partials.groupBy(*by).agg(*aggs)
-    if not has_sums:
-        return m
-    mean = F.col("sum") / F.col("count")
-    var = F.greatest(F.col("_sumsq") / F.col("count") - mean * mean, F.lit(0.0))
-    return m.select(*by, "count", "sum",
-                    F.when(F.col("count") > 0, mean).alias("mean"),
-                    F.when(F.col("count") > 0, F.sqrt(var)).alias("stddev"),
-                    "min", "max")
+
+    def pair(a, x):
+        n = a["n"] + x["n"]
+        gap = a["s"] / a["n"] - x["s"] / x["n"]
+        m2 = a["m2"] + x["m2"] + gap * gap * (a["n"].cast("double") * x["n"] / n)
+        return F.struct(n.alias("n"), (a["s"] + x["s"]).alias("s"), m2.alias("m2"))
+
+    one = F.struct("n", F.col("s").cast("double").alias("s"), F.col("m2").cast("double").alias("m2"))
+    g = parts.groupBy(*by).agg(F.collect_list(F.when(F.col("n") > 0, one)).alias("_all"),
+                               F.min("lo").alias("min"), F.max("hi").alias("max"))
+    total = F.aggregate("_all", F.lit(None).cast("struct<n:bigint,s:double,m2:double>"),
+                        lambda a, x: F.when(a.isNull(), x).otherwise(pair(a, x)))
+    g = g.select(*by, total.alias("_t"), "min", "max")
+    n = F.coalesce(F.col("_t.n"), F.lit(0).cast("long"))
+    return g.select(*by, n.alias("count"), F.col("_t.s").alias("sum"), (F.col("_t.s") / F.col("_t.n")).alias("mean"),
+                    F.sqrt(F.col("_t.m2") / F.col("_t.n")).alias("stddev"), "min", "max")
 
 
 # ------------------------------------------------------------ numpy engine
 
-MOMENTS = "gid long, n long, s double, m2 double, lo double, hi double"
+MOMENTS = "_zone long, n long, s double, m2 double, lo double, hi double"
+#: Zones that a task holds before it passes their moments on, and pixels it looks at together.
+ZONES_HELD, PIXELS_AT_ONCE = 100_000, 1 << 22
 
 
 def _zonal_numpy(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, by: list[str],
                  exclude_nodata: bool, keep_empty: bool) -> DataFrame:
     from tilespark.session import bound_arrow_batches, ship_by_value
     bound_arrow_batches(tiles.sparkSession)
-    pieces = span_pieces(zone_spans(zones, spec, ["gid"]), spec, ["gid"])
+    # a number for each zone; nulls are told apart from missing columns
+    zone = F.xxhash64(*[x for c in by for x in (F.col(c), F.col(c).isNull())])
+    z = zones.withColumn("_zone", zone)
+    pieces = span_pieces(zone_spans(z, spec, list(dict.fromkeys(["gid", "_zone"]))), spec, ["_zone"])
+    if keep_empty:
+        # tiles that a zone's edge only touches: no pixels, but the zone meets the raster
+        graze = edge_grid_hits(z, spec, ["_zone"])
+        none = F.lit(0)
+        pieces = pieces.unionByName(graze.select("_zone", "tile_col", "tile_row", F.lit(-1).alias("r"), none.alias("lc0"), none.alias("lc1")))
     per_tile = pieces.groupBy("tile_col", "tile_row").agg(
-        F.collect_list(F.struct("gid", "r", "lc0", "lc1")).alias("pieces"))
+        F.collect_list(F.struct("_zone", "r", "lc0", "lc1")).alias("pieces"))
     t = tiles.select("tile_col", "tile_row", "width", "height", "nodata", "data").join(
         per_tile, ["tile_col", "tile_row"])
     ship_by_value(__name__)
 
     def run(batches):
         import pyarrow as pa
+        held: dict[int, tuple] = {}
+
+        def passed_on():
+            cols = [list(held), *zip(*held.values())]
+            types = [pa.int64(), pa.int64()] + [pa.float64()] * 4
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["_zone", "n", "s", "m2", "lo", "hi"])
+
         for b in batches:
-            yield _moments_batch(b, exclude_nodata, pa)
+            for found in _moments(b, exclude_nodata):
+                for k, *x in zip(*(c.tolist() for c in found)):
+                    held[k] = _merged(held[k], x) if k in held else _merged((0, 0.0, 0.0, None, None), x)
+                if len(held) > ZONES_HELD:
+                    yield passed_on()
+        if held:
+            yield passed_on()
 
-    parts = t.mapInArrow(run, MOMENTS)
-    if keep_empty:
-        graze = edge_tile_hits(tiles, zones, spec, ["gid"], distinct=False).select(
-            "gid", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("m2"),
-            F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"))
-        parts = parts.unionByName(graze)
-    extra = [c for c in by if c != "gid"]
-    if extra:
-        # one attribute row per zone id (a zone stored as several rows must not
-        # multiply its moments)
-        parts = parts.join(zones.select("gid", *extra).dropDuplicates(["gid"]), "gid")
-    out = merge_moments(parts, by)
+    merged = merge_moments(t.mapInArrow(run, MOMENTS), ["_zone"])
+    names = z.select("_zone", *by).distinct()
+    out = names.join(merged, "_zone").select(*by, *STAT_COLUMNS)
     return out if keep_empty else out.where(F.col("count") > 0)
 
 
-def merge_moments(parts: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Merge partial moments ``(n, s, m2, lo, hi)`` per group exactly:
-    ``M2 = sum(m2_i + n_i * (mean_i - mean)^2)`` with the group's mean from a
-    window over the same partitioning, so there is one shuffle on ``by``."""
-    by = list(by)
-    w = Window.partitionBy(*by)
-    n_all = F.sum("n").over(w)
-    s_all = F.sum("s").over(w)
-    dev = F.when(F.col("n") > 0, F.col("s") / F.col("n") - s_all / n_all).otherwise(0.0)
-    p = parts.withColumn("_t", F.col("m2") + F.col("n") * dev * dev)
-    g = p.groupBy(*by).agg(F.sum("n").alias("count"), F.sum("s").alias("_s"), F.sum("_t").alias("_m2"),
-                           F.min("lo").alias("min"), F.max("hi").alias("max"))
-    has = F.col("count") > 0
-    return g.select(*by, "count", F.when(has, F.col("_s")).alias("sum"),
-                    F.when(has, F.col("_s") / F.col("count")).alias("mean"),
-                    F.when(has, F.sqrt(F.col("_m2") / F.col("count"))).alias("stddev"), "min", "max")
-
-
-def _moments_batch(b, exclude_nodata, pa):
-    """One Arrow batch of tiles with their span pieces -> (gid, n, s, m2, lo,
-    hi) per zone.  Every piece of every tile in the batch is cut out of the
-    batch's concatenated pixel buffer in one vectorised pass (no per-tile or
-    per-pixel Python loop), then reduced per zone with ``bincount``."""
+def _merged(a, x):
+    """Moments (n, s, m2, lo, hi) of two sets of pixels; lo and hi follow Spark,
+    where NaN is above all numbers."""
+    n, s, m2, lo, hi = x
+    if not n:
+        return a
+    if not a[0]:
+        return n, s, m2, lo, hi
+    gap = a[1] / a[0] - s / n
+    low = lo if a[3] != a[3] else a[3] if lo != lo else min(a[3], lo)
+    high = hi if hi != hi or a[4] != a[4] and hi != hi else a[4] if a[4] != a[4] else max(a[4], hi)
+    return a[0] + n, a[1] + s, a[2] + m2 + gap * gap * a[0] * n / (a[0] + n), low, high
+
+
+def _moments(b, exclude_nodata):
+    """One Arrow batch of tiles with their pieces -> arrays (zone, n, s, m2, lo,
+    hi), for a bounded number of pixels at a time.  Pieces are cut out of the
+    batch's pixel buffer in one vectorised pass, then reduced per zone."""
     import numpy as np
     W = b.column("width").to_numpy(zero_copy_only=False).astype(np.int64)
     H = b.column("height").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -202,44 +232,42 @@ def _moments_batch(b, exclude_nodata, pa):
     nods = nod_col.fill_null(0.0).to_numpy(zero_copy_only=False)
     data = b.column("data")
     d_off = data.offsets.to_numpy().astype(np.int64)
-    d_val = data.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    null = None
+    if data.values.null_count:
+        null = data.values.is_null().to_numpy(zero_copy_only=False)
+    d_val = data.values.fill_null(0.0).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     pcs = b.column("pieces")
     p_off = pcs.offsets.to_numpy().astype(np.int64)
     st = pcs.values
+    part = slice(p_off[0], p_off[-1])
     ti = np.repeat(np.arange(b.num_rows), np.diff(p_off))      # tile of every piece
-    lo_ = p_off[0]
-    G = st.field("gid").to_numpy(zero_copy_only=False)[lo_:p_off[-1]]
-    R = st.field("r").to_numpy(zero_copy_only=False)[lo_:p_off[-1]].astype(np.int64)
-    A = st.field("lc0").to_numpy(zero_copy_only=False)[lo_:p_off[-1]].astype(np.int64)
-    B = st.field("lc1").to_numpy(zero_copy_only=False)[lo_:p_off[-1]].astype(np.int64)
+    G, R, A, B = (st.field(c).to_numpy(zero_copy_only=False)[part].astype(np.int64) for c in ("_zone", "r", "lc0", "lc1"))
+    zones = np.unique(G)
+    yield (zones, np.zeros(len(zones), np.int64), *(np.zeros(len(zones)) for _ in range(4)))  # met, nothing counted yet
     w, h = W[ti], H[ti]
     B = np.minimum(B, w)
-    ok = (R < h) & (A < B)
+    ok = (R >= 0) & (R < h) & (A < B)
     G, R, A, B, ti, w = G[ok], R[ok], A[ok], B[ok], ti[ok], w[ok]
-    zs = np.unique(G)
     lens = B - A
-    total = int(lens.sum())
-    starts = d_off[ti] + R * w + A
-    idx = np.arange(total) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(starts, lens)
-    vals = d_val[idx]
-    pg = np.repeat(G, lens)
-    if exclude_nodata:
-        nd_null = np.repeat(nod_null[ti], lens)
-        keep = nd_null | (vals != np.repeat(nods[ti], lens))
+    cut = np.searchsorted(np.cumsum(lens), np.arange(PIXELS_AT_ONCE, lens.sum() + PIXELS_AT_ONCE, PIXELS_AT_ONCE))
+    begin = 0
+    for end in np.unique(np.minimum(cut + 1, len(lens))).tolist():
+        k = slice(begin, end)
+        begin = end
+        n_ = lens[k]
+        starts = d_off[ti[k]] + R[k] * w[k] + A[k]
+        idx = np.arange(n_.sum()) - np.repeat(np.cumsum(n_) - n_, n_) + np.repeat(starts, n_)
+        vals, pg = d_val[idx], np.repeat(G[k], n_)
+        keep = np.ones(len(vals), bool) if null is None else ~null[idx]
+        if exclude_nodata:
+            nod = np.repeat(nods[ti[k]], n_)
+            keep &= np.repeat(nod_null[ti[k]], n_) | ~((vals == nod) | np.isnan(vals) & np.isnan(nod))
         vals, pg = vals[keep], pg[keep]
-    inv = np.searchsorted(zs, pg)
-    n = np.bincount(inv, minlength=zs.size)
-    s_ = np.bincount(inv, weights=vals, minlength=zs.size)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        mean = np.where(n > 0, s_ / np.maximum(n, 1), 0.0)
-    m2 = np.bincount(inv, weights=(vals - mean[inv]) ** 2, minlength=zs.size)
-    mn = np.full(zs.size, np.inf)
-    mx = np.full(zs.size, -np.inf)
-    np.minimum.at(mn, inv, vals)
-    np.maximum.at(mx, inv, vals)
-    empty = n == 0
-    return pa.RecordBatch.from_arrays([
-        pa.array(zs.astype(np.int64)), pa.array(n.astype(np.int64)), pa.array(s_.astype(np.float64)),
-        pa.array(m2.astype(np.float64)), pa.array(np.where(empty, 0.0, mn), mask=empty),
-        pa.array(np.where(empty, 0.0, mx), mask=empty),
-    ], names=["gid", "n", "s", "m2", "lo", "hi"])
+        zs, inv = np.unique(pg, return_inverse=True)
+        n = np.bincount(inv, minlength=zs.size)
+        s_ = np.bincount(inv, weights=vals, minlength=zs.size)
+        m2 = np.bincount(inv, weights=(vals - (s_ / np.maximum(n, 1))[inv]) ** 2, minlength=zs.size)
+        mn, mx = np.full(zs.size, np.nan), np.full(zs.size, -np.inf)
+        np.fmin.at(mn, inv, vals)
+        np.maximum.at(mx, inv, vals)
+        yield zs, n, s_, m2, mn, mx

@@ -171,13 +171,10 @@ def tile_keys(tiles: DataFrame) -> DataFrame:
     return tiles.select("rid", "tile_col", "tile_row", "ulx", "uly", "width", "height", "scale_x", "scale_y")
 
 
-def edge_tile_hits(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
-                   keep: Sequence[str], distinct: bool = True) -> DataFrame:
-    """Pairs (keep..., rid) where some ring edge meets the tile footprint.
-
-    Each edge is cut into the tile-row bands it spans; inside one band it
-    covers a short run of tile columns, so candidates stay linear in the edge
-    length.  Candidates are refined by the exact segment/rectangle test."""
+def edge_tile_candidates(zones: DataFrame, spec: RasterSpec, keep: Sequence[str]) -> DataFrame:
+    """``(keep..., x1, y1, x2, y2, tile_col, tile_row)``: the tiles each edge may
+    meet.  An edge is cut into the tile-row bands it spans; inside one band it
+    covers a short run of tile columns, so candidates stay linear in its length."""
     tw, th = spec.tile_w, spec.tile_h
     e = zone_edges(check_srid(zones, spec), keep)
     X1 = (F.col("x1") - F.lit(spec.ulx)) / F.lit(spec.scale_x)
@@ -200,7 +197,27 @@ def edge_tile_hits(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
     c1 = F.least(F.floor(F.greatest(xa, xb) / tw) + 1, F.lit(spec.ntx - 1)).cast("int")
     e = e.withColumns({"_c0": c0, "_c1": c1}).where(F.col("_c0") <= F.col("_c1"))
     e = e.withColumn("tile_col", F.explode(F.sequence("_c0", "_c1")))
-    cand = e.select(*keep, "x1", "y1", "x2", "y2", "tile_col", "tile_row")
+    return e.select(*keep, "x1", "y1", "x2", "y2", "tile_col", "tile_row")
+
+
+def edge_grid_hits(zones: DataFrame, spec: RasterSpec, keep: Sequence[str]) -> DataFrame:
+    """``(keep..., tile_col, tile_row)``: grid tiles that some ring edge meets, from
+    the raster header alone (no tile table is read)."""
+    e = edge_tile_candidates(zones, spec, keep)
+    px0, py0 = F.col("tile_col") * spec.tile_w, F.col("tile_row") * spec.tile_h
+    e = e.select("*", (F.lit(spec.ulx) + px0 * F.lit(spec.scale_x)).alias("ulx"),
+                 (F.lit(spec.uly) + py0 * F.lit(spec.scale_y)).alias("uly"),
+                 F.lit(spec.scale_x).alias("scale_x"), F.lit(spec.scale_y).alias("scale_y"),
+                 F.least(F.lit(spec.tile_w), F.lit(spec.width) - px0).alias("width"),
+                 F.least(F.lit(spec.tile_h), F.lit(spec.height) - py0).alias("height"))
+    return e.where(segment_meets_rect(*_tile_rect())).select(*keep, "tile_col", "tile_row").distinct()
+
+
+def edge_tile_hits(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
+                   keep: Sequence[str], distinct: bool = True) -> DataFrame:
+    """Pairs (keep..., rid) where some ring edge meets the tile footprint:
+    candidates refined by the exact segment/rectangle test."""
+    cand = edge_tile_candidates(zones, spec, keep)
     j = cand.join(tile_keys(tiles), ["tile_col", "tile_row"])
     rx0, rx1, ry0, ry1 = _tile_rect()
     hits = j.where(segment_meets_rect(rx0, rx1, ry0, ry1)).select(*keep, "rid")

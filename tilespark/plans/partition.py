@@ -9,12 +9,13 @@ range (or write per-range outputs) get the same ranges.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilespark.functions.coords import id_slice
 from tilespark.session import checkpoint_dir
 
 
@@ -43,9 +44,14 @@ def partition_raster(tiles: DataFrame, n: int = 2, band: str = "tile_row") -> Da
 
 
 def assign_parts(tiles: DataFrame, n: int = 2, band: str = "tile_row") -> DataFrame:
-    """Tiles with their ``part``: an equi-join on the band key with the
-    band->part table (one row per band)."""
-    return tiles.join(band_parts(tiles, n, band).select(band, "part"), band)
+    """Tiles with their ``part``.  The plan is ``n`` rows, read on the driver, and
+    becomes literal bounds on ``rid``: pixels are not moved, and no part or row
+    of tiles meets in one task."""
+    plan = partition_raster(tiles, n, band).orderBy("part").collect()
+    part = F.lit(None).cast("int")
+    for r in plan:
+        part = F.when(F.col("rid") >= r["min_rid"], F.lit(r["part"])).otherwise(part)
+    return tiles.withColumn("part", part.cast("int"))
 
 
 def row_index(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
@@ -55,11 +61,16 @@ def row_index(df: DataFrame, order: Sequence[str], partitions: int | None = None
     passes see the same rows after an executor loss), count per partition,
     turn the counts (one row per partition) into offsets, and add the local
     position taken from ``monotonically_increasing_id``.  Adds ``_i`` and
-    ``_n`` (total count)."""
+    ``_n`` (total count).  Rows that tie in ``order`` are told apart by a hash of
+    the whole row, which also spreads one frequent key over several ranges;
+    the number of ranges is ``partitions``, else the session's shuffle
+    partitions, coalesced by AQE to the size of the data."""
     spark = df.sparkSession
     checkpoint_dir(spark)
-    p = partitions or spark.sparkContext.defaultParallelism
-    s = (df.repartitionByRange(p, *order).sortWithinPartitions(*order)
+    tie = F.xxhash64(*df.columns).alias("_tie")
+    s = df.withColumn("_tie", tie)
+    s = s.repartitionByRange(partitions, *order, "_tie") if partitions else s.repartitionByRange(*order, "_tie")
+    s = (s.sortWithinPartitions(*order, "_tie").drop("_tie")
          .withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
     s = s.checkpoint(eager=True)
     counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
@@ -94,6 +105,12 @@ def part_groups(df: DataFrame, key: str) -> DataFrame:
                                   F.min(key).alias("first_key"), F.max(key).alias("last_key"))
 
 
+def per_part(tiles: DataFrame, n: int, analytic: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """U1 in one scan: ``analytic`` over tiles that carry their ``part`` (it groups
+    by ``part`` too); the union of the per-part results without a scan per part."""
+    return analytic(assign_parts(tiles, n))
+
+
 def union_parts(frames: Iterable[DataFrame]) -> DataFrame:
     """Bag union of per-part results."""
     return reduce(lambda a, b: a.unionByName(b), frames)
@@ -103,24 +120,4 @@ def first_ids(tiles: DataFrame, lo: int, hi: int) -> DataFrame:
     """F8 over a whole table (``array_agg(rid)`` then ``ids[lo:hi]``): only
     the ``hi`` smallest rids are ever gathered (a top-k), never all ids."""
     k = tiles.select("rid").orderBy("rid").limit(hi)
-    return k.agg(F.slice(F.array_sort(F.collect_list("rid")), lo, hi - lo + 1).alias("ids"))
-
-
-# The boundary layers of the reference's zonal runs.
-BOUNDARIES = ["states", "regions", "counties", "tracts"]
-
-
-def run_matrix(tables: DataFrame, boundaries=BOUNDARIES, projected_marker: str = "nlcd") -> DataFrame:
-    """Every raster table (``table_name`` column, ``<dataset>_<tilesize>``)
-    paired with every boundary layer, with the ``_prj`` layer for datasets
-    that need the projected copy, and the dataset's target class (F13-F15).
-    The boundary list is a literal array exploded per row: no join at all."""
-    from tilespark.functions.coords import DATASET_CLASSES, class_of, dataset_of, tilesize_of
-    ds = dataset_of(F.col("table_name"))
-    t = tables.select("table_name", ds.alias("dataset"), tilesize_of(F.col("table_name")).alias("tilesize"),
-                      F.explode(F.array(*[F.lit(b) for b in boundaries])).alias("_b"))
-    return t.select(
-        F.col("table_name").alias("raster_table"), "dataset", "tilesize",
-        F.when(F.col("dataset").contains(projected_marker), F.concat(F.col("_b"), F.lit("_prj")))
-        .otherwise(F.col("_b")).alias("boundary_table"),
-        class_of(F.col("dataset"), DATASET_CLASSES).alias("pixel_value"))
+    return k.agg(id_slice(F.array_sort(F.collect_list("rid")), lo, hi).alias("ids"))

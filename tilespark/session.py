@@ -4,6 +4,7 @@ checkpoint folder used to cut lineage."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -46,19 +47,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set to a shared file system by the operator of
-    the cluster.  Only when it is unset (local tests) a scratch folder is made.
+    On a cluster it must be set to a shared file system; unset, this raises.
+    Only a session whose executors are threads of the driver (``local[..]``,
+    tests) gets a scratch folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not d:
-        # local runs and tests only: a cluster names shared storage here
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="tilespark-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", d)
-        except Exception:  # noqa: BLE001 - some deployments lock core settings
-            pass
+        spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
@@ -84,7 +82,9 @@ def ship_by_value(*objs) -> None:
 
 
 def bound_arrow_batches(spark) -> None:
-    """Tile rows are large: keep Arrow batches to tens of MB, not 10k rows."""
+    """Tile rows are large: keep Arrow batches to tens of MB, not 10k rows.
+    Operators that hand whole tiles to Python call this; it sets the session's
+    Arrow batch limits (both only bound memory, no result depends on them)."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "", str(2 ** 31 - 1)):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 * 1024 * 1024))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > 1024:

@@ -64,9 +64,13 @@ def _height(df: DataFrame) -> int:
     return int(df.agg(F.max("py")).first()[0]) + 1
 
 
-def spec_a(spark: SparkSession, sf_dir: str, tile: int = 10) -> RasterSpec:
-    h = _height(table(spark, sf_dir, "orders").select(
+def _height_a(spark: SparkSession, sf_dir: str) -> int:
+    return _height(table(spark, sf_dir, "orders").select(
         F.floor(F.col("o_orderkey") / RASTER_A_WIDTH).alias("py")))
+
+
+def spec_a(spark: SparkSession, sf_dir: str, tile: int = 10) -> RasterSpec:
+    h = _height_a(spark, sf_dir)
     return RasterSpec(width=RASTER_A_WIDTH, height=h, tile_w=tile, tile_h=tile,
                       pixel_type="8BUI", nodata=NODATA_A, **GEO)
 
@@ -127,12 +131,13 @@ def with_bbox(zones: DataFrame) -> DataFrame:
 def zones_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     k = F.col("n_nationkey")
+    stretch = _height_a(spark, sf_dir) / 150.0  # five rows of zones over the whole raster
     cx = (F.lit(10) + F.lit(20) * (k % 5)).cast("double")
-    cy = (F.lit(15) + F.lit(30) * F.floor(k / 5)).cast("double")
+    cy = (F.lit(15) + F.lit(30) * F.floor(k / 5)).cast("double") * F.lit(stretch)
     return with_bbox(n.select(
         k.cast("long").alias("gid"), F.col("n_name").alias("name"),
         F.col("n_regionkey").cast("int").alias("statefp"), F.lit(GEO["srid"]).alias("srid"),
-        diamond(cx, cy, 9.25, 13.25).alias("rings")))
+        diamond(cx, cy, 9.25, 13.25 * stretch).alias("rings")))
 
 
 def zones_tracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,4 +158,4 @@ def zones_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_regionkey").cast("long").alias("gid"), F.col("r_name").alias("name"),
         F.col("r_regionkey").cast("int").alias("statefp"), F.lit(GEO["srid"]).alias("srid"),
         rectangle(F.lit(20.0) * k + F.lit(0.25), F.lit(-1.0),
-                  F.lit(20.0) * k + F.lit(19.75), F.lit(1501.0)).alias("rings")))
+                  F.lit(20.0) * k + F.lit(19.75), F.lit(_height_a(spark, sf_dir) + 1.0)).alias("rings")))

@@ -27,8 +27,25 @@ def read_tiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_zones(spark: SparkSession, path: str) -> DataFrame:
-    """Read a zone table (one row per polygon, rings as nested arrays)."""
-    return spark.read.parquet(path)
+    """Read a zone table (one row per polygon, rings as nested arrays),
+    checked as in ``check_rings``."""
+    return check_rings(spark.read.parquet(path))
+
+
+def check_rings(zones: DataFrame) -> DataFrame:
+    """Zones whose rings can be filled by the even-odd rule.  A ring that does
+    not close, has fewer than three corners, or stands twice in one zone (parts
+    that cover each other cancel out) fails the query, row by row."""
+    ring_ok = F.forall("rings", lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)))
+    twice = F.size(F.array_distinct("rings")) != F.size("rings")
+    kind = zones.schema["rings"].dataType
+
+    def fail(text):
+        return F.raise_error(F.concat(F.lit(text), F.coalesce(F.col("gid").cast("string"), F.lit("null")))).cast(kind)
+
+    return zones.withColumn("rings", F.when(F.col("rings").isNull(), F.col("rings"))
+                            .when(~ring_ok, fail("an open or too short ring in zone "))
+                            .when(twice, fail("a ring stands twice in zone ")).otherwise(F.col("rings")))
 
 
 def write_tiles(tiles: DataFrame, path: str, mode: str = "overwrite",
@@ -81,26 +98,20 @@ def head(df: DataFrame, n: int = 5, order: Sequence[str] = ("gid",)) -> DataFram
 # ------------------------------------------------------------- text dumps
 
 def tile_dump_lines(tiles: DataFrame, table_name: str) -> DataFrame:
-    """A text dump of a tile table as lines ``value``: statement lines around
-    one ``<rast>\\t<filename>`` line per tile (integer-valued rasters)."""
+    """A text dump of a tile table as lines ``value``: other lines around one
+    ``<rast>\\t<filename>`` line per tile.  Whole numbers are written as such,
+    other pixels with all their digits, so a dump reads back unchanged."""
+    def number(x):
+        whole = (x == F.floor(x)) & (F.abs(x) < F.lit(2.0 ** 53))
+        return F.when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
+
     rast = F.concat(
         F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit("@"),
         F.col("tile_col").cast("string"), F.lit(","), F.col("tile_row").cast("string"), F.lit(":"),
-        F.array_join(F.transform("data", lambda x: x.cast("long").cast("string")), " "))
-    body = tiles.select(F.col("rid").cast("double").alias("_o"),
-                        F.concat_ws(DUMP_SEP, rast, F.coalesce("filename", F.lit(""))).alias("value"))
-    spark = tiles.sparkSession
-    stmts = [
-        (-3.0, "BEGIN;"),
-        (-2.0, f'CREATE TABLE "{table_name}" ("rid" serial PRIMARY KEY,"rast" raster,"filename" text);'),
-        (-1.0, f'COPY "{table_name}" ("rast","filename") FROM stdin;'),
-        (float(2 ** 62), "\\."),
-        (float(2 ** 62) + 1, ""),
-        (float(2 ** 62) + 2, f'CREATE INDEX ON "{table_name}" USING gist (st_convexhull("rast"));'),
-        (float(2 ** 62) + 3, "END;"),
-    ]
-    head_df = spark.createDataFrame(stmts, "_o double, value string")
-    return body.unionByName(head_df)
+        F.array_join(F.transform("data", number), " "))
+    body = tiles.select(F.concat_ws(DUMP_SEP, rast, F.coalesce("filename", F.lit(""))).alias("value"))
+    other = [f"-- dump of {table_name}", "", "-- columns: rast, filename", "-- end of dump"]
+    return body.unionByName(tiles.sparkSession.createDataFrame([(x,) for x in other], "value string"))
 
 
 def tile_lines(text: DataFrame) -> DataFrame:
@@ -127,5 +138,5 @@ def load_tile_tsv(spark: SparkSession, path: str) -> DataFrame:
     return parse_tile_lines(df.select(F.concat_ws(DUMP_SEP, "rast", F.coalesce("filename", F.lit(""))).alias("value")))
 
 
-__all__ = ["read_tiles", "read_zones", "write_tiles", "write_tiles_bucketed", "analyze", "with_filename", "write_csv", "head",
+__all__ = ["read_tiles", "read_zones", "check_rings", "write_tiles", "write_tiles_bucketed", "analyze", "with_filename", "write_csv", "head",
            "tile_dump_lines", "tile_lines", "parse_tile_lines", "load_tile_tsv", "TILE_COLUMNS"]

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilespark.functions.arrays import let
 from tilespark.model import TILE_COLUMNS, RasterSpec
 
 
@@ -52,37 +53,79 @@ def _finish_tiles(g: DataFrame, spec: RasterSpec, tw: Column, th: Column,
     return assign_rid(out, _ceil_div(F.lit(spec.width), tw))
 
 
+def assemble(pieces: Column, n: Column, nodata: Column) -> Column:
+    """The row-major block of ``n`` pixels that ``pieces`` (array of ``(pos,
+    v)``: first position and values of a stretch) make up.  Positions that no
+    piece covers become ``nodata``; an overlap, a piece past the end, or a gap
+    without a NoData value fails the query.  Linear in pieces and pixels."""
+    def fail(text: str) -> Column:
+        return F.raise_error(F.lit(text)).cast("array<double>")
+
+    def fill(gap: Column) -> Column:
+        return (F.when(gap == 0, F.array().cast("array<double>"))
+                .when(gap < 0, fail("a tile has a pixel twice, or one outside its block"))
+                .when(nodata.isNull(), fail("a tile lacks pixels and the raster declares no NoData"))
+                .otherwise(F.array_repeat(nodata, gap.cast("int"))))
+
+    def end(p: Column) -> Column:
+        return p["pos"] + F.size(p["v"])
+
+    def block(s: Column) -> Column:
+        parts = F.transform(s, lambda p, i: F.concat(
+            fill(p["pos"] - F.when(i == 0, F.lit(0)).otherwise(end(s[F.greatest(i - 1, F.lit(0))]))), p["v"]))
+        return F.concat(F.flatten(parts), fill(n - end(F.element_at(s, -1))))
+
+    return let(F.array_sort(pieces), block)
+
+
+def _inside(ok: Column, outside: str, what: str) -> Column:
+    """Row filter for pixels of the raster header; ``outside='error'`` fails on others."""
+    if outside == "drop":
+        return ok
+    if outside != "error":
+        raise ValueError(outside)
+    return F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(f"{what} outside the raster header")).cast("boolean"))
+
+
 def _cells_to_tiles(c: DataFrame, spec: RasterSpec, tw: Column, th: Column,
                     filename, keys: Sequence[str]) -> DataFrame:
-    g = (c.withColumns({
+    named = filename is None and "filename" in c.columns
+    # a null value is a missing pixel
+    g = (c.where(F.col("v").isNotNull()).withColumns({
             "tile_col": F.floor(F.col("px") / tw).cast("int"),
             "tile_row": F.floor(F.col("py") / th).cast("int"),
         })
         .groupBy(*keys, "tile_col", "tile_row")
-        .agg(F.collect_list(F.struct("py", "px", "v")).alias("_cells")))
-    out = _finish_tiles(g, spec, tw, th, filename)
+        .agg(F.collect_list(F.struct("py", "px", "v")).alias("_cells"),
+             *([F.min("filename").alias("_filename")] if named else [])))
+    out = _finish_tiles(g, spec, tw, th, F.col("_filename") if named else filename)
     n = F.col("width") * F.col("height")
-    nod = F.coalesce(F.col("nodata"), F.lit(0.0))
-    # Dense tiles (the normal case) only need a sort; tiles with missing cells
-    # are filled with NoData through a position map built for those rows only.
-    out = out.withColumn("_m", F.when(F.size("_cells") != n, F.map_from_entries(F.transform(
-        "_cells", lambda s: F.struct(((s["py"] - F.col("py0")) * F.col("width") + s["px"] - F.col("px0")),
-                                     s["v"])))))
-    data = F.when(F.size("_cells") == n,
-                  F.transform(F.array_sort("_cells"), lambda s: s["v"])).otherwise(
-        F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.element_at("_m", i), nod)))
-    out = out.withColumn("data", data.cast("array<double>"))
+
+    def pos(x):
+        return (x["py"] - F.col("py0")) * F.col("width") + x["px"] - F.col("px0")
+
+    def block(s):
+        # dense tiles (the normal case) only need the sort; others are built from their pixels' positions
+        dense = (F.size(s) == n) & ~F.exists(F.transform(s, lambda x, i: pos(x) != i), lambda bad: bad)
+        return F.when(dense, F.transform(s, lambda x: x["v"])).otherwise(
+            assemble(F.transform(s, lambda x: F.struct(pos(x).alias("pos"), F.array(x["v"]).alias("v"))), n, F.col("nodata")))
+
+    out = out.withColumn("data", let(F.array_sort("_cells"), block).cast("array<double>"))
     return out.select(*keys, *TILE_COLUMNS)
 
 
-def tile_raster(cells: DataFrame, spec: RasterSpec, filename: str | None = None) -> DataFrame:
+def tile_raster(cells: DataFrame, spec: RasterSpec, filename: str | None = None, outside: str = "error") -> DataFrame:
     """Cut a cell raster ``(px, py, v)`` into ``tile_w x tile_h`` tiles.
 
     Right and bottom tiles are ragged (not padded), ids are row-major serials.
-    Cells outside the raster header are dropped.
+    Missing cells of a tile (or null values) become NoData; without a declared
+    NoData they fail the query, as does a cell given twice.  Cells outside the
+    raster header fail too, or are left out with ``outside='drop'``.  A
+    ``filename`` column of the cells (S5) names each tile's first source file.
     """
-    c = cells.select("px", "py", F.col("v").cast("double").alias("v")).where(
-        (F.col("px") >= 0) & (F.col("px") < spec.width) & (F.col("py") >= 0) & (F.col("py") < spec.height))
+    c = cells.select("px", "py", F.col("v").cast("double").alias("v"),
+                     *(["filename"] if "filename" in cells.columns else [])).where(_inside(
+        (F.col("px") >= 0) & (F.col("px") < spec.width) & (F.col("py") >= 0) & (F.col("py") < spec.height), outside, "a cell lies"))
     return _cells_to_tiles(c, spec, F.lit(spec.tile_w), F.lit(spec.tile_h), filename, [])
 
 
@@ -112,22 +155,28 @@ def tile_raster_multi(cells: DataFrame, spec: RasterSpec, sizes: Sequence[int],
     return out.withColumn("table_name", F.concat_ws("_", F.lit(name), F.col("tile_size").cast("string")))
 
 
-def tiles_from_rows(rows: DataFrame, spec: RasterSpec, filename: str | None = None) -> DataFrame:
+def tiles_from_rows(rows: DataFrame, spec: RasterSpec, filename: str | None = None, outside: str = "error") -> DataFrame:
     """Build tiles from pixel-row arrays ``(py, values)``.
 
     Each row is cut into tile-width slices before the shuffle, so a tile
     gathers ``tile_h`` slices rather than ``tile_w * tile_h`` single cells.
+    Missing rows and short rows become NoData (or fail without one), a row
+    given twice fails; rows or values outside the header as in ``tile_raster``.
     """
     tw, th = spec.tile_w, spec.tile_h
-    r = rows.where((F.col("py") >= 0) & (F.col("py") < spec.height)).select(
+    ok = (F.col("py") >= 0) & (F.col("py") < spec.height)
+    if outside == "error":
+        ok = ok & (F.size("values") <= spec.width)
+    r = rows.where(_inside(ok, outside, "a row or its end lies")).select(
         "py", F.explode(F.sequence(F.lit(0), F.lit(spec.ntx - 1))).alias("tile_col"), "values")
     r = r.select(
         "tile_col", F.floor(F.col("py") / th).cast("int").alias("tile_row"), "py",
-        F.slice("values", F.col("tile_col") * tw + 1, tw).alias("chunk"))
+        F.slice("values", F.col("tile_col") * tw + 1, F.least(F.lit(tw), F.lit(spec.width) - F.col("tile_col") * tw)).alias("chunk"))
     g = r.groupBy("tile_col", "tile_row").agg(F.collect_list(F.struct("py", "chunk")).alias("_rows"))
     out = _finish_tiles(g, spec, F.lit(tw), F.lit(th), filename)
-    out = out.withColumn("data", F.flatten(F.transform(F.array_sort("_rows"), lambda s: s["chunk"]))
-                         .cast("array<double>"))
+    pieces = F.transform("_rows", lambda x: F.struct(((x["py"] - F.col("py0")) * F.col("width")).alias("pos"),
+                                                     x["chunk"].cast("array<double>").alias("v")))
+    out = out.withColumn("data", assemble(pieces, F.col("width") * F.col("height"), F.col("nodata")))
     return out.select(*TILE_COLUMNS)
 
 
@@ -146,8 +195,8 @@ def retile(tiles: DataFrame, dst: RasterSpec, dx: int = 0, dy: int = 0,
     destination pixel ``(px - dx, py - dy)``; pixels outside ``dst`` are
     dropped.  Every source row is cut at the destination tile borders and the
     row slices are shuffled on the destination tile key (``tile_h`` slices per
-    tile from each source tile), never single pixels.  The destination must be
-    fully covered by the source tiles."""
+    tile from each source tile), never single pixels.  Pixels that no source
+    tile covers become the NoData of ``dst``, or fail the query without one."""
     tw, th = dst.tile_w, dst.tile_h
     t = tiles.select("px0", "py0", "width", "height", "data")
     r_lo = F.greatest(F.lit(0), F.lit(dy) - F.col("py0"))
@@ -170,6 +219,7 @@ def retile(tiles: DataFrame, dst: RasterSpec, dx: int = 0, dy: int = 0,
                  ).alias("p"))
     g = pieces.groupBy("tile_col", "tile_row").agg(F.collect_list("p").alias("_p"))
     out = _finish_tiles(g, dst, F.lit(tw), F.lit(th), filename)
-    # pieces sorted by (row, first column) concatenate into a row-major block
-    out = out.withColumn("data", F.flatten(F.transform(F.array_sort("_p"), lambda q: q["v"])).cast("array<double>"))
+    pieces = F.transform("_p", lambda q: F.struct(((q["y"] - F.col("py0")) * F.col("width") + q["a"] - F.col("px0")).alias("pos"),
+                                                  q["v"].cast("array<double>").alias("v")))
+    out = out.withColumn("data", assemble(pieces, F.col("width") * F.col("height"), F.col("nodata")))
     return out.select(*TILE_COLUMNS)
