@@ -17,7 +17,6 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -31,15 +30,15 @@ def main() -> None:
 
     from pyspark.sql import functions as F
 
-    from tilespark.session import get_spark
+    from tilespark.session import checkpoint_dir, get_spark
     from tilespark.sources import fixtures as fx
     from tilespark.sources import io
-    from tilespark.sources.tiling import tile_raster
-    from tilespark.operators import algebra, focal, local, zonal
+    from tilespark.sources.tiling import tile_raster, tiles_from_rows
+    from tilespark.operators import algebra, clip, focal, local, zonal
     from tilespark.plans import partition as P
 
     spark = get_spark(f"local[{cpus}]", cpus)
-    scratch = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tilespark-bench-")
+    scratch = checkpoint_dir(spark)
 
     bucketed = os.environ.get("BENCH_LAYOUT", "bucketed") == "bucketed"
     buckets = int(os.environ.get("BENCH_BUCKETS", str(2 * cpus)))
@@ -105,6 +104,25 @@ def main() -> None:
     def q_tile_raster():
         return tile_raster(fx.cells_a(spark, sf), spec)
 
+    # a raster of millions of pixels in large tiles, with the same zones
+    big = fx.spec_large(spark, sf)
+    big_rows = fx.rows_large(spark, sf)
+    path_big = f"{scratch}/large"
+    io.write_tiles_bucketed(tiles_from_rows(big_rows, big), "bench_large", buckets, path_big)
+
+    def L():
+        return spark.table("bench_large")
+
+    large = {
+        "large_tiles_from_rows": lambda: tiles_from_rows(big_rows, big),
+        "large_zonal_stats": lambda: zonal.zonal_stats(L(), tracts, big),
+        "large_zonal_by_state": lambda: zonal.zonal_stats(L(), states, big, by=["statefp", "name"]),
+        "large_clip_zones": lambda: clip.clip_to_zones(L(), tracts, big, keep=["gid"]),
+        "large_value_counts": lambda: local.value_counts(L()),
+        "large_focal_mosaic": lambda: focal.focal(L(), "mean", 1, 1, scope="mosaic"),
+        "large_multiply": lambda: algebra.map_algebra(L(), L().withColumn("rid", F.col("rid")), lambda x, y: x * y, "16BUI"),
+    }
+
     queries = {
         "zonal_stats": q_zonal_tracts,
         "zonal_stats_sql": q_zonal_tracts_sql,
@@ -118,7 +136,7 @@ def main() -> None:
         "raster_multiply": q_raster_multiply,
         "partition_raster": q_partition,
         "tile_raster": q_tile_raster,
-    }
+    } | large
     only = os.environ.get("BENCH_ONLY")
     if only:
         queries = {k: v for k, v in queries.items() if k in only.split(",")}

@@ -59,6 +59,21 @@ def rows_f(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.transform("embedding", lambda x: x.cast("double")).alias("values"))
 
 
+def rows_large(spark: SparkSession, sf_dir: str, factor: int = 6) -> DataFrame:
+    """Raster A with every pixel as a block of ``factor x factor``, as pixel rows
+    ``(py, values)``; 5.4 million pixels at sf 0.1."""
+    c = cells_a(spark, sf_dir).groupBy("py").agg(F.array_sort(F.collect_list(F.struct("px", "v"))).alias("r"))
+    wide = F.flatten(F.transform("r", lambda x: F.array_repeat(x["v"], factor)))
+    return c.select(F.col("py").cast("int").alias("y"), wide.alias("values")).select(
+        F.explode(F.sequence(F.col("y") * factor, F.col("y") * factor + factor - 1)).alias("py"), "values")
+
+
+def spec_large(spark: SparkSession, sf_dir: str, tile: int = 200, factor: int = 6) -> RasterSpec:
+    """Its header: the same extent as raster A, pixels ``factor`` times smaller."""
+    s = spec_a(spark, sf_dir, tile)
+    return s.with_(width=s.width * factor, height=s.height * factor, scale_x=s.scale_x / factor, scale_y=s.scale_y / factor)
+
+
 def _height(df: DataFrame) -> int:
     # Raster header: one bounded aggregate row, like reading a file header.
     return int(df.agg(F.max("py")).first()[0]) + 1
