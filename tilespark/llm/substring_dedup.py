@@ -39,7 +39,7 @@ from tilespark.session import bound_arrow_batches, ship_by_value
 MATCH, GRAM = 50, 24
 SHALLOW = 32
 SLICE_BYTES = 2 << 20
-PIECE = 1 << 19
+PIECE = 1 << 15  # strings looked at together; their hashes stay in a core's cache
 CONTEXTS = 8
 HASH_BITS = 56  # of an anchor; the low 8 bits of a word hold its place in the string
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
@@ -79,12 +79,10 @@ def runs(data: np.ndarray, ends: np.ndarray, match: int = MATCH) -> Runs:
             h = np.minimum(h[:span - width], h[width - span:] + np.uint64(width - span))
         at = np.arange(a, b) + (h & np.uint64(255)).astype(np.int64)
         # no string begins in the last match - 1 bytes of a document
-        low, high = np.maximum(begins, ends - match + 1), ends
-        near = (high > a) & (low < b)
-        edge = np.zeros(b - a + 1, np.int32)
-        np.add.at(edge, np.maximum(low[near], a) - a, 1)
-        np.add.at(edge, np.minimum(high[near], b) - a, -1)
-        at[np.cumsum(edge[:-1]) > 0] = -1
+        near = slice(np.searchsorted(ends, a, "right"), np.searchsorted(ends, b + match, "right") + 1)
+        low, high = np.maximum(begins[near], ends[near] - match + 1), ends[near]
+        for x, y in zip((np.clip(low, a, b) - a).tolist(), (np.clip(high, a, b) - a).tolist()):
+            at[x:y] = -1
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         size = np.diff(np.r_[first, b - a])
         real = at[first] >= 0
@@ -129,8 +127,13 @@ def entries(ids: np.ndarray, ends: np.ndarray, data: np.ndarray, n_buckets: int,
     r = runs(data, ends, match)
     doc = np.searchsorted(ends, r.start, "right")
     digest = digests(data, r.start, r.width + match - 1, match)
-    order = np.lexsort((digest, r.anchor))
-    a, d = r.anchor[order], digest[order]
+    order = np.argsort(r.anchor)
+    a = r.anchor[order]
+    # only runs that share an anchor need an order among them, the same on every machine
+    shared = np.flatnonzero(np.r_[False, a[1:] == a[:-1]] | np.r_[a[1:] == a[:-1], False]) if len(a) else order
+    tied = order[shared]
+    order[shared] = tied[np.lexsort((tied, digest[tied], r.anchor[tied]))]
+    d = digest[order]
     new_anchor = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, bool)
     new = new_anchor | np.r_[True, d[1:] != d[:-1]] if len(a) else new_anchor
     head = np.flatnonzero(new)
@@ -237,8 +240,15 @@ def sorted_groups(data: np.ndarray, start: np.ndarray, group: np.ndarray, match:
     done = min(SHALLOW, (match - 7 + 7) // 8 * 8)
     head = np.flatnonzero(fresh)
     size = np.diff(np.r_[head, len(fresh)])
+    # a group of one string has its order already
+    differ = np.zeros(len(order), bool)
+    tied = np.flatnonzero(np.repeat(size > 1, size))
+    place, first = start[order[tied]], start[order[np.repeat(head, size)[tied]]]
+    for depth in [*range(done, match - 7, 8), match - 8]:
+        differ[tied] |= view[place + depth] != view[first + depth]
+    several = np.logical_or.reduceat(differ, head) if len(head) else differ
     raw = data.tobytes()
-    for h, n in zip(head[size > 1].tolist(), size[size > 1].tolist()):
+    for h, n in zip(head[several].tolist(), size[several].tolist()):
         at = order[h:h + n].tolist()
         where = start[order[h:h + n]].tolist()
         trie = BlindTrie(raw[where[0] + done:where[0] + match], at[0])
