@@ -87,7 +87,9 @@ def runs(data: np.ndarray, ends: np.ndarray, match: int = MATCH) -> Runs:
         size = np.diff(np.r_[first, b - a])
         real = at[first] >= 0
         first, size = first[real], size[real]
-        found.append((first + a, size, h[first] >> np.uint64(8)))
+        # anchors are least hashes, so they are mixed again before they deal out work
+        mixed = (h[first] >> np.uint64(8)) * m2
+        found.append((first + a, size, mixed & np.uint64((1 << HASH_BITS) - 1)))
     if not found:
         return Runs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
     return Runs(*map(np.concatenate, zip(*found)))
