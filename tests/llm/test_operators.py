@@ -127,7 +127,7 @@ def test_decontaminate_long_text(spark, monkeypatch):
         assert (n, sum(e - b for b, e in decontaminate.merged(s)), sorted(f)) == brute.hits(t, items)
 
 
-@pytest.mark.parametrize("split_from", [1 << 16, 1])
+@pytest.mark.parametrize("split_from", [1 << 13, 1])
 def test_substring_dedup(docs, empty, split_from):
     """Also with every anchor of several contexts split into its strings."""
     got = [(r["doc_id"], r["n_bytes"], sum(s["end"] - s["start"] for s in r["removed"]), len(r["removed"]), bytes(r["kept"]))

@@ -295,7 +295,7 @@ def decoded(e: Entries, found: list[dict] | None) -> tuple[np.ndarray, np.ndarra
 
 
 def substring_dedup(docs: DataFrame, match: int = MATCH, id_col: str = "doc_id", text_col: str = "text",
-                    split_from: int = 1 << 16) -> DataFrame:
+                    split_from: int = 1 << 13) -> DataFrame:
     """One row per row: id, ``n_bytes``, ``removed`` (maximal removed byte runs, half-open), ``kept`` (binary).
 
     A byte goes if a string of ``match`` bytes around it also starts in a document
