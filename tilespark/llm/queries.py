@@ -232,7 +232,24 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ op4
 
-@query("op4_suffix_dedup")
+OP4_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) b FROM documents),
+w AS (SELECT doc_id, s, b[s:s + 49] k FROM d, unnest(range(1, octet_length(b) - 48)) AS r(s)),
+f AS (SELECT k, min(doc_id) first_id FROM w GROUP BY k HAVING count(*) > 1),
+u AS (SELECT doc_id, s, CASE WHEN s <= lag(s) OVER o + 50 THEN 0 ELSE 1 END fresh FROM w JOIN f USING (k)
+  WHERE first_id < doc_id WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+n AS (SELECT doc_id, s, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) span FROM u),
+p AS (SELECT doc_id, span, min(s) first_byte, max(s) + 49 last_byte FROM n GROUP BY doc_id, span),
+q AS (SELECT *, coalesce(lag(last_byte) OVER (PARTITION BY doc_id ORDER BY first_byte), 0) before FROM p),
+g AS (SELECT doc_id, sum(last_byte - first_byte + 1)::BIGINT n_removed, count(*) n_spans, max(last_byte) over_at,
+  string_agg(substr(hex(b), 2 * before + 1, 2 * (first_byte - 1 - before)), '' ORDER BY first_byte) kept
+  FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans,
+  sha256(CASE WHEN over_at IS NULL THEN b ELSE unhex(kept || substr(hex(b), 2 * over_at + 1)) END) kept_sha256
+FROM d LEFT JOIN g USING (doc_id)"""
+
+
+@query("op4_suffix_dedup", OP4_SQL)
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = substring_dedup(table(spark, sf_dir, "documents"))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
