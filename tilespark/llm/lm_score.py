@@ -24,7 +24,9 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -84,14 +86,14 @@ def tally(ends: np.ndarray, data: np.ndarray, marks: np.ndarray, heavy: np.ndarr
     from xxhash import xxh64_intdigest
 
     raw = data.tobytes().translate(LOWER_AZ)
-    vocabulary: dict[bytes, int] = {END: 0}
+    vocabulary: defaultdict[bytes, int] = defaultdict()
+    vocabulary.default_factory = vocabulary.__len__  # a new word gets the next number
+    vocabulary[END]
     tokens: list[np.ndarray] = []
     held: list[bytes] = []
     size = np.ones(len(ends), np.int64)
 
     def flush() -> None:
-        for w in dict.fromkeys(held):
-            vocabulary.setdefault(w, len(vocabulary))
         tokens.append(np.fromiter(map(vocabulary.__getitem__, held), np.int64, len(held)))
         held.clear()
 
@@ -112,7 +114,7 @@ def tally(ends: np.ndarray, data: np.ndarray, marks: np.ndarray, heavy: np.ndarr
     flush()
     token = np.concatenate(tokens)
     n = len(vocabulary)
-    hashes = np.fromiter((xxh64_intdigest(w, SEED) for w in vocabulary), np.uint64, n)
+    hashes = np.fromiter(map(xxh64_intdigest, vocabulary, repeat(SEED)), np.uint64, n)
     first = np.cumsum(size) - size
     train = np.repeat(marks, size)
     before = np.r_[n, token[:-1]]
