@@ -61,14 +61,15 @@ def line_dedup(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col:
     places = (rows.select("id", "version", F.explode(winnowed(line_hashes(F.col("text")), run)).alias("x"))
               .select("id", "version", "x.*"))
     places = stored(places, "line-fingerprints")
-    shared = places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    # stored: as sides of their own, the joins below can split a hot hash or window
+    shared = stored(places.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "line-shared")
     windows = (places.join(shared, "hash").select("id", "version", "first", "around", F.explode("starts").alias("start"))
                .select("id", "version", "start", F.slice("around", F.col("start") - F.col("first") + 1, F.lit(run)).alias("window"),
                        F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("i"), F.col("version").alias("v"),
                                 F.col("start").alias("s")).alias("place")))
     windows = stored(windows, "line-windows")
-    firsts = (windows.groupBy("window").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n"))
-              .where("n > 1").drop("n"))
+    firsts = stored(windows.groupBy("window").agg(F.min("place").alias("earliest"), F.count(F.lit(1)).alias("n"))
+                    .where("n > 1").drop("n"), "line-firsts")
     later = (windows.join(firsts, "window").where("place > earliest")
              .groupBy("id", "version").agg(F.collect_set("start").alias("starts")))
     covered = later.select(F.col("id").alias("hit_id"), F.col("version").alias("hit_version"),
