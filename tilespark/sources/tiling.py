@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.functions.arrays import let
+from tilespark.functions.coords import table_name
 from tilespark.model import TILE_COLUMNS, RasterSpec
 
 
@@ -152,7 +153,7 @@ def tile_raster_multi(cells: DataFrame, spec: RasterSpec, sizes: Sequence[int],
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumn("table_name", F.concat_ws("_", F.lit(name), F.col("tile_size").cast("string")))
+    return out.withColumn("table_name", table_name(F.lit(name), F.col("tile_size")))
 
 
 def tiles_from_rows(rows: DataFrame, spec: RasterSpec, filename: str | None = None, outside: str = "error") -> DataFrame:
