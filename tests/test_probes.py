@@ -179,3 +179,22 @@ def test_row_index_ties(spark):
 
 def test_let_binds_once(spark):
     assert spark.range(1).select(let(F.lit(2), lambda x: x * x)).first()[0] == 4
+
+
+def test_checkpoint_dir_of_sessions_without_a_setting():
+    from types import SimpleNamespace
+
+    from tilespark.session import checkpoint_dir
+
+    def session(master, setting=None):
+        seen = []
+        sc = SimpleNamespace(master=master, applicationId=f"app-{master}-{setting}", setCheckpointDir=seen.append)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: setting), sparkContext=sc), seen
+
+    local, seen = session("local[4]")
+    assert checkpoint_dir(local) == checkpoint_dir(local) == seen[0] and len(seen) == 1
+    with pytest.raises(ValueError, match="share"):
+        checkpoint_dir(session("spark://host:7077")[0])
+    with pytest.raises(ValueError, match="share"):
+        checkpoint_dir(session("local-cluster[3,2,1024]")[0])
+    assert checkpoint_dir(session("yarn", "hdfs://x/y")[0]) == "hdfs://x/y"

@@ -44,20 +44,27 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+#: Scratch folders of local sessions, and checkpoint folders that were set, by application.
+_SCRATCH: dict[str, str] = {}
+_SET: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster it must be set to a shared file system; unset, this raises.
     Only a session whose executors are threads of the driver (``local[..]``,
-    tests) gets a scratch folder of its own.
+    tests) gets a scratch folder of its own, one for the whole application.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    d = spark.conf.get("spark.checkpoint.dir", None) or _SCRATCH.get(app)
     if not d:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        d = tempfile.mkdtemp(prefix="tilespark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        d = _SCRATCH[app] = tempfile.mkdtemp(prefix="tilespark-ckpt-")
+    if _SET.get(app) != d:
+        spark.sparkContext.setCheckpointDir(d)
+        _SET[app] = d
     return d
 
 
