@@ -3,31 +3,22 @@ that equals its byte-wise definition, and a distributed row index."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tilespark.session import checkpoint_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of anything but ASCII white space (space, \t \n \v \f \r).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``.  Only where that is unset (local
-    tests) a scratch folder is made and put there."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="llm-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    return d
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new, unused folder name under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

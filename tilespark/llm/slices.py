@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilespark.llm.common import fresh_dir
 from tilespark.session import ship_by_value
 
 LAST = (1 << 63) - 1  # order number of a null id
@@ -23,7 +24,8 @@ SLICE = "slice long, ids array<long>, marks array<boolean>, ends array<long>, da
 
 def pack_slices(docs: DataFrame, id_col: str, text_col: str, n: int, mark: Column | None = None,
                 slice_bytes: int = 2 << 20, slice_docs: int = 8192) -> DataFrame:
-    """Slices of about ``slice_bytes`` in a stored table of ``n`` buckets; ``marks`` holds ``mark`` of each document."""
+    """Slices of about ``slice_bytes`` in a table of ``n`` buckets, stored in the shared
+    folder; ``marks`` holds ``mark`` of each document."""
     ship_by_value("tilespark.llm.slices")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"),
                        (F.lit(False) if mark is None else F.coalesce(mark, F.lit(False))).alias("mark"),
@@ -54,8 +56,9 @@ def pack_slices(docs: DataFrame, id_col: str, text_col: str, n: int, mark: Colum
             yield packed()
 
     name = f"llm_slices_{uuid.uuid4().hex}"
-    (rows.mapInArrow(run, SLICE).write.option("compression", "zstd").bucketBy(n, "slice").sortBy("slice")
-     .format("parquet").saveAsTable(name))
+    path = fresh_dir(docs.sparkSession, "slices")
+    (rows.mapInArrow(run, SLICE).write.option("compression", "zstd").option("path", path)
+     .bucketBy(n, "slice").sortBy("slice").format("parquet").saveAsTable(name))
     return docs.sparkSession.table(name)
 
 
