@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tilespark.llm.common import stored
 from tilespark.llm.source_mix import KEY_BITS, random_key
-from tilespark.session import ship_by_value
+from tilespark.session import bound_arrow_batches, ship_by_value
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
@@ -34,7 +35,7 @@ MOST_PIECE = 16
 #: Runs of letters; longer runs are cut, which bounds the lattice and keeps the sums in range.
 WORD = re.compile(r"[^\W\d_]{1,24}")
 CHARS_AT_ONCE = 1 << 20
-CACHED_WORDS = 300_000
+CACHED_WORDS = 200_000
 #: Probability of a character outside the vocabulary, the same for all languages.
 OUTSIDE = 1e-8
 
@@ -182,6 +183,7 @@ def train(docs: DataFrame, allowed: Column, text_col: str = "text", lang_col: st
           train_words: int = 500_000) -> Model:
     """Learn from rows where ``allowed`` holds and text and language are not null."""
     ship_by_value("tilespark.llm.language_id")
+    bound_arrow_batches(docs.sparkSession)
     rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()
     # keys are uniform in [0, 2^60): a threshold for each language keeps about as many documents as asked for
@@ -200,6 +202,7 @@ def train(docs: DataFrame, allowed: Column, text_col: str = "text", lang_col: st
 
     counted = (sample.mapInArrow(tally, "lang string, word string, n long").groupBy("lang", "word")
                .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(train_words))
+    counted = stored(counted, "lang-words")  # so that no more than train_words rows meet the driver
     counts = {(r["lang"], r["word"]): r["n"] for r in counted.collect()}
     if not counts:
         return Model([], piece_tree([SPACE]), np.zeros((2, 0)))
@@ -282,6 +285,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
     """
     ship_by_value("tilespark.llm.language_id")
     spark = docs.sparkSession
+    bound_arrow_batches(spark)
     kept = docs.drop(pred_col, score_col)
     schema = T.StructType([*kept.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     where = kept.columns.index(text_col)
