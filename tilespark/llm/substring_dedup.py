@@ -377,6 +377,7 @@ def substring_dedup(docs: DataFrame, match: int = MATCH, id_col: str = "doc_id",
     # at most 4 n anchors can be above the share
     heavy = (several.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > share)
              .select("anchor", F.lit(True).alias("heavy")))
+    any_heavy = not heavy.isEmpty()
     marked = several.join(F.broadcast(heavy), "anchor", "left")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -419,10 +420,13 @@ def substring_dedup(docs: DataFrame, match: int = MATCH, id_col: str = "doc_id",
     strings = (marked.where("heavy").select("slice", "entry", "context", "least")
                .select("slice", "entry", "least", "context", F.explode(F.sequence(F.lit(1), F.octet_length("context") - match + 1)).alias("i"))
                .select("slice", "entry", "least", "i", F.expr(f"substring(context, i, {match})").alias("string")))
-    first = strings.groupBy("string").agg(F.min("least").alias("first"))
-    split = (strings.select("slice", "entry", "i", "string").join(first, "string").groupBy("slice", "entry")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "first"))), lambda x: x["first"]).alias("least")))
-    ordered = stored(light.unionByName(split) if not heavy.isEmpty() else light, "strings")
+    if any_heavy:
+        # stored: as a side of its own, the join can split a hot string
+        first = stored(strings.groupBy("string").agg(F.min("least").alias("first")), "first-strings")
+        light = light.unionByName(
+            strings.select("slice", "entry", "i", "string").join(first, "string").groupBy("slice", "entry")
+            .agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "first"))), lambda x: x["first"]).alias("least")))
+    ordered = stored(light, "strings")
     by_entry = ordered.groupBy("slice").agg(F.collect_list(F.struct("entry", "least")).alias("strings"))
     final = (known.join(by_entry, "slice", "left").select("ids", "ends", "data", "found", "strings"))
 
