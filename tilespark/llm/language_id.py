@@ -35,7 +35,7 @@ MOST_PIECE = 16
 #: Runs of letters; longer runs are cut, which bounds the lattice and keeps the sums in range.
 WORD = re.compile(r"[^\W\d_]{1,24}")
 CHARS_AT_ONCE = 1 << 20
-CACHED_WORDS = 200_000
+CACHED_WORDS, CACHED_SCORES = 200_000, 1_600_000
 #: Probability of a character outside the vocabulary, the same for all languages.
 OUTSIDE = 1e-8
 
@@ -131,9 +131,15 @@ def _swept(prob_of_edge: np.ndarray, group: np.ndarray, into: np.ndarray, out_of
             table[at[e][first], x] += np.add.reduceat(table[at[e], out_of[e]] * prob_of_edge[e], first, axis=0)
 
 
+def words_at_once(languages: int) -> int:
+    """Words whose lattices are summed together: bounded memory for any number of languages."""
+    return max(64, min(4096, 16_384 // max(1, languages)))
+
+
 def forward(words: list[str], model: Model) -> np.ndarray:
     """log probability of each word (rows) in each language: all segmentations summed."""
-    return np.concatenate([_chunk(words[i:i + 4096], model)[0] for i in range(0, len(words), 4096)]
+    step = words_at_once(len(model.languages))
+    return np.concatenate([_chunk(words[i:i + step], model)[0] for i in range(0, len(words), step)]
                           or [np.zeros((0, len(model.languages)))])
 
 
@@ -158,21 +164,23 @@ def _chunk(words: list[str], model: Model, counts: np.ndarray | None = None) ->
     return np.log(z), expected
 
 
-def fit(counts: dict[tuple[str, str], int], pieces: Pieces, rounds: int = 4, prior: float = 0.01) -> Model:
-    """EM over (language, word) counts."""
-    languages = sorted({x for x, _ in counts})
-    words = sorted({w for _, w in counts})
-    row, col = {w: i for i, w in enumerate(words)}, {x: i for i, x in enumerate(languages)}
-    table = np.zeros((len(words), len(languages)))
-    for (x, w), n in counts.items():
-        table[row[w], col[x]] += n
-    size = pieces.size
+def fit(counted: pa.Table, pieces: Pieces, rounds: int = 4, prior: float = 0.01) -> Model:
+    """EM over the counts ``n`` of (``lang``, ``word``)."""
+    lang, word = (counted[c].combine_chunks().dictionary_encode() for c in ("lang", "word"))
+    languages, words = lang.dictionary.to_pylist(), word.dictionary.to_pylist()
+    order = np.argsort(word.indices.to_numpy(), kind="stable")
+    row, col, n = word.indices.to_numpy()[order], lang.indices.to_numpy()[order], counted["n"].to_numpy()[order]
+    size, step = pieces.size, words_at_once(len(languages))
     model = Model(languages, pieces, np.full((size + 1, len(languages)), 1 / size))
     model.prob[-1] = OUTSIDE
     for _ in range(rounds):
         total = np.zeros_like(model.prob)
-        for i in range(0, len(words), 4096):
-            total += _chunk(words[i:i + 4096], model, table[i:i + 4096])[1]
+        for i in range(0, len(words), step):
+            part = words[i:i + step]
+            here = slice(np.searchsorted(row, i), np.searchsorted(row, i + step))
+            table = np.zeros((len(part), len(languages)))
+            np.add.at(table, (row[here] - i, col[here]), n[here])
+            total += _chunk(part, model, table)[1]
         total = total[:-1] + prior
         model = model._replace(prob=np.vstack([total / total.sum(axis=0), np.full((1, len(languages)), OUTSIDE)]))
     return model
@@ -202,9 +210,10 @@ def train(docs: DataFrame, allowed: Column, text_col: str = "text", lang_col: st
 
     counted = (sample.mapInArrow(tally, "lang string, word string, n long").groupBy("lang", "word")
                .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(train_words))
-    counted = stored(counted, "lang-words")  # so that no more than train_words rows meet the driver
-    counts = {(r["lang"], r["word"]): r["n"] for r in counted.collect()}
-    if not counts:
+    # stored, so that no more than train_words rows meet the driver; in order, so that languages and sums are
+    counted = stored(counted, "lang-words").orderBy("lang", "word")
+    counts = counted.toArrow()
+    if not counts.num_rows:
         return Model([], piece_tree([SPACE]), np.zeros((2, 0)))
     return fit(counts, read_pieces(vocabulary))
 
@@ -224,14 +233,15 @@ def scorer(model: Model):
     """A function from texts to (language, score) with a bounded cache of word scores."""
     n_lang = len(model.languages)
     cache: dict[str, int] = {}
-    rows = np.zeros((CACHED_WORDS, max(1, n_lang)))
+    most = max(1024, min(CACHED_WORDS, CACHED_SCORES // max(1, n_lang)))
+    rows = np.zeros((most, max(1, n_lang)))
 
     def log_probs(words: list[str]) -> np.ndarray:
         new = list({w for w in words if w not in cache})
-        if len(cache) + len(new) > CACHED_WORDS:
+        if len(cache) + len(new) > most:
             cache.clear()
             new = list(set(words))
-        if new and len(new) <= CACHED_WORDS:
+        if new and len(new) <= most:
             rows[len(cache):len(cache) + len(new)] = forward(new, model)
             cache.update(zip(new, range(len(cache), len(cache) + len(new))))
         elif new:  # one part with more distinct words than the cache holds
