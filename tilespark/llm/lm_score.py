@@ -48,8 +48,10 @@ LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 END = b"\n"  # no word has it
 PART_BYTES = 1 << 20
-CODE_BYTES, CODE_BITS = 5, 40
-HEAVY = 1 << CODE_BITS  # added to a heavy context's number
+#: Bytes of a word's hash that name it inside a bucket, and inside a context's followers.
+CODE_BYTES, AFTER_BYTES = 7, 5
+HEAVY = 1 << 8 * CODE_BYTES  # added to a heavy context's number
+AFTERS = 1 << 8 * AFTER_BYTES
 EXACT, GROWTH = 127, 1.15
 
 
@@ -80,6 +82,8 @@ class Tally(NamedTuple):
     bucket: np.ndarray  # of each word
     pair_bucket: np.ndarray
     context: np.ndarray  # of each pair: code of its first word, or HEAVY + number
+    words: np.ndarray  # in the order of bucket and code
+    pairs: np.ndarray  # in the order of bucket and context
 
 
 def tally(ends: np.ndarray, data: np.ndarray, marks: np.ndarray, heavy: np.ndarray, n_buckets: int) -> Tally:
@@ -137,14 +141,18 @@ def tally(ends: np.ndarray, data: np.ndarray, marks: np.ndarray, heavy: np.ndarr
     spread = ((both >> np.uint64(32)) * n_buckets >> np.uint64(32)).astype(np.int64)
     code = (hashes & np.uint64(HEAVY - 1)).astype(np.int64)
     is_heavy = number[before] >= 0
+    pair_bucket = np.where(is_heavy, spread, np.r_[bucket, 0][before])
+    words = np.lexsort((code, bucket))
+    rank = np.empty(n + 1, np.int64)
+    rank[words] = np.arange(n)
+    pairs = np.argsort(pair_bucket << 32 | np.where(is_heavy, (1 << 31) + number[before], rank[before]), kind="stable")
     return Tally(token, first, size, 0, np.bincount(token, train, n).astype(np.int64), pair, before, after, pair_count, code, bucket,
-                 np.where(is_heavy, spread, np.r_[bucket, 0][before]), np.where(is_heavy, HEAVY + number[before], np.r_[code, 0][before]))
+                 pair_bucket, np.where(is_heavy, HEAVY + number[before], np.r_[code, 0][before]), words, pairs)
 
 
 def in_buckets(t: Tally) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(bucket, its words in the order of their codes, its pairs in the order of their contexts)."""
-    words = np.argsort(t.bucket << CODE_BITS | t.code, kind="stable")
-    pairs = np.argsort(t.pair_bucket << CODE_BITS + 1 | t.context, kind="stable")
+    words, pairs = t.words, t.pairs
     word_bucket, pair_bucket = t.bucket[words], t.pair_bucket[pairs]
     for b in np.union1d(word_bucket, pair_bucket).tolist():
         yield (b, words[np.searchsorted(word_bucket, b):np.searchsorted(word_bucket, b, "right")],
@@ -166,7 +174,7 @@ def sent_rows(t: Tally) -> Iterator[tuple]:
         followers[place] = fan[own]
         yield (b, low_bytes(t.code[words], CODE_BYTES), packed(t.count[words]),
                packed(context[head][~own] - HEAVY), packed(np.r_[followers, fan[~own]]),
-               low_bytes(t.code[t.after[pairs]], CODE_BYTES), packed(t.pair_count[pairs]))
+               low_bytes(t.code[t.after[pairs]], AFTER_BYTES), packed(t.pair_count[pairs]))
 
 
 class Shard:
@@ -183,7 +191,7 @@ class Shard:
         words, rank = np.unique(after, return_inverse=True)
         fan = np.bincount(of, minlength=len(context))
         parts = {"contexts": (context, 2 * HEAVY), "totals": (np.cumsum(total), int(total.sum()) + 1),
-                 "pointers": (np.r_[0, np.cumsum(fan)], len(of) + 1), "vocabulary": (words, HEAVY),
+                 "pointers": (np.r_[0, np.cumsum(fan)], len(of) + 1), "vocabulary": (words, AFTERS),
                  "followers": (of * len(words) + rank, max(1, len(context) * len(words)))}
         arrays = {f"{name}.{k}": a for name, (values, universe) in parts.items()
                   for k, a in EliasFano.build(values, universe).arrays.items()}
@@ -241,7 +249,7 @@ def shard_answers(rows: list[tuple], folder: str) -> Iterator[tuple]:
     """Builds one bucket's shard from what the slices sent, and answers each of them."""
     codes = [from_low_bytes(r[2], CODE_BYTES).astype(np.int64) for r in rows]
     counts = [unpacked(r[3]) for r in rows]
-    after = [from_low_bytes(r[6], CODE_BYTES).astype(np.int64) for r in rows]
+    after = [from_low_bytes(r[6], AFTER_BYTES).astype(np.int64) for r in rows]
     context = [np.repeat(np.r_[c, unpacked(r[4]) + HEAVY], unpacked(r[5])) for c, r in zip(codes, rows)]
     word_size, pair_size = [len(x) for x in codes], [len(x) for x in after]
     codes, counts = np.concatenate(codes), np.concatenate(counts)
