@@ -145,3 +145,21 @@ def test_unequal_srid_is_an_error(spark):
     z = zones(spark, [(1, "a", [rect(1, 1, 3, 3)])]).withColumn("srid", F.lit(3857))
     with pytest.raises(Exception, match="SRID"):
         zonal_stats(t, z, spec.with_(srid=4326)).collect()
+
+
+def test_overlapping_rows_of_one_zone_count_once(spark):
+    import pytest
+    t, spec = raster(spark, VALS, 4)
+    a, b, hole = rect(0.2, 0.2, 5.8, 5.8), rect(3.2, 2.2, 9.8, 8.8), rect(1.2, 1.2, 2.8, 2.8)
+    turned = [*b[2:], *b[1:3]]
+    z = zones(spark, [(1, "twice", [a, hole]), (1, "twice", [a, hole]), (2, "parts", [a]), (2, "parts", [b]),
+                      (3, "turned", [b]), (3, "turned", [turned]), (4, "apart", [hole]), (4, "apart", [rect(6, 6, 8, 8)])])
+    shapes = {1: ([a, hole],), 2: ([a], [b]), 3: ([b],), 4: ([hole], [rect(6, 6, 8, 8)])}
+    for engine in ("numpy", "sql"):
+        got = _stats(zonal_stats(t, z, spec, engine=engine))
+        for gid, rows in shapes.items():
+            vs = [float(VALS[y][x]) for y in range(10) for x in range(12) if any(point_in_rings(x, y, r) for r in rows)]
+            assert got[gid] == (len(vs), sum(vs), min(vs), max(vs)), gid
+        for rings in ([a, b], [b, turned], [b, b[::-1]]):
+            with pytest.raises(Exception, match="ring"):
+                zonal_stats(t, zones(spark, [(1, "x", rings)]), spec, engine=engine).collect()

@@ -11,7 +11,8 @@ holds a whole zone, so one huge zone is spread over many tasks.
 Pixel membership: a pixel belongs to a zone when its centre is inside under
 the even-odd rule, with half-open crossings ``(y1 > yc) <> (y2 > yc)`` and
 the crossing counted when it lies right of the centre.  Holes and multipart
-zones are just more rings.
+zones are just more rings of a row; several rows of one zone are united, so a
+pixel counts once however many of them hold it.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilespark.model import RasterSpec
+from tilespark.sources.io import check_rings
 
 GEOMETRY_COLUMNS = {"rings", "xmin", "ymin", "xmax", "ymax"}
 
@@ -42,10 +44,16 @@ def check_srid(zones: DataFrame, spec: RasterSpec) -> DataFrame:
                             .otherwise(F.col("rings")))
 
 
-def zone_edges(zones: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
-    """EDGE: one row per ring segment ``(x1, y1) -> (x2, y2)``."""
+def zone_edges(zones: DataFrame, keep: Sequence[str] | None = None, numbered: bool = False) -> DataFrame:
+    """EDGE: one row per ring segment ``(x1, y1) -> (x2, y2)``; ``numbered``
+    adds the numbers ``_row`` of its zone row and ``_ring`` of its ring."""
     keep = list(keep) if keep is not None else attribute_columns(zones)
-    r = zones.where(F.col("rings").isNotNull()).select(*keep, F.explode("rings").alias("ring"))
+    r = zones.where(F.col("rings").isNotNull())
+    if numbered:
+        r = r.withColumn("_row", F.monotonically_increasing_id()).select(*keep, "_row", F.posexplode("rings").alias("_ring", "ring"))
+        keep += ["_row", "_ring"]
+    else:
+        r = r.select(*keep, F.explode("rings").alias("ring"))
     r = r.where(F.size("ring") >= 2)
     seg = F.transform(F.sequence(F.lit(1), F.size("ring") - 1), lambda i: F.struct(
         F.col("ring")[i - 1]["x"].alias("x1"), F.col("ring")[i - 1]["y"].alias("y1"),
@@ -87,17 +95,55 @@ def zone_spans(zones: DataFrame, spec: RasterSpec, keep: Sequence[str] | None =
     """SPAN: ``(keep..., py, c0, c1)``: pixels ``c0 <= px < c1`` of row ``py``
     have their centre inside the zone.  Only rows and columns inside the
     raster are produced.  One group per (zone, pixel row): bounded by the
-    number of ring edges crossing one row."""
+    number of ring edges crossing one row.
+
+    Crossings pair by the even-odd rule within a zone row; the spans of all rows
+    of a zone are united, so spans never share a pixel.  A ring inside another
+    of its row is a hole; rings of a row that partly cover each other fail the
+    query."""
     keep = list(keep) if keep is not None else attribute_columns(zones)
-    x = edge_crossings(zone_edges(check_srid(zones, spec), keep), spec, keep)
-    g = x.groupBy(*keep, "py").agg(F.array_sort(F.collect_list("xc")).alias("xs"))
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1),
-                        lambda k: F.struct(F.col("xs")[k * 2].alias("x_from"), F.col("xs")[k * 2 + 1].alias("x_to")))
-    s = g.where(F.size("xs") >= 2).select(*keep, "py", F.explode(pairs).alias("p"))
-    s = s.select(*keep, "py",
-                 F.greatest(first_col_at_or_after(F.col("p.x_from"), spec), F.lit(0)).cast("int").alias("c0"),
-                 F.least(first_col_at_or_after(F.col("p.x_to"), spec), F.lit(spec.width)).cast("int").alias("c1"))
-    return s.where(F.col("c1") > F.col("c0"))
+    zones = check_rings(check_srid(zones, spec))
+    x = edge_crossings(zone_edges(zones, keep, numbered=True), spec, [*keep, "_row", "_ring"])
+    g = x.groupBy(*keep, "py").agg(F.array_sort(F.collect_list(F.struct("_row", "_ring", "xc"))).alias("xs"))
+
+    def spans(xs: Column) -> Column:
+        """The pixel spans (row, c0, -c1) of neighbours 2k and 2k + 1, none empty."""
+        pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1), lambda k: F.struct(
+            F.get(xs, k * 2)["_row"].alias("row"),
+            F.greatest(first_col_at_or_after(F.get(xs, k * 2)["xc"], spec), F.lit(0)).cast("int").alias("c0"),
+            (-F.least(first_col_at_or_after(F.get(xs, k * 2 + 1)["xc"], spec), F.lit(spec.width))).cast("int").alias("end")))
+        return F.filter(pairs, lambda p: -p["end"] > p["c0"])
+
+    # a closed ring crosses a pixel row an even number of times, so no pair spans two rings or two rows
+    by_ring = spans(F.col("xs"))
+    by_row = spans(F.array_sort(F.transform("xs", lambda c: F.struct(c["_row"].alias("_row"), c["xc"].alias("xc")))))
+    several = (F.get("xs", F.lit(0))["_row"] != F.element_at("xs", -1)["_row"]) | (
+        F.get("xs", F.lit(0))["_ring"] != F.element_at("xs", -1)["_ring"])
+    g = g.where(F.size("xs") >= 2).withColumn("_crossed", F.when(several, partly_covered(F.array_sort(by_ring))).otherwise(F.lit(False)))
+    fault = F.concat(F.lit("overlapping rings in a row of zone "), F.coalesce(F.col(keep[0]).cast("string"), F.lit("null")))
+    g = g.withColumn("_spans", F.when(F.col("_crossed"), F.raise_error(fault).cast("array<struct<row:bigint,c0:int,end:int>>"))
+                     .otherwise(by_row))
+    g = g.select(*keep, "py", F.array_sort(F.transform("_spans", lambda p: p["c0"])).alias("_from"),
+                 F.array_sort(F.transform("_spans", lambda p: -p["end"])).alias("_to")).where(F.size("_from") > 0)
+    # the k-th start begins a united span when the k spans before it have ended
+    n = F.size("_from")
+    g = g.withColumn("_first", F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (F.get("_to", k - 1) < F.get("_from", k))))
+    united = F.transform("_first", lambda k, i: F.struct(
+        F.get("_from", k).alias("c0"), F.get("_to", F.coalesce(F.get("_first", i + 1), n) - 1).alias("c1")))
+    return g.select(*keep, "py", F.explode(united).alias("p")).select(*keep, "py", "p.c0", "p.c1")
+
+
+def partly_covered(spans: Column) -> Column:
+    """Whether two of the spans (row, c0, -c1) of rings, sorted, of one row share
+    pixels without one holding the other."""
+    start = F.struct(F.lit(False).alias("bad"), F.lit(-1).cast("long").alias("row"), F.array().cast("array<int>").alias("ends"))
+
+    def step(a, s):
+        around = F.when(a["row"] == s["row"], F.filter(a["ends"], lambda e: e > s["c0"])).otherwise(F.array().cast("array<int>"))
+        return F.struct((a["bad"] | F.exists(around, lambda e: e < -s["end"])).alias("bad"), s["row"].alias("row"),
+                        F.concat(around, F.array(-s["end"])).alias("ends"))
+
+    return F.aggregate(spans, start, step, lambda a: a["bad"])
 
 
 def span_pieces(spans: DataFrame, spec: RasterSpec, keep: Sequence[str]) -> DataFrame:

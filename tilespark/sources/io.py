@@ -34,10 +34,12 @@ def read_zones(spark: SparkSession, path: str) -> DataFrame:
 
 def check_rings(zones: DataFrame) -> DataFrame:
     """Zones whose rings can be filled by the even-odd rule.  A ring that does
-    not close, has fewer than three corners, or stands twice in one zone (parts
-    that cover each other cancel out) fails the query, row by row."""
+    not close, has fewer than three corners, or stands twice in one row, begun at
+    whichever corner and in either direction (parts that cover each other cancel
+    out), fails the query, row by row."""
     ring_ok = F.forall("rings", lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)))
-    twice = F.size(F.array_distinct("rings")) != F.size("rings")
+    corners = F.transform("rings", lambda r: F.array_sort(F.slice(r, F.lit(1), F.greatest(F.size(r) - 1, F.lit(0)))))
+    twice = F.size(F.array_distinct(corners)) != F.size("rings")
     kind = zones.schema["rings"].dataType
 
     def fail(text):
