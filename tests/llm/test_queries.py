@@ -3,11 +3,12 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm import brute
-from tilespark.llm import decontaminate, lm_score, queries
+from tilespark.llm import decontaminate, language_id, lm_score, queries
 
 TABLES = "documents pages labels benchmark".split()
 
@@ -112,3 +113,12 @@ def test_stages_take_awkward_rows(spark):
             got = out.collect()
             assert len(got) <= df.count()
     assert sorted(r["text"] for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()) == sorted(r[1] for r in rows if r[1] and "the" in r[1].lower())
+
+
+def test_pair_limit_leaves_each_language_its_words(spark):
+    rows = [(k, "the water of the house is here", "en") for k in range(20)] + [(90, "das haus am wasser", "xx"), (91, "la maison", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs, F.lit(True), train_words=6)
+    assert model.languages == ["en", "xx", "zz"]
+    got = language_id.identify(docs, model).where("doc_id >= 90").collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {90: "xx", 91: "zz"}

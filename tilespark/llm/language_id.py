@@ -5,8 +5,9 @@ A word's probability is the sum over all ways to cut it into pieces, by the
 forward algorithm; a text's is the product over its words.  The piece
 probabilities are learned by EM (expected counts by forward-backward) from a
 bounded sample of labelled documents: about ``docs_per_language`` documents of
-each of the ``max_languages`` most frequent languages and their ``train_words``
-most frequent (language, word) pairs.  The model (vocabulary times languages) is
+each of the ``max_languages`` most frequent languages and ``train_words`` of their
+(language, word) pairs, the most frequent of each language in turn, so that every
+language keeps its share.  The model (vocabulary times languages) is
 bounded by these parameters, so it can be broadcast; scoring is a map over all
 documents without a shuffle.
 """
@@ -20,7 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -209,7 +210,11 @@ def train(docs: DataFrame, allowed: Column, text_col: str = "text", lang_col: st
                                               pa.array(seen.values(), pa.int64())], ["lang", "word", "n"])
 
     counted = (sample.mapInArrow(tally, "lang string, word string, n long").groupBy("lang", "word")
-               .agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "word").limit(train_words))
+               .agg(F.sum("n").alias("n")))
+    # the limit is met by rank, so it falls on all languages alike; the window keeps no more than it per language
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    counted = (counted.withColumn("turn", turn).where(F.col("turn") <= train_words)
+               .orderBy("turn", "lang", "word").limit(train_words).drop("turn"))
     # stored, so that no more than train_words rows meet the driver; in order, so that languages and sums are
     counted = stored(counted, "lang-words").orderBy("lang", "word")
     counts = counted.toArrow()
