@@ -16,14 +16,13 @@ from tilespark.llm.exact_dedup import exact_dedup
 from tilespark.llm.queries import table
 from tilespark.llm.source_mix import mix_sources
 
-LEAST_SCORE = 0.5
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those whose language has no majority of the posterior."""
+    """Rejects documents without letters.  How sure the language is does not matter: a short text may fit several."""
     model = language_id.train(docs, crc_mod("doc_id", 4) != 2)
+    if not model.languages:  # no labelled row, so every document would be unknown
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     told = language_id.identify(docs, model, pred_col="__lang_pred", score_col="__score")
-    return told.where((F.col("__lang_pred") != language_id.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(docs.columns)
+    return told.where(F.col("__lang_pred") != language_id.UNKNOWN).select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

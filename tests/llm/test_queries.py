@@ -122,3 +122,14 @@ def test_pair_limit_leaves_each_language_its_words(spark):
     assert model.languages == ["en", "xx", "zz"]
     got = language_id.identify(docs, model).where("doc_id >= 90").collect()
     assert {r["doc_id"]: r["lang_pred"] for r in got} == {90: "xx", 91: "zz"}
+
+
+def test_language_stage_keeps_short_texts(spark):
+    shared = "taxi radio metro"
+    rows = [(4 * k + n, f"{shared} {w} {w}", lang, "a", 1) for k in range(8) for n, (w, lang) in enumerate(zip(("der", "the", "les", "gli"), ("de", "en", "fr", "it")))]
+    rows += [(100, shared, None, "a", 1), (101, "12 34", None, "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()} == {r[0] for r in rows} - {101}
+    # nothing to learn from: texts with letters pass
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, bare, SF).collect()} == {r[0] for r in rows} - {101}
