@@ -16,6 +16,7 @@ from tilespark.llm.exact_dedup import exact_dedup
 from tilespark.llm.queries import table
 from tilespark.llm.source_mix import mix_sources
 
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without letters.  How sure the language is does not matter: a short text may fit several."""
     model = language_id.train(docs, crc_mod("doc_id", 4) != 2)
@@ -31,10 +32,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that with the smallest id."""
-    groups = simhash.near_groups(docs, shingle=3, max_bits=2)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
+    """One document of each SimHash group stays: that with the smallest id (null last), among rows
+    that share an id the one with the smallest hash of all columns; of equal rows one stays."""
+    # flags tell nulls apart, which the hash passes over
+    version = F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())])
+    keyed = docs.withColumn("__key", F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), version.alias("v")))
+    groups = simhash.near_groups(keyed, shingle=3, max_bits=2, id_col="__key")
+    keep = groups.where(F.col("__key").eqNullSafe(F.col("component_id"))).select("__key").distinct()
+    # i may be null, so the key is compared null-safe; the aggregate below meets rows by the same key
+    kept = keyed.join(keep.withColumnRenamed("__key", "__keep"), F.col("__key").eqNullSafe(F.col("__keep")), "left_semi")
+    return kept.dropDuplicates(["__key"]).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

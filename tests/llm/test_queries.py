@@ -124,6 +124,22 @@ def test_pair_limit_leaves_each_language_its_words(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in got} == {90: "xx", 91: "zz"}
 
 
+def test_near_stage_keeps_one_row_of_each_group(spark):
+    rng = np.random.default_rng(3)
+    a, b, c = (" ".join(f"w{k}" for k in rng.integers(0, 10_000, 60)) for _ in range(3))
+    rows = [(1, a, "x"), (1, a, "y"), (1, a, "y"), (2, a, "x"), (1, b, "x"), (0, b, "x"), (None, c, "x"), (None, c, "x"), (7, c, "x"),
+            (None, a + " end of it", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    prints = [brute.simhash(r[1]) for r in rows]
+    groups = {}
+    for r, least in zip(rows, brute.linked(list(range(len(rows))), prints)):
+        groups.setdefault(least, []).append(r)
+    want = sorted((min((r[0] is None, r[0] or 0) for r in g), {r[1] for r in g}) for g in groups.values())
+    got = corpus_pipeline.near(spark, docs, SF).collect()
+    assert len(got) == len(groups) and all(tuple(r) in rows for r in got)
+    assert sorted((r[0] is None, r[0] or 0) for r in got) == [w[0] for w in want]
+
+
 def test_language_stage_keeps_short_texts(spark):
     shared = "taxi radio metro"
     rows = [(4 * k + n, f"{shared} {w} {w}", lang, "a", 1) for k in range(8) for n, (w, lang) in enumerate(zip(("der", "the", "les", "gli"), ("de", "en", "fr", "it")))]
