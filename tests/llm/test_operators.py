@@ -303,3 +303,26 @@ def test_warc_without_index(spark, scratch):
     got = warc_zip.read_packages(spark.createDataFrame([(f"{scratch}/x.wacz",)], "package string")).collect()
     assert sorted(int(r["record_id"]) for r in got) == list(range(20))
     assert all(bytes(r["payload"]) == f"p{r['record_id']}".encode() * 50 for r in got)
+
+
+def test_warc_with_short_index_and_plain_member(spark, scratch):
+    """Records that an index does not list, or that stand in an uncompressed member, are read too."""
+    import gzip
+    import json
+    import zipfile
+
+    records = [warc_zip.record_bytes(str(k), "response", f"http://x/{k}", None, brute.sha(f"p{k}" * 50), len(f"p{k}" * 50), (f"p{k}" * 50).encode()) for k in range(12)]
+    packed = [gzip.compress(r) for r in records[:8]]
+    begin = [sum(map(len, packed[:k])) for k in range(8)]
+    entry = lambda k, name: f"- {warc_zip.DATE} " + json.dumps({"offset": str(begin[k]), "length": str(len(packed[k])), "filename": name}) + "\n"
+    for index in ("", entry(5, "data.warc.gz") + entry(2, "data.warc.gz") + entry(3, "other.warc.gz"), "".join(entry(k, "data.warc.gz") for k in range(8))):
+        with zipfile.ZipFile(f"{scratch}/x.wacz", "w") as z:
+            z.writestr("archive/data.warc.gz", b"".join(packed))
+            z.writestr("archive/more.warc", b"".join(records[8:]))
+            z.writestr("indexes/index.cdxj", index)
+        got = warc_zip.read_packages(spark.createDataFrame([(f"{scratch}/x.wacz",)], "package string")).collect()
+        assert sorted(int(r["record_id"]) for r in got) == list(range(12))
+    with zipfile.ZipFile(f"{scratch}/y.wacz", "w") as z:
+        z.writestr("archive/data.arc", "?")
+    with pytest.raises(Exception, match="no WARC"):
+        warc_zip.read_packages(spark.createDataFrame([(f"{scratch}/y.wacz",)], "package string")).collect()

@@ -202,6 +202,36 @@ def gzip_members(f, start: int, size: int) -> Iterator[tuple[int, int]]:
             raise ValueError("cut-off WARC member")
 
 
+def plain_records(f, start: int, size: int) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the records in a byte range that holds an uncompressed WARC."""
+    at = 0
+    while at < size:
+        f.seek(start + at)
+        head = b""
+        while b"\r\n\r\n" not in head and len(head) < size - at:
+            head += f.read(min(1 << 12, size - at - len(head)))
+        head, end, _ = head.partition(b"\r\n\r\n")
+        body = re.search(rb"\r\ncontent-length:[ \t]*(\d+)", head, re.IGNORECASE)
+        length = len(head) + 4 + int(body[1]) + 4 if end and body else 0
+        if not length or at + length > size:
+            raise ValueError("cut-off WARC record")
+        yield at, length
+        at += length
+
+
+def covered(f, start: int, size: int, listed: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The listed (offset, length) and the gzip members in the bytes between them that no entry lists."""
+    at = 0
+    for offset, length in [*sorted(set(listed)), (size, 0)]:
+        if offset < at or offset + length > size:
+            raise ValueError("index entries overlap or leave their member")
+        if offset > at:
+            yield from ((at + x, n) for x, n in gzip_members(f, start + at, offset - at))
+        if length:
+            yield offset, length
+        at = offset + length
+
+
 def index_slices(package: str) -> Iterator[tuple[list[int], list[int]]]:
     """Absolute offsets and lengths of a package's records, in slices of bounded size."""
     store, path = open_store(package)
@@ -209,17 +239,23 @@ def index_slices(package: str) -> Iterator[tuple[list[int], list[int]]]:
         members = directory(f, f.size())
         for name in sorted(members):
             local, size, method = members[name]
-            if not (name.startswith("archive/") and name.endswith(".warc.gz")):
+            if not name.startswith("archive/") or name.endswith("/"):
                 continue
+            if not name.endswith((".warc.gz", ".warc")):
+                raise ValueError(f"{name} in {package} is no WARC that can be read")
             if method:
                 raise ValueError(f"{name} in {package} is not stored")
             base = member_start(f, local)
             entry = members.get(INDEX_MEMBER) if name == WARC_MEMBER else None
-            if entry:
+            if name.endswith(".warc"):
+                spans = plain_records(f, base, size)
+            elif entry and not entry[2]:
                 f.seek(member_start(f, entry[0]))
-                lines = io.BytesIO(f.read(entry[1])) if not entry[2] else ()
-                spans = ((x["offset"], x["length"]) for x in (json.loads(line.split(b" ", 2)[2]) for line in lines))
-            if not entry or entry[2]:
+                lines = (json.loads(line.split(b" ", 2)[2]) for line in io.BytesIO(f.read(entry[1])) if line.strip() and line[:1] != b"!")
+                own = name.removeprefix("archive/")
+                spans = covered(f, base, size, [(int(x["offset"]), int(x["length"])) for x in lines
+                                                if x.get("filename", own).removeprefix("archive/") == own])
+            else:
                 spans = gzip_members(f, base, size)
             offsets, lengths = [], []
             for offset, length in spans:
@@ -299,7 +335,8 @@ def read_packages(packages: DataFrame, payloads: bool = True) -> DataFrame:
                 with store.open_input_file(path) as f:
                     for offset, length in zip(row["offsets"], row["lengths"]):
                         f.seek(offset)
-                        found.append(parse_record(gzip.decompress(f.read(length))))
+                        data = f.read(length)
+                        found.append(parse_record(data if data[:5] == b"WARC/" else gzip.decompress(data)))
                         if not payloads:
                             found[-1]["payload"] = None
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in zip(names, types)], names)
