@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm import decontaminate, language_id, simhash, warc_zip
-from tilespark.llm.common import crc_mod
+from tilespark.llm import centroids, decontaminate, language_id, simhash, warc_zip
+from tilespark.llm.common import crc_mod, stored
 from tilespark.llm.exact_dedup import exact_dedup
 from tilespark.llm.line_dedup import line_dedup
 from tilespark.llm.lm_score import lm_scores
@@ -263,3 +263,44 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lm_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 10) != 0)
     return done.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+# ------------------------------------------------------------ op13
+
+CLUSTERS, ROUNDS = 40, 5
+
+
+def _sql_rounds() -> str:
+    """A round: every vector's nearest centroid, then the floors of the means; empty centroids stay."""
+    near = """a{i} AS (SELECT r, any_value(vec_id) vec_id, any_value(v) v, min((d, c)) m FROM
+  (SELECT r, vec_id, p.v, c, list_sum(list_transform(range(1, 65), lambda j: (p.v[j] - q.v[j]) * (p.v[j] - q.v[j])))::BIGINT d
+   FROM p, c{i} q) GROUP BY r)"""
+    mean = """s{i} AS (SELECT c, list((s - ((s % n + n) % n)) // n ORDER BY j) v FROM
+  (SELECT m[2] c, j, sum(v[j])::BIGINT s, count(*) n FROM a{i}, unnest(range(1, 65)) AS t(j) GROUP BY ALL) GROUP BY c),
+c{k} AS (SELECT c, coalesce(s.v, q.v) v FROM c{i} q LEFT JOIN s{i} s USING (c))"""
+    parts = [x for i in range(ROUNDS) for x in (near.format(i=i), mean.format(i=i, k=i + 1))]
+    return ",\n".join([*parts, near.format(i=ROUNDS)])
+
+
+OP13_SQL = f"""
+WITH p AS (SELECT row_number() OVER () r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM
+  (SELECT v, sha256('2:' || coalesce(vec_id::VARCHAR, '')) h FROM p ORDER BY h, v LIMIT {CLUSTERS})),
+{_sql_rounds()}
+SELECT vec_id, m[2]::INT AS cluster, m[1] distance, sum(m[1]) OVER (PARTITION BY m[2])::BIGINT cluster_inertia,
+  sum(m[1]) OVER ()::BIGINT inertia, sha256(array_to_string(q.v, ',')) centroid_sha256
+FROM a{ROUNDS} JOIN c{ROUNDS} q ON q.c = m[2]"""
+
+
+@query("op13_centroid_clusters", OP13_SQL)
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), k=CLUSTERS, rounds=ROUNDS)
+    near = stored(found.vectors, "clusters")
+    sums = near.groupBy("cluster").agg(F.sum("distance").alias("cluster_inertia")).collect()  # a row for each centroid at most
+    total = sum(r["cluster_inertia"] for r in sums)
+    rows = [(r["cluster"], r["cluster_inertia"], total, ",".join(map(str, found.centroids[r["cluster"]]))) for r in sums]
+    told = spark.createDataFrame(rows, "cluster int, cluster_inertia long, inertia long, centroid string")
+    return (near.join(F.broadcast(told), "cluster")
+            .select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+                    F.sha2(F.col("centroid").cast("binary"), 256).alias("centroid_sha256")))
