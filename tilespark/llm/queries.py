@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm import centroids, decontaminate, language_id, simhash, warc_zip
+from tilespark.llm import centroids, decontaminate, language_id, pii, simhash, warc_zip
 from tilespark.llm.common import crc_mod, stored
 from tilespark.llm.exact_dedup import exact_dedup
 from tilespark.llm.line_dedup import line_dedup
@@ -304,3 +304,19 @@ def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (near.join(F.broadcast(told), "cluster")
             .select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
                     F.sha2(F.col("centroid").cast("binary"), 256).alias("centroid_sha256")))
+
+
+# ------------------------------------------------------------ op12
+
+@query("op12_private_data")
+def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the hash are those of the patterns' spans; ``spans`` has the added ones too."""
+    docs = table(spark, sf_dir, "documents")
+    known = [(text, spans, pii.EXAMPLE_WEIGHT) for text, spans in pii.examples()]
+    found = pii.find_private(docs, pii.train(known + pii.label_windows(docs)))
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(F.col("id").alias("doc_id"), *counts,
+                        F.sha2(pii.joined_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        pii.joined_spans(pii.by_kind(F.concat("base", "added"))).alias("spans"),
+                        F.size("added").cast("long").alias("n_added"))
