@@ -165,3 +165,89 @@ def linked(ids, prints, bits=2):
         if x is not None:
             least[up(i)] = min(least.get(up(i), x), x)
     return [least.get(up(i)) for i in range(len(ids))]
+
+
+def repaired(rows):
+    """rows: (turn, role, text) of one conversation -> gaps, blank, duplicate, truncated, illegal, cost, audit, sha256"""
+    rows = sorted([(t, " " if r is None else r, " " if x is None else x) for t, r, x in rows], key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    seen, fault = set(), []
+    for _, r, x in rows:
+        bare = x.rstrip(" \t\n\v\f\r")
+        fault.append("blank" if not bare else "duplicate" if (r, x) in seen else "truncated" if bare[-1] not in ".!?" else "")
+        seen.add((r, x))
+    grammar = re.compile(r"(s?(ua)+)?")
+    follow = {"": "su", "s": "u", "u": "a", "a": "u"}
+    best = {("", ""): (0, "", ())}  # (last initial) -> cost, audit, text; all edits of all rows, row by row
+
+    def offer(to, key, value):
+        if key not in to or value[:2] < to[key][:2]:
+            to[key] = value
+
+    def inserted(now):
+        for _ in range(4):
+            for (last, _), (c, a, out) in list(now.items()):
+                for i, name in (("u", "user"), ("a", "assistant")):
+                    if i in follow[last]:
+                        offer(now, (i, ""), (c + 5, a + "I", out + ((name, ""),)))
+
+    for (_, r, x), f in zip(rows, fault):
+        inserted(best)
+        after = {}
+        for (last, _), (c, a, out) in best.items():
+            offer(after, (last, ""), (c + 2, a + "D", out))
+            if f not in ("blank", "duplicate"):
+                more = 5 if f == "truncated" else 0
+                if r[:1] and r[:1] in follow[last]:
+                    offer(after, (r[:1], ""), (c + more, a + "K", out + ((r, x),)))
+                for i, name in (("u", "user"), ("a", "assistant")):
+                    if i in follow[last]:
+                        offer(after, (i, ""), (c + 1 + more, a + "R", out + ((name, x),)))
+        best = after
+    inserted(best)
+    cost, audit, out = min((v for (last, _), v in best.items() if last in ("", "a")), key=lambda v: v[:2])
+    assert grammar.fullmatch("".join(r[0] for r, _ in out))
+    turns = {t for t, _, _ in rows if t is not None}
+    gap = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    return (gap, *(fault.count(k) for k in ("blank", "duplicate", "truncated")), illegal, cost, audit, sha("\n".join(f"{r}:{x}" for r, x in out)))
+
+
+def luhn(digits):
+    total = 0
+    for k, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + k % 2)
+        total += d // 10 + d % 10
+    return total % 10 == 0
+
+
+def private(text):
+    """[(kind, start, end)] of the fixed patterns, by kind, then start"""
+    text = text or ""
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text)
+            if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = re.sub("[^0-9]", "", m.group())
+        if 13 <= len(digits) <= 19 and luhn(digits):
+            out.append(("card", m.start(), m.end()))
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text)
+                  if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+
+
+def clusters(rows, dims, k, rounds, scale=256):
+    """rows: (id, vector) -> [(id, cluster, distance)] of the valid ones, and the centroids"""
+    kept = [(i, [math.floor(scale * x) for x in v]) for i, v in rows
+            if v is not None and len(v) == dims and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted(kept, key=lambda r: (sha("2:" + ("" if r[0] is None else str(r[0]))), r[1]))
+    c = [list(v) for _, v in order[:k]]
+
+    def near(v):
+        return min((sum((a - b) ** 2 for a, b in zip(v, q)), n) for n, q in enumerate(c))
+
+    for _ in range(rounds):
+        group = defaultdict(list)
+        for _, v in kept:
+            group[near(v)[1]].append(v)
+        for n, vs in group.items():
+            c[n] = [sum(x) // len(vs) for x in zip(*vs)]
+    return [(i, near(v)[1], near(v)[0]) for i, v in kept], c

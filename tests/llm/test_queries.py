@@ -10,7 +10,7 @@ from tests.conftest import SF
 from tests.llm import brute
 from tilespark.llm import decontaminate, language_id, lm_score, queries
 
-TABLES = "documents pages labels benchmark".split()
+TABLES = "documents pages labels benchmark conversations embeddings".split()
 
 
 @pytest.fixture(scope="module")

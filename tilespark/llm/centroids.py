@@ -56,7 +56,7 @@ def integers(batch: pa.Array, dims: int, scale: int) -> tuple[np.ndarray, np.nda
 
 def to_bytes(v: np.ndarray) -> np.ndarray:
     """Rows of integers as bytes whose order is the order of the components."""
-    return np.ascontiguousarray((v + (1 << 31)).astype(">u4")).view(np.uint8).reshape(len(v), -1)
+    return np.ascontiguousarray((v + (1 << 31)).astype(">u4")).view(np.uint8).reshape(len(v), 4 * v.shape[1])
 
 
 def from_bytes(data: bytes, dims: int) -> np.ndarray:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilespark.llm import centroids, decontaminate, language_id, pii, simhash, warc_zip
+from tilespark.llm import centroids, decontaminate, language_id, pii, repair, simhash, warc_zip
 from tilespark.llm.common import crc_mod, stored
 from tilespark.llm.exact_dedup import exact_dedup
 from tilespark.llm.line_dedup import line_dedup
@@ -320,3 +320,83 @@ def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(pii.joined_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         pii.joined_spans(pii.by_kind(F.concat("base", "added"))).alias("spans"),
                         F.size("added").cast("long").alias("n_added"))
+
+
+# ------------------------------------------------------------ op11
+
+def _sql_walk() -> tuple[str, str, str, str, str, str]:
+    """The least (cost, audit) to each state, a row at a time: insertions first, then the row's edit.
+    A state that cannot be reached costs a billion."""
+    add = lambda x, c, e: f"{{'c': {x}.c + {c}, 'a': {x}.a || {e}}}"
+    least = lambda *xs: f"list_sort([{', '.join(xs)}])[1]"
+    u = least("w.u", add("w.h", 5, "'I'"), add("w.s", 5, "'I'"), add("w.a", 5, "'I'"))
+    a = least("w.a", add("w.u", 5, "'I'"), add("w.h", 10, "'II'"), add("w.s", 10, "'II'"))
+    put = lambda x, i: add(x, f"CASE WHEN fault IN (1, 2) THEN 1000000000 ELSE 5 * (fault = 3)::INT + CASE WHEN initial = '{i}' THEN 0 ELSE 1 END END",
+                           f"CASE WHEN initial = '{i}' THEN 'K' ELSE 'R' END")
+    drop = lambda x: add(x, 2, "'D'")
+    system = add("w.h", "CASE WHEN fault IN (1, 2) OR initial <> 's' THEN 1000000000 ELSE 5 * (fault = 3)::INT END", "'K'")
+    return (u, a, drop("w.h"), least(drop("w.s"), system), least(drop("x.u"), put("w.h", "u"), put("w.s", "u"), put("x.a", "u")),
+            least(drop("x.a"), put("x.u", "a")))
+
+
+_U, _A, _NEXT_H, _NEXT_S, _NEXT_U, _NEXT_A = _sql_walk()
+_FAR = "{'c': 1000000000, 'a': ''}"
+OP11_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda a, z: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) step),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') role, coalesce(text, ' ') t,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+    lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), 4294967295) % 20 h FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END role,
+  CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END t
+  FROM k, unnest(range(CASE WHEN h = 0 THEN 0 WHEN h = 3 THEN 2 ELSE 1 END))),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t) i FROM d),
+r AS (SELECT *, left(role, 1) initial, regexp_extract(t, '([^ 	-
+])[ 	-
+]*\z', 1) tail, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) before,
+  row_number() OVER (PARTITION BY conv_id, role, t ORDER BY i) occurrence, count(*) OVER (PARTITION BY conv_id) rows FROM n),
+f AS (SELECT *, CASE WHEN tail = '' THEN 1 WHEN occurrence > 1 THEN 2 WHEN tail NOT IN ('.', '!', '?') THEN 3 ELSE 0 END fault FROM r),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT gaps, count(*) FILTER (fault = 1) blank,
+  count(*) FILTER (fault = 2) duplicate, count(*) FILTER (fault = 3) truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) illegal FROM f GROUP BY conv_id),
+w AS (SELECT DISTINCT conv_id, 0::BIGINT i, rows, {{'h': {{'c': 0, 'a': ''}}, 's': {_FAR}, 'u': {_FAR}, 'a': {_FAR}}} w FROM f
+  UNION ALL SELECT conv_id, i, rows, {{'h': {_NEXT_H}, 's': {_NEXT_S}, 'u': {_NEXT_U}, 'a': {_NEXT_A}}} FROM
+  (SELECT f.conv_id, f.i, f.rows, f.fault, f.initial, w.w, {{'u': {_U}, 'a': {_A}}} x FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1)),
+e AS (SELECT conv_id, list_sort([w.h, {_A}])[1] e FROM w WHERE i = rows),
+o AS (SELECT conv_id, e.c "cost", e.a audit, unnest(range(1, length(e.a) + 1)) p FROM e),
+l AS (SELECT conv_id, p, substr(audit, p, 1) edit, sum((substr(audit, p, 1) <> 'I')::INT) OVER b i,
+  sum((substr(audit, p, 1) <> 'D')::INT) OVER b m, sum((substr(audit, p, 1) <> 'D')::INT) OVER (PARTITION BY conv_id) total
+  FROM o WINDOW b AS (PARTITION BY conv_id ORDER BY p)),
+t AS (SELECT l.conv_id, l.p, CASE WHEN edit = 'K' THEN f.role WHEN (total - m) % 2 = 0 THEN 'assistant' ELSE 'user' END || ':' ||
+  CASE WHEN edit = 'I' THEN '' ELSE f.t END line FROM l JOIN f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.i = greatest(l.i, 1) WHERE edit <> 'D'),
+s AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY p) body FROM t GROUP BY conv_id)
+SELECT ids.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated,
+  coalesce(illegal, 0) illegal, coalesce(e.c, 0)::BIGINT AS "cost", coalesce(e.a, '') audit, sha256(coalesce(body, '')) repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM ids.conv_id
+LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM ids.conv_id LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM ids.conv_id"""
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults: by crc32 of ``conv_id:turn`` modulo 20 a row is dropped, emptied, stripped of
+    its full stops, repeated, or given to the user.  A null counts as one space."""
+    words = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.crc32(F.concat(words("conv_id"), F.lit(":"), words("turn")).cast("binary")) % 20
+    text = F.when(h == 1, "").when(h == 2, F.regexp_replace(words("text"), "[.!?]", "")).otherwise(words("text"))
+    times = F.when(h == 0, 0).when(h == 3, 2).otherwise(1)
+    return (turns.select("conv_id", "turn", F.when(h == 4, "user").otherwise(words("role")).alias("role"), text.alias("text"),
+                         F.explode(F.array_repeat(F.lit(1), times)).alias("one")).drop("one"))
+
+
+@query("op11_conversation_repair", OP11_SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    fixed = repair.repair_conversations(damaged(turns))
+    told = fixed.conversations.withColumnRenamed("id", "id1")
+    hashes = repair.digests(fixed.rows).withColumnRenamed("id", "id2")
+    zero = F.lit(0).cast("long")
+    counts = [F.coalesce(F.col(c), zero).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    # an id whose rows were all dropped has a row here alone
+    return (turns.select("conv_id").distinct()
+            .join(told, F.col("conv_id").eqNullSafe(F.col("id1")), "left").join(hashes, F.col("conv_id").eqNullSafe(F.col("id2")), "left")
+            .select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                    F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")))
