@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 import oracle_sql as O
 from tilespark.functions import coords as C
 from tilespark.functions.pixels import clamp_to_type
-from tilespark.operators import algebra, clip, focal as focal_mod, local, zonal, zones as Z
+from tilespark.operators import algebra, clip, focal as focal_mod, intervals, local, zonal, zones as Z
 from tilespark.operators.validate import validate_tiles
 from tilespark.plans import partition as P
 from tilespark.session import checkpoint_dir
@@ -571,6 +571,58 @@ def q_feature_tiles(spark, sf):
     return Z.feature_tiles(p, t).select("gid", "name", "tile_row", C.ids_text(F.col("ids")).alias("raster_ids"))
 
 
+#: Ids that follow each other without a gap are one range.
+_RANGES_SQL = """SELECT gid, name, sum(z - a + 1)::BIGINT AS n_tiles,
+  string_agg(CASE WHEN a = z THEN CAST(a AS VARCHAR) ELSE a || '-' || z END, ',' ORDER BY a) AS ranges
+FROM (SELECT gid, name, min(rid) AS a, max(rid) AS z FROM
+  (SELECT gid, name, rid, rid - row_number() OVER (PARTITION BY gid, name ORDER BY rid) AS island FROM {pairs}) GROUP BY gid, name, island)
+GROUP BY gid, name"""
+
+
+@query("feature_rid_ranges", _PAIRS_SQL + "\n" + _RANGES_SQL.format(pairs="pairs"))
+def q_feature_rid_ranges(spark, sf):
+    t, spec = tiles_a(spark, sf)
+    r = intervals.feature_rid_ranges(t, fx.zones_tracts(spark, sf), spec)
+    return r.select("gid", "name", "n_tiles", intervals.ranges_text(F.col("ranges")).alias("ranges"))
+
+
+@query("feature_rid_ranges_sparse", _PAIRS_SQL + ", kept AS (SELECT * FROM pairs WHERE rid % 7 <> 3)\n" + _RANGES_SQL.format(pairs="kept"))
+def q_feature_rid_ranges_sparse(spark, sf):
+    """Over a tile table with holes."""
+    t, spec = tiles_a(spark, sf)
+    r = intervals.feature_rid_ranges(t.where("rid % 7 <> 3"), fx.zones_tracts(spark, sf), spec)
+    return r.select("gid", "name", "n_tiles", intervals.ranges_text(F.col("ranges")).alias("ranges"))
+
+
+def _zones_on_and_off(spark, sf) -> DataFrame:
+    """The state zones, and the same moved a thousand degrees east, off the raster."""
+    z = fx.zones_states(spark, sf)
+    ring = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] + 1000).alias("x"), p["y"].alias("y"))))
+    moved = z.withColumns({"gid": F.col("gid") + 1000, "rings": ring})
+    return fx.with_bbox(z.unionByName(moved))
+
+
+_STAT_NAMES = ["count", "sum", "mean", "stddev", "min", "max"]
+
+
+@query("zonal_left", f"""WITH {O.CELLS_A}, {O.EDGES_STATES}, {O.inside('cells_a', 'edges_states')},
+s AS ({stats_sql('inside', 'gid, name')})
+SELECT * FROM s UNION ALL SELECT CAST(n_nationkey AS BIGINT) + 1000 AS gid, n_name AS name, {', '.join(f'NULL AS "{c}"' for c in _STAT_NAMES)} FROM nation""")
+def q_zonal_left(spark, sf):
+    """Zones off the raster stay in the result, without statistics."""
+    t, spec = tiles_a(spark, sf)
+    return stats_out(zonal.zonal_stats(t, _zones_on_and_off(spark, sf), spec, how="left"), ["gid", "name"])
+
+
+@query("tile_zone_left", f"""WITH {O.CELLS_A}, {O.EDGES_STATES}, {O.inside('cells_a', 'edges_states')},
+{O.tiles_sql('cells_a', 10, W, 'tk')}, {O.edge_hits('tk', 'edges_states')}
+SELECT gid, rid FROM edge_hits UNION SELECT DISTINCT gid, CAST((py // 10) * 10 + px // 10 + 1 AS BIGINT) AS rid FROM inside
+UNION ALL SELECT CAST(n_nationkey AS BIGINT) + 1000 AS gid, NULL AS rid FROM nation""")
+def q_tile_zone_left(spark, sf):
+    t, spec = tiles_a(spark, sf)
+    return Z.intersect_pairs(t, _zones_on_and_off(spark, sf), spec, keep=["gid"], how="left")
+
+
 _SEMI_NAMES = ["Supplier#000000003", "Supplier#000000007", "Supplier#000000044"]
 
 
@@ -816,6 +868,17 @@ def q_part_groups(spark, sf):
     return P.part_groups(_chunks(spark, sf), "gid")
 
 
+@query("parts_together", _CHUNK_SQL + """
+SELECT gid, name, part, row_number() OVER (PARTITION BY part ORDER BY gid) - 1 AS place FROM ch""")
+def q_parts_together(spark, sf):
+    """The records of each part, written as sorted files of that part and read back."""
+    t, spec = tiles_a(spark, sf)
+    p = Z.intersect_pairs(t, fx.zones_tracts(spark, sf), spec, keep=["gid", "name"])
+    path = f"{checkpoint_dir(spark)}/parts-{uuid.uuid4().hex}"
+    P.write_parts(p.select("gid", "name").distinct(), 3, ["gid"], path, rows_per_file=7)
+    return P.read_parts(spark, path, rows_per_file=7).select("gid", "name", "part", "place")
+
+
 _PARTS_SQL = f"""{_BANDS_SQL},
 bp AS (SELECT tile_row, CAST(ntile(3) OVER (ORDER BY min_rid) - 1 AS INTEGER) AS part FROM bands)"""
 

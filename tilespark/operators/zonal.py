@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tilespark.model import RasterSpec
 from tilespark.operators.zones import (
-    edge_grid_hits, edge_tile_hits, piece_values, span_pieces, zone_spans,
+    edge_grid_hits, edge_tile_hits, left_by, piece_values, span_pieces, zone_spans,
 )
 
 STAT_COLUMNS = ["count", "sum", "mean", "stddev", "min", "max"]
@@ -47,12 +47,14 @@ def summary_aggs(v: Column) -> list[Column]:
 
 def zonal_stats(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
                 by: Sequence[str] = ("gid", "name"), exclude_nodata: bool = True,
-                keep_empty: bool = True, engine: str = "numpy") -> DataFrame:
+                keep_empty: bool = True, engine: str = "numpy", how: str = "inner") -> DataFrame:
     """A1/A2: summary statistics of the pixels whose centre lies in each zone.
 
     Zones that meet the raster but hold no counted pixel give ``count = 0``
     and nulls (``keep_empty``); zones away from the raster give no row, as an
-    inner join does.  ``keep_empty=False`` drops the count-0 rows.
+    inner join does.  ``keep_empty=False`` drops the count-0 rows.  With
+    ``how='left'`` zones away from the raster stay too, all their statistics null,
+    the count as well (so they differ from zones that meet it).
 
     A zone is what ``by`` names: rows that differ in a ``by`` column are zones
     of their own, rows equal in ``gid`` and ``by`` are parts of one zone.  Any
@@ -67,8 +69,10 @@ def zonal_stats(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
     speed, the numpy engine gains with pixels per tile.
     """
     by = list(by)
+    if how not in ("inner", "left") or how == "left" and not keep_empty:
+        raise ValueError("how is 'inner' or 'left'; a left join keeps empty zones")
     if engine == "numpy":
-        return _zonal_numpy(tiles, zones, spec, by, exclude_nodata, keep_empty)
+        return _zonal_numpy(tiles, zones, spec, by, exclude_nodata, keep_empty, how)
     keep = list(dict.fromkeys(["gid", *by]))
     pieces = span_pieces(zone_spans(zones, spec, keep), spec, keep)
     vals = piece_values(pieces, tiles, keep)
@@ -82,6 +86,8 @@ def zonal_stats(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
                                                  F.lit(None).cast("double").alias("v")))
     v = valid_value(F.col("v"), F.col("nodata"), exclude_nodata)
     stats = cells.groupBy(*by).agg(*summary_aggs(v))
+    if how == "left":
+        return left_by(zones.select(*by).distinct(), stats, by)
     return stats if keep_empty else stats.where(F.col("count") > 0)
 
 
@@ -163,7 +169,7 @@ ZONES_HELD, PIXELS_AT_ONCE = 100_000, 1 << 22
 
 
 def _zonal_numpy(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, by: list[str],
-                 exclude_nodata: bool, keep_empty: bool) -> DataFrame:
+                 exclude_nodata: bool, keep_empty: bool, how: str = "inner") -> DataFrame:
     from tilespark.session import bound_arrow_batches, ship_by_value
     bound_arrow_batches(tiles.sparkSession)
     # a number for each zone; nulls are told apart from missing columns
@@ -202,7 +208,7 @@ def _zonal_numpy(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, by: list[
 
     merged = merge_moments(t.mapInArrow(run, MOMENTS), ["_zone"])
     names = z.select("_zone", *by).distinct()
-    out = names.join(merged, "_zone").select(*by, *STAT_COLUMNS)
+    out = names.join(merged, "_zone", how).select(*by, *STAT_COLUMNS)
     return out if keep_empty else out.where(F.col("count") > 0)
 
 

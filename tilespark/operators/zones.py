@@ -271,10 +271,13 @@ def edge_tile_hits(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
 
 
 def intersect_pairs(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
-                    keep: Sequence[str] | None = None) -> DataFrame:
+                    keep: Sequence[str] | None = None, how: str = "inner") -> DataFrame:
     """``(keep..., rid)`` for every zone and tile whose footprint the zone
     intersects (touching counts).  = tiles met by an edge, plus tiles holding
-    a pixel centre inside the zone (which covers tiles wholly inside it)."""
+    a pixel centre inside the zone (which covers tiles wholly inside it).
+    ``how='left'`` adds zones that meet no tile, with a null ``rid``."""
+    if how not in ("inner", "left"):
+        raise ValueError(how)
     keep = list(keep) if keep is not None else attribute_columns(zones)
     hits = edge_tile_hits(tiles, zones, spec, keep)
     p = span_pieces(zone_spans(zones, spec, keep), spec, keep)
@@ -282,7 +285,20 @@ def intersect_pairs(tiles: DataFrame, zones: DataFrame, spec: RasterSpec,
     inner = (p.join(t, ["tile_col", "tile_row"])
              .where((F.col("r") < F.col("height")) & (F.col("lc0") < F.col("width")))
              .select(*keep, "rid"))
-    return hits.unionByName(inner).distinct()
+    pairs = hits.unionByName(inner).distinct()
+    if how == "inner":
+        return pairs
+    # the count reads the pairs' own shuffle again (a reused exchange), so the zones are not joined twice
+    met = pairs.groupBy(*keep).agg(F.count("rid").alias("_n"))
+    off = left_by(zones.select(*keep).distinct(), met, keep).where(F.col("_n").isNull())
+    return pairs.unionByName(off.select(*keep, F.lit(None).cast(pairs.schema["rid"].dataType).alias("rid")))
+
+
+def left_by(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Left outer join on equal ``by`` columns, nulls equal to nulls; ``by`` comes from the left."""
+    r = right.withColumnsRenamed({c: f"_right_{c}" for c in by})
+    on = [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in by]
+    return left.join(r, on, "left").drop(*[f"_right_{c}" for c in by])
 
 
 def feature_tiles(pairs: DataFrame, tiles: DataFrame, keep: Sequence[str] = ("gid", "name")) -> DataFrame:

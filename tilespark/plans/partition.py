@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilespark.functions.coords import id_slice
@@ -88,19 +88,52 @@ def chunk_assign(df: DataFrame, n: int, order: Sequence[str], partitions: int |
     With fewer records than chunks each record is its own chunk; ``n = 1``
     keeps every record in chunk 0."""
     r = row_index(df, order, partitions)
+    return r.withColumn("part", _chunk(n)[0].cast("int")).drop("_i", "_n")
+
+
+def _chunk(n: int) -> tuple[Column, Column]:
+    """The chunk of the row with index ``_i`` of ``_n``, and its place in that chunk."""
     i, total = F.col("_i"), F.col("_n")
+    if n <= 1:
+        return F.lit(0).cast("long"), i
     size = F.floor(total / F.lit(n))
-    part = (F.when(F.lit(n) <= 1, F.lit(0))
-            .when(size == 0, i)
-            .when(i < size * n, F.floor(i / size))
-            .otherwise(i - size * n))
-    return r.withColumn("part", part.cast("int")).drop("_i", "_n")
+    part = F.when(size == 0, i).when(i < size * n, F.floor(i / size)).otherwise(i - size * n)
+    place = F.when(size == 0, F.lit(0)).when(i < size * n, i % size).otherwise(size)
+    return part, place
+
+
+def write_parts(df: DataFrame, n: int, order: Sequence[str], path: str, rows_per_file: int = 1_000_000,
+                partitions: int | None = None) -> None:
+    """Bring the records of each of ``n`` chunks (``chunk_assign``) together:
+    ``path/part=<p>/file=<f>/`` holds one Parquet file with the rows ``f *
+    rows_per_file`` on of part ``p``, in ``order``.
+
+    A row's part and place give the number of the task that writes it
+    (``repartitionById``), so every file is written by one task, whole and sorted,
+    no task writes more than ``rows_per_file`` rows, and no part is held as one list.
+    """
+    r = row_index(df, order, partitions)
+    part, place = _chunk(n)
+    r = r.withColumns({"part": part.cast("int"), "_place": place.cast("long")})
+    r = r.withColumn("file", F.floor(F.col("_place") / rows_per_file).cast("int"))
+    total = r.agg(F.max("_n")).first()[0] or 0
+    files = max(1, -(-(total // max(n, 1) + 1) // rows_per_file))
+    parts = max(1, min(n, total))
+    r = r.repartitionById(parts * files, (F.col("part") * files + F.col("file")).cast("int"))
+    (r.sortWithinPartitions("part", "file", "_place").drop("_i", "_n", "_place")
+     .write.partitionBy("part", "file").parquet(path))
+
+
+def read_parts(spark: SparkSession, path: str, rows_per_file: int = 1_000_000) -> DataFrame:
+    """The records written by ``write_parts`` with their ``part``, ``file`` and ``place`` in
+    the part (``rows_per_file`` as it was written).  A filter on ``part`` reads that part's files alone."""
+    place = F.col("file").cast("long") * rows_per_file + F.col("_metadata.row_index")
+    return spark.read.parquet(path).withColumn("place", place)
 
 
 def part_groups(df: DataFrame, key: str) -> DataFrame:
-    """W5 re-aimed: per part, the count and the first and last key.  The
-    records themselves stay distributed (``repartition('part')`` co-locates
-    them); no part is ever gathered into one list."""
+    """Per part, the count and the first and last key; ``write_parts`` brings
+    the records themselves together."""
     return df.groupBy("part").agg(F.count(F.lit(1)).alias("n_records"),
                                   F.min(key).alias("first_key"), F.max(key).alias("last_key"))
 
