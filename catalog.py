@@ -21,7 +21,7 @@ from tilespark.plans import partition as P
 from tilespark.session import checkpoint_dir
 from tilespark.sources import fixtures as fx
 from tilespark.sources import io
-from tilespark.sources.tiling import assign_rid, tile_raster, tile_raster_multi, tiles_from_rows, tiles_to_cells
+from tilespark.sources.tiling import assign_rid, mosaic, tile_raster, tile_raster_multi, tiles_from_rows, tiles_to_cells
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -111,6 +111,40 @@ def q_tile_raster(spark, sf):
 
 
 _MULTI = [10, 25, 40]
+_NESTED = [5, 10, 20, 40]
+
+
+@query("tile_nested", "WITH " + O.CELLS_A + ", " + ", ".join(
+    tiles_text_sql("cells_a", t, W, f"t{t}") for t in _NESTED) + "\n" + "\nUNION ALL ".join(
+    f"SELECT {t} AS tile_size, 'cells_a_{t}' AS table_name, rid, width, height, data_text FROM t{t}" for t in _NESTED))
+def q_tile_nested(spark, sf):
+    """Sizes that divide each other: one shuffle of pixels and one of row slices for all."""
+    t = tile_raster_multi(fx.cells_a(spark, sf), fx.spec_a(spark, sf), _NESTED, name="cells_a")
+    return t.select("tile_size", "table_name", "rid", "width", "height", text().alias("data_text"))
+
+
+#: Raster B lies on the mosaic 40 pixels right of and 25 below raster A.
+_RIGHT, _BELOW = 40, 25
+
+
+@query("tile_mosaic", f"""WITH {O.CELLS_A}, {O.CELLS_B}, b AS (SELECT px + {_RIGHT} AS px, py + {_BELOW} AS py, v FROM cells_b),
+size AS (SELECT greatest((SELECT max(py) FROM cells_a), (SELECT max(py) FROM b)) + 1 AS h),
+m AS (SELECT CAST(x.x AS INTEGER) AS px, CAST(y.y AS INTEGER) AS py, COALESCE(CASE WHEN a.v <> 255 THEN a.v END, b.v, {O.D(255)}) AS v,
+  CASE WHEN a.v <> 255 THEN 1 WHEN b.v IS NOT NULL THEN 2 WHEN a.v IS NOT NULL THEN 3 END AS source
+  FROM range({W + _RIGHT}) x(x), size, range(size.h) y(y) LEFT JOIN cells_a a ON a.px = x.x AND a.py = y.y LEFT JOIN b ON b.px = x.x AND b.py = y.y),
+{tiles_text_sql('m', 32, W + _RIGHT, 'tm')},
+f AS (SELECT px // 32 AS c, py // 32 AS r, min(source) AS source FROM m GROUP BY 1, 2)
+SELECT rid, width, height, data_text, CASE source WHEN 1 THEN 'a.tif' WHEN 2 THEN 'b.tif' END AS filename
+FROM tm JOIN f ON f.c = tile_col AND f.r = tile_row WHERE source IS NOT NULL""")
+def q_tile_mosaic(spark, sf):
+    """Two files that overlap: file a's pixels where it has any, then file b's; tiles that no file reaches are left out."""
+    a, spec = tiles_a(spark, sf)
+    b, spec_b = tiles_b(spark, sf, 25)
+    move = {"ulx": F.col("ulx") + _RIGHT * spec.scale_x, "uly": F.col("uly") + _BELOW * spec.scale_y}
+    files = a.withColumns({"filename": F.lit("a.tif"), "priority": F.lit(0)}).unionByName(
+        b.withColumns(move | {"filename": F.lit("b.tif"), "priority": F.lit(1)}))
+    whole = spec.with_(width=W + _RIGHT, height=max(spec.height, spec_b.height + _BELOW), nodata=255.0).with_tiles(32)
+    return mosaic(files, whole).select("rid", "width", "height", text().alias("data_text"), "filename")
 
 
 @query("tile_multi", "WITH " + O.CELLS_A + ", " + ", ".join(
@@ -766,6 +800,31 @@ def _nanmean_trunc(wins):
     return np.trunc(np.clip(m, 0.0, 255.0))
 
 
+def _focal_wide_sql(fn: str, nx: int, ny: int, t: int | None = None) -> str:
+    """Windows by columns, then rows; over the part inside the raster, or inside a tile of ``t`` pixels."""
+    tile = f", px // {t}, py // {t}" if t else ""
+    over = lambda part, by, n: f"OVER (PARTITION BY {part}{tile} ORDER BY {by} RANGE BETWEEN {n} PRECEDING AND {n} FOLLOWING)"
+    one = {"mean": "sum", "min": "min", "max": "max"}[fn]
+    value = "CASE WHEN n > 0 THEN s / n END" if fn == "mean" else "s"
+    return f"""WITH {O.CELLS_A}, {O.GRID_A},
+r AS (SELECT px, py, {one}(v) {over('py', 'px', nx)} AS s, count(v) {over('py', 'px', nx)} AS n FROM grid_a),
+w AS (SELECT px, py, {one}(s) {over('px', 'py', ny)} AS s, sum(n) {over('px', 'py', ny)} AS n FROM r)
+SELECT px, py, COALESCE(trunc({value}), {O.D(255)}) AS v FROM w"""
+
+
+@query("focal_window_101", _focal_wide_sql("mean", 50, 50))
+def q_focal_window_101(spark, sf):
+    """A window wider than the tiles, across tiles: the work does not grow with it."""
+    t, _ = tiles_a(spark, sf, 25)
+    return tiles_to_cells(focal_mod.focal(t, "mean", 50, 50, scope="mosaic", edge="shrink"), keep=())
+
+
+@query("focal_window_min", _focal_wide_sql("min", 30, 20, 50))
+def q_focal_window_min(spark, sf):
+    t, _ = tiles_a(spark, sf, 50)
+    return tiles_to_cells(focal_mod.focal(t, "min", 30, 20, scope="tile", edge="shrink"), keep=())
+
+
 @query("focal_udf", _focal_sql("tile", "nodata"))
 def q_focal_udf(spark, sf):
     t, _ = tiles_a(spark, sf)

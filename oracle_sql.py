@@ -34,6 +34,10 @@ CELLS_F = """cells_f AS (
 
 #: Raster A's height, as in its header.
 HEIGHT_A = "(SELECT max(o_orderkey) // 100 + 1 FROM orders)"
+#: Every pixel of raster A; a pixel without a cell, or with NoData, has no value.
+GRID_A = f"""grid_a AS (
+  SELECT CAST(x.x AS INTEGER) AS px, CAST(y.y AS INTEGER) AS py, CASE WHEN c.v <> 255 THEN c.v END AS v
+  FROM range(100) x(x), range({HEIGHT_A}) y(y) LEFT JOIN cells_a c ON c.px = x.x AND c.py = y.y)"""
 STRETCH = f"(CAST({HEIGHT_A} AS DOUBLE) / {D(150.0)})"
 
 

@@ -14,7 +14,8 @@ gives NoData.  ``edge='nodata'``: pixels whose full window is not available
 
 Two engines compute the same result.  ``engine='numpy'`` (default) hands
 whole tiles to ``mapInArrow``: Arrow list columns are read without copies
-and the stencil is a handful of vectorised array shifts per tile.
+and a window's result is put together from running results (``running``), so the
+work does not grow with the window.
 ``engine='sql'`` stays in Catalyst with higher-order functions; those are
 interpreted per element and measured 20-60x slower, so it is kept for
 checking and for sessions without Python workers.  Spark does the
@@ -216,12 +217,13 @@ def _halo_strips(tiles: DataFrame, nx: int, ny: int) -> DataFrame:
 # ---------------------------------------------------------------- numpy engine, X1
 
 def focal_udf(tiles: DataFrame, func: Callable[[np.ndarray], np.ndarray | float], nx: int = 1, ny: int = 1,
-              scope: str = "tile", edge: str = "nodata", vectorized: bool = False,
+              scope: str = "tile", edge: str = "nodata", vectorized: bool = True,
               pixel_type: str | None = None, nodata: float | None = None) -> DataFrame:
-    """A user neighbourhood function.  With ``vectorized=True`` it gets
-    every window of a tile at once, an ``(n, (2ny+1)*(2nx+1))`` float array,
-    and returns ``n`` values; otherwise it is called per window with a
-    ``(2ny+1, 2nx+1)`` array.  NoData and missing cells are NaN; a NaN or
+    """A user neighbourhood function.  It gets many windows at once (some rows
+    of a tile, ``WINDOW_CELLS`` values at most or one row of windows), an
+    ``(n, (2ny+1)*(2nx+1))`` float array, and returns ``n`` values.  With
+    ``vectorized=False`` it is called for every window alone, with a
+    ``(2ny+1, 2nx+1)`` array, which is far slower.  NoData and missing cells are NaN; a NaN or
     None result becomes NoData.  Runs in ``mapInArrow`` on whole tiles;
     ``scope='mosaic'`` first adds the halo from neighbours."""
     _ship_by_value(func)
@@ -255,6 +257,18 @@ def _focal_arrow(tiles: DataFrame, how, nx: int, ny: int, scope: str, edge: str,
     return t.select(*meta, "pieces").mapInArrow(run, schema)
 
 
+#: Values of the windows that a user function gets at once, or of one row of windows if that is more.
+WINDOW_CELLS = 1 << 22
+
+
+def _called(func, kind: str, view: np.ndarray) -> np.ndarray:
+    """A user function's results for some rows of windows."""
+    h, w, wy, wx = view.shape
+    if kind == "vectorized":
+        return np.asarray(func(view.reshape(h * w, wy * wx)), dtype=np.float64).reshape(h, w)
+    return np.array([[np.nan if (v := func(np.array(x))) is None else v for x in row] for row in view], dtype=np.float64).reshape(h, w)
+
+
 def _ship_by_value(func) -> None:
     from tilespark.session import ship_by_value
     ship_by_value(__name__, *([func] if func is not None else []))
@@ -305,20 +319,14 @@ def _focal_batch(b, kind, func, nx, ny, edge, pixel_type, meta, pa):
         if nod is not None:
             pad[pad == nod] = np.nan
         if kind == "builtin":
-            out = _reduce_np(pad, func, w, h, nx, ny)
+            out = _reduce_np(pad, func, nx, ny)
         else:
-            wins = sliding_window_view(pad, (wy, wx)).reshape(h * w, wy * wx)
-            if kind == "vectorized":
-                out = np.asarray(func(wins), dtype=np.float64).reshape(h, w)
-            else:
-                out = np.array([np.nan if (v := func(x.reshape(wy, wx))) is None else v for x in wins],
-                               dtype=np.float64).reshape(h, w)
+            view = sliding_window_view(pad, (wy, wx))
+            rows = max(1, WINDOW_CELLS // (w * wy * wx))
+            parts = [_called(func, kind, view[r:r + rows]) for r in range(0, h, rows)]
+            out = np.concatenate(parts) if parts else np.empty((0, w))
         if edge == "nodata":
-            full = np.ones((h, w), dtype=bool)
-            for dy in range(wy):
-                for dx in range(wx):
-                    full &= avail[dy:dy + h, dx:dx + w]
-            out = np.where(full, out, np.nan)
+            out = np.where(windows(avail.astype(np.float64), nx, ny, np.add) == wx * wy, out, np.nan)
         pt = ptypes[i] if pixel_type == "input" else pixel_type
         out = _clamp_np(out.ravel(), pt)
         missing = np.isnan(out)
@@ -334,28 +342,42 @@ def _focal_batch(b, kind, func, nx, ny, edge, pixel_type, meta, pa):
     return pa.RecordBatch.from_arrays(cols, names=meta + ["data"]).select(TILE_COLUMNS)
 
 
-def _reduce_np(pad: np.ndarray, fn: str, w: int, h: int, nx: int, ny: int) -> np.ndarray:
-    """Built-in window reductions as sums of shifted views (no window copies)."""
-    s = np.zeros((h, w))
-    cnt = np.zeros((h, w))
-    lo = np.full((h, w), np.nan)
-    hi = np.full((h, w), np.nan)
-    for dy in range(2 * ny + 1):
-        for dx in range(2 * nx + 1):
-            v = pad[dy:dy + h, dx:dx + w]
-            ok = ~np.isnan(v)
-            if fn in ("mean", "sum"):
-                s += np.where(ok, v, 0.0)
-            cnt += ok
-            if fn == "min":
-                lo = np.fmin(lo, v)
-            if fn == "max":
-                hi = np.fmax(hi, v)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        if fn == "mean":
-            return np.where(cnt > 0, s / np.maximum(cnt, 1), np.nan)
-        if fn == "sum":
-            return np.where(cnt > 0, s, np.nan)
+def running(x: np.ndarray, size: int, op: np.ufunc, axis: int) -> np.ndarray:
+    """``op`` over every stretch of ``size`` neighbours along an axis (van Herk, Gil and
+    Werman): running results from both ends of blocks of ``size`` values, two of which make up
+    any stretch.  Three operations a value whatever the size, and no
+    subtraction, so sums lose nothing by cancellation."""
+    x = np.moveaxis(x, axis, -1)
+    n = x.shape[-1]
+    if size == 1:
+        return np.moveaxis(x, -1, axis)
+    none = {np.add: 0.0, np.fmin: np.inf, np.fmax: -np.inf}[op]
+    blocks = -(-n // size)
+    full = np.full((*x.shape[:-1], blocks * size), none)
+    full[..., :n] = x
+    parts = full.reshape(*x.shape[:-1], blocks, size)
+    ahead = op.accumulate(parts, axis=-1).reshape(full.shape)
+    behind = op.accumulate(parts[..., ::-1], axis=-1)[..., ::-1].reshape(full.shape)
+    i = np.arange(n - size + 1)
+    both = op(behind[..., i], ahead[..., i + size - 1])
+    whole = i % size == 0  # the stretch is a block: not to be counted twice
+    both[..., whole] = behind[..., i[whole]]
+    return np.moveaxis(both, -1, axis)
+
+
+def windows(x: np.ndarray, nx: int, ny: int, op: np.ufunc) -> np.ndarray:
+    """``op`` over every ``(2ny+1) x (2nx+1)`` window that lies in the array, rows after columns."""
+    return running(running(x, 2 * nx + 1, op, 1), 2 * ny + 1, op, 0)
+
+
+def _reduce_np(pad: np.ndarray, fn: str, nx: int, ny: int) -> np.ndarray:
+    """Built-in window reductions; the work does not grow with the window."""
+    ok = ~np.isnan(pad)
+    count = windows(ok.astype(np.float64), nx, ny, np.add)
     if fn == "count":
-        return cnt
-    return lo if fn == "min" else hi
+        return count
+    op, none = {"mean": (np.add, 0.0), "sum": (np.add, 0.0), "min": (np.fmin, np.inf), "max": (np.fmax, -np.inf)}[fn]
+    out = windows(np.where(ok, pad, none), nx, ny, op)
+    if fn == "mean":
+        out = out / np.maximum(count, 1)
+    return np.where(count > 0, out, np.nan)

@@ -11,6 +11,7 @@ single pixels, which is the form to use at scale.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,29 +131,40 @@ def tile_raster(cells: DataFrame, spec: RasterSpec, filename: str | None = None,
     return _cells_to_tiles(c, spec, F.lit(spec.tile_w), F.lit(spec.tile_h), filename, [])
 
 
+def size_families(sizes: Sequence[int]) -> list[tuple[int, list[int]]]:
+    """Sizes dealt to families of a divisor lattice: the largest size left heads
+    a family, with all sizes left that divide it."""
+    left, out = sorted(set(sizes), reverse=True), []
+    while left:
+        own = [s for s in left if left[0] % s == 0]
+        out.append((left[0], own))
+        left = [s for s in left if s not in own]
+    return out
+
+
 def tile_raster_multi(cells: DataFrame, spec: RasterSpec, sizes: Sequence[int],
                       name: str = "raster") -> DataFrame:
     """Tile one raster at several square sizes in one job.
 
-    Adds ``tile_size`` and ``table_name`` (``<name>_<size>``).  The cells are
-    tiled once, at the smallest size, and that tiling is checkpointed into the
-    shared ``spark.checkpoint.dir`` (one pixel-level shuffle, lineage cut);
-    every size is then re-cut from it by row slices (``retile``).  Output is
-    len(sizes) copies of the raster, as the reference's per-size tables are.
+    Adds ``tile_size`` and ``table_name`` (``<name>_<size>``).  Pixels are
+    shuffled once, into tiles of the smallest size.  Their row slices are
+    shuffled once for each family of nested sizes (``size_families``), on the tile key of the
+    family's largest size: a tile of any other size of the family lies within one
+    such tile, so it is put together where its slices are.  All sizes of a family read the same
+    shuffle (a reused exchange); nothing runs or is stored while the query is defined.
+    Output is len(sizes) copies of the raster, as the reference's per-size tables are.
     """
-    from tilespark.session import checkpoint_dir
     sizes = [int(x) for x in sizes]
     base = tile_raster(cells, spec.with_tiles(min(sizes)))
-    if len(set(sizes)) > 1:
-        checkpoint_dir(cells.sparkSession)
-        base = base.checkpoint(eager=True)
-    parts = []
-    for s in sizes:
-        t = base if s == min(sizes) else retile(base, spec.with_tiles(s))
-        parts.append(t.select(F.lit(s).alias("tile_size"), *TILE_COLUMNS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    found = {}
+    for head, own in size_families(sizes):
+        if len(set(sizes)) == 1:
+            found[head] = base
+            continue
+        big = _row_slices(base, spec.with_tiles(head)).withColumnsRenamed({"tile_col": "_bc", "tile_row": "_br"}).repartition("_bc", "_br")
+        for s in own:
+            found[s] = _from_slices(_split_slices(big, spec.with_tiles(s)), spec.with_tiles(s), keys=["_bc", "_br"])
+    out = reduce(lambda a, b: a.unionByName(b), (found[s].select(F.lit(s).alias("tile_size"), *TILE_COLUMNS) for s in sizes))
     return out.withColumn("table_name", table_name(F.lit(name), F.col("tile_size")))
 
 
@@ -198,8 +210,14 @@ def retile(tiles: DataFrame, dst: RasterSpec, dx: int = 0, dy: int = 0,
     row slices are shuffled on the destination tile key (``tile_h`` slices per
     tile from each source tile), never single pixels.  Pixels that no source
     tile covers become the NoData of ``dst``, or fail the query without one."""
+    return _from_slices(_row_slices(tiles, dst, dx, dy), dst, filename)
+
+
+def _row_slices(tiles: DataFrame, dst: RasterSpec, dx: int = 0, dy: int = 0, carry: Sequence[str] = ()) -> DataFrame:
+    """Rows of source tiles cut at the destination's tile borders: ``(carry..., tile_col,
+    tile_row, y, a, v)``, the values from pixel ``(a, y)`` on; pixels outside ``dst`` go."""
     tw, th = dst.tile_w, dst.tile_h
-    t = tiles.select("px0", "py0", "width", "height", "data")
+    t = tiles.select(*carry, "px0", "py0", "width", "height", "data")
     r_lo = F.greatest(F.lit(0), F.lit(dy) - F.col("py0"))
     r_hi = F.least(F.col("height"), F.lit(dst.height + dy) - F.col("py0"))
     c_lo = F.greatest(F.lit(0), F.lit(dx) - F.col("px0"))
@@ -213,14 +231,104 @@ def retile(tiles: DataFrame, dst: RasterSpec, dx: int = 0, dy: int = 0,
                                                       F.floor((F.col("x1") - 1) / tw).cast("int"))))
     a = F.greatest(F.col("x0"), F.col("tile_col") * tw)
     b = F.least(F.col("x1"), (F.col("tile_col") + 1) * tw)
-    pieces = t.select(
-        "tile_col", F.floor(F.col("y") / th).cast("int").alias("tile_row"),
-        F.struct(F.col("y").alias("y"), a.alias("a"),
-                 F.slice("data", F.col("r") * F.col("width") + (a + dx - F.col("px0")) + 1, b - a).alias("v")
-                 ).alias("p"))
-    g = pieces.groupBy("tile_col", "tile_row").agg(F.collect_list("p").alias("_p"))
-    out = _finish_tiles(g, dst, F.lit(tw), F.lit(th), filename)
+    return t.select(*carry, "tile_col", F.floor(F.col("y") / th).cast("int").alias("tile_row"), "y", a.alias("a"),
+                    F.slice("data", F.col("r") * F.col("width") + (a + dx - F.col("px0")) + 1, b - a).alias("v"))
+
+
+def _split_slices(big: DataFrame, dst: RasterSpec) -> DataFrame:
+    """Slices cut again at the borders of smaller tiles, where they are."""
+    tw, th = dst.tile_w, dst.tile_h
+    t = big.withColumn("tile_col", F.explode(F.sequence(F.floor(F.col("a") / tw).cast("int"),
+                                                        F.floor((F.col("a") + F.size("v") - 1) / tw).cast("int"))))
+    lo = F.greatest(F.col("a"), F.col("tile_col") * tw)
+    hi = F.least(F.col("a") + F.size("v"), (F.col("tile_col") + 1) * tw)
+    return t.select("_bc", "_br", "tile_col", F.floor(F.col("y") / th).cast("int").alias("tile_row"), "y", lo.alias("a"),
+                    F.slice("v", lo - F.col("a") + 1, hi - lo).alias("v"))
+
+
+def _from_slices(slices: DataFrame, dst: RasterSpec, filename: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """Tiles from row slices; ``keys`` that a tile key determines keep the grouping on their partitioning."""
+    g = slices.groupBy(*keys, "tile_col", "tile_row").agg(F.collect_list(F.struct("y", "a", "v")).alias("_p"))
+    out = _finish_tiles(g, dst, F.lit(dst.tile_w), F.lit(dst.tile_h), filename)
     pieces = F.transform("_p", lambda q: F.struct(((q["y"] - F.col("py0")) * F.col("width") + q["a"] - F.col("px0")).alias("pos"),
                                                   q["v"].cast("array<double>").alias("v")))
     out = out.withColumn("data", assemble(pieces, F.col("width") * F.col("height"), F.col("nodata")))
     return out.select(*TILE_COLUMNS)
+
+
+def mosaic(tiles: DataFrame, dst: RasterSpec, priority: str = "priority") -> DataFrame:
+    """S1 + S5: one raster from the tiles of several files, which may overlap.
+
+    ``tiles`` is a tile table with the column ``priority``; every tile is
+    placed by its own georeference, which must lie on the pixels of ``dst``.  A pixel comes
+    from the file with the smallest priority (then file name) that has a value
+    there: neither null nor that file's NoData.  Pixels without any become the
+    NoData of ``dst``, or fail the query without one; pixels outside ``dst`` go.
+    ``filename`` is the first file, in that order, that a tile has a pixel of.
+
+    Row slices are shuffled on the destination tile key, never single pixels; a
+    task paints a tile's slices over each other, so a group is as many
+    slices as files overlap in one tile.
+    """
+    from tilespark.session import bound_arrow_batches, ship_by_value
+
+    def place(ul: str, scale: str, origin: float, step: float) -> Column:
+        at = (F.col(ul) - F.lit(origin)) / F.lit(step)
+        off = (F.abs(at - F.round(at)) > 1e-6) | (F.abs(F.col(scale) - F.lit(step)) > abs(step) * 1e-9)
+        return F.when(off, F.raise_error(F.lit("a tile does not lie on the pixels of the mosaic")).cast("int")).otherwise(F.round(at).cast("int"))
+
+    placed = tiles.withColumns({"px0": place("ulx", "scale_x", dst.ulx, dst.scale_x), "py0": place("uly", "scale_y", dst.uly, dst.scale_y),
+                                "_rank": F.col(priority).cast("double"), "_file": F.coalesce("filename", F.lit(""))})
+    slices = _row_slices(placed.withColumnRenamed("nodata", "_void"), dst, carry=["_rank", "_file", "_void"])
+    g = slices.groupBy("tile_col", "tile_row").agg(F.collect_list(F.struct("_rank", "_file", "_void", "y", "a", "v")).alias("_p"))
+    out = _finish_tiles(g, dst, F.lit(dst.tile_w), F.lit(dst.tile_h), None)
+    bound_arrow_batches(tiles.sparkSession)
+    ship_by_value(__name__)
+    meta = [c for c in TILE_COLUMNS if c not in ("data", "filename")]
+    schema = tiles.select(*TILE_COLUMNS).schema
+    out = out.select(*[F.col(c).cast(schema[c].dataType) for c in meta], "_p")
+
+    def run(batches):
+        for b in batches:
+            yield _painted(b, meta)
+
+    return out.mapInArrow(run, schema)
+
+
+def _painted(b, meta):
+    """Tiles of one Arrow batch, their slices painted from the last file to the first."""
+    import numpy as np
+    import pyarrow as pa
+    width, height, px0, py0 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("width", "height", "px0", "py0"))
+    void = b.column("nodata").to_pylist()
+    lists = b.column("_p")
+    at, pieces = lists.offsets.to_numpy(), lists.values
+    rank, y, a = (pieces.field(c).to_numpy(zero_copy_only=False) for c in ("_rank", "y", "a"))
+    files, own_void = pieces.field("_file").to_pylist(), pieces.field("_void").to_pylist()
+    blocks = pieces.field("v")
+    off = blocks.offsets.to_numpy()
+    values = blocks.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    missing = blocks.values.is_null().to_numpy(zero_copy_only=False)
+    data, names = [], []
+    for i in range(b.num_rows):
+        order = sorted(range(at[i], at[i + 1]), key=lambda k: (np.isnan(rank[k]), rank[k], files[k]))
+        source = np.full((height[i], width[i]), -1, np.int64)
+        out = np.zeros((height[i], width[i]))
+        for place, k in reversed(list(enumerate(order))):
+            v, gone = values[off[k]:off[k + 1]], missing[off[k]:off[k + 1]]
+            ok = ~gone
+            if own_void[k] is not None:
+                ok &= ~((v == own_void[k]) | np.isnan(v) & np.isnan(own_void[k]))
+            row, col = y[k] - py0[i], a[k] - px0[i]
+            out[row, col:col + len(v)][ok] = v[ok]
+            source[row, col:col + len(v)][ok] = place
+        empty = source < 0
+        if empty.any():
+            if void[i] is None:
+                raise ValueError("a mosaic lacks pixels and declares no NoData")
+            out[empty] = void[i]
+        data.append(out.ravel())
+        names.append(None if empty.all() else files[order[int(source[~empty].min())]] or None)
+    columns = {c: b.column(c) for c in meta} | {"filename": pa.array(names, pa.string()),
+                                               "data": pa.array(data, pa.list_(pa.float64()))}
+    return pa.RecordBatch.from_arrays([columns[c] for c in TILE_COLUMNS], TILE_COLUMNS)
