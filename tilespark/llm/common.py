@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -60,3 +61,24 @@ def indexed(df: DataFrame, *order: Column, name: str = "index") -> DataFrame:
     offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__o"))
     return (s.withColumn("__p", part).join(F.broadcast(offsets), "__p")
             .withColumn("pos", F.col("__o") + row).drop("__m", "__p", "__o"))
+
+
+#: Where a row stands in its files: a hash of the file's path, and the row's number in it.
+PLACE = ["__file", "__row"]
+#: Rows of two numbers that are broadcast at most (16 MB); beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """A table of Parquet files with the ``PLACE`` of every row, the same however often it is
+    read; rows that equal each other have places of their own.  What is no such table is stored first."""
+    try:
+        return docs.select("*", F.xxhash64("_metadata.file_path").alias(PLACE[0]), F.col("_metadata.row_index").alias(PLACE[1]))
+    except AnalysisException:
+        return placed(stored(docs, "placed"))
+
+
+def few(rows: DataFrame, name: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows``, stored; marked for a broadcast only if counted to be no more than ``most``."""
+    rows = stored(rows, name)
+    return F.broadcast(rows) if rows.count() <= most else rows

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tilespark.llm.common import stored
 from tilespark.llm.fm_index import FMIndex
-from tilespark.session import ship_by_value
+from tilespark.session import bound_arrow_batches, ship_by_value
 
 NGRAM = 10
 BLOCK_WORDS = 1_000_000
@@ -179,24 +179,27 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, ngram: int, bloc
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, text_col: str = "text", item_col: str = "item_id",
-              item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+              item_text_col: str = "text", block_words: int = BLOCK_WORDS, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with ``n_words``, ``spans`` (merged hit words, half-open) and ``items`` (sorted ids as text).
 
     A phrase is ``ngram`` consecutive words of an item, or all words of a shorter
     one.  Null texts have no words; null item ids count as the empty text; items
     that repeat an id count as one.  All columns of ``docs`` are kept, those named
-    like the added ones are replaced.  Without items, or documents, nothing is hit.
+    like the added ones are replaced; with ``keep`` only these come back, so that texts
+    are not sent out of Python again.  Without items, or documents, nothing is hit.
     """
     ship_by_value("tilespark.llm.decontaminate", "tilespark.llm.fm_index")
     spark = docs.sparkSession
+    bound_arrow_batches(spark)
     df = docs.drop("n_words", "spans", "items")
     plain = df.columns
     df = df.select("*", F.lit(0).cast("long").alias("n_words"),
                    F.array().cast("array<struct<start:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    where, schema = plain.index(text_col), df.schema
+    where, added = plain.index(text_col), ["n_words", "spans", "items"]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def with_block(df: DataFrame, block: Block) -> DataFrame:
+    def with_block(df: DataFrame, block: Block, out: list[str]) -> DataFrame:
+        schema = df.select(*out, *added).schema
         shared = spark.sparkContext.broadcast((block.vocabulary, block.phrases, block.least))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,18 +210,19 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, ngram: int = NGRAM, text_co
                 spans = [[(x["start"], x["end"]) for x in row] for row in b.column(n + 1).to_pylist()]
                 items = [set(row) for row in b.column(n + 2).to_pylist()]
                 sizes = shard_results(b.column(where).to_pylist(), own, spans, items)
-                added = [pa.array(sizes, pa.int64()),
+                found = [pa.array(sizes, pa.int64()),
                          pa.array([[{"start": s, "end": e} for s, e in merged(x)] for x in spans], span_type),
                          pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], *added], [*b.schema.names[:n], "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in out), *found], [*out, *added])
 
         return df.mapInArrow(run, schema)
 
-    done = 0
-    for block in blocks_of(benchmark, item_col, item_text_col, ngram, block_words):
-        df = with_block(stored(df, "hits") if done else df, block)
-        done += 1
-    return df if done else with_block(df, Block([], ngram))
+    last = Block([], ngram)
+    for k, block in enumerate(blocks_of(benchmark, item_col, item_text_col, ngram, block_words)):
+        if k:
+            df = stored(with_block(df, last, plain), "hits")
+        last = block
+    return with_block(df, last, plain if keep is None else keep)
 
 
 def cut_out(text: str, spans: list[tuple[int, int]]) -> str:
@@ -256,4 +260,5 @@ def without_hits(hits: DataFrame, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([texts if k == where else c for k, c in enumerate(b.columns)], b.schema.names)
 
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    bound_arrow_batches(hits.sparkSession)
     return hits.where((F.size("spans") == 0) | (lost < F.col("n_words"))).mapInArrow(run, hits.schema)

@@ -291,9 +291,11 @@ def scorer(model: Model):
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred",
-             score_col: str = "score") -> DataFrame:
+             score_col: str = "score", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the predicted language and its posterior probability (languages equally likely before).
 
+    With ``keep`` only these columns come back with the two, so that texts are not sent out of Python again.
+
     ``und`` with score 0 for a null text, one without letters, or a model that
     saw no labelled row.  All columns are kept; columns named like the two added
     ones are replaced.  Rows stay where they are, repeated rows get equal results.
@@ -302,7 +304,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
     spark = docs.sparkSession
     bound_arrow_batches(spark)
     kept = docs.drop(pred_col, score_col)
-    schema = T.StructType([*kept.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    out = [c for c in kept.columns if keep is None or c in keep]
+    schema = T.StructType([*(kept.schema[c] for c in out), T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     where = kept.columns.index(text_col)
     shared = spark.sparkContext.broadcast((model.languages, tuple(model.pieces), model.prob))
 
@@ -313,7 +316,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
             for i in range(0, b.num_rows, 512):
                 part = b.slice(i, 512)
                 lang, score = predict(part.column(where).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                                                 [*part.schema.names, pred_col, score_col])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in out), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
+                                                 [*out, pred_col, score_col])
 
     return kept.mapInArrow(run, schema)

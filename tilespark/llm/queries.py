@@ -145,7 +145,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 4) == 2
     model = language_id.train(docs, ~held_out)
-    return (language_id.identify(docs.select("doc_id", "text"), model)
+    return (language_id.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
             .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
 
 
@@ -223,7 +223,7 @@ FROM d LEFT JOIN c USING (doc_id) LEFT JOIN i USING (doc_id)"""
 @query("op3_decontaminate", OP3_SQL)
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
+    hits = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return (hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
