@@ -6,11 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilespark.functions.arrays import let
 from tilespark.functions.coords import window_size
 from tilespark.model import TILE_COLUMNS, RasterSpec
 from tilespark.operators.zones import span_pieces, zone_spans
-from tilespark.sources.tiling import assemble, retile
+from tilespark.sources.tiling import retile
 
 
 def layer_extent(zones: DataFrame) -> DataFrame:
@@ -75,37 +74,69 @@ def clip_to_zones(tiles: DataFrame, zones: DataFrame, spec: RasterSpec, keep=Non
     """Per zone and tile, the tile cropped to the zone's pixel box with
     pixels outside the polygon set to NoData: ``(keep..., rid, tile...)``.
 
-    The spans of one (zone, tile) are gathered (bounded by the tile height
-    times the crossings per row) and become the crop's stretches; what lies
-    between them is filled, so the work is linear in spans and pixels.  A
-    raster without a NoData value needs ``nodata``, else the query fails: any
-    value taken on its own could be a pixel's.
+    Pieces are cut out of the tiles where they are joined, so no tile is copied per
+    zone and a tile that very many zones share can be split over tasks; the pieces of one
+    (zone, tile) are then brought together (bounded by the tile) and painted
+    into the crop.  A raster without a NoData value needs ``nodata``, else a crop with a pixel outside the
+    polygon fails the query: any value taken on its own could be a pixel's.
     """
+    from tilespark.session import bound_arrow_batches, ship_by_value
+
     keep = list(keep) if keep is not None else ["gid", "name"]
+    bound_arrow_batches(tiles.sparkSession)
+    ship_by_value(__name__)
     p = span_pieces(zone_spans(zones, spec, keep), spec, keep)
-    g = p.groupBy(*keep, "tile_col", "tile_row").agg(
-        F.collect_list(F.struct("r", "lc0", "lc1")).alias("spans"),
-        F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("lc0").alias("k0"), F.max("lc1").alias("k1"))
-    t = tiles.select(*TILE_COLUMNS)
-    j = g.join(t, ["tile_col", "tile_row"])
-    j = j.withColumns({"r1": F.least(F.col("r1"), F.col("height") - 1),
-                       "k1": F.least(F.col("k1"), F.col("width"))}).where(
-        (F.col("r0") <= F.col("r1")) & (F.col("k0") < F.col("k1")))
-    j = j.withColumns({"_cw": F.col("k1") - F.col("k0"), "_ch": F.col("r1") - F.col("r0") + 1,
-                       "nodata": F.coalesce("nodata", F.lit(nodata).cast("double"))})
-    spans = F.filter("spans", lambda s: (s["r"] < F.col("height")) & (s["lc0"] < F.col("width")))
-
-    def stretch(d, s):
-        return F.struct(((s["r"] - F.col("r0")) * F.col("_cw") + s["lc0"] - F.col("k0")).alias("pos"),
-                        F.slice(d, s["r"] * F.col("width") + s["lc0"] + 1, F.least(s["lc1"], F.col("width")) - s["lc0"]).alias("v"))
-
-    # ``data`` and ``spans`` come out of a join here, so they are plain
-    # attributes; the crop is computed before any column is renamed.
-    crop = let(F.col("data"), lambda d: assemble(F.transform(spans, lambda s: stretch(d, s)), F.col("_cw") * F.col("_ch"), F.col("nodata")))
-    j = j.withColumn("_crop", crop)
-    return j.select(
-        *keep, "rid", "filename", "srid", "tile_col", "tile_row",
-        (F.col("px0") + F.col("k0")).alias("px0"), (F.col("py0") + F.col("r0")).alias("py0"),
-        (F.col("ulx") + F.col("k0") * F.col("scale_x")).alias("ulx"),
-        (F.col("uly") + F.col("r0") * F.col("scale_y")).alias("uly"), "scale_x", "scale_y",
-        F.col("_cw").alias("width"), F.col("_ch").alias("height"), "pixel_type", "nodata", F.col("_crop").alias("data"))
+    meta = [c for c in TILE_COLUMNS if c not in ("data", "tile_col", "tile_row")]
+    j = p.join(tiles.select(*TILE_COLUMNS), ["tile_col", "tile_row"]).where((F.col("r") < F.col("height")) & (F.col("lc0") < F.col("width")))
+    stretch = F.slice("data", F.col("r") * F.col("width") + F.col("lc0") + 1, F.least(F.col("lc1"), F.col("width")) - F.col("lc0"))
+    cut = j.select(*keep, "tile_col", "tile_row", F.struct(*meta).alias("_tile"), F.struct("r", F.col("lc0").alias("c"), stretch.alias("v")).alias("_piece"))
+    g = cut.groupBy(*keep, "tile_col", "tile_row").agg(F.first("_tile").alias("_tile"), F.collect_list("_piece").alias("_pieces"))
+    r0, k0 = F.array_min("_pieces.r"), F.array_min("_pieces.c")
+    g = g.select(*keep, "tile_col", "tile_row", "_tile.*", "_pieces", r0.alias("_r0"), k0.alias("_k0"),
+                 (F.array_max("_pieces.r") - r0 + 1).alias("_ch"),
+                 (F.array_max(F.transform("_pieces", lambda x: x["c"] + F.size(x["v"]))) - k0).alias("_cw"))
+    kind = tiles.schema
+    place = {"px0": F.col("px0") + F.col("_k0"), "py0": F.col("py0") + F.col("_r0"),
+             "ulx": F.col("ulx") + F.col("_k0") * F.col("scale_x"), "uly": F.col("uly") + F.col("_r0") * F.col("scale_y"),
+             "width": F.col("_cw"), "height": F.col("_ch"), "nodata": F.coalesce("nodata", F.lit(nodata).cast("double"))}
+    order = ["rid", "filename", "srid", "tile_col", "tile_row", "px0", "py0", "ulx", "uly", "scale_x", "scale_y", "width", "height", "pixel_type", "nodata"]
+    rows = g.select(*keep, *[place.get(c, F.col(c)).cast(kind[c].dataType).alias(c) for c in order], "_r0", "_k0", "_pieces")
+    out = rows.drop("_r0", "_k0", "_pieces").withColumn("data", F.array().cast("array<double>")).schema
+
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            names = b.schema.names[:-3]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-3], _crops(b)], [*names, "data"])
+
+    return rows.mapInArrow(run, out)
+
+
+def _crops(b):
+    """The pixel arrays of one Arrow batch of crops: pieces painted over NoData."""
+    import numpy as np
+    import pyarrow as pa
+    width, height = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("width", "height"))
+    r0, k0 = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("_r0", "_k0"))
+    void = b.column(b.schema.get_field_index("nodata"))
+    lists = b.column(b.schema.get_field_index("_pieces"))
+    crop = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+    pieces = lists.flatten()
+    r, c, blocks = (pieces.field(x) for x in ("r", "c", "v"))
+    lens = np.diff(blocks.offsets.to_numpy())
+    flat = blocks.flatten()
+    size = width * height
+    first = np.cumsum(size) - size
+    at = first[crop] + (r.to_numpy(zero_copy_only=False) - r0[crop]) * width[crop] + c.to_numpy(zero_copy_only=False) - k0[crop]
+    at = np.repeat(at - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
+    filled = np.zeros(size.sum(), bool)
+    filled[at] = True
+    lacks = np.add.reduceat(~filled, first) > 0 if len(first) else np.zeros(0, bool)
+    if (lacks & void.is_null().to_numpy(zero_copy_only=False)).any():
+        raise ValueError("a crop lacks pixels and the raster declares no NoData: pass nodata=")
+    out = np.repeat(void.fill_null(0.0).to_numpy(zero_copy_only=False), size)
+    out[at] = flat.fill_null(np.nan).to_numpy(zero_copy_only=False)
+    gone = np.zeros(len(out), bool)
+    gone[at] = flat.is_null().to_numpy(zero_copy_only=False)
+    offsets = np.r_[first, size.sum()].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, pa.float64(), mask=gone))

@@ -46,11 +46,12 @@ def check_srid(zones: DataFrame, spec: RasterSpec) -> DataFrame:
 
 def zone_edges(zones: DataFrame, keep: Sequence[str] | None = None, numbered: bool = False) -> DataFrame:
     """EDGE: one row per ring segment ``(x1, y1) -> (x2, y2)``; ``numbered``
-    adds the numbers ``_row`` of its zone row and ``_ring`` of its ring."""
+    adds ``_row``, a hash of its zone row's rings, and the numbers ``_ring`` of its ring and ``_seg`` in
+    it, which come out the same however often the rows are computed."""
     keep = list(keep) if keep is not None else attribute_columns(zones)
     r = zones.where(F.col("rings").isNotNull())
     if numbered:
-        r = r.withColumn("_row", F.monotonically_increasing_id()).select(*keep, "_row", F.posexplode("rings").alias("_ring", "ring"))
+        r = r.select(*keep, F.xxhash64("rings").alias("_row"), F.posexplode("rings").alias("_ring", "ring"))
         keep += ["_row", "_ring"]
     else:
         r = r.select(*keep, F.explode("rings").alias("ring"))
@@ -58,6 +59,8 @@ def zone_edges(zones: DataFrame, keep: Sequence[str] | None = None, numbered: bo
     seg = F.transform(F.sequence(F.lit(1), F.size("ring") - 1), lambda i: F.struct(
         F.col("ring")[i - 1]["x"].alias("x1"), F.col("ring")[i - 1]["y"].alias("y1"),
         F.col("ring")[i]["x"].alias("x2"), F.col("ring")[i]["y"].alias("y2")))
+    if numbered:
+        return r.select(*keep, F.posexplode(seg).alias("_seg", "e")).select(*keep, "_seg", "e.*")
     return r.select(*keep, F.explode(seg).alias("e")).select(*keep, "e.*")
 
 
@@ -103,20 +106,24 @@ def zone_spans(zones: DataFrame, spec: RasterSpec, keep: Sequence[str] | None =
     query."""
     keep = list(keep) if keep is not None else attribute_columns(zones)
     zones = check_rings(check_srid(zones, spec))
-    x = edge_crossings(zone_edges(zones, keep, numbered=True), spec, [*keep, "_row", "_ring"])
-    g = x.groupBy(*keep, "py").agg(F.array_sort(F.collect_list(F.struct("_row", "_ring", "xc"))).alias("xs"))
+    own = ["_row", "_ring", "_seg"]
+    x = edge_crossings(zone_edges(zones, keep, numbered=True), spec, [*keep, *own])
+    # the first pixel right of a crossing is found here, once, not in the lambdas below
+    x = x.select(*keep, "py", *own, "xc", first_col_at_or_after(F.col("xc"), spec).cast("int").alias("c"))
+    # a set: a zone row that stands twice has the same crossings and counts once
+    g = x.groupBy(*keep, "py").agg(F.array_sort(F.collect_set(F.struct("_row", "_ring", "xc", "_seg", "c"))).alias("xs"))
 
     def spans(xs: Column) -> Column:
         """The pixel spans (row, c0, -c1) of neighbours 2k and 2k + 1, none empty."""
         pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / 2).cast("int") - 1), lambda k: F.struct(
-            F.get(xs, k * 2)["_row"].alias("row"),
-            F.greatest(first_col_at_or_after(F.get(xs, k * 2)["xc"], spec), F.lit(0)).cast("int").alias("c0"),
-            (-F.least(first_col_at_or_after(F.get(xs, k * 2 + 1)["xc"], spec), F.lit(spec.width))).cast("int").alias("end")))
+            F.get(xs, k * 2)["_row"].alias("row"), F.greatest(F.get(xs, k * 2)["c"], F.lit(0)).alias("c0"),
+            (-F.least(F.get(xs, k * 2 + 1)["c"], F.lit(spec.width))).alias("end")))
         return F.filter(pairs, lambda p: -p["end"] > p["c0"])
 
     # a closed ring crosses a pixel row an even number of times, so no pair spans two rings or two rows
     by_ring = spans(F.col("xs"))
-    by_row = spans(F.array_sort(F.transform("xs", lambda c: F.struct(c["_row"].alias("_row"), c["xc"].alias("xc")))))
+    by_row = spans(F.array_sort(F.transform("xs", lambda c: F.struct(
+        c["_row"].alias("_row"), c["xc"].alias("xc"), c["_seg"].alias("_seg"), c["c"].alias("c")))))
     several = (F.get("xs", F.lit(0))["_row"] != F.element_at("xs", -1)["_row"]) | (
         F.get("xs", F.lit(0))["_ring"] != F.element_at("xs", -1)["_ring"])
     g = g.where(F.size("xs") >= 2).withColumn("_crossed", F.when(several, partly_covered(F.array_sort(by_ring))).otherwise(F.lit(False)))
