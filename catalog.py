@@ -16,7 +16,7 @@ import oracle_sql as O
 from tilespark.functions import coords as C
 from tilespark.functions.pixels import clamp_to_type
 from tilespark.operators import algebra, clip, focal as focal_mod, intervals, local, zonal, zones as Z
-from tilespark.operators.validate import validate_tiles
+from tilespark.operators.validate import validate_blocking, validate_tiles
 from tilespark.plans import partition as P
 from tilespark.session import checkpoint_dir
 from tilespark.sources import fixtures as fx
@@ -372,6 +372,16 @@ def q_reclass_ranges(spark, sf):
     return r.select("rid", text().alias("data_text"))
 
 
+@query("reclass_table", f"""WITH {O.CELLS_A}, c2 AS (SELECT px, py, CASE WHEN v = 255 THEN {O.D(0)} ELSE {O.D(1)} + (CAST(v * 400 AS BIGINT) % 250) END AS v FROM cells_a),
+{tiles_text_sql('c2', 10, W, 'ta')}
+SELECT rid, '8BUI' AS pixel_type, {O.D(0)} AS nodata, data_text FROM ta""")
+def q_reclass_table(spark, sf):
+    """Ten thousand range rules, each a four-hundredth of a unit wide."""
+    t, _ = tiles_a(spark, sf)
+    r = local.reclassify_table(t, [(k / 400, (k + 0.5) / 400, 1 + k % 250) for k in range(10_000)], "8BUI", 0)
+    return r.select("rid", "pixel_type", "nodata", text().alias("data_text"))
+
+
 @query("reclass_rids", f"""WITH {O.CELLS_A}
 SELECT DISTINCT CAST((py // 10) * 10 + px // 10 + 1 AS BIGINT) AS rid FROM cells_a
 WHERE (py // 10) * 10 + px // 10 + 1 BETWEEN 11 AND 100""")
@@ -434,6 +444,30 @@ def q_tile_summary(spark, sf):
     return stats_out(zonal.tile_summary(t), ["rid"])
 
 
+@query("validate_blocking", f"""WITH {O.CELLS_A}, {O.tiles_sql('cells_a', 10, W, 'tk')},
+bad AS (SELECT px0, py0, width, height FROM tk WHERE rid % 13 <> 5 UNION ALL SELECT px0 + 3, py0, width, height FROM tk WHERE rid = 2
+  UNION ALL SELECT px0, py0, width, height FROM tk WHERE rid = 7),
+k AS (SELECT px0 // 10 AS c, py0 // 10 AS r, count(*) AS n, count(*) FILTER (px0 % 10 <> 0 OR py0 % 10 <> 0
+  OR width < 10 AND px0 // 10 < (SELECT max(px0) // 10 FROM bad) OR height < 10 AND py0 // 10 < (SELECT max(py0) // 10 FROM bad)) AS odd FROM bad GROUP BY 1, 2),
+s AS (SELECT sum(greatest(odd, n - 1))::BIGINT AS reg, ((max(c) - min(c) + 1) * (max(r) - min(r) + 1) - count(*))::BIGINT AS ext FROM k)
+SELECT 'regular_blocking' AS "check", reg = 0 AS ok, reg AS n_bad FROM s UNION ALL SELECT 'extent', ext = 0, ext FROM s""")
+def q_validate_blocking(spark, sf):
+    """A table with holes, a tile that lies over two blocks and a tile that stands twice."""
+    t, _ = tiles_a(spark, sf)
+    moved = t.where("rid = 2").withColumn("px0", F.col("px0") + 3)
+    return validate_blocking(t.where("rid % 13 <> 5").unionByName(moved).unionByName(t.where("rid = 7")))
+
+
+@query("tiles_in_box", f"""WITH {O.CELLS_A}, {O.tiles_sql('cells_a', 10, W, 'tk')},
+f AS (SELECT rid, {O.wx('px0')} AS x0, {O.wx('px0')} + width * {O.SX} AS x1, {O.wy('py0')} + height * {O.SY} AS y0, {O.wy('py0')} AS y1 FROM tk)
+SELECT rid FROM f WHERE x0 <= -170.3 AND x1 >= -175.1 AND y0 <= 85.6 AND y1 >= 79.9""")
+def q_tiles_in_box(spark, sf):
+    """The tiles of a box, from the files along the curve that meet it."""
+    path = f"{checkpoint_dir(spark)}/curve-{uuid.uuid4().hex}"
+    io.write_tiles_curve(tiles_a(spark, sf)[0], path, partitions=16)
+    return io.read_tiles_box(spark, path, -175.1, 79.9, -170.3, 85.6).select("rid")
+
+
 # ------------------------------------------------------------ A/J: zonal and spatial joins
 
 

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 import catalog
 from tests.conftest import SF
 from tests.helpers import grid_spec, raster, rect, zones
-from tilespark.operators import focal as focal_mod, intervals, zonal, zones as Z
+from tilespark.operators import focal as focal_mod, intervals, local, zonal, zones as Z
+from tilespark.operators.validate import validate_blocking
 from tilespark.plans import partition as P
 from tilespark.sources import fixtures as fx
+from tilespark.sources import io
 from tilespark.sources.tiling import mosaic, size_families, tile_raster, tile_raster_multi, tiles_to_cells
 
 
@@ -246,3 +248,37 @@ def test_user_function_gets_bounded_windows(spark, monkeypatch):
     assert max(seen) <= 300 and (out == view.max(axis=(2, 3))).all()
     each = focal_mod._called(lambda w: float(w.max()), "python", view)
     assert (each == out).all()
+
+
+# ------------------------------------------------------------ long rule tables, blocking, layout
+
+def test_rule_tables_equal_short_rules(spark):
+    t, _ = raster(spark, [[(x * 7 + y * 3) % 30 for x in range(12)] for y in range(9)], 5, nodata=4)
+    rules = [(0, 3, 9), (5, 5.5, 300), (7, 2), (20, 29, -4)]
+    key = lambda df: sorted((r["rid"], r["pixel_type"], r["nodata"], r["data"]) for r in df.collect())
+    assert key(local.reclassify_table(t, rules[::-1], "8BUI", 1)) == key(local.reclassify(t, rules, "8BUI", 1))
+    assert key(local.reclassify_table(t, [], "16BSI", -1)) == key(local.reclassify(t, [], "16BSI", -1))
+    for bad in ([(0, 3, 1), (3, 4, 2)], [(5, 2, 1)], [(7, 1), (6, 8, 2)]):
+        with pytest.raises(ValueError):
+            local.reclassify_table(t, bad)
+
+
+def test_blocking(spark):
+    t, _ = raster(spark, [[1] * 23 for _ in range(17)], 5)
+    told = lambda df: {r["check"]: r["n_bad"] for r in validate_blocking(df).collect()}
+    assert told(t) == {"regular_blocking": 0, "extent": 0} == told(t.limit(0))
+    assert told(t.where("rid <> 7")) == {"regular_blocking": 0, "extent": 1}
+    assert told(t.unionByName(t.where("rid = 3"))) == {"regular_blocking": 1, "extent": 0}
+    assert told(t.withColumn("px0", F.when(F.col("rid") == 7, F.col("px0") + 1).otherwise(F.col("px0")))) == {"regular_blocking": 1, "extent": 0}
+
+
+def test_a_small_box_opens_few_files(spark, scratch):
+    t, spec = raster(spark, [[x + y for x in range(64)] for y in range(64)], 2)
+    io.write_tiles_curve(t, scratch + "/c", partitions=16)
+    box = io.read_tiles_box(spark, scratch + "/c", 3, 4.5, 6.5, 6.5)
+    assert len(box.inputFiles()) <= 4 < 16 <= len(spark.read.parquet(scratch + "/c/tiles").inputFiles())
+    want = {r["rid"] for r in t.collect() if r["ulx"] <= 6.5 and r["ulx"] + 2 >= 3 and r["uly"] <= 6.5 and r["uly"] + 2 >= 4.5}
+    assert {r["rid"] for r in box.collect()} == want
+    assert io.read_tiles_box(spark, scratch + "/c", 900, 900, 901, 901).collect() == []
+    keys = spark.range(64).select(F.col("id"), io.curve_key(F.col("id") % 8, F.floor(F.col("id") / 8)).alias("k")).collect()
+    assert all(r["k"] == sum(((r["id"] % 8) >> b & 1) << 2 * b | ((r["id"] // 8) >> b & 1) << (2 * b + 1) for b in range(3)) for r in keys)

@@ -98,6 +98,58 @@ def reclassify(tiles: DataFrame, rules: Sequence[Rule], pixel_type: str = "8BUI"
     return out.withColumn("pixel_type", F.lit(pixel_type)).withColumn("nodata", nd)
 
 
+def sorted_rules(rules: Sequence[Rule]) -> tuple[list[float], list[float], list[float]]:
+    """Bounds and new values of (old, new) and (lo, hi, new) rules by their lower bound; rules that overlap, or
+    whose bounds are turned round, raise."""
+    full = sorted((float(r[0]), float(r[-2]), float(r[-1])) for r in rules)
+    for lo, hi, _ in full:
+        if not lo <= hi:
+            raise ValueError(f"a rule ends before it begins: {lo} to {hi}")
+    for a, b in zip(full, full[1:]):
+        if b[0] <= a[1]:
+            raise ValueError(f"rules overlap: {a[0]} to {a[1]} and {b[0]} to {b[1]}")
+    return [r[0] for r in full], [r[1] for r in full], [r[2] for r in full]
+
+
+def reclassify_table(tiles: DataFrame, rules: Sequence[Rule], pixel_type: str = "8BUI", nodata: float = 0.0) -> DataFrame:
+    """P10 for long rule tables: the result of ``reclassify`` for rules that do not overlap (others raise).
+
+    The rules' sorted bounds go to the tasks (three numbers a rule), and every pixel is found among
+    them by binary search, so ten thousand rules cost little more than ten.  Null pixels stay null.
+    """
+    from tilespark.session import bound_arrow_batches, ship_by_value
+
+    lo, hi, new = sorted_rules(rules)
+    bound_arrow_batches(tiles.sparkSession)
+    ship_by_value(__name__)
+    schema = tiles.select("data").schema
+    names = tiles.columns
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        first, last, value = (np.array(x) for x in (lo, hi, new))
+        for b in batches:
+            lists = b.column("data")
+            offsets = lists.offsets.to_numpy()
+            flat = lists.flatten()
+            x = flat.fill_null(np.nan).to_numpy(zero_copy_only=False)
+            own = b.column("nodata")
+            void = np.repeat(own.fill_null(np.nan).to_numpy(zero_copy_only=False), np.diff(offsets))
+            out = np.full(len(x), float(nodata))
+            if len(first):
+                k = np.clip(np.searchsorted(first, x, "right") - 1, 0, None)
+                ok = (x >= first[k]) & (x <= last[k]) & (x != void)
+                out[ok] = value[k[ok]]
+            gone = flat.is_null().to_numpy(zero_copy_only=False)
+            data = pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(out, pa.float64(), mask=gone))
+            yield pa.RecordBatch.from_arrays([data if c == "data" else b.column(c) for c in names], names)
+
+    out = tiles.mapInArrow(run, tiles.schema)
+    kept = F.transform("data", lambda v: clamp_to_type(v, pixel_type, keep_null=True))
+    return out.withColumns({"data": kept.cast(schema["data"].dataType), "pixel_type": F.lit(pixel_type), "nodata": F.lit(float(nodata))})
+
+
 def reclass_rids(tiles: DataFrame, rules: Sequence[Rule], lo: int | None = None,
                  hi: int | None = None) -> DataFrame:
     """The reference's reclassify query selects only ``rid``; the reclass

@@ -53,3 +53,30 @@ def validate_tiles(tiles: DataFrame) -> DataFrame:
     names = [c for c, on in CHECKS if on and c in uniform] + LAYOUT_CHECKS
     stack = "stack({n}, {items}) as (check, n_bad)".format(n=len(names), items=", ".join(f"'{c}', `{c}`" for c in names))
     return a.selectExpr(stack).select("check", (F.col("n_bad") == 0).alias("ok"), "n_bad")
+
+
+def validate_blocking(tiles: DataFrame) -> DataFrame:
+    """S10, the two checks that the reference leaves off: ``(check, ok, n_bad)``.
+
+    ``regular_blocking`` counts tiles that are no block of the grid (the largest width and height
+    give the block): begun off a block's corner, smaller than a block without
+    being in the last column or row, or standing where a tile stands already.
+    ``extent`` counts the blocks between the table's first and last column and row
+    that no tile begins in.  Tiles meet on their block's key, one small row each, and are
+    never compared in pairs.  Both checks of an empty table hold.
+    """
+    m = tiles.agg(F.max("width"), F.max("height"), F.min("px0"), F.min("py0"), F.max("px0"), F.max("py0")).first()
+    w, h = m[0] or 1, m[1] or 1
+    if m[2] is None:
+        m = (1, 1, 0, 0, -1, -1)
+    last_col, last_row = m[4] // w, m[5] // h
+    col, row = F.floor(F.col("px0") / w), F.floor(F.col("py0") / h)
+    odd = ((F.col("px0") % w != 0) | (F.col("py0") % h != 0) | (F.col("width") < w) & (col < last_col)
+           | (F.col("height") < h) & (row < last_row))
+    keys = tiles.groupBy(col.alias("col"), row.alias("row")).agg(F.count(F.lit(1)).alias("n"), F.sum(odd.cast("long")).alias("odd"))
+    # a tile is bad once: off the grid, or a further one in its block
+    blocks = (last_col - m[2] // w + 1) * (last_row - m[3] // h + 1)
+    a = keys.agg(F.coalesce(F.sum(F.greatest("odd", F.col("n") - 1)), F.lit(0)).alias("regular_blocking"),
+                 (F.lit(blocks) - F.count(F.lit(1))).alias("extent"))
+    return a.selectExpr("stack(2, 'regular_blocking', regular_blocking, 'extent', extent) as (check, n_bad)").select(
+        "check", (F.col("n_bad") == 0).alias("ok"), "n_bad")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,6 +77,46 @@ def write_tiles_bucketed(tiles: DataFrame, table_name: str, buckets: int, path:
     return tiles.sparkSession.table(table_name)
 
 
+def curve_key(col: Column, row: Column) -> Column:
+    """Place of a tile on a Z-order curve: the bits of its column and row in turn (up to 2^31 tiles a side)."""
+    def spread(c):
+        c = c.cast("long")
+        # The usual masks that move the bits of a number apart, halving the gap each time.
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+                            (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
+        return c
+
+    return spread(col).bitwiseOR(F.shiftleft(spread(row), 1))
+
+
+def write_tiles_curve(tiles: DataFrame, path: str, partitions: int | None = None) -> None:
+    """S8 laid out on two axes: tiles range-partitioned and sorted along a Z-order curve, so that every
+    file covers a compact block of the raster, and a table of the files' boxes (one row per file) beside them."""
+    spark = tiles.sparkSession
+    t = tiles.withColumn("_curve", curve_key(F.col("tile_col"), F.col("tile_row")))
+    t = t.repartitionByRange(partitions, "_curve") if partitions else t.repartitionByRange("_curve")
+    t.sortWithinPartitions("_curve").drop("_curve").write.parquet(f"{path}/tiles")
+    x1, y1 = F.col("ulx") + F.col("width") * F.col("scale_x"), F.col("uly") + F.col("height") * F.col("scale_y")
+    boxes = spark.read.parquet(f"{path}/tiles").groupBy(F.col("_metadata.file_path").alias("file")).agg(
+        F.min(F.least("ulx", x1)).alias("xmin"), F.max(F.greatest("ulx", x1)).alias("xmax"),
+        F.min(F.least("uly", y1)).alias("ymin"), F.max(F.greatest("uly", y1)).alias("ymax"), F.count(F.lit(1)).alias("n_tiles"))
+    boxes.coalesce(1).write.parquet(f"{path}/boxes")
+
+
+def read_tiles_box(spark: SparkSession, path: str, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
+    """P1 on two axes: the tiles of ``write_tiles_curve`` whose footprint meets a box (touching counts).
+    Only files whose box meets it are opened; their names are what the driver reads."""
+    def meets(x0, x1, y0, y1):
+        return (x0 <= F.lit(xmax)) & (x1 >= F.lit(xmin)) & (y0 <= F.lit(ymax)) & (y1 >= F.lit(ymin))
+
+    boxes = spark.read.parquet(f"{path}/boxes")
+    files = [r["file"] for r in boxes.where(meets(F.col("xmin"), F.col("xmax"), F.col("ymin"), F.col("ymax"))).select("file").collect()]
+    t = spark.read.schema(spark.read.parquet(f"{path}/tiles").schema).parquet(*files) if files else spark.read.parquet(f"{path}/tiles").limit(0)
+    x1, y1 = F.col("ulx") + F.col("width") * F.col("scale_x"), F.col("uly") + F.col("height") * F.col("scale_y")
+    return t.where(meets(F.least("ulx", x1), F.greatest("ulx", x1), F.least("uly", y1), F.greatest("uly", y1)))
+
+
 def analyze(spark: SparkSession, table_name: str) -> DataFrame:
     """Table statistics for the cost-based optimizer (catalog tables)."""
     return spark.sql(f"ANALYZE TABLE {table_name} COMPUTE STATISTICS")
