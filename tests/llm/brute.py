@@ -28,18 +28,23 @@ def crc(doc_id, n):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % n
 
 
-def lines(docs, run=3):
+def lines(docs, run=1):
     """docs: (id, text) with distinct ids -> id: (n_lines, n_removed, n_spans, kept text)"""
     seen, out = set(), {}
     for i, text in sorted(docs, key=lambda d: (d[0] is None, d[0])):
         raw = (text or "").split("\n")
         norm = [x.strip(" ").translate(AZ) for x in raw]
-        gone = set()
-        for s in range(len(raw) - run + 1):
-            key = tuple(norm[s:s + run])
+        full = [k for k, x in enumerate(norm) if x]
+        again = set()
+        for s in range(len(full) - run + 1):
+            key = tuple(norm[k] for k in full[s:s + run])
             if key in seen:
-                gone |= set(range(s, s + run))
+                again |= set(range(s, s + run))
             seen.add(key)
+        gone = {full[s] for s in again}
+        for s in again:
+            if s + 1 in again:
+                gone |= set(range(full[s], full[s + 1]))
         out[i] = (len(raw), len(gone), sum(k - 1 not in gone for k in gone), "\n".join(x for k, x in enumerate(raw) if k not in gone))
     return out
 

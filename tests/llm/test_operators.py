@@ -64,6 +64,31 @@ def key(x):
     return tuple((v is None, v if v is not None else 0) for v in x)
 
 
+def test_short_texts_and_single_lines_are_seen(spark):
+    rows = [(1, "one shared line"), (2, "one shared line"), (3, "x\nONE shared line \ny"), (4, "p\n\nq"), (5, "a\np\n\n\nq\n\nb"), (6, "\n\n"), (7, "\n"),
+            (None, "a\nb"), (9, "p\n\nz\n\nq")]
+    for run in (1, 2, 3):
+        got = {r[0]: tuple(r)[1:] for r in line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), run=run).collect()}
+        assert got == brute.lines(rows, run)
+    assert got[6][1] == got[7][1] == 0
+
+
+def test_line_dedup_rows_that_share_an_id(spark):
+    rows = [(1, "a\nb", 0), (1, "a\nb", 1), (1, "b\nc", 2), (None, "a\nd", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int").withColumn("covered", F.lit("x"))
+    got = sorted((r["doc_id"] or 9, r["kept_text"]) for r in line_dedup(df).collect())
+    # equal rows stay alike; of the two texts of id 1 the one of the smaller hash keeps line b
+    assert got in ([(1, "a\nb"), (1, "a\nb"), (1, "c"), (9, "d")], [(1, "a"), (1, "a"), (1, "b\nc"), (9, "d")])
+
+
+def test_exact_dedup_with_text_ids_and_a_hot_text(spark):
+    rows = [(f"d{k:02}", "Same text") for k in range(40)] + [(None, "same text"), ("z", "other"), ("zz", None), ("", "")]
+    for keep, best in (("max", "d39"), ("min", "d00")):
+        got = exact_dedup(spark.createDataFrame(rows, "doc_id string, text string"), keep=keep).collect()
+        same = [r for r in got if r["group_size"] == 41]
+        assert len(same) == 41 and {r["keep_id"] for r in same} == {best} and [r["doc_id"] for r in same if r["kept"]] == [best]
+
+
 def test_line_dedup(docs, distinct, empty):
     want = brute.lines(pairs(distinct))
     got = {r[0]: tuple(r)[1:] for r in line_dedup(distinct).collect()}

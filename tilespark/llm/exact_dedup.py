@@ -27,7 +27,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when identical after lower-casing A-Z; a null text counts
     as empty.  ``keep`` ("min" or "max") says which id of a group stays.  Null
-    ids rank last; of rows that tie (same id and text) exactly one is ``kept``.
+    ids rank last, ids may be of any type with an order; of rows that tie (same id and text) exactly one is ``kept``.
     Further columns of ``docs`` are ignored, an empty table gives no rows.  With
     ``carry`` only rows that may stay are returned, each with the whole input
     row as the struct ``row``; texts are still shuffled once.
@@ -45,7 +45,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              .select("h", F.ceil(F.col("c") / share).cast("int").alias("pieces")))
     salted = (hashed.join(F.broadcast(heavy), "h", "left")
               .withColumn("salt", F.when(F.col("pieces").isNull(), F.lit(0))
-                          .otherwise((F.monotonically_increasing_id() % F.col("pieces")).cast("int")))
+                          .otherwise(F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")))
               .select("id", "row", "h", "prefix", "salt", F.col("pieces").isNotNull().alias("heavy")))
     ranged = salted.repartitionByRange(n, "prefix", "h", "salt").withColumn("norm", norm)
     best = F.desc_nulls_last("id") if keep == "max" else F.asc_nulls_last("id")
@@ -57,13 +57,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                          F.count(F.lit(1)).over(whole).alias("members"), *(["row"] if carry else []))
     runs = stored(runs.where("place = 1") if carry else runs, "exact-runs")
     # one row for each run of a heavy text, at most 4 n texts
-    pick = F.max_by if keep == "max" else F.min_by
-    worst = F.lit(-(1 << 63) if keep == "max" else (1 << 63) - 1).cast("long")
+    top = keep == "max"
+    # a null id stands behind all others; of runs with one best id the smallest salt wins
+    order = F.struct(F.col("best").isNotNull() if top else F.col("best").isNull(), "best", -F.col("salt") if top else F.col("salt"))
     heads = (runs.where("heavy AND place = 1").groupBy("sha")
-             .agg(F.sum("members").alias("all_members"),
-                  (F.max if keep == "max" else F.min)("best").alias("all_best"),
-                  pick("salt", F.struct(F.coalesce(F.col("best").cast("long"), worst),
-                                        -F.col("salt") if keep == "max" else F.col("salt"))).alias("win_salt")))
+             .agg(F.sum("members").alias("all_members"), (F.max if top else F.min)("best").alias("all_best"),
+                  (F.max_by if top else F.min_by)("salt", order).alias("win_salt")))
     joined = runs.join(F.broadcast(heads), "sha", "left")
     merged = F.col("heavy") & F.col("all_members").isNotNull()
     return joined.select(

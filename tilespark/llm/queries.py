@@ -180,13 +180,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ op1
 
-RUN = 3
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) a FROM documents),
-w AS (SELECT doc_id, s, list_transform(a[s:s + {RUN - 1}], lambda x: translate(trim(x), {AZ})) k
-  FROM d, unnest(range(1, len(a) - {RUN - 2})) AS r(s)),
-f AS (SELECT k, min((doc_id, s)) first_place FROM w GROUP BY k HAVING count(*) > 1),
-c AS (SELECT DISTINCT doc_id, s + o AS i FROM w JOIN f USING (k), unnest(range({RUN})) AS r(o) WHERE (doc_id, s) > first_place),
+l AS (SELECT doc_id, i, translate(trim(a[i]), {AZ}) x FROM d, unnest(range(1, len(a) + 1)) AS r(i)),
+b AS (SELECT doc_id, i, x, row_number() OVER w j, lead(i) OVER w following FROM l WHERE x <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT x, min((doc_id, i)) first_place FROM b GROUP BY x HAVING count(*) > 1),
+e AS (SELECT doc_id, i, CASE WHEN lead(j) OVER (PARTITION BY doc_id ORDER BY j) = j + 1 THEN following ELSE i + 1 END over_at
+  FROM b JOIN f USING (x) WHERE (doc_id, i) > first_place),
+c AS (SELECT doc_id, k AS i FROM e, unnest(range(i, over_at)) AS r(k)),
 g AS (SELECT doc_id, count(*) n_removed, count(*) FILTER (i - 1 IS DISTINCT FROM before) n_spans, list(i) gone
   FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) before FROM c) GROUP BY doc_id)
 SELECT doc_id, len(a)::BIGINT n_lines, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans,
@@ -197,7 +198,7 @@ FROM d LEFT JOIN g USING (doc_id)"""
 
 @query("op1_line_dedup", OP1_SQL)
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup(table(spark, sf_dir, "documents"), run=RUN)
+    done = line_dedup(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_removed", "n_spans",
                        F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
