@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm import brute
-from tilespark.llm import decontaminate, language_id, lm_score, queries
+from tilespark.llm import decontaminate, language_id, lm_score, queries, simhash
+from tilespark.llm.components import components
 
 TABLES = "documents pages labels benchmark conversations embeddings".split()
 
@@ -67,6 +68,19 @@ def test_op8(spark, documents):
     assert got == {d[0]: (format(p, "016x"), c) for d, p, c in zip(documents, prints, least)}
 
 
+def test_op8_links_come_from_the_tree(spark, documents, monkeypatch):
+    """Every node is searched by its tree, a pair of fingerprints too: without the search no link is left."""
+    prints = {brute.simhash(d[1]) for d in documents}  # far from each other, so near ones are added
+    prints = sorted(prints | {p ^ 1 << k % 64 ^ 1 << 7 * k % 64 for k, p in enumerate(sorted(prints)) if k % 3})
+    nodes = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    least = brute.linked(list(range(len(prints))), prints)
+    star = {r["u"] % (1 << 64): r["v"] % (1 << 64) for r in components(simhash.links(nodes, 2)).collect()}
+    group = [star.get(p, p) for p in prints]
+    assert len({*zip(group, least)}) == len(set(group)) == len(set(least)) < len(prints)
+    monkeypatch.setattr(simhash, "linked", lambda *_: iter(()))
+    assert simhash.links(nodes, 2).count() == 0
+
+
 def test_op9(spark, documents):
     got = {r[0]: r for r in queries.QUERIES["op9_language_id"](spark, SF).collect()}
     assert len(got) == len(documents)

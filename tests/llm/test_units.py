@@ -133,10 +133,16 @@ def test_gray_tree_finds_all_links(n, most):
     rank = x.copy()
     for s in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(s)
-    x = x[np.argsort(rank)]
-    got = {(a, b) for i, j in simhash.linked(x, 2) for a, b in zip(i.tolist(), j.tolist())}
-    assert got == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if (int(x[i]) ^ int(x[j])).bit_count() <= 2}
-    root = simhash.forest_of(np.zeros(len(x), np.int64), x, 2)
+    # groups of 1, 2, 3, ... members and one of all the rest, each in Gray order
+    group = np.minimum(np.repeat(np.arange(len(x)), np.arange(1, len(x) + 1))[:len(x)], 12)
+    group = np.random.default_rng(0).permutation(group)
+    order = np.lexsort([rank, group])
+    x, group = x[order], group[order]
+    got = [(a, b) for i, j in simhash.linked(x, group, 2, chunk=100) for a, b in zip(i.tolist(), j.tolist())]
+    assert len(got) == len(set(got))
+    assert set(got) == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x))
+                        if group[i] == group[j] and (int(x[i]) ^ int(x[j])).bit_count() <= 2}
+    root = simhash.forest_of(group, x, 2)
     assert all(root[i] == root[j] for i, j in got)
 
 

@@ -6,9 +6,9 @@ collapse to one node first, so a group of copies of any size is one entry.
 Candidates: 64 bits are cut into ``max_bits + 2`` blocks; two fingerprints within
 ``max_bits`` agree on at least two blocks, so each pair of blocks gives a table
 whose top nodes are the shared masked patterns (the values of these blocks).
-A node's members stand in Gray order and form a tree: upper nodes hold the bits
-all their members share, a query carries its differences so far down the tree
-and drops whole nodes when these exceed the limit.  A top node above its share
+A node's members, few or many, stand in Gray order and form a tree: upper nodes hold
+the bits all their members share, a query carries its differences so far down the
+tree and drops whole nodes when these exceed the limit; every link comes from this search.  A top node above its share
 of a partition is split once more by pairs of sub-blocks in the same way, which
 loses no link; there are few such nodes, by a stated bound.  Inside a node only
 a spanning forest of the links is kept, never all pairs.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,6 @@ from tilespark.session import bound_arrow_batches, ship_by_value
 
 SEED = 42
 FAN_OUT = 16
-#: Groups up to this size are compared by shifting the sorted array against itself.
-SMALL_GROUP = 24
 #: A top node has to have more members than this before it is split again.
 SPLIT_FROM = 16_384
 LOWER_AZ = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -96,41 +95,54 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def tree(x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Levels from the leaves up: (shared-bit mask, pattern) of each node of ``FAN_OUT`` below it."""
-    mask, pattern = np.full(len(x), ~np.uint64(0)), x
-    levels = [(mask, pattern)]
-    while len(mask) > FAN_OUT:
-        first = np.arange(0, len(mask), FAN_OUT)
-        differ = np.bitwise_or.reduceat(pattern ^ np.repeat(pattern[first], FAN_OUT)[:len(mask)], first)
-        mask = np.bitwise_and.reduceat(mask, first) & ~differ
-        pattern = pattern[first] & mask
-        levels.append((mask, pattern))
-    return levels
-
-
-def linked(x: np.ndarray, bits: int, chunk: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) of Gray-ordered ``x`` within ``bits``: a search of the tree for each member."""
-    levels = tree(x)
+class Level(NamedTuple):
+    """One level of the trees of all groups: what each node's members share, and what stands below it."""
+    mask: np.ndarray
+    pattern: np.ndarray
+    first: np.ndarray  # its first node on the level below
+    size: np.ndarray  # how many follow from there
+    last: np.ndarray  # its last member
+
+
+def tree(x: np.ndarray, group: np.ndarray) -> list[Level]:
+    """Levels from the members up to one node per group; ``x`` is in Gray order inside equal ``group`` numbers."""
+    place = np.arange(len(x))
+    levels = [Level(np.full(len(x), ~np.uint64(0)), x, place, np.ones(len(x), np.int64), place)]
+    while True:
+        mask, pattern, last = levels[-1].mask, levels[-1].pattern, levels[-1].last
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        if len(levels) > 1 and len(starts) == len(mask):
+            return levels
+        sizes = np.diff(np.r_[starts, len(mask)])
+        first = np.flatnonzero((np.arange(len(mask)) - np.repeat(starts, sizes)) % FAN_OUT == 0)
+        size = np.diff(np.r_[first, len(mask)])
+        differ = np.bitwise_or.reduceat(pattern ^ np.repeat(pattern[first], size), first)
+        shared = np.bitwise_and.reduceat(mask, first) & ~differ
+        levels.append(Level(shared, pattern[first] & shared, first, size, last[first + size - 1]))
+        group = group[first]
+
+
+def linked(x: np.ndarray, group: np.ndarray, bits: int, chunk: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i < j) of one group within ``bits``: a search of the group's tree for each member."""
+    if not len(x):
+        return
+    levels = tree(x, group)
+    top = np.cumsum(np.r_[False, group[1:] != group[:-1]])
     for q0 in range(0, len(x), chunk):
-        q = np.arange(q0, min(len(x), q0 + chunk))
-        mask, pattern = levels[-1]
-        query, node = np.repeat(q, len(mask)), np.tile(np.arange(len(mask)), len(q))
-        so_far = np.bitwise_count((x[query] ^ pattern[node]) & mask[node])
-        for depth in range(len(levels) - 1, -1, -1):
+        query = np.arange(q0, min(len(x), q0 + chunk))
+        node = top[query]
+        so_far = np.bitwise_count((x[query] ^ levels[-1].pattern[node]) & levels[-1].mask[node])
+        for up, below in zip(levels[:0:-1], levels[-2::-1]):
             # a node whose members all stand before the query has its pairs found from the other side
-            ok = (so_far <= bits) & ((node + 1) * FAN_OUT ** depth > query)
+            ok = (so_far <= bits) & (up.last[node] > query)
             query, node, so_far = query[ok], node[ok], so_far[ok]
-            if not depth:
-                break
-            (up_mask, _), (mask, pattern) = levels[depth], levels[depth - 1]
-            count = np.minimum(FAN_OUT, len(mask) - node * FAN_OUT)
-            below = np.repeat(node * FAN_OUT, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            query, so_far, node = np.repeat(query, count), np.repeat(so_far, count), np.repeat(node, count)
+            size = up.size[node]
+            child = np.repeat(up.first[node] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            query, so_far, known = np.repeat(query, size), np.repeat(so_far, size), np.repeat(up.mask[node], size)
             # only bits that the upper node did not share add to the differences
-            so_far = so_far + np.bitwise_count((x[query] ^ pattern[below]) & mask[below] & ~up_mask[node])
-            node = below
-        ok = node > query
+            so_far = so_far + np.bitwise_count((x[query] ^ below.pattern[child]) & below.mask[child] & ~known)
+            node = child
+        ok = (so_far <= bits) & (node > query)
         yield query[ok], node[ok]
 
 
@@ -155,16 +167,8 @@ class Forest:
 def forest_of(group: np.ndarray, x: np.ndarray, bits: int) -> np.ndarray:
     """Root position of each member: members are linked within ``bits`` inside equal ``group`` numbers."""
     forest = Forest(len(x))
-    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    sizes = np.diff(np.r_[first, len(x)])
-    small = np.repeat(sizes <= SMALL_GROUP, sizes)
-    for d in range(1, min(SMALL_GROUP, int(sizes.max()))):
-        i = np.flatnonzero((group[d:] == group[:-d]) & small[:-d])
-        i = i[np.bitwise_count(x[i] ^ x[i + d]) <= bits]
-        forest.join(i, i + d)
-    for s, n in zip(first[sizes > SMALL_GROUP], sizes[sizes > SMALL_GROUP]):
-        for a, b in linked(x[s:s + n], bits):
-            forest.join(a + s, b + s)
+    for a, b in linked(x, group, bits):
+        forest.join(a, b)
     return forest.root
 
 
@@ -199,28 +203,36 @@ def links(nodes: DataFrame, max_bits: int = 2) -> DataFrame:
                                                          F.col("sub").cast("long").alias("sub"), "sub_key", "fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((5, 0), np.int64)
+        held: list[np.ndarray] = []  # whole groups, the last of which may go on in the next batch
 
-        def emit(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            if rows.shape[1] < 2:
+        def emit(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(parts, axis=1) if parts else np.zeros((5, 0), np.int64)
+            if not rows.shape[1]:
+                return
+            same = (rows[:4, 1:] == rows[:4, :-1]).all(axis=0)
+            rows = rows[:, np.r_[False, same] | np.r_[same, False]]  # a node of one member has no links
+            if not rows.shape[1]:
                 return
-            fresh = np.r_[True, (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)]
-            x = rows[4]
-            root = forest_of(np.cumsum(fresh), x.view(np.uint64), max_bits)
+            x = np.ascontiguousarray(rows[4])
+            root = forest_of(np.cumsum(np.r_[True, (rows[:4, 1:] != rows[:4, :-1]).any(axis=0)]), x.view(np.uint64), max_bits)
             i = np.flatnonzero(root != np.arange(len(x)))
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i]), pa.array(x[root[i]])], ["u", "v"])
 
         for b in batches:
-            held = np.concatenate([held, np.stack([c.to_numpy() for c in b.columns])], axis=1)
-            if held.shape[1] < 2:
+            if not b.num_rows:
                 continue
+            rows = np.stack([c.to_numpy() for c in b.columns])
             # the last group may go on in the next batch
-            last = np.flatnonzero((held[:4] != held[:4, -1:]).any(axis=0))
+            last = np.flatnonzero((rows[:4] != rows[:4, -1:]).any(axis=0))
             cut = int(last[-1]) + 1 if len(last) else 0
-            yield from emit(np.ascontiguousarray(held[:, :cut]))
-            held = held[:, cut:]
-        yield from emit(np.ascontiguousarray(held))
+            if held and (cut or (held[-1][:4, -1] != rows[:4, -1]).any()):
+                yield from emit([*held, rows[:, :cut]])
+                held = []
+            elif cut:
+                yield from emit([rows[:, :cut]])
+            held.append(np.ascontiguousarray(rows[:, cut:]))
+        yield from emit(held)
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
