@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 import oracle_sql as O
 from tilespark.functions import coords as C
+from tilespark.functions.affine import Affine, zones_off_grid, zones_on_grid
 from tilespark.functions.pixels import clamp_to_type
-from tilespark.operators import algebra, clip, focal as focal_mod, intervals, local, zonal, zones as Z
+from tilespark.operators import algebra, clip, focal as focal_mod, hull, intervals, local, zonal, zones as Z
 from tilespark.operators.validate import validate_blocking, validate_tiles
 from tilespark.plans import partition as P
 from tilespark.session import checkpoint_dir
@@ -1050,3 +1051,78 @@ def q_pixel_to_world(spark, sf):
     p = _points(spark, sf)
     x, y = C.snap_to_pixel(F.col("x"), F.col("y"), -180.0, 90.0, 0.25)
     return p.select("c_custkey", x.alias("x"), y.alias("y"))
+
+
+#: A rotated and skewed grid; its terms are binary fractions, so that both engines find the same doubles.
+SKEWED = Affine(-180.0, 90.0, 0.25, -0.25, skew_x=0.5, skew_y=0.125)
+
+
+def _skewed_sql(c: str, r: str) -> tuple[str, str]:
+    a = {k: O.D(v) for k, v in SKEWED._asdict().items()}
+    return (f"({a['ulx']} + ({c}) * {a['scale_x']} + ({r}) * {a['skew_x']})",
+            f"({a['uly']} + ({c}) * {a['skew_y']} + ({r}) * {a['scale_y']})")
+
+
+@query("affine_pixels", f"""WITH {_POINTS_SQL},
+d AS (SELECT c_custkey, x - {O.D(SKEWED.ulx)} AS dx, y - {O.D(SKEWED.uly)} AS dy FROM pts),
+px AS (SELECT c_custkey, CAST(trunc(({O.D(SKEWED.scale_y)} * dx - {O.D(SKEWED.skew_x)} * dy) / {O.D(-0.125)}) AS INTEGER) AS col,
+              CAST(trunc(({O.D(SKEWED.scale_x)} * dy - {O.D(SKEWED.skew_y)} * dx) / {O.D(-0.125)}) AS INTEGER) AS line FROM d)
+SELECT c_custkey, col, line, {_skewed_sql('col', 'line')[0]} AS x, {_skewed_sql('col', 'line')[1]} AS y FROM px""")
+def q_affine_pixels(spark, sf):
+    """F1 and F2 with skew: each point's pixel and that pixel's corner."""
+    col, line = SKEWED.pixel(F.col("x"), F.col("y"))
+    p = _points(spark, sf).select("c_custkey", col.alias("col"), line.alias("line"))
+    x, y = SKEWED.world(F.col("col"), F.col("line"))
+    return p.select("*", x.alias("x"), y.alias("y"))
+
+
+def _footprint_sql() -> str:
+    corners = [("px0", "py0"), ("px0 + width", "py0"), ("px0 + width", "py0 + height"), ("px0", "py0 + height"), ("px0", "py0")]
+    return " || ',' || ".join("{} || ' ' || {}".format(*_skewed_sql(*c)) for c in corners)
+
+
+@query("tile_footprint_skewed", f"""WITH {_BANDS_SQL}
+SELECT rid, 'POLYGON((' || {_footprint_sql()} || '))' AS wkt FROM tk""")
+def q_tile_footprint_skewed(spark, sf):
+    t, _ = tiles_a(spark, sf)
+    return t.select("rid", SKEWED.footprint_wkt(*map(F.col, ("px0", "py0", "width", "height"))).alias("wkt"))
+
+
+_SMALL_PAIRS_SQL = f"""WITH {O.CELLS_A}, {O.EDGES_TRACTS}, {O.inside('cells_a', 'edges_tracts')},
+{O.tiles_sql('cells_a', 4, W, 'tk')}, {O.edge_hits('tk', 'edges_tracts')},
+pairs AS (SELECT gid, rid FROM edge_hits
+          UNION SELECT DISTINCT gid, CAST((py // 4) * {W // 4} + px // 4 + 1 AS BIGINT) AS rid FROM inside)"""
+
+
+@query("tile_zone_pairs_small", _SMALL_PAIRS_SQL + "\nSELECT gid, rid FROM pairs")
+def q_tile_zone_pairs_small(spark, sf):
+    """J1 where zones meet tiles by their edges alone, without a pixel centre."""
+    t, spec = tiles_a(spark, sf, 4)
+    return Z.intersect_pairs(t, fx.zones_tracts(spark, sf), spec, keep=["gid"])
+
+
+@query("zone_tile_hull", _SMALL_PAIRS_SQL + f""",
+own AS (SELECT gid, px0, py0, px0 + width AS px1, py0 + height AS py1 FROM pairs JOIN tk USING (rid)),
+pt AS (SELECT gid, px0 AS x, py0 AS y FROM own UNION SELECT gid, px1, py0 FROM own
+       UNION SELECT gid, px0, py1 FROM own UNION SELECT gid, px1, py1 FROM own),
+side AS (SELECT a.gid, a.x, a.y, b.x AS bx, b.y AS by_,
+                bool_and((b.x - a.x) * (c.y - a.y) > (b.y - a.y) * (c.x - a.x)
+                         OR (b.x - a.x) * (c.y - a.y) = (b.y - a.y) * (c.x - a.x)
+                            AND (b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y) > 0) AS outer_side
+         FROM pt a JOIN pt b ON a.gid = b.gid AND (a.x <> b.x OR a.y <> b.y)
+         JOIN pt c ON a.gid = c.gid AND (a.x <> c.x OR a.y <> c.y) GROUP BY ALL)
+SELECT DISTINCT gid, {_skewed_sql('x', 'y')[0]} AS x, {_skewed_sql('x', 'y')[1]} AS y FROM side WHERE outer_side""")
+def q_zone_tile_hull(spark, sf):
+    """F6 over the tiles that each zone meets, on the skewed grid: one row per corner of the hull."""
+    t, spec = tiles_a(spark, sf, 4)
+    pairs = Z.intersect_pairs(t, fx.zones_tracts(spark, sf), spec, keep=["gid"])
+    own = pairs.join(t.select("rid", "px0", "py0", "width", "height"), "rid")
+    return hull.tile_hulls(own, ["gid"], SKEWED).select("gid", F.explode("hull").alias("p")).select("gid", "p.x", "p.y")
+
+
+@query("zonal_skewed", _zonal_sql("tracts"))
+def q_zonal_skewed(spark, sf):
+    """Zones of the skewed raster's world over its tiles: the same pixels as without skew."""
+    t, spec = tiles_a(spark, sf)
+    far = zones_off_grid(fx.zones_tracts(spark, sf), SKEWED, spec)
+    return stats_out(zonal.zonal_stats(t, zones_on_grid(far, SKEWED, spec), spec), ["gid", "name"])

@@ -230,12 +230,13 @@ def edge_tile_candidates(zones: DataFrame, spec: RasterSpec, keep: Sequence[str]
     covers a short run of tile columns, so candidates stay linear in its length."""
     tw, th = spec.tile_w, spec.tile_h
     e = zone_edges(check_srid(zones, spec), keep)
-    X1 = (F.col("x1") - F.lit(spec.ulx)) / F.lit(spec.scale_x)
-    X2 = (F.col("x2") - F.lit(spec.ulx)) / F.lit(spec.scale_x)
-    Y1 = (F.col("y1") - F.lit(spec.uly)) / F.lit(spec.scale_y)
-    Y2 = (F.col("y2") - F.lit(spec.uly)) / F.lit(spec.scale_y)
-    e = e.withColumns({"X1": X1, "X2": X2, "Y1": Y1, "Y2": Y2})
-    ylo, yhi = F.least("Y1", "Y2"), F.greatest("Y1", "Y2")
+    gx1 = (F.col("x1") - F.lit(spec.ulx)) / F.lit(spec.scale_x)
+    gx2 = (F.col("x2") - F.lit(spec.ulx)) / F.lit(spec.scale_x)
+    gy1 = (F.col("y1") - F.lit(spec.uly)) / F.lit(spec.scale_y)
+    gy2 = (F.col("y2") - F.lit(spec.uly)) / F.lit(spec.scale_y)
+    # names of their own: column names differ by more than case
+    e = e.withColumns({"_grid_x1": gx1, "_grid_x2": gx2, "_grid_y1": gy1, "_grid_y2": gy2})
+    ylo, yhi = F.least("_grid_y1", "_grid_y2"), F.greatest("_grid_y1", "_grid_y2")
     r0 = F.greatest(F.floor(ylo / th) - 1, F.lit(0)).cast("int")
     r1 = F.least(F.floor(yhi / th) + 1, F.lit(spec.nty - 1)).cast("int")
     e = e.withColumns({"_r0": r0, "_r1": r1}).where(F.col("_r0") <= F.col("_r1"))
@@ -243,9 +244,9 @@ def edge_tile_candidates(zones: DataFrame, spec: RasterSpec, keep: Sequence[str]
     # x-range of the edge inside band [tile_row*th, (tile_row+1)*th]
     b0 = F.greatest(F.col("tile_row") * th, ylo)
     b1 = F.least((F.col("tile_row") + 1) * th, yhi)
-    slope = (F.col("X2") - F.col("X1")) / (F.col("Y2") - F.col("Y1"))
-    xa = F.when(F.col("Y1") == F.col("Y2"), F.col("X1")).otherwise(F.col("X1") + (b0 - F.col("Y1")) * slope)
-    xb = F.when(F.col("Y1") == F.col("Y2"), F.col("X2")).otherwise(F.col("X1") + (b1 - F.col("Y1")) * slope)
+    slope = (F.col("_grid_x2") - F.col("_grid_x1")) / (F.col("_grid_y2") - F.col("_grid_y1"))
+    xa = F.when(F.col("_grid_y1") == F.col("_grid_y2"), F.col("_grid_x1")).otherwise(F.col("_grid_x1") + (b0 - F.col("_grid_y1")) * slope)
+    xb = F.when(F.col("_grid_y1") == F.col("_grid_y2"), F.col("_grid_x2")).otherwise(F.col("_grid_x1") + (b1 - F.col("_grid_y1")) * slope)
     c0 = F.greatest(F.floor(F.least(xa, xb) / tw) - 1, F.lit(0)).cast("int")
     c1 = F.least(F.floor(F.greatest(xa, xb) / tw) + 1, F.lit(spec.ntx - 1)).cast("int")
     e = e.withColumns({"_c0": c0, "_c1": c1}).where(F.col("_c0") <= F.col("_c1"))
