@@ -256,3 +256,44 @@ def clusters(rows, dims, k, rounds, scale=256):
         for n, vs in group.items():
             c[n] = [sum(x) // len(vs) for x in zip(*vs)]
     return [(i, near(v)[1], near(v)[0]) for i, v in kept], c
+
+
+def languages(rows, pieces, outside, rounds=4, prior=0.01):
+    """EM over (text, lang) rows; a function from a text to the best language and its posterior."""
+    def edges(word):
+        for i in range(len(word)):
+            for j in range(i + 1, len(word) + 1):
+                if word[i:j] in place or j == i + 1:
+                    yield i, j, place.get(word[i:j], len(place))
+
+    def sums(word, prob):
+        a, b = [1.0] + [0.0] * len(word), [0.0] * len(word) + [1.0]
+        every = list(edges(word))
+        for i, j, k in every:
+            a[j] += a[i] * prob[k]
+        for i, j, k in reversed(every):
+            b[i] += b[j] * prob[k]
+        return a, b, every
+
+    place = {p: k for k, p in enumerate(pieces)}
+    split = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    model = {x: [1 / len(place)] * len(place) + [outside] for x in sorted({r[1] for r in rows})}
+    seen = {x: Counter(w for t, y in rows if x == y for w in split(t)) for x in model}
+    for _ in range(rounds):
+        for x, prob in model.items():
+            total = [prior] * len(place)
+            for w, n in seen[x].items():
+                a, b, every = sums("▁" + w, prob)
+                for i, j, k in every:
+                    if k < len(place):
+                        total[k] += n * a[i] * prob[k] * b[j] / a[-1]
+            model[x] = [t / math.fsum(total) for t in total] + [outside]
+
+    def judge(text):
+        found = split(text or "")
+        if not found:
+            return "und", 0.0
+        each = {x: math.fsum(math.log(sums("▁" + w, prob)[0][-1]) for w in found) for x, prob in model.items()}
+        best = max(each, key=each.get)
+        return best, 1 / math.fsum(math.exp(v - each[best]) for v in each.values())
+    return judge

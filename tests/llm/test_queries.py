@@ -129,13 +129,30 @@ def test_stages_take_awkward_rows(spark):
     assert sorted(r["text"] for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()) == sorted(r[1] for r in rows if r[1] and "the" in r[1].lower())
 
 
-def test_pair_limit_leaves_each_language_its_words(spark):
+def test_language_id_matches_plain_version(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=language_id.VOCABULARY)
+    names = [p for p in map(sp.id_to_piece, range(sp.get_piece_size())) if p == "▁" or (q := p.removeprefix("▁")).isalpha() and q == q.lower()]
+    rows = [(d, t, x) for d, t, x in ((r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()) if t and x][:24]
+    rows += [(-1, "das Rindfleischetikettierungsgesetz am Haus " * 2, "de"), (-2, None, "de"), (-3, "12 ab", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    judge = brute.languages([(t, x) for d, t, x in rows if t and x and brute.crc(d, 4) != 2], names, language_id.OUTSIDE)
+    got = language_id.identify(docs, language_id.train(docs, (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4) != 2)).collect()
+    for r in got:
+        lang, score = judge(r["text"])
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-4)
+    assert len(got) == len(rows)
+
+
+def test_every_sampled_language_is_learned(spark):
     rows = [(k, "the water of the house is here", "en") for k in range(20)] + [(90, "das haus am wasser", "xx"), (91, "la maison", "zz")]
+    rows += [(100 + k, f"{chr(97 + k % 26) * 5} {chr(97 + k // 26) * 7}", f"l{k:03}") for k in range(230)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    model = language_id.train(docs, F.lit(True), train_words=6)
-    assert model.languages == ["en", "xx", "zz"]
-    got = language_id.identify(docs, model).where("doc_id >= 90").collect()
-    assert {r["doc_id"]: r["lang_pred"] for r in got} == {90: "xx", 91: "zz"}
+    model = language_id.train(docs, F.lit(True))
+    assert len(model.languages) == 233
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(docs, model).where("doc_id >= 90").collect()}
+    assert got == {r[0]: r[2] for r in rows if r[0] >= 90}
 
 
 def test_near_stage_keeps_one_row_of_each_group(spark):

@@ -167,6 +167,28 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(language_id.forward(tested, model), [np.log(total("▁" + w)) for w in tested])
 
 
+def test_long_words_are_summed_whole(monkeypatch):
+    """A long word's sums and expected pieces, block by block and rescaled, are those of the short way."""
+    rng = np.random.default_rng(1)
+    names = ["▁", "a", "b", "ab", "ba", "▁a", "▁ab", "abab", "bbabaab"]
+    prob = rng.random((len(names) + 1, 3))
+    prob[-1] = language_id.OUTSIDE
+    model = language_id.Model(["x", "y", "z"], language_id.piece_tree(names), prob)
+    words = ["".join(rng.choice(list("abc"), n)) for n in (1, 3, 9, 17, 24, 24)]
+    lang, n = np.array([0, 1, 2, 0, 1, 2]), np.array([3, 1, 2, 5, 1, 4])
+    sums, counts = language_id.forward(words, model), np.zeros_like(prob)
+    language_id.expected(words, lang, n, model, counts)
+    for short, places, step, block in ((0, 4096, 16, 64), (0, 5, 3, 2), (10, 7, 1, 1)):
+        for name, value in (("SHORT_WORD", short), ("PLACES_AT_ONCE", places), ("RESCALE", step), ("LANGUAGES_AT_ONCE", block)):
+            monkeypatch.setattr(language_id, name, value)
+        again = np.zeros_like(prob)
+        language_id.expected(words, lang, n, model, again)
+        assert np.allclose(language_id.forward(words, model), sums) and np.allclose(again, counts)
+    monkeypatch.undo()
+    far = language_id.forward(["ab" * 50_000, "ab" * 25_000], model)
+    assert np.isfinite(far).all() and np.allclose(far[0], 2 * far[1], rtol=1e-3)
+
+
 def test_zip_directories(tmp_path):
     for name, kind, wide in (("a.zip", zipfile.ZIP_STORED, False), ("b.zip", zipfile.ZIP_DEFLATED, False), ("c.zip", zipfile.ZIP_STORED, True)):
         with zipfile.ZipFile(tmp_path / name, "w", kind) as z:

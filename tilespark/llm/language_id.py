@@ -4,12 +4,12 @@ Every language has a probability for each piece of a fixed public vocabulary.
 A word's probability is the sum over all ways to cut it into pieces, by the
 forward algorithm; a text's is the product over its words.  The piece
 probabilities are learned by EM (expected counts by forward-backward) from a
-bounded sample of labelled documents: about ``docs_per_language`` documents of
-each of the ``max_languages`` most frequent languages and ``train_words`` of their
-(language, word) pairs, the most frequent of each language in turn, so that every
-language keeps its share.  The model (vocabulary times languages) is
-bounded by these parameters, so it can be broadcast; scoring is a map over all
-documents without a shuffle.
+bounded sample of labelled documents, about ``docs_per_language`` of each
+language and ``train_rows`` in all; every word of these is learned from.  A round
+of EM is a job over the counts of (language, word): tasks send expected counts per
+(language, piece), which are what the model holds, so it alone reaches the driver
+and is broadcast.  Scoring is a map over all documents without a shuffle; it
+takes languages in blocks and letter runs of any length whole.
 """
 
 from __future__ import annotations
@@ -21,24 +21,28 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tilespark.llm.common import stored
+from tilespark.llm.common import few, stored
 from tilespark.llm.source_mix import KEY_BITS, random_key
 from tilespark.session import bound_arrow_batches, ship_by_value
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNKNOWN = "und"
 SPACE = "▁"  # the vocabulary's mark of a word's start
-MOST_PIECE = 16
-#: Runs of letters; longer runs are cut, which bounds the lattice and keeps the sums in range.
-WORD = re.compile(r"[^\W\d_]{1,24}")
+WORD = re.compile(r"[^\W\d_]+")
+#: Words of at most so many letters are summed many at once (their sums stay in range); longer
+#: ones alone, in blocks of places, rescaled on the way.
+SHORT_WORD, PLACES_AT_ONCE, RESCALE = 24, 4096, 16
+LANGUAGES_AT_ONCE = 64
 CHARS_AT_ONCE = 1 << 20
 CACHED_WORDS, CACHED_SCORES = 200_000, 1_600_000
 #: Probability of a character outside the vocabulary, the same for all languages.
 OUTSIDE = 1e-8
+#: What expected counts are rounded to between tasks.
+UNIT = 2.0 ** -24
 
 
 class Pieces(NamedTuple):
@@ -48,6 +52,7 @@ class Pieces(NamedTuple):
     child: np.ndarray  # node reached by each key
     piece: np.ndarray  # of each node, -1 where none ends
     size: int
+    longest: int
 
 
 class Model(NamedTuple):
@@ -62,7 +67,7 @@ def read_pieces(path: str) -> Pieces:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     return piece_tree([p for p in map(sp.id_to_piece, range(sp.get_piece_size()))
-                       if len(p) <= MOST_PIECE and (q := p.removeprefix(SPACE)).isalpha() and q == q.lower() or p == SPACE])
+                       if (q := p.removeprefix(SPACE)).isalpha() and q == q.lower() or p == SPACE])
 
 
 def piece_tree(names: list[str]) -> Pieces:
@@ -78,21 +83,22 @@ def piece_tree(names: list[str]) -> Pieces:
                 steps[nodes[p[:n - 1]] * len(letters) + place[ord(p[n - 1])]] = nodes[p[:n]]
         piece[nodes[p]] = k
     keys = np.array(sorted(steps), np.int64)
-    return Pieces(np.array(letters, np.int64), keys, np.array([steps[k] for k in keys.tolist()], np.int64), np.array(piece, np.int64), len(names))
+    return Pieces(np.array(letters, np.int64), keys, np.array([steps[k] for k in keys.tolist()], np.int64), np.array(piece, np.int64), len(names),
+                  max(map(len, names)))
 
 
 def lattice(words: list[str], pieces: Pieces) -> tuple[np.ndarray, ...]:
-    """All pieces in all words as arrays (word, start, end, piece), and the words' lengths.
+    """All pieces in all words (their marks in front) as arrays (word, start, end, piece), and the words' lengths.
     A character that is no piece itself gets the piece for characters outside."""
-    text = np.frombuffer("".join([SPACE + w for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    text = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     word = np.repeat(np.arange(len(words)), sizes)
     begin = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     left = sizes[word] - begin
     letter = np.minimum(np.searchsorted(pieces.letters, text), len(pieces.letters) - 1)
     letter[pieces.letters[letter] != text] = -1
     at, node, found = np.arange(len(text)), np.zeros(len(text), np.int64), []
-    for n in range(MOST_PIECE):
+    for n in range(pieces.longest):
         go = left[at] > n
         at, node = at[go], node[go]
         c = letter[at + n]
@@ -139,67 +145,146 @@ def words_at_once(languages: int) -> int:
 
 def forward(words: list[str], model: Model) -> np.ndarray:
     """log probability of each word (rows) in each language: all segmentations summed."""
-    step = words_at_once(len(model.languages))
-    return np.concatenate([_chunk(words[i:i + step], model)[0] for i in range(0, len(words), step)]
-                          or [np.zeros((0, len(model.languages)))])
-
-
-def _chunk(words: list[str], model: Model, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Word log probabilities; with ``counts`` (words x languages) also the expected piece counts."""
-    at, start, end, piece, sizes = lattice(words, model.pieces)
-    p = model.prob[piece]
-    most = int(sizes.max())
-    alpha = np.zeros((len(words), most + 1, p.shape[1]))
-    alpha[:, 0] = 1
-    _swept(p, by_place(end, at), end, start, at, range(1, most + 1), alpha)
-    z = alpha[np.arange(len(words)), sizes]
-    if counts is None:
-        return np.log(z), None
-    beta = np.zeros_like(alpha)
-    beta[np.arange(len(words)), sizes] = 1
-    _swept(p, by_place(start, at), start, end, at, range(most - 1, -1, -1), beta)
-    share = alpha[at, start] * p * beta[at, end] * (counts / z)[at]
-    expected = np.zeros_like(model.prob)
-    for k in range(p.shape[1]):
-        expected[:, k] = np.bincount(piece, share[:, k], len(model.prob))
-    return np.log(z), expected
-
-
-def fit(counted: pa.Table, pieces: Pieces, rounds: int = 4, prior: float = 0.01) -> Model:
-    """EM over the counts ``n`` of (``lang``, ``word``)."""
-    lang, word = (counted[c].combine_chunks().dictionary_encode() for c in ("lang", "word"))
-    languages, words = lang.dictionary.to_pylist(), word.dictionary.to_pylist()
-    order = np.argsort(word.indices.to_numpy(), kind="stable")
-    row, col, n = word.indices.to_numpy()[order], lang.indices.to_numpy()[order], counted["n"].to_numpy()[order]
-    size, step = pieces.size, words_at_once(len(languages))
-    model = Model(languages, pieces, np.full((size + 1, len(languages)), 1 / size))
-    model.prob[-1] = OUTSIDE
-    for _ in range(rounds):
-        total = np.zeros_like(model.prob)
-        for i in range(0, len(words), step):
-            part = words[i:i + step]
-            here = slice(np.searchsorted(row, i), np.searchsorted(row, i + step))
-            table = np.zeros((len(part), len(languages)))
-            np.add.at(table, (row[here] - i, col[here]), n[here])
-            total += _chunk(part, model, table)[1]
-        total = total[:-1] + prior
-        model = model._replace(prob=np.vstack([total / total.sum(axis=0), np.full((1, len(languages)), OUTSIDE)]))
-    return model
+    out = np.zeros((len(words), len(model.languages)))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    blocks = [slice(i, i + LANGUAGES_AT_ONCE) for i in range(0, len(model.languages), LANGUAGES_AT_ONCE)]
+    short, step = np.flatnonzero(sizes <= SHORT_WORD), words_at_once(min(len(model.languages), LANGUAGES_AT_ONCE))
+    for i in range(0, len(short), step):
+        rows = short[i:i + step]
+        at, start, end, piece, length = lattice([SPACE + words[k] for k in rows], model.pieces)
+        group = by_place(end, at)
+        for b in blocks:
+            p = model.prob[piece, b]
+            alpha = np.zeros((len(rows), int(length.max()) + 1, p.shape[1]))
+            alpha[:, 0] = 1
+            _swept(p, group, end, start, at, range(1, alpha.shape[1]), alpha)
+            out[rows, b] = np.log(alpha[np.arange(len(rows)), length])
+    for k in np.flatnonzero(sizes > SHORT_WORD):
+        for b in blocks:
+            out[k, b] = _long(words[k], model.pieces, model.prob[:, b])
+    return out
+
+
+def _places(text: str, pieces: Pieces) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The lattice of a long word in blocks of places: the block's places, and by start the pieces' bounds, lengths and numbers."""
+    for b in range(0, len(text), PLACES_AT_ONCE):
+        size = min(PLACES_AT_ONCE, len(text) - b)
+        _, start, end, piece, _ = lattice([text[b:b + size + pieces.longest - 1]], pieces)
+        order = np.argsort(start, kind="stable")
+        yield size, np.searchsorted(start[order], np.arange(size + 1)), (end - start)[order], piece[order]
+
+
+def _long(word: str, pieces: Pieces, prob: np.ndarray, kept: list | None = None) -> np.ndarray:
+    """The forward sums of one word of any length; only the places that a piece can span are held, rescaled
+    as they move.  ``kept`` gets (bounds, lengths, pieces, sums, scales so far) of each block."""
+    ahead, shift = np.zeros((1, prob.shape[1])), np.zeros(prob.shape[1])
+    ahead[0] = 1
+    for size, bound, length, piece in _places(SPACE + word, pieces):
+        table = np.zeros((size + pieces.longest + 1, prob.shape[1]))
+        table[:len(ahead)] = ahead
+        shifts = np.zeros((size, prob.shape[1]))
+        for s in range(size):
+            if s % RESCALE == 0:
+                near = table[s:s + pieces.longest + 1]
+                top = near.max(axis=0)
+                near /= top
+                shift = shift + np.log(top)
+            shifts[s] = shift
+            e = slice(bound[s], bound[s + 1])
+            table[s + length[e]] += table[s] * prob[piece[e]]
+        ahead = table[size:]
+        if kept is not None:
+            kept.append((bound, length, piece, table[:size].copy(), shifts))
+    return np.log(ahead[0]) + shift
+
+
+def _long_counts(word: str, lang: int, n: int, model: Model, total: np.ndarray) -> None:
+    """Adds the expected pieces of a long word that a language has ``n`` times, by forward-backward."""
+    prob, blocks = model.prob[:, lang], []
+    z = _long(word, model.pieces, prob[:, None], blocks)[0]
+    longest = model.pieces.longest
+    behind, shift = np.zeros(longest + 1), 0.0  # sums from a place to the word's end, those of the next places
+    behind[0] = 1
+    for bound, length, piece, alpha, shifts in reversed(blocks):
+        size = len(alpha)
+        table = np.zeros(size + longest + 1)
+        table[size:] = behind
+        for s in range(size - 1, -1, -1):
+            e = slice(bound[s], bound[s + 1])
+            ways = prob[piece[e]] * table[s + length[e]]
+            table[s] = ways.sum()
+            np.add.at(total[:, lang], piece[e], n * alpha[s, 0] * ways * np.exp(shifts[s, 0] + shift - z))
+            if s % RESCALE == 0:
+                near = table[s:s + longest + 1]
+                top = near.max()
+                near /= top
+                shift += np.log(top)
+        behind = table[:longest + 1].copy()
+
+
+def expected(words: list[str], lang: np.ndarray, n: np.ndarray, model: Model, total: np.ndarray) -> None:
+    """Adds to ``total`` (pieces x languages) the expected pieces of ``words``, each ``n`` times in its language."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    short = np.flatnonzero(sizes <= SHORT_WORD)
+    for i in range(0, len(short), 4096):
+        rows = short[i:i + 4096]
+        at, start, end, piece, length = lattice([SPACE + words[k] for k in rows], model.pieces)
+        p = model.prob[piece, lang[rows][at]][:, None]
+        most, each = int(length.max()), np.arange(len(rows))
+        alpha = np.zeros((len(rows), most + 1, 1))
+        alpha[:, 0] = 1
+        _swept(p, by_place(end, at), end, start, at, range(1, most + 1), alpha)
+        beta = np.zeros_like(alpha)
+        beta[each, length] = 1
+        _swept(p, by_place(start, at), start, end, at, range(most - 1, -1, -1), beta)
+        share = (alpha[at, start] * p * beta[at, end])[:, 0] * (n[rows] / alpha[each, length, 0])[at]
+        np.add.at(total.reshape(-1), piece * total.shape[1] + lang[rows][at], share)
+    for k in np.flatnonzero(sizes > SHORT_WORD):
+        _long_counts(words[k], int(lang[k]), int(n[k]), model, total)
+
+
+def improved(counted: DataFrame, model: Model, prior: float) -> Model:
+    """One round of EM over ``counted`` (lang, word, n).  Expected counts are summed as whole multiples
+    of ``UNIT``, so that the order of the sums does not matter."""
+    shared = counted.sparkSession.sparkContext.broadcast((model.languages, tuple(model.pieces), model.prob))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages, tree, prob = shared.value
+        model, number = Model(languages, Pieces(*tree), prob), {x: k for k, x in enumerate(languages)}
+        total = np.zeros_like(prob)
+        for b in batches:
+            lang = np.array([number[x] for x in b.column(0).to_pylist()], np.int64)
+            expected(b.column(1).to_pylist(), lang, b.column(2).to_numpy(), model, total)
+        units = np.rint(total[:-1].ravel() / UNIT).astype(np.int64)
+        cell = np.flatnonzero(units)
+        for i in range(0, len(cell), 10_000):
+            part = cell[i:i + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(units[part])], ["cell", "units"])
+
+    sums = counted.select("lang", "word", "n").mapInArrow(run, "cell long, units long").groupBy("cell").agg(F.sum("units").alias("units")).toArrow()
+    total = np.zeros((model.pieces.size, len(model.languages)))
+    total.ravel()[sums["cell"].to_numpy()] = sums["units"].to_numpy() * UNIT
+    total += prior
+    return model._replace(prob=np.vstack([total / total.sum(axis=0), model.prob[-1:]]))
 
 
 def train(docs: DataFrame, allowed: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-          vocabulary: str = VOCABULARY, docs_per_language: int = 1000, max_languages: int = 200,
-          train_words: int = 500_000) -> Model:
-    """Learn from rows where ``allowed`` holds and text and language are not null."""
+          vocabulary: str = VOCABULARY, docs_per_language: int = 1000, train_rows: int = 1_000_000,
+          rounds: int = 4, prior: float = 0.01) -> Model:
+    """Learn from rows where ``allowed`` holds and text and language are not null.
+
+    About ``docs_per_language`` rows of each language are read, fewer if there are so many languages that they
+    would be more than ``train_rows``; no language, word or piece in these is left out."""
     ship_by_value("tilespark.llm.language_id")
-    bound_arrow_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bound_arrow_batches(spark)
     rows = docs.where(allowed & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()
+    sizes = few(rows.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__n")), "languages")
+    share = min(float(docs_per_language), train_rows / max(1, sizes.count()))
     # keys are uniform in [0, 2^60): a threshold for each language keeps about as many documents as asked for
-    mark = F.lit(False)
-    for lang, n in sizes:
-        mark = F.when(F.col(lang_col) == lang, F.col("__key") < int(min(1.0, docs_per_language / n) * (1 << KEY_BITS))).otherwise(mark)
-    sample = rows.withColumn("__key", random_key(F.col(id_col))).where(mark).select(lang_col, text_col)
+    most = (F.least(F.lit(1.0), F.lit(share) / F.col("__n")) * float(1 << KEY_BITS)).cast("long")
+    sample = (rows.select(F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"), random_key(F.col(id_col)).alias("__key"))
+              .join(sizes, "__lang").where(F.col("__key") < most).select("__lang", "__text"))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,18 +294,18 @@ def train(docs: DataFrame, allowed: Column, text_col: str = "text", lang_col: st
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()),
                                               pa.array(seen.values(), pa.int64())], ["lang", "word", "n"])
 
-    counted = (sample.mapInArrow(tally, "lang string, word string, n long").groupBy("lang", "word")
-               .agg(F.sum("n").alias("n")))
-    # the limit is met by rank, so it falls on all languages alike; the window keeps no more than it per language
-    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    counted = (counted.withColumn("turn", turn).where(F.col("turn") <= train_words)
-               .orderBy("turn", "lang", "word").limit(train_words).drop("turn"))
-    # stored, so that no more than train_words rows meet the driver; in order, so that languages and sums are
-    counted = stored(counted, "lang-words").orderBy("lang", "word")
-    counts = counted.toArrow()
-    if not counts.num_rows:
+    counted = (sample.mapInArrow(tally, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    # in order and stored, so that every round sums alike
+    counted = stored(counted.sortWithinPartitions("word", "lang"), "lang-words")
+    languages = sorted(r[0] for r in counted.select("lang").distinct().collect())
+    if not languages:
         return Model([], piece_tree([SPACE]), np.zeros((2, 0)))
-    return fit(counts, read_pieces(vocabulary))
+    pieces = read_pieces(vocabulary)
+    model = Model(languages, pieces, np.full((pieces.size + 1, len(languages)), 1 / pieces.size))
+    model.prob[-1] = OUTSIDE
+    for _ in range(rounds):
+        model = improved(counted, model, prior)
+    return model
 
 
 def text_parts(text: str) -> Iterator[str]:
@@ -242,6 +327,13 @@ def scorer(model: Model):
     rows = np.zeros((most, max(1, n_lang)))
 
     def log_probs(words: list[str]) -> np.ndarray:
+        long = np.array([len(w) > SHORT_WORD for w in words])
+        if long.any():  # not cached, so that the cache stays small
+            got = np.empty((len(words), n_lang))
+            got[long] = forward([w for w in words if len(w) > SHORT_WORD], model)
+            if not long.all():
+                got[~long] = log_probs([w for w in words if len(w) <= SHORT_WORD])
+            return got
         new = list({w for w in words if w not in cache})
         if len(cache) + len(new) > most:
             cache.clear()
