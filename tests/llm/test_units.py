@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tilespark.llm import decontaminate, language_id, simhash, substring_dedup, warc_zip
+from tilespark.llm import decontaminate, language_id, simhash, substring_dedup, url_filter, warc_zip
 from tilespark.llm.elias_fano import EliasFano, from_file, to_file
 from tilespark.llm.fm_index import FMIndex, suffix_array
 from tilespark.llm.lm_score import Shard, discounted, quantised
@@ -189,6 +189,35 @@ def test_long_words_are_summed_whole(monkeypatch):
     assert np.isfinite(far).all() and np.allclose(far[0], 2 * far[1], rtol=1e-3)
 
 
+def test_suffix_rules(spark, tmp_path):
+    path = tmp_path / "list.dat"
+    path.write_text("// names\ncom\nau\ncom.au\n*.ck\n!www.ck\n\nblog.example.com\n公司.cn // end\n", encoding="utf-8")
+    rules = url_filter.read_suffix_rules(str(path))
+    want = {"a.b.com": ("com", "b.com"), "com": ("com", "com"), "x.y.com.au": ("com.au", "y.com.au"), "a.org": ("org", "a.org"), "": ("", ""),
+            "p.q.ck": ("q.ck", "p.q.ck"), "q.ck": ("q.ck", "q.ck"), "ck": ("ck", "ck"), "a.www.ck": ("ck", "www.ck"),
+            "a.b.blog.example.com": ("blog.example.com", "b.blog.example.com"), "a.公司.cn": ("公司.cn", "a.公司.cn"),
+            "z.a.xn--55qx5d.cn": ("xn--55qx5d.cn", "a.xn--55qx5d.cn"), "a.cn": ("cn", "a.cn"), "..": ("", "." )}
+    got = url_filter.with_domains(spark.createDataFrame([(h, 1) for h in want], "host string, n int"), rules).collect()
+    assert {r["host"]: (r["suffix"], r["domain"]) for r in got} == want and len(got) == len(want)
+    assert url_filter.read_suffix_rules(None) == sorted((x, 2, False) for x in url_filter.TWO_LABEL_SUFFIXES)
+
+
+def test_beta_below():
+    rng = np.random.default_rng(0)
+    a = np.r_[0.01, 0.3, 1, 2, 50, 1, 3000, 10 ** rng.uniform(-1, 3, 20)]
+    b = np.r_[0.02, 4, 1, 1, 50, 9, 3100, 10 ** rng.uniform(-1, 3, 20)]
+    for x in (0.2, 0.5, 0.9):
+        got = url_filter.beta_below(a, b, x)
+        assert np.allclose(got, 1 - url_filter.beta_below(b, a, 1 - x), atol=1e-12)
+        assert got[2] == pytest.approx(x) and got[3] == pytest.approx(x * x) and got[5] == pytest.approx(1 - (1 - x) ** 9)
+        for k in range(3, len(a)):  # shapes of at least one half: a plain sum over the density
+            if min(a[k], b[k]) >= 0.5:
+                t = (np.arange(400_000) + 0.5) / 400_000
+                log = (a[k] - 1) * np.log(t) + (b[k] - 1) * np.log1p(-t)
+                density = np.exp(log - log.max())
+                assert got[k] == pytest.approx(density[t < x].sum() / density.sum(), abs=3e-3)
+
+
 def test_zip_directories(tmp_path):
     for name, kind, wide in (("a.zip", zipfile.ZIP_STORED, False), ("b.zip", zipfile.ZIP_DEFLATED, False), ("c.zip", zipfile.ZIP_STORED, True)):
         with zipfile.ZipFile(tmp_path / name, "w", kind) as z:

@@ -16,7 +16,7 @@ from tilespark.llm.line_dedup import line_dedup
 from tilespark.llm.lm_score import lm_scores
 from tilespark.llm.source_mix import mix_sources
 from tilespark.llm.substring_dedup import substring_dedup
-from tilespark.llm.url_filter import RHO_LEAST, RHO_MOST, RULES, TWO_LABEL_SUFFIXES, url_filter
+from tilespark.llm.url_filter import RHO_LEAST, RHO_MOST, RULES, read_suffix_rules, url_filter
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -62,7 +62,10 @@ def _sql_strength(name: str, groups: str, parent: str) -> str:
 
 
 _RULE, _ACTION = _sql_rules()
-_TWO = ", ".join(f"'{x}'" for x in TWO_LABEL_SUFFIXES)
+#: The public suffixes, the same in the query and its SQL.
+SUFFIX_RULES = read_suffix_rules()
+_SUFFIXES = ", ".join(f"('{name}', {width}, {100 * won + width})" for name, width, won in SUFFIX_RULES)
+_MOST_LABELS = max(name.count(".") + 1 for name, _, _ in SUFFIX_RULES)
 OP2_SQL = rf"""
 WITH urls AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^[\s\S]*?://([^/?#]*)', 1), {AZ}) host,
   regexp_extract(coalesce(url, ''), '^[\s\S]*?://[^/?#]*([^?#]*)', 1) path FROM pages),
@@ -70,7 +73,10 @@ outcomes AS (SELECT doc_id page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN
   WHERE doc_id IS NOT NULL GROUP BY doc_id),
 counts AS (SELECT host, count(bad) n, coalesce(sum(bad), 0)::BIGINT bad, string_split(host, '.') l
   FROM urls LEFT JOIN outcomes USING (page_id) GROUP BY host),
-cut AS (SELECT *, CASE WHEN array_to_string(l[-2:], '.') IN ({_TWO}) THEN 2 ELSE 1 END w FROM counts),
+known (name, width, rank) AS (VALUES {_SUFFIXES}),
+met AS (SELECT host, arg_max(width, rank) w FROM counts, unnest(range(1, least(len(l), {_MOST_LABELS}) + 1)) AS r(k)
+  JOIN known ON name = array_to_string(l[-k:], '.') AND width <= len(l) GROUP BY host),
+cut AS (SELECT counts.*, coalesce(w, 1) w FROM counts LEFT JOIN met USING (host)),
 hosts AS (SELECT host, n, bad, array_to_string(l[-w:], '.') suffix, array_to_string(l[-(w + 1):], '.') AS domain, 0 AS everything FROM cut),
 domains AS (SELECT domain, suffix, sum(n)::BIGINT n, sum(bad)::BIGINT bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, everything, sum(n)::BIGINT n, sum(bad)::BIGINT bad FROM hosts GROUP BY suffix, everything),
@@ -81,9 +87,13 @@ root AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) p FR
 s AS (SELECT suffix, (bad + ks.k * p) / (n + ks.k) sm FROM suffixes, ks, root),
 d AS (SELECT domain, suffix, (bad + kd.k * sm) / (n + kd.k) dm FROM domains JOIN s USING (suffix), kd),
 h AS (SELECT host, n, kh.k, (bad + kh.k * dm) / (n + kh.k) hm FROM hosts JOIN d USING (domain, suffix), kh),
-b AS (SELECT host, hm - 1.645 * sqrt(hm * (1 - hm) / (n + k + 1)) bound FROM h)
+u AS (SELECT host, (n + k) * hm x, (n + k) * (1 - hm) y, n + k z FROM h),
+v AS (SELECT host, x, y, greatest(x, y) a, least(x, y) b, z FROM u),
+i AS (SELECT host, x, y, list_sum(list_transform(range(0, (100 + 20 * sqrt(z))::BIGINT),
+  lambda j: exp(lgamma(z + j) - lgamma(a + 1 + j) - lgamma(b) + (z + j) * ln(0.5)))) p FROM v),
+b AS (SELECT host, CASE WHEN x < y THEN 1 - p ELSE p END below FROM i)
 SELECT page_id, host, path, {_RULE} AS rule,
-  coalesce({_ACTION}, CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce({_ACTION}, CASE WHEN below < 0.05 THEN 'block' ELSE 'allow' END) AS verdict
 FROM urls LEFT JOIN b USING (host)"""
 
 
@@ -93,7 +103,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("page_id"),
                              F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
-    return url_filter(table(spark, sf_dir, "pages"), outcomes)
+    return url_filter(table(spark, sf_dir, "pages"), outcomes, suffix_rules=SUFFIX_RULES)
 
 
 # ------------------------------------------------------------ op5
