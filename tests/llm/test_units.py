@@ -218,6 +218,37 @@ def test_beta_below():
                 assert got[k] == pytest.approx(density[t < x].sum() / density.sum(), abs=3e-3)
 
 
+def test_records_of_all_types():
+    def record(kind, block, **more):
+        head = {"WARC-Type": kind, "Content-Length": len(block), **{k.replace("_", "-"): v for k, v in more.items()}}
+        return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items() if v is not None).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    def told(*args, **more):
+        r = warc_zip.parse_record(record(*args, **more))
+        return r["record_type"], r["payload_digest"], r["payload_bytes"], r["payload"]
+
+    page = b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\nabc"
+    sha1 = "sha1:VGMT4NSHA2AWVOR6EVYXQUGCNSONBWE5"  # of abc, in base 32
+    sha256 = "ba7816bf8f01cfea414140de5dae2223b00361a396177a9cb410ff61f20015ad"
+    assert told("warcinfo", b"software: x\r\n", WARC_Record_ID="<urn:uuid:1>") == ("warcinfo", None, None, None)
+    assert told("request", b"GET / HTTP/1.1\r\n\r\n") == ("request", None, None, None)
+    assert told("response", page) == ("response", None, 3, b"abc")
+    assert told("response", page.replace(b"Content-Length: 3", b"Server: x")) == ("response", None, 3, b"abc")
+    assert told("response", page, WARC_Payload_Digest=sha1) == ("response", sha1, 3, b"abc")
+    assert told("response", page, WARC_Payload_Digest="sha256:" + sha256) == ("response", sha256, 3, b"abc")
+    assert told("response", page, WARC_Payload_Digest="blake9:zz") == ("response", "blake9:zz", 3, b"abc")
+    assert told("resource", b"abc", WARC_Payload_Digest=sha1) == ("resource", sha1, 3, b"abc")
+    assert told("revisit", page[:-3], WARC_Payload_Digest=sha1) == ("revisit", sha1, 3, None)
+    assert told("revisit", b"") == ("revisit", None, None, None)
+    assert told("response", page[:-1], WARC_Truncated="length")[2:] == (2, b"ab")
+    assert warc_zip.parse_record(record("warcinfo", b""))["record_id"] is None
+    for bad in (page[:-1], page + b"d"):
+        with pytest.raises(ValueError, match="damaged"):
+            told("response", bad)
+    with pytest.raises(ValueError, match="damaged"):
+        told("response", page[:-3] + b"abd", WARC_Payload_Digest=sha1)
+
+
 def test_zip_directories(tmp_path):
     for name, kind, wide in (("a.zip", zipfile.ZIP_STORED, False), ("b.zip", zipfile.ZIP_DEFLATED, False), ("c.zip", zipfile.ZIP_STORED, True)):
         with zipfile.ZipFile(tmp_path / name, "w", kind) as z:

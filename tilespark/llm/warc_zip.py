@@ -16,6 +16,7 @@ no record twice.
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import io
@@ -76,23 +77,50 @@ def record_bytes(name: str, kind: str, uri: str | None, refers_to: str | None, d
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
+def digest_of(label: str, data: bytes) -> str | None:
+    """The digest of ``data`` by a labelled one's algorithm and spelling (hex or base 32); null if not known here."""
+    kind, _, value = label.partition(":")
+    if kind.lower() not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    made = hashlib.new(kind.lower(), data)
+    return made.hexdigest() if len(value) == 2 * made.digest_size else base64.b32encode(made.digest()).decode()
+
+
 def parse_record(data: bytes) -> dict:
-    """Fields of one uncompressed record; checks the digest of a payload that is there."""
+    """Fields of one uncompressed record; checks the length and digest of a payload where the record tells them.
+
+    Records of any type are taken: a response's payload follows its HTTP head, a resource's is its block,
+    the others (``warcinfo``, ``request``, ``metadata`` ...) have none.  A revisit has the size that its HTTP head
+    tells.  What a record does not say is null.  ``payload_digest`` is bare for SHA-256, else with its label."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode(errors="replace").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("no WARC record here")
     fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
     block = rest[:int(fields["content-length"])]
-    http, _, payload = block.partition(b"\r\n\r\n")
-    size = int(re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)[1])
-    kind, digest = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha256:")
-    if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
-        raise ValueError(f"damaged payload in {fields['warc-record-id']}")
+    kind, digest, size, payload = fields.get("warc-type"), fields.get("warc-payload-digest"), None, None
+    if kind == "resource":
+        payload = block
+    elif kind in ("response", "revisit") and block.startswith(b"HTTP/"):
+        http, _, body = block.partition(b"\r\n\r\n")
+        told = re.search(rb"(?i)\r\ncontent-length: *(\d+)", http)
+        size = int(told[1]) if told else None
+        if kind == "response":
+            payload = body
+    elif kind == "response":  # of another protocol, without a head to cut off
+        payload = block
+    if payload is not None:
+        known = digest and digest_of(digest, payload)
+        whole = "warc-truncated" not in fields
+        # a body sent in chunks has its digest, by some writers, without the chunks' marks
+        coded = kind == "response" and re.search(rb"(?i)\r\n(transfer|content)-encoding:", block.partition(b"\r\n\r\n")[0])
+        if whole and not coded and (size not in (None, len(payload)) or known and known.lower() != digest.partition(":")[2].lower()):
+            raise ValueError(f"damaged payload in {fields.get('warc-record-id')}")
+        size = len(payload)
     bare = lambda x: x and x.removeprefix("<urn:page:").removesuffix(">")
-    return {"record_id": bare(fields["warc-record-id"]), "record_type": kind, "target_uri": fields.get("warc-target-uri"),
-            "refers_to": bare(fields.get("warc-refers-to")), "payload_digest": digest, "payload_bytes": size,
-            "payload": payload if kind == "response" else None}
+    return {"record_id": bare(fields.get("warc-record-id")), "record_type": kind, "target_uri": fields.get("warc-target-uri"),
+            "refers_to": bare(fields.get("warc-refers-to")), "payload_digest": digest and digest.removeprefix("sha256:"), "payload_bytes": size,
+            "payload": payload}
 
 
 class PackageWriter:
