@@ -122,6 +122,41 @@ def test_a_part_is_read_alone(spark, scratch):
     assert sorted(r["k"] for r in q.collect()) == list(range(20, 30))
 
 
+def test_many_small_files_take_few_tasks(spark, scratch):
+    """240 files of two rows: runs of files are written by one task, folders are listed by few."""
+    path, shuffled = scratch + "/p", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    P.write_parts(spark.range(480).select(F.reverse(F.col("id").cast("string")).alias("k"), "id"), 3, ["id"], path, rows_per_file=2)
+    key, sc = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext
+    before = spark.conf.get(key)
+    sc.setJobGroup(path, "reading the parts")
+    try:
+        back = P.read_parts(spark, path, 2)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = [i for j in sc.statusTracker().getJobIdsForGroup(path) for i in sc.statusTracker().getJobInfo(j).stageIds]
+    assert stages and max(sc.statusTracker().getStageInfo(i).numTasks for i in stages) <= shuffled
+    assert spark.conf.get(key) == before
+    rows = back.withColumn("path", F.input_file_name()).collect()
+    assert sorted((r["id"], r["part"], r["file"], r["place"]) for r in rows) == [
+        (i, i // 160, i % 160 // 2, i % 160) for i in range(480)]
+    assert len({r["path"] for r in rows}) == 240
+    assert len({re.search(r"/part-(\d+)-", r["path"])[1] for r in rows}) <= shuffled + 1  # tasks
+
+
+def test_runs_of_files_end_at_their_bounds(spark, scratch, monkeypatch):
+    monkeypatch.setattr(P, "FILES_PER_TASK", 5)
+    P.write_parts(spark.range(240).withColumnRenamed("id", "k"), 2, ["k"], scratch + "/f", rows_per_file=2)
+    monkeypatch.setattr(P, "ROWS_PER_TASK", 6)
+    P.write_parts(spark.range(240).withColumnRenamed("id", "k"), 2, ["k"], scratch + "/r", rows_per_file=2)
+    for path, most in (("/f", 5), ("/r", 3)):
+        rows = P.read_parts(spark, scratch + path, 2).withColumn("path", F.input_file_name()).collect()
+        assert sorted((r["k"], r["part"], r["place"]) for r in rows) == [(i, i // 120, i % 120) for i in range(240)]
+        by_task = {}
+        for r in rows:
+            by_task.setdefault(re.search(r"/part-(\d+)-", r["path"])[1], set()).add(r["path"])
+        assert len(set().union(*by_task.values())) == 120 and max(map(len, by_task.values())) == most
+
+
 # ------------------------------------------------------------ nested tile sizes
 
 def test_size_families():

@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from tilespark.functions.coords import id_slice
 from tilespark.session import checkpoint_dir
 
+# The files, and the rows in files of several, that one task of write_parts writes at most.
+FILES_PER_TASK = 1_000
+ROWS_PER_TASK = 1_000_000
+
 
 def band_ranges(tiles: DataFrame, band: str = "tile_row") -> DataFrame:
     """First and last rid of every row of tiles ``(band, min_rid, max_rid)``."""
@@ -108,10 +112,13 @@ def write_parts(df: DataFrame, n: int, order: Sequence[str], path: str, rows_per
     ``path/part=<p>/file=<f>/`` holds one Parquet file with the rows ``f *
     rows_per_file`` on of part ``p``, in ``order``.
 
-    A row's part and place give the number of the task that writes it
-    (``repartitionById``), so every file is written by one task, whole and sorted,
-    no task writes more than ``rows_per_file`` rows, and no part is held as one list.
+    A row's part and place give its file, and a run of consecutive files the number of the
+    task that writes them (``repartitionById``), one file after the other: every file is
+    whole and sorted, and no part is held as one list.  A run is longer than one file only
+    where there are more files than the session's shuffle partitions, and ends at
+    ``FILES_PER_TASK`` files or ``ROWS_PER_TASK`` rows.
     """
+    spark = df.sparkSession
     r = row_index(df, order, partitions)
     part, place = _chunk(n)
     r = r.withColumns({"part": part.cast("int"), "_place": place.cast("long")})
@@ -119,7 +126,10 @@ def write_parts(df: DataFrame, n: int, order: Sequence[str], path: str, rows_per
     total = r.agg(F.max("_n")).first()[0] or 0
     files = max(1, -(-(total // max(n, 1) + 1) // rows_per_file))
     parts = max(1, min(n, total))
-    r = r.repartitionById(parts * files, (F.col("part") * files + F.col("file")).cast("int"))
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    run = max(1, min(FILES_PER_TASK, ROWS_PER_TASK // rows_per_file, parts * files // shuffled))
+    number = F.col("part").cast("long") * files + F.col("file")
+    r = r.repartitionById(-(-parts * files // run), F.floor(number / run).cast("int"))
     (r.sortWithinPartitions("part", "file", "_place").drop("_i", "_n", "_place")
      .write.partitionBy("part", "file").parquet(path))
 
@@ -128,7 +138,23 @@ def read_parts(spark: SparkSession, path: str, rows_per_file: int = 1_000_000) -
     """The records written by ``write_parts`` with their ``part``, ``file`` and ``place`` in
     the part (``rows_per_file`` as it was written).  A filter on ``part`` reads that part's files alone."""
     place = F.col("file").cast("long") * rows_per_file + F.col("_metadata.row_index")
-    return spark.read.parquet(path).withColumn("place", place)
+    return _read_folders(spark, path).withColumn("place", place)
+
+
+def _read_folders(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table of many small folders.  Spark lists them by one task per folder
+    (up to 10,000); here no more tasks than the session's shuffle partitions list them,
+    which changes no row.  The setting is put back once the table is listed."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, min(int(spark.conf.get(key)), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    try:
+        return spark.read.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
 
 
 def part_groups(df: DataFrame, key: str) -> DataFrame:
